@@ -65,9 +65,11 @@ def features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     texts = pc.replace_substring_regex(pc.ascii_lower(pc.fill_null(texts, "")), pattern=_MARKS, replacement=" ")
     lists = pc.ascii_split_whitespace(pc.ascii_trim_whitespace(texts))
     n = lists.value_lengths().to_numpy()
-    coded = lists.flatten().dictionary_encode()
-    h = _word_hashes(coded.dictionary.to_pylist())[coded.indices.to_numpy()]
-    row = np.repeat(np.arange(len(n), dtype=np.int32), n)
+    flat = lists.flatten()
+    word = pc.not_equal(flat, "").to_numpy(zero_copy_only=False)  # an empty text splits into one empty word
+    coded = flat.dictionary_encode()
+    h = _word_hashes(coded.dictionary.to_pylist())[coded.indices.to_numpy()][word]
+    row = np.repeat(np.arange(len(n), dtype=np.int32), n)[word]
     rows, places = [row], [_hash(h)]
     for gap, salt in ((1, 3), (2, 7)):
         if len(row) > gap:

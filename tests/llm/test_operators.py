@@ -1,0 +1,442 @@
+"""Each operator against a brute-force version, on rows with nulls, empties, repeats and long texts."""
+
+import hashlib
+import random
+import re
+import wave
+import zlib
+
+import numpy as np
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+
+from quern.llm import chat, components, embeddings, media, mixing, packing, pii, sharding, simhash, token_files, tokens, toxicity
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, score double, size string, fp int"
+
+
+def words(seed, n):
+    r = random.Random(seed)
+    return " ".join("".join(r.choice("abcdeéßñ ") for _ in range(r.randint(2, 9))).strip() or "x" for _ in range(n))
+
+
+def rows():
+    base = words(1, 60)
+    near = base.replace(base.split()[30], "changed", 1)
+    texts = [base, base, near, None, "", "   \t\n ", "one", "two words", "A.B!! c,d. E", words(2, 12_000), words(3, 300), words(4, 40), "x" * 5000, "é. ü, İstanbul ΣΑΣ. don't <|endoftext|>"]
+    out = [(k, t, None if k == 1 else "en", None if k == 2 else f"s{k % 3}", None if t is None else len(t), 0.5, "clash", 7) for k, t in enumerate(texts)]
+    return out + [out[0], out[3], (None, "no id", "en", "s0", 5, 0.0, "", 1), (None, None, None, None, None, None, None, None)]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.createDataFrame(rows(), DOCS)
+
+
+@pytest.fixture(scope="module")
+def none(spark):
+    return spark.createDataFrame([], DOCS)
+
+
+def exact_ids(text):
+    tok = tokens.worker_tokenizer(tokens.vocabulary_path())
+    return np.array(tok.encode_exact(text) + [1], np.uint32)
+
+
+def test_word_cache_gives_the_librarys_ids():
+    import pyarrow as pa
+
+    texts = [r[1] for r in rows()] + ["a..b c", "x́y ź", "a\xa0b c　d.", "ǅ ﬁ.", "a1b2, 3.", "'s 's. s's", "x\x1cy \x85 z", "ſ K", "we'll, they've."]
+    for cache in (10, 400_000):
+        tok = tokens.WordTokenizer(tokens.vocabulary_path(), cache)
+        ids, n = tok.encode_many(pa.array(texts, pa.string()))
+        ends = np.cumsum(n)
+        for text, stop, count in zip(texts, ends, n):
+            assert ids[stop - count : stop].tolist() == tok.encode_exact(text)
+
+
+# 1 -------------------------------------------------------------------------------------
+
+
+def test_feistel_is_a_permutation():
+    for n in (1, 2, 7, 100, 1009):
+        net = pii.Feistel(b"k", "t", n)
+        image = [net.permute(x) for x in range(n)]
+        assert sorted(image) == list(range(n))
+        assert [net.restore(y) for y in image] == list(range(n))
+
+
+@pytest.mark.parametrize(
+    "text, kind",
+    [("4111 1111 1111 1111", "card"), ("4041894974608795", None), ("+1 (988) 555-2485", "phone"), ("212-555-0187", "phone"), ("42.144.35.254", "ipv4"), ("300.1.1.1", None), ("ab.24@mail6.example.com", "email"), ("DE89 3704 0044 0532 0130 00", "iban"), ("DE88370400440532013000", None), ("2024-02-29", "date_iso"), ("2023-02-29", None), ("31.12.1999", "date_dmy"), ("12/31/1999", "date_dmy"), ("078-05-1120", "ssn"), ("000-05-1120", None), ("+44 20 7946 0958", "phone"), ("1.2.3", None), ("", None)],
+)
+def test_pii_kinds_keep_their_format(text, kind):
+    if kind is None and text == "4041894974608795":
+        kind = "card" if pii.luhn_digit(text[:-1]) == text[-1] else None
+    new, spans = pii.Pseudonyms().apply(f"see {text} now")
+    assert [s[2] for s in spans] == ([kind] if kind else [])
+    if kind:
+        inner = new[4:-4]
+        assert inner != text and new[:4] == "see " and new[-4:] == " now"
+        if kind != "ipv4":
+            assert re.sub(r"[A-Za-z]", "a", re.sub(r"\d", "0", inner)) == re.sub(r"[A-Za-z]", "a", re.sub(r"\d", "0", text))
+        assert pii.Pseudonyms(restore=True).apply(new)[0] == f"see {text} now"
+        assert pii.Pseudonyms(b"other").apply(f"see {text} now")[0] != new
+
+
+def test_pii_links_equal_values_and_keeps_rows(spark, docs, none):
+    out = {r.doc_id: r for r in pii.pii_report(spark.createDataFrame([(1, "mail a.b1@x.org"), (2, "a.b1@x.org, 10.0.0.1"), (3, None)], "doc_id long, text string")).collect()}
+    assert out[1].text.split()[1] == out[2].text.split(",")[0] != "a.b1@x.org"
+    assert (out[2].n_pii, out[2].kinds, out[3].text, out[3].n_pii) == (2, "email,ipv4", None, 0)
+    got = pii.pseudonymise(docs)
+    assert got.columns == [*docs.columns, "pii_spans"] and got.count() == len(rows())
+    assert pii.pseudonymise(none).count() == 0
+
+
+# 2 -------------------------------------------------------------------------------------
+
+
+def test_toxicity_learns_and_holds_out(spark, docs, none):
+    r = random.Random(5)
+    data, labels = [], []
+    for k in range(600):
+        bad = k % 4 == 0
+        w = [r.choice(["the", "cat", "sat", "mat", "dog", "sun", "sky", "sea"]) for _ in range(30)]
+        if bad:
+            w[r.randrange(30)] = r.choice(["idiot", "moron"])
+        data.append((k, " ".join(w)))
+        labels.append((k, int(bad)))
+    d = spark.createDataFrame(data, "doc_id long, text string")
+    lab = spark.createDataFrame(labels + [(None, 1), (5000, None), (0, 1)], "doc_id long, toxic int")
+    got = {x.doc_id: x for x in toxicity.toxicity(d, lab).collect()}
+    assert len(got) == 600 and all(x.held_out == (zlib.crc32(str(k).encode()) % 5 == 0) for k, x in got.items())
+    held = [k for k in got if got[k].held_out]
+    assert np.mean([got[k].predicted == (k % 4 == 0) for k in held]) > 0.95
+    # labels of the held-out fold are never seen
+    flipped = spark.createDataFrame([(k, 1 - y if zlib.crc32(str(k).encode()) % 5 == 0 else y) for k, y in labels] + [(0, 1)], "doc_id long, toxic int")
+    assert {x.doc_id: x.score for x in toxicity.toxicity(d, flipped).collect()} == {k: x.score for k, x in got.items()}
+    model = toxicity.train(d, lab)
+    odd = toxicity.score(docs, model)
+    assert odd.count() == len(rows()) and odd.where("score is null or score < 0 or score > 1").count() == 0
+    assert toxicity.score(none, model).count() == 0 and toxicity.drop_toxic(docs, lab).columns == docs.columns
+    assert toxicity.toxicity(docs, lab.limit(0)).select("predicted").distinct().count() <= 2
+
+
+def test_features_cover_pairs_and_skips():
+    import pyarrow as pa
+
+    row, place = toxicity.features(pa.array(["A b, c", "", None, "b c"]))
+    assert np.bincount(row, minlength=4).tolist() == [6, 0, 0, 3]
+    assert set(place[row == 3]) <= set(place[row == 0])
+
+
+# 3 -------------------------------------------------------------------------------------
+
+
+def check_pieces(pieces, texts):
+    by = {}
+    for p in pieces:
+        by.setdefault(p.sequence_id, []).append(p)
+    for seq in by.values():
+        seq.sort(key=lambda p: p.offset)
+        assert [p.offset for p in seq] == np.cumsum([0, *(p.length for p in seq)])[:-1].tolist()
+        n = sum(p.length for p in seq)
+        assert n & (n - 1) == 0 and n <= 2048
+    ids = {k: exact_ids(t) for k, t in texts.items()}
+    for k, x in ids.items():
+        own = sorted((p for p in pieces if p.doc_id == k), key=lambda p: p.start)
+        assert np.concatenate([x[p.start : p.start + p.length] for p in own]).tolist() == x.tolist()
+        assert all(p.ids_crc32 == zlib.crc32(x[p.start : p.start + p.length].tobytes()) and p.doc_tokens == len(x) for p in own)
+
+
+def test_packing_holds_each_id_once(spark, docs, none):
+    unique = [r for r in rows()[:14]]
+    pieces = packing.pack_documents(spark.createDataFrame(unique, DOCS)).collect()
+    check_pieces(pieces, {r[0]: r[1] for r in unique})
+    assert packing.pack_documents(none).count() == 0
+    total = packing.pack_documents(docs).agg(F.sum("length")).first()[0]
+    assert total == sum(len(exact_ids(r[1])) for r in rows())
+
+
+def test_pack_lengths_fills_every_sequence():
+    r = random.Random(3)
+    lengths = [r.randint(1, 5000) if k % 9 else 2048 for k in range(500)]
+    plan = packing.pack_lengths(lengths)
+    assert all(sum(n for _, _, n in p) == tier for tier, p in plan)
+    seen = sorted((d, s, n) for _, p in plan for d, s, n in p)
+    for d, n in enumerate(lengths):
+        own = [(s, m) for e, s, m in seen if e == d]
+        assert [s for s, _ in own] == np.cumsum([0, *(m for _, m in own)])[:-1].tolist() and sum(m for _, m in own) == n
+    assert sum(tier < 256 for tier, _ in plan) <= 8
+    groups = packing.step_groups(plan)
+    assert len(groups) == len(plan) and all(len({t for (t, _), g in zip(plan, groups) if g == x}) == 1 for x in set(groups))
+
+
+# 4 -------------------------------------------------------------------------------------
+
+
+def test_media_round_trip(spark, docs, none, tmp_path):
+    got = media.media_digests(docs).collect()
+    texts = sorted(((r[0] is None, r[0] or 0), (r[1] or "").encode()) for r in rows())
+    for (_, raw), g in zip(texts, sorted(got, key=lambda g: ((g.doc_id is None, g.doc_id or 0), g.n_bytes))):
+        if g.doc_id is None:
+            continue
+        pay = raw + b" " * (max(192, -(-len(raw) // 192) * 192) - len(raw))
+        assert (g.n_bytes, g.payload_bytes, g.payload_sha256, g.tail_crc32) == (len(raw), len(pay), hashlib.sha256(pay).hexdigest(), zlib.crc32(pay[-16:]))
+        (tmp_path / "x.wav").write_bytes(stored := media.wav_bytes(pay))
+        with wave.open(str(tmp_path / "x.wav")) as w:
+            assert w.readframes(w.getnframes()) == pay
+        assert (g.media_bytes, g.media_sha256) == (len(stored), hashlib.sha256(stored).hexdigest())
+    by_text = {}
+    for r in got:
+        by_text.setdefault(r.payload_sha256, set()).add(r.feature)
+    assert all(len(v) == 1 for v in by_text.values())
+    assert media.media_digests(none).count() == 0
+
+
+def test_spectral_peaks_find_a_tone():
+    t = np.arange(16_000)
+    tone = (128 + 100 * np.sin(2 * np.pi * 30 / media.FRAME * t) * (1 + (t // 800) % 2)).astype(np.uint8)
+    frame, bins = media.spectral_peaks(tone)
+    assert len(frame) and set(bins[(bins >= 20) & (bins < 40)]) == {30}
+    codes = media.landmarks(frame, bins)
+    assert (np.diff(codes) >= 0).all() and media.spectral_peaks(np.zeros(10, np.uint8))[0].size == 0
+
+
+# 5 -------------------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("bits", [1, 5, 8, 13, 16, 17, 32])
+def test_bit_packing_round_trip(bits):
+    ids = np.random.default_rng(bits).integers(0, 1 << bits, 10_001, dtype=np.uint64).astype(np.uint32)
+    assert (token_files.unpack(token_files.pack(ids, bits), len(ids), bits) == ids).all()
+    lengths = np.array([4000, 1, 6000])
+    box = token_files.Container(token_files.container(np.array([3, 5, 9]), lengths, ids, bits))
+    assert (box.ids(0, len(ids)) == ids).all() and (box.ids(4095, 3) == ids[4095:4098]).all()
+    assert (box.document(2) == ids[4001:]).all() and box.document(1).tolist() == ids[4000:4001].tolist()
+
+
+def test_token_files(docs, none):
+    got = sorted(token_files.token_file_digests(docs).collect(), key=lambda g: g.start)
+    want = sorted(rows(), key=lambda r: (r[0] is not None, r[0] or 0, r[1] or ""))
+    start = 0
+    for g, r in zip(got, want):
+        ids = exact_ids(r[1])
+        assert (g.doc_id, g.start, g.n_tokens, g.ids_crc32) == (r[0], start, len(ids), zlib.crc32(ids.tobytes()))
+        start += len(ids)
+    assert len(got) == len(want) and token_files.token_file_digests(none).count() == 0
+
+
+# 6 -------------------------------------------------------------------------------------
+
+
+def slow_print(text):
+    text = re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
+    w = re.findall(r"[^\x20\x09-\x0D]+", text)
+    shingles = [" ".join(w[i : i + 3]) for i in range(len(w) - 2)] if len(w) >= 3 else [" ".join(w)] if w else []
+    h = [xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles]
+    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+
+def slow_components(prints):
+    near = np.bitwise_count(prints[:, None] ^ prints[None, :]) <= 2
+    label = np.arange(len(prints))
+    while True:
+        new = np.array([label[near[k]].min() for k in range(len(prints))])
+        if (new == label).all():
+            return label
+        label = new
+
+
+def test_fingerprints_and_components(docs, none):
+    got = simhash.simhash_components(docs).collect()
+    assert len(got) == len(rows())
+    prints = {r[0]: slow_print(r[1]) for r in rows() if r[0] is not None}
+    ids = sorted(prints)
+    label = slow_components(np.array([prints[k] for k in ids], np.uint64))
+    want = {k: ids[label[i]] for i, k in enumerate(ids)}
+    for g in got:
+        if g.doc_id is not None:
+            assert int(g.fingerprint, 16) == prints[g.doc_id] and g.component_id == want[g.doc_id]
+    assert simhash.simhash_components(none).count() == 0
+    kept = simhash.keep_one(docs)
+    assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == set(want.values())
+
+
+@pytest.mark.parametrize("bucket", [3, 256])
+def test_links_join_what_all_pairs_join(spark, bucket):
+    """A dense cloud around one fingerprint, chains, and random ones; hot buckets take the exact way for them."""
+    r = random.Random(9)
+    prints = {r.getrandbits(64) for _ in range(300)}
+    for center in (r.getrandbits(64), (1 << 64) - 1, 0):
+        prints |= {center ^ (1 << r.randrange(64)) ^ (1 << r.randrange(64)) for _ in range(150)}
+    x = r.getrandbits(64)
+    for _ in range(60):
+        prints.add(x := x ^ (1 << r.randrange(64)) ^ (1 << r.randrange(64)))
+    all_ = np.array(sorted(prints), np.uint64)
+    df = spark.createDataFrame([(int(v),) for v in all_.view(np.int64)], "fp long")
+    links = simhash.fingerprint_links(df, bucket)
+    comp = {c.node: c.component for c in components.connected_components(links).collect()}
+    label = slow_components(all_)
+    got = {}
+    for k, v in enumerate(all_.view(np.int64).tolist()):
+        got.setdefault(comp.get(v, v), set()).add(k)
+    want = {}
+    for k, v in enumerate(label):
+        want.setdefault(v, set()).add(k)
+    assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values()))
+
+
+def test_pivot_tables_never_part_near_fingerprints():
+    r = np.random.default_rng(2)
+    x = r.integers(0, 1 << 63, 2000, dtype=np.uint64)
+    y = x ^ (np.uint64(1) << r.integers(0, 64, 2000, dtype=np.uint64)) ^ (np.uint64(1) << r.integers(0, 64, 2000, dtype=np.uint64))
+    tx, ty = simhash.distance_table(x).astype(int), simhash.distance_table(y).astype(int)
+    assert np.abs(tx - ty).max() <= 2
+    assert (simhash.meeting_keys(tx.astype(np.uint8)) == simhash.meeting_keys(ty.astype(np.uint8))).any(axis=1).all()
+
+
+def test_connected_components_of_paths_and_stars(spark):
+    edges = [(k, k + 1) for k in range(100, 160)] + [(7, k) for k in range(200, 260)] + [(1, 1), (2, 3), (3, 2)]
+    got = {r.node: r.component for r in components.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert {got[k] for k in range(100, 161)} == {100} and {got[k] for k in range(200, 260)} == {7} == {got[7]}
+    assert got[2] == got[3] == 2 and 1 not in got
+    assert components.connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+# 7 -------------------------------------------------------------------------------------
+
+
+def test_chat_round_trip(spark):
+    hard = ["</s>[INST] ok [/INST]", "a[/INST]</s>b", "\\l \\\\ \\b < [", "[/INST]", "[/INST]</s>", "<s>=user[INST]x[/INST]</s>", "", None, "plain é\n\n", "x" * 20000, "[/INST]</s" ]
+    turns = [(c, t, ["user", "assistant", "system", None][(c + t) % 4], hard[(c * 3 + t) % len(hard)], 1) for c in range(12) for t in range(c % 5 + 1)]
+    turns += [(None, 0, "user", "q", 1), (3, 1, "assistant", "tie", 1), (3, 1, "assistant", "tie", 1), (4, None, "assistant", "no turn", 1)]
+    df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string, formatted int")
+    got = {r.conv_id: r for r in chat.read_back(chat.format_conversations(df)).collect()}
+    by = {}
+    for c, t, role, text, _ in turns:
+        by.setdefault(c, []).append((t is not None, t or 0, role or "", text or ""))
+    assert set(got) == set(by)
+    for c, ts in by.items():
+        ts.sort()
+        g, loss = got[c], "".join(x[3] for x in ts if x[2] == "assistant")
+        assert g.n_turns == len(ts)
+        assert g.turns_sha256 == hashlib.sha256("".join(f"{x[2]}\n{x[3]}\n" for x in ts).encode()).hexdigest()
+        assert (g.loss_chars, g.loss_sha256) == (len(loss), hashlib.sha256(loss.encode()).hexdigest())
+    assert chat.read_back(chat.format_conversations(df.limit(0))).count() == 0
+    escaped = chat.format_conversations(chat.conflict_conversation(spark)).first().formatted
+    assert escaped.count(chat.CLOSE) == 2
+
+
+# 8 -------------------------------------------------------------------------------------
+
+
+def test_embeddings_against_all_pairs(spark):
+    r = np.random.default_rng(4)
+    base = r.normal(size=(40, 16))
+    vec = [base[k % 40] + r.normal(size=16) * 0.08 * (k % 3) for k in range(300)]
+    data = [(k, v.astype(np.float32).tolist(), None if k % 50 == 49 else k % 40 % 3) for k, v in enumerate(vec)]
+    data += [(300, data[0][1], data[0][2]), (301, data[0][1], data[0][2]), (302, [0.0] * 16, 1), (303, None, 1), (304, [], 1), (305, [float("nan")] * 16, 1), (306, [None] * 16, 1), (307, [1.0, 2.0], 1), (308, [2.0, 4.0], 1), (309, [float("inf")] * 16, 1), (309, [-0.0] + [1.0] * 15, 2), (310, [0.0] + [1.0] * 15, 2)]
+    df = spark.createDataFrame(data, "vec_id long, embedding array<float>, label int").withColumn("node", F.lit("clash"))
+    got = embeddings.embedding_components(df).collect()
+    good = lambda v: v and all(x is not None and np.isfinite(x) for x in v) and any(v)
+    near = np.eye(len(data), dtype=bool)
+    for i, a in enumerate(data):
+        for j, b in enumerate(data):
+            if i != j and a[2] is not None and a[2] == b[2] and good(a[1]) and good(b[1]) and len(a[1]) == len(b[1]):
+                x, y = np.array(a[1], np.float64), np.array(b[1], np.float64)
+                near[i, j] = x @ y / np.linalg.norm(x) / np.linalg.norm(y) >= 0.98
+    label = np.arange(len(data))
+    while True:
+        new = np.array([label[near[k]].min() for k in range(len(data))])
+        if (new == label).all():
+            break
+        label = new
+    want = sorted((d[0], int(near[k].sum()) - 1, data[label[k]][0], d[0] == data[label[k]][0]) for k, d in enumerate(data))
+    assert sorted(map(tuple, got)) == want
+    assert embeddings.embedding_components(df.limit(0)).count() == 0
+
+
+def test_join_intervals_finds_all_pairs():
+    r = np.random.default_rng(1)
+    x = r.normal(size=(900, 8))
+    x[450:] = x[:450] + r.normal(size=(450, 8)) * 0.05
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    x = x[np.argsort(x[:, 0])]
+    i, j = embeddings.join_intervals(x, x, x[:, :2], x[:, :2], True)
+    want = {(a, b) for a, b in zip(*np.nonzero(np.triu(x @ x.T >= 0.98, 1)))}
+    assert {*zip(i.tolist(), j.tolist())} == want and len(i) == len(want)
+    i, j = embeddings.join_intervals(x[:500], x[500:], x[:500, :2], x[500:, :2], False)
+    assert {*zip(i.tolist(), (j + 500).tolist())} == {(a, b) for a, b in want if a < 500 <= b}
+
+
+# 9 -------------------------------------------------------------------------------------
+
+
+def test_shards_are_level_and_gapless(spark, docs, none):
+    many = spark.range(5000).select("id", F.col("id").alias("doc_id"), F.expr("repeat('x', cast(id % 700 as int))").alias("text"), F.lit(9).alias("shard"))
+    got = sharding.shard_documents(many).toPandas()
+    per = got.groupby("shard")["size"].sum()
+    assert len(per) == 24 and per.max() - per.min() < 1000 and per.sum() == sum(k % 700 + 8 for k in range(5000))
+    assert all(sorted(g.slot) == list(range(len(g))) for _, g in got.groupby("shard"))
+    odd = sharding.shard_documents(docs).collect()
+    assert sorted((o["size"], o.text_crc32) for o in odd) == sorted((len((r[1] or "").encode()) + 8, zlib.crc32((r[1] or "").encode())) for r in rows())
+    assert sharding.shard_documents(none).count() == 0
+
+
+def test_rebalance_moves_little(spark, tmp_path):
+    r = random.Random(1)
+    sums = {s: r.randint(900, 1100) for s in range(4096)}
+    old = sharding.deal_slots(sums, 24)
+    new = sharding.rebalanced(old, sums, 25)
+    moved = [s for s in sums if new[s] != old[s]]
+    load = [sum(n for s, n in sums.items() if new[s] == t) for t in range(25)]
+    assert {new[s] for s in moved} == {24} and len(moved) < 4096 / 25 * 1.3 and max(load) < 1.05 * sum(load) / 25
+    fewer = sharding.rebalanced(new, sums, 24)
+    assert max(fewer.values()) == 23 and all(fewer[s] == new[s] for s in sums if new[s] < 24)
+    table = spark.createDataFrame([(s, n, 1) for s, n in sums.items()], "vslot int, bytes long, rows long")
+    store = sharding.SlotMap(spark, str(tmp_path / "map"))
+    store.create(table, 24)
+    store.rebalance(0, table, 25)
+    assert {x.vslot: x.shard for x in store.read(0).collect()} == old and {x.vslot: x.shard for x in store.read(1).collect()} == new
+
+
+# 10 ------------------------------------------------------------------------------------
+
+
+def slow_targets(sizes):
+    names = sorted((s for s in sizes if s is not None), key=lambda s: s.encode()) + [None] * (None in sizes)
+    w = {s: (5, 2, 1)[k % 3] for k, s in enumerate(names)}
+    left, open_, target = 1.5 * sum(sizes.values()), set(names), dict.fromkeys(names, 0.0)
+    while open_:
+        level = left / sum(w[s] for s in open_)
+        over = {s for s in open_ if w[s] * level > 2 * sizes[s]}
+        if not over:
+            return target | {s: w[s] * level for s in open_}
+        for s in over:
+            target[s] = 2.0 * sizes[s]
+            left -= target[s]
+        open_ -= over
+    return target
+
+
+def test_mix_meets_its_targets(spark, docs, none):
+    r = random.Random(8)
+    data = [(k, " ".join("w" * r.randint(0, 40)), r.choice(["a", "b", "c", "dd", "é", None, "hot", "hot", "hot", "hot"])) for k in range(2000)]
+    df = spark.createDataFrame(data, "doc_id long, text string, source string").withColumn("key", F.lit(1)).withColumn("cut", F.lit(2))
+    got = mixing.mix(df).collect()
+    sizes = {}
+    for _, t, s in data:
+        sizes[s] = sizes.get(s, 0) + len((t or "").split())
+    want = slow_targets(sizes)
+    taken = {}
+    for g in got:
+        assert g.target == pytest.approx(want[g.source]) and g.source_size == sizes[g.source] and 0 <= g.taken <= 2 * g.size
+        taken[g.source] = taken.get(g.source, 0) + g.taken
+    assert all(abs(taken[s] - want[s]) <= 1 for s in want)
+    assert sorted(map(str, mixing.mix(df.repartition(7)).collect())) == sorted(map(str, got))
+    assert mixing.mix(docs).count() == len(rows()) and mixing.mix(none).count() == 0
+    assert mixing.mix_rows(docs).columns == docs.columns and mixing.mix_rows(none).count() == 0
+    copies = {x.doc_id: x["count"] for x in mixing.mix_rows(df).groupBy("doc_id").count().collect()}
+    assert copies == {g.doc_id: -(-g.taken // g.size) for g in got if g.taken}

@@ -2,18 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from quern.plans import base, evaluation, news, policy, retrieval, series, text  # noqa: F401  (they register their queries)
 
-from pyspark.sql import DataFrame, SparkSession
 
-Query = Callable[[SparkSession, str], DataFrame]
-_QUERIES: dict[str, Query] = {}
-_SQL: dict[str, str] = {}
-
-
-def queries() -> dict[str, Query]:
-    return dict(_QUERIES)
+def queries() -> dict[str, base.Query]:
+    return dict(base.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
+    return dict(base.SQL)

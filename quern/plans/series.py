@@ -660,7 +660,7 @@ def exceedance_long(spark, sf_dir):
     f"""WITH {_MASS}, gt AS (SELECT sym, [b1 + b2 + b3 + b4 + b5 - 0.05, b2 + b3 + b4 + b5 + 0.02, b3 + b4 + b5, b4 + b5 + 0.03, b5] AS p FROM masses),
     mono AS (SELECT sym, list_transform(range(1, 6), lambda k: list_min(p[1:k])) AS m FROM gt),
     raw AS (SELECT sym, [greatest(1 - m[1], 0), greatest(m[1] - m[2], 0), greatest(m[2] - m[3], 0), greatest(m[3] - m[4], 0), greatest(m[4] - m[5], 0), greatest(m[5], 0)] AS x FROM mono)
-    SELECT sym, {', '.join(f'round(x[{k + 1}] / list_sum(x), 6) AS b{k}' for k in range(6))} FROM raw"""
+    SELECT sym, {', '.join(f'round(x[{k + 1}] / list_sum(x), 9) AS b{k}' for k in range(6))} FROM raw"""
 )
 def exceedance_to_buckets(spark, sf_dir):
     """Bucket masses of noisy exceedance probabilities: running minimum, differences, clip, rescale."""
@@ -668,7 +668,7 @@ def exceedance_to_buckets(spark, sf_dir):
     noise = (-0.05, 0.02, 0.0, 0.03, 0.0)
     gt = [sum((F.col(f"b{j}") for j in range(k + 1, 6)), F.col(f"b{k}")) + F.lit(e) for k, e in zip(range(1, 6), noise)]
     x = fc.buckets_from_exceedance(F.array(*gt))
-    return m.select("sym", x.alias("x")).select("sym", *(r6(F.col("x")[k]).alias(f"b{k}") for k in range(6)))
+    return m.select("sym", x.alias("x")).select("sym", *(F.round(F.col("x")[k], 9).alias(f"b{k}") for k in range(6)))
 
 
 @query(

@@ -149,12 +149,12 @@ def conformal_lookup_left(spark, sf_dir):
 def ablation_table(spark, sf_dir):
     """Variants against a baseline, and which of them would replace it."""
     s, p = scored(spark, sf_dir), F.col("p")
-    variants = F.array(F.struct(F.lit("baseline").alias("label"), p.alias("q")), F.struct(F.lit("shrunk").alias("label"), F.round(0.5 * p + 0.25, 9).alias("q")), F.struct(F.lit("squared").alias("label"), F.round(p * p, 9).alias("q")))
-    v = s.select("y", F.inline(variants)).select("y", "label", F.col("q").alias("p"))
-    t = v.groupBy("label").agg(F.avg((F.col("p") - F.col("y")) * (F.col("p") - F.col("y"))).alias("brier")).join(ev.calibration_error(v, ["label"]).select("label", "ece"), "label")
-    base = t.where("label = 'baseline'").select(F.col("brier").alias("b0"), F.col("ece").alias("e0"))
+    variants = F.array(F.struct(F.lit("baseline").alias("variant"), p.alias("q")), F.struct(F.lit("shrunk").alias("variant"), F.round(0.5 * p + 0.25, 9).alias("q")), F.struct(F.lit("squared").alias("variant"), F.round(p * p, 9).alias("q")))
+    v = s.select("y", F.inline(variants)).select("y", "variant", F.col("q").alias("p"))
+    t = v.groupBy("variant").agg(F.avg((F.col("p") - F.col("y")) * (F.col("p") - F.col("y"))).alias("brier")).join(ev.calibration_error(v, ["variant"]).select("variant", "ece"), "variant")
+    base = t.where("variant = 'baseline'").select(F.col("brier").alias("b0"), F.col("ece").alias("e0"))
     gain, ece_gain = F.col("b0") - F.col("brier"), F.col("e0") - F.col("ece")
-    return t.crossJoin(F.broadcast(base)).select("label", r6(F.col("brier")).alias("brier"), r6(F.col("ece")).alias("ece"), r6(gain).alias("brier_gain"), r6(ece_gain).alias("ece_gain"), ((gain >= 1e-4) & (ece_gain >= 0)).alias("promote"))
+    return t.crossJoin(F.broadcast(base)).select(F.col("variant").alias("label"), r6(F.col("brier")).alias("brier"), r6(F.col("ece")).alias("ece"), r6(gain).alias("brier_gain"), r6(ece_gain).alias("ece_gain"), ((gain >= 1e-4) & (ece_gain >= 0)).alias("promote"))
 
 
 @query(

@@ -1 +1,301 @@
-"""."""
+"""Queries of the retrieval stack: search, fusion, seating, graph, incremental stores, ranking scores."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from quern.operators import chunking
+from quern.operators import retrieval as rt
+from quern.plans.base import query
+from quern.sources import views
+
+
+def r6(x: Column) -> Column:
+    return F.round(x, 6)
+
+
+def docs(spark, sf_dir) -> DataFrame:
+    return views.table(spark, sf_dir, "documents")
+
+
+def asked(spark, sf_dir, n: int = 10) -> DataFrame:
+    """(query_id, text): the first passages of the benchmark as questions."""
+    return views.table(spark, sf_dir, "benchmark").where(F.col("item_id") < n).select(F.col("item_id").alias("query_id"), "text")
+
+
+def bm25_sql(where: str = "true", n: int = 10, name: str = "bm") -> str:
+    return f"""qtok AS (SELECT query_id, w, count(*) AS qn FROM (SELECT item_id AS query_id, unnest(regexp_extract_all(lower("text"), '[a-z0-9]+')) AS w FROM benchmark WHERE item_id < {n}) GROUP BY 1, 2),
+  dtok AS (SELECT doc_id, regexp_extract_all(lower(coalesce("text", '')), '[a-z0-9]+') AS x FROM documents WHERE {where}), tot AS (SELECT count(*) AS n_docs, avg(len(x)) AS avgdl FROM dtok),
+  tf AS (SELECT doc_id, dl, w, count(*) AS tf FROM (SELECT doc_id, len(x) AS dl, unnest(x) AS w FROM dtok) WHERE w IN (SELECT w FROM qtok) GROUP BY 1, 2, 3), dfs AS (SELECT w, count(*) AS df FROM tf GROUP BY w),
+  part AS (SELECT doc_id, w, ln((n_docs - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE) + 1) * tf * 2.5::DOUBLE / (tf + 1.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / avgdl)) AS part FROM tf JOIN dfs USING (w), tot),
+  bmall AS (SELECT query_id, doc_id, round(sum(qn * part), 9) AS score FROM part JOIN qtok USING (w) GROUP BY 1, 2),
+  {name} AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM bmall WHERE score > 0)"""
+
+
+@query(f"WITH {bm25_sql()} SELECT query_id, doc_id, rank, round(score, 6) AS score FROM bm WHERE rank <= 10")
+def bm25_topk(spark, sf_dir):
+    """The ten best documents for each question by BM25."""
+    return rt.bm25(docs(spark, sf_dir), asked(spark, sf_dir), 10).select("query_id", "doc_id", "rank", r6(F.col("score")).alias("score"))
+
+
+_EN = "lang = 'en'"
+
+
+@query(f"WITH {bm25_sql(_EN)} SELECT query_id, doc_id, rank, round(score, 6) AS score FROM bm WHERE rank <= 5")
+def bm25_topk_filtered(spark, sf_dir):
+    """The same over one language: its own counts and lengths, since the filter comes first."""
+    return rt.bm25(docs(spark, sf_dir).where(_EN), asked(spark, sf_dir), 5).select("query_id", "doc_id", "rank", r6(F.col("score")).alias("score"))
+
+
+def _vectors(spark, sf_dir, n: int = 20):
+    e = views.table(spark, sf_dir, "embeddings")
+    return e, e.where(F.col("vec_id") < n).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+
+
+_COS = "round(list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])) / (sqrt(list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(a.embedding AS DOUBLE[]))) * sqrt(list_dot_product(CAST(q.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])))), 6)"
+
+
+def cosine_sql(where: str, k: int, name: str = "cs") -> str:
+    return f"{name} AS (SELECT query_id, vec_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM (SELECT q.vec_id AS query_id, a.vec_id, {_COS} AS score FROM embeddings a, embeddings q WHERE q.vec_id < 20 AND {where}) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= {k})"
+
+
+@query(f"WITH {cosine_sql('true', 5)} SELECT * FROM cs")
+def cosine_topk(spark, sf_dir):
+    """The five vectors nearest to each of twenty."""
+    e, q = _vectors(spark, sf_dir)
+    return rt.nearest(e, q, 5).select("query_id", "vec_id", "score", "rank")
+
+
+@query(f"WITH {cosine_sql('a.label IN (1, 2, 3)', 5)} SELECT * FROM cs")
+def cosine_topk_filtered(spark, sf_dir):
+    """The same among some labels: the filter comes before the ranking."""
+    e, q = _vectors(spark, sf_dir)
+    return rt.nearest(e.where("label in (1, 2, 3)"), q, 5).select("query_id", "vec_id", "score", "rank")
+
+
+@query(
+    f"""WITH {bm25_sql()}, hits AS (SELECT b.*, md5(lower(trim(regexp_replace("text", '[ \\t\\n\\r]+', ' ', 'g')))) AS norm FROM bm b JOIN documents USING (doc_id) WHERE rank <= 40),
+    kept AS (SELECT * FROM hits QUALIFY row_number() OVER (PARTITION BY query_id, norm ORDER BY score DESC, doc_id) = 1) SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM kept QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) <= 10"""
+)
+def dedupe_by_text_topk(spark, sf_dir):
+    """Four times as many hits as wanted, equal texts once, then the best ten."""
+    hits = rt.bm25(docs(spark, sf_dir), asked(spark, sf_dir), 40).drop("rank").join(docs(spark, sf_dir).select("doc_id", "text"), "doc_id")
+    return rt.distinct_texts(hits, ["query_id"], 10).select("query_id", "doc_id", "rank")
+
+
+def lists(spark, sf_dir) -> DataFrame:
+    """(query_id, list, rank, id): BM25 over all and over English texts."""
+    a = rt.bm25(docs(spark, sf_dir), asked(spark, sf_dir), 30).select("query_id", F.lit(0).alias("list"), "rank", F.col("doc_id").alias("id"))
+    b = rt.bm25(docs(spark, sf_dir).where("doc_id % 2 = 0"), asked(spark, sf_dir), 30).select("query_id", F.lit(1).alias("list"), "rank", F.col("doc_id").alias("id"))
+    return a.union(b)
+
+
+LISTS = f"""{bm25_sql(name='bm1')}, dtok2 AS (SELECT doc_id, x FROM dtok WHERE doc_id % 2 = 0), tot2 AS (SELECT count(*) AS n_docs, avg(len(x)) AS avgdl FROM dtok2), tf2 AS (SELECT * FROM tf WHERE doc_id % 2 = 0), dfs2 AS (SELECT w, count(*) AS df FROM tf2 GROUP BY w),
+  part2 AS (SELECT doc_id, w, ln((n_docs - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE) + 1) * tf * 2.5::DOUBLE / (tf + 1.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / avgdl)) AS part FROM tf2 JOIN dfs2 USING (w), tot2),
+  bm2 AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM (SELECT query_id, doc_id, round(sum(qn * part), 9) AS score FROM part2 JOIN qtok USING (w) GROUP BY 1, 2) WHERE score > 0),
+  lists AS (SELECT query_id, 0 AS list, rank, doc_id AS id FROM bm1 WHERE rank <= 30 UNION ALL SELECT query_id, 1, rank, doc_id FROM bm2 WHERE rank <= 30),
+  fused AS (SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM (SELECT query_id, id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS score FROM lists GROUP BY 1, 2))"""
+
+
+@query(f"WITH {LISTS} SELECT query_id, id, score, rank FROM fused WHERE rank <= 8")
+def rrf_fusion(spark, sf_dir):
+    """Two ranked lists fused by reciprocal ranks."""
+    return rt.fuse(lists(spark, sf_dir), ["query_id"]).where("rank <= 8").select("query_id", "id", "score", "rank")
+
+
+@query(f"WITH {LISTS} SELECT f.query_id, f.id, f.rank, d.source, d.lang FROM fused f JOIN documents d ON d.doc_id = f.id WHERE f.rank <= 8")
+def rrf_full_outer(spark, sf_dir):
+    """The fused list with its documents' metadata."""
+    f = rt.fuse(lists(spark, sf_dir), ["query_id"]).where("rank <= 8")
+    return f.join(docs(spark, sf_dir).select(F.col("doc_id").alias("id"), "source", "lang"), "id").select("query_id", "id", "rank", "source", "lang")
+
+
+@query(f"WITH {LISTS}, seen AS (SELECT *, row_number() OVER (PARTITION BY query_id, id ORDER BY rank, list) AS k FROM lists) SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY rank, list) AS seat FROM seen WHERE k = 1 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY rank, list) <= 15")
+def seat_breadth_first(spark, sf_dir):
+    """Branches interleaved by rank, each id once."""
+    seen = rt.first_seen(lists(spark, sf_dir), ["query_id"], ["id"], F.col("rank"), F.col("list"))
+    seen = seen.withColumn("seat", F.row_number().over(Window.partitionBy("query_id").orderBy("rank", "list")))
+    return seen.where("seat <= 15").select("query_id", "id", "seat")
+
+
+@query(
+    f"""WITH {bm25_sql()}, hits AS (SELECT b.query_id, b.doc_id, b.score, source, row_number() OVER (PARTITION BY b.query_id, source ORDER BY b.score DESC, b.doc_id) AS k, max(b.score) OVER (PARTITION BY b.query_id, source) AS top FROM bm b JOIN documents USING (doc_id) WHERE rank <= 40),
+    r AS (SELECT *, dense_rank() OVER (PARTITION BY query_id ORDER BY top DESC, source) AS branch FROM hits) SELECT query_id, source, doc_id, branch, k FROM r WHERE branch <= 3 AND k <= 3"""
+)
+def seat_top_branches(spark, sf_dir):
+    """The three best sources of each question, three documents each."""
+    hits = rt.bm25(docs(spark, sf_dir), asked(spark, sf_dir), 40).drop("rank").join(docs(spark, sf_dir).select("doc_id", "source"), "doc_id")
+    w = Window.partitionBy("query_id", "source")
+    hits = hits.withColumn("k", F.row_number().over(w.orderBy(F.desc("score"), "doc_id"))).withColumn("top", F.max("score").over(w))
+    hits = hits.withColumn("branch", F.dense_rank().over(Window.partitionBy("query_id").orderBy(F.desc("top"), "source")))
+    return hits.where("branch <= 3 and k <= 3").select("query_id", "source", "doc_id", "branch", "k")
+
+
+@query()
+def evidence_round_robin(spark, sf_dir):
+    """Lists taken in turns, skipping what another list gave: sequential, tested against brute force."""
+    q = lists(spark, sf_dir).select("query_id", F.col("list").alias("queue"), F.col("rank").alias("pos"), "id")
+    return rt.round_robin(q, ["query_id"], 10)
+
+
+GRADES = """spans AS (SELECT item_id, [lower(regexp_replace(trim("text"), '[ \\t\\n\\r]+', ' ', 'g'))[1:40], lower(regexp_replace(trim("text"), '[ \\t\\n\\r]+', ' ', 'g'))[-40:]] AS s FROM benchmark), dn AS (SELECT doc_id, lower(regexp_replace(trim("text"), '[ \\t\\n\\r]+', ' ', 'g')) AS t FROM documents WHERE "text" IS NOT NULL),
+  grades AS (SELECT item_id AS query_id, doc_id, CAST(contains(t, s[1]) AS INT) + CAST(contains(t, s[2]) AS INT) AS gain FROM dn JOIN spans ON contains(t, s[1]) OR contains(t, s[2]))"""
+_DCG = "sum((pow(2, gain) - 1) / log2(rank + 1))"
+SCORES = f"""{bm25_sql()}, {GRADES}, flags AS (SELECT b.query_id, b.rank, coalesce(g.gain, 0) AS gain FROM bm b LEFT JOIN grades g USING (query_id, doc_id) WHERE b.rank <= 8),
+  got AS (SELECT query_id, max(CAST(gain > 0 AS INT)) AS hit, coalesce(1.0::DOUBLE / min(rank) FILTER (gain > 0), 0) AS mrr, count_if(gain > 0) / count(*) AS precision, count_if(gain > 0) AS hits, {_DCG} AS dcg FROM flags GROUP BY query_id),
+  ideal AS (SELECT query_id, {_DCG} AS idcg FROM (SELECT query_id, gain, row_number() OVER (PARTITION BY query_id ORDER BY gain DESC) AS rank FROM grades) WHERE rank <= 8 GROUP BY query_id), rel AS (SELECT query_id, count(*) AS n FROM grades GROUP BY query_id)"""
+
+
+def _scores(spark, sf_dir) -> DataFrame:
+    bm = rt.bm25(docs(spark, sf_dir), asked(spark, sf_dir), 8)
+    g = chunking.span_grades(docs(spark, sf_dir), views.table(spark, sf_dir, "benchmark"), 40).select(F.col("item_id").alias("query_id"), "doc_id", F.col("grade").alias("gain"))
+    flags = bm.join(g, ["query_id", "doc_id"], "left").select("query_id", "rank", F.coalesce("gain", F.lit(0)).alias("gain"))
+    return rt.ranking_scores(flags, g.select("query_id", "gain"), "query_id", 8)
+
+
+@query(f"WITH {SCORES} SELECT query_id, hit, round(mrr, 6) AS mrr, round(precision, 6) AS precision, round(hits / n, 6) AS recall FROM got LEFT JOIN rel USING (query_id)")
+def hit_mrr_precision_recall(spark, sf_dir):
+    """Ranking scores of the BM25 lists against the passages' own texts."""
+    return _scores(spark, sf_dir).select("query_id", "hit", *(r6(F.col(x)).alias(x) for x in ("mrr", "precision", "recall")))
+
+
+@query(f"WITH {SCORES} SELECT query_id, round(coalesce(dcg / nullif(idcg, 0), 0), 6) AS ndcg FROM got LEFT JOIN ideal USING (query_id)")
+def ndcg_at_k(spark, sf_dir):
+    """Normalised gain at 8, the ideal over all grades of the corpus."""
+    return _scores(spark, sf_dir).select("query_id", r6(F.col("ndcg")).alias("ndcg"))
+
+
+@query(f"WITH {SCORES} SELECT count(*) AS n_queries, round(avg(hit), 6) AS hit, round(avg(mrr), 6) AS mrr, round(avg(precision), 6) AS precision, round(avg(hits / n), 6) AS recall, round(avg(CASE WHEN n > 0 THEN coalesce(dcg / nullif(idcg, 0), 0) END), 6) AS ndcg FROM got LEFT JOIN rel USING (query_id) LEFT JOIN ideal USING (query_id)")
+def evaluate_system(spark, sf_dir):
+    """Means over all questions; recall and gain over those that have relevant documents."""
+    s = _scores(spark, sf_dir)
+    avg = lambda c: r6(F.avg(c))
+    return s.agg(F.count(F.lit(1)).alias("n_queries"), *(avg(F.col(x)).alias(x) for x in ("hit", "mrr", "precision", "recall")), avg(F.when(F.col("recall").isNotNull(), F.col("ndcg"))).alias("ndcg"))
+
+
+@query(f"WITH {GRADES}, a AS (SELECT item_id, item_id % 2 AS side FROM benchmark), cov AS (SELECT DISTINCT query_id FROM grades JOIN documents d USING (doc_id) WHERE d.source IN ('src1', 'src2', 'src3', 'src4', 'src5')) SELECT side AS question, count(*) AS n_aspects, round(count(cov.query_id) / count(*), 6) AS coverage FROM a LEFT JOIN cov ON cov.query_id = a.item_id GROUP BY side")
+def aspect_coverage(spark, sf_dir):
+    """Share of a question's aspects with a text of its sources that holds one of their spans."""
+    p = views.table(spark, sf_dir, "benchmark")
+    bound = docs(spark, sf_dir).where("source in ('src1', 'src2', 'src3', 'src4', 'src5')")
+    hit = chunking.span_grades(bound, p, 40).select("item_id").distinct().withColumn("hit", F.lit(1))
+    return p.select("item_id", (F.col("item_id") % 2).alias("question")).join(hit, "item_id", "left").groupBy("question").agg(F.count(F.lit(1)).alias("n_aspects"), r6(F.count("hit") / F.count(F.lit(1))).alias("coverage"))
+
+
+# graph -----------------------------------------------------------------------------------
+
+
+def edges(spark, sf_dir) -> DataFrame:
+    """(subject, relation, object, confidence, provenance): suppliers, nations and regions, and brands that suppliers sell."""
+    s, n = views.table(spark, sf_dir, "supplier"), views.table(spark, sf_dir, "nation")
+    k = F.col("s_suppkey")
+    name = lambda p, c: F.concat(F.lit(p), c.cast("string"))
+    prov = lambda *c: F.array(*(x.cast("string") for x in c))
+    a = s.select(name("s", k).alias("subject"), F.lit("located_in").alias("relation"), name("n", F.col("s_nationkey")).alias("object"), F.lit(1.0).alias("confidence"), prov(k, k % 7).alias("provenance"))
+    b = n.select(name("n", F.col("n_nationkey")), F.lit("part_of"), name("r", F.col("n_regionkey")), F.lit(0.9), prov(F.col("n_nationkey")))
+    c = s.select(name("s", k), F.lit("depends_on"), name("s", (k * 7 + 3) % 50), F.round((k % 10) / 10.0, 6), prov(k % 5, k))
+    d = s.select(name("s", k), F.lit("competes_with"), name("s", (k * 3 + 1) % 50), F.round((k % 7) / 10.0, 6), prov(k % 3))
+    return a.union(b).union(c.where("s_suppkey % 10 >= 1")).union(d)
+
+
+EDGES = """edges AS (SELECT 's' || s_suppkey AS subject, 'located_in' AS relation, 'n' || s_nationkey AS object, 1.0::DOUBLE AS confidence, [CAST(s_suppkey AS VARCHAR), CAST(s_suppkey % 7 AS VARCHAR)] AS provenance FROM supplier
+  UNION ALL SELECT 'n' || n_nationkey, 'part_of', 'r' || n_regionkey, 0.9, [CAST(n_nationkey AS VARCHAR)] FROM nation
+  UNION ALL SELECT 's' || s_suppkey, 'depends_on', 's' || ((s_suppkey * 7 + 3) % 50), round((s_suppkey % 10) / 10.0::DOUBLE, 6), [CAST(s_suppkey % 5 AS VARCHAR), CAST(s_suppkey AS VARCHAR)] FROM supplier WHERE s_suppkey % 10 >= 1
+  UNION ALL SELECT 's' || s_suppkey, 'competes_with', 's' || ((s_suppkey * 3 + 1) % 50), round((s_suppkey % 7) / 10.0::DOUBLE, 6), [CAST(s_suppkey % 3 AS VARCHAR)] FROM supplier)"""
+WALK = f"""{EDGES}, seeds AS (SELECT 's' || s_suppkey AS seed FROM supplier WHERE s_suppkey < 10), h1 AS (SELECT seed, e.* FROM seeds JOIN edges e ON e.subject = seed),
+  f2 AS (SELECT DISTINCT seed, object AS node FROM h1 WHERE object <> seed), h2 AS (SELECT f2.seed, e.* FROM f2 JOIN edges e ON e.subject = f2.node),
+  walk AS (SELECT seed, subject, relation, object, min(hop) AS hop FROM (SELECT seed, subject, relation, object, 1 AS hop FROM h1 UNION ALL SELECT seed, subject, relation, object, 2 FROM h2) GROUP BY 1, 2, 3, 4)"""
+
+
+def walk(spark, sf_dir) -> DataFrame:
+    seeds = views.table(spark, sf_dir, "supplier").where("s_suppkey < 10").select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("seed"))
+    return rt.neighbours(edges(spark, sf_dir), seeds, 2)
+
+
+@query(f"WITH {WALK} SELECT * FROM walk")
+def graph_bfs_2hop(spark, sf_dir):
+    """Edges within two hops of ten seeds."""
+    return walk(spark, sf_dir)
+
+
+@query(
+    f"""WITH {WALK}, p AS (SELECT w.seed, w.subject, w.relation, w.object, e.provenance, unnest(range(1, len(e.provenance) + 1)) AS i FROM walk w JOIN edges e USING (subject, relation, object) WHERE hop = 1),
+    ids AS (SELECT seed, provenance[i] AS id, row_number() OVER (PARTITION BY seed ORDER BY relation, subject, object, i) AS pos FROM p), firsts AS (SELECT seed, id, min(pos) AS pos FROM ids GROUP BY seed, id) SELECT seed, id, row_number() OVER (PARTITION BY seed ORDER BY pos) AS place FROM firsts"""
+)
+def provenance_first_seen(spark, sf_dir):
+    """Distinct provenance ids of a seed's edges, in the edges' order."""
+    e = edges(spark, sf_dir).select("subject", "relation", "object", "provenance")
+    p = walk(spark, sf_dir).where("hop = 1").join(e, ["subject", "relation", "object"]).select("seed", "relation", "subject", "object", F.posexplode("provenance").alias("i", "id"))
+    pos = F.row_number().over(Window.partitionBy("seed").orderBy("relation", "subject", "object", "i"))
+    firsts = p.withColumn("pos", pos).groupBy("seed", "id").agg(F.min("pos").alias("pos"))
+    return firsts.select("seed", "id", F.row_number().over(Window.partitionBy("seed").orderBy("pos")).alias("place"))
+
+
+@query()
+def neighbor_round_robin(spark, sf_dir):
+    """Five neighbours of each seed, taken in turns from its relations by confidence: sequential, tested against brute force."""
+    priority = F.when(F.col("relation") == "depends_on", 0).when(F.col("relation") == "competes_with", 1).otherwise(2)
+    e = edges(spark, sf_dir)
+    w = walk(spark, sf_dir).where("hop = 1 and object like 's%' and object <> seed").join(e.select("subject", "relation", "object", "confidence"), ["subject", "relation", "object"])
+    top = w.groupBy("seed", priority.alias("queue"), F.col("object").alias("id")).agg(F.max("confidence").alias("c"))
+    q = top.withColumn("pos", F.row_number().over(Window.partitionBy("seed", "queue").orderBy(F.desc("c"), "id"))).drop("c")
+    return rt.round_robin(q, ["seed"], 5)
+
+
+@query(f"WITH {EDGES}, t AS (SELECT e.subject, e.object, e.relation, CASE WHEN g.relation IS NULL THEN 'discard' WHEN h.relation IS NULL THEN 'HARD' ELSE 'MED' END AS stratum FROM edges e LEFT JOIN (SELECT DISTINCT subject, relation FROM edges WHERE relation = 'competes_with') g ON g.subject = e.object LEFT JOIN (SELECT DISTINCT subject, relation FROM edges WHERE relation = 'depends_on' AND confidence >= 0.5) h ON h.subject = e.subject WHERE e.relation = 'depends_on') SELECT relation, stratum, count(*) AS n FROM t GROUP BY relation, stratum")
+def multihop_stratum(spark, sf_dir):
+    """Bridge edges by whether their target and their seed can answer: discard, HARD or MED."""
+    e = edges(spark, sf_dir)
+    target = e.where("relation = 'competes_with'").select(F.col("subject").alias("object")).distinct().withColumn("t", F.lit(1))
+    seed = e.where("relation = 'depends_on' and confidence >= 0.5").select("subject").distinct().withColumn("s", F.lit(1))
+    b = e.where("relation = 'depends_on'").join(target, "object", "left").join(seed, "subject", "left")
+    stratum = F.when(F.col("t").isNull(), "discard").when(F.col("s").isNull(), "HARD").otherwise("MED")
+    return b.groupBy("relation", stratum.alias("stratum")).agg(F.count(F.lit(1)).alias("n"))
+
+
+# stores ----------------------------------------------------------------------------------
+
+
+@query("SELECT doc_id, 'new' AS state FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM documents WHERE doc_id % 3 = 0)")
+def anti_incremental_ingest(spark, sf_dir):
+    """Rows that a store does not hold yet."""
+    d = docs(spark, sf_dir).select("doc_id")
+    return d.join(d.where("doc_id % 3 = 0"), "doc_id", "left_anti").withColumn("state", F.lit("new"))
+
+
+@query("SELECT doc_id, source FROM documents WHERE doc_id IN (SELECT vec_id FROM embeddings WHERE label = 3)")
+def semi_fetch_ids(spark, sf_dir):
+    """Rows of the ids asked for."""
+    ids = views.table(spark, sf_dir, "embeddings").where("label = 3").select(F.col("vec_id").alias("doc_id"))
+    return docs(spark, sf_dir).select("doc_id", "source").join(ids, "doc_id", "left_semi")
+
+
+@query("SELECT user_id, event_type, value, event_id AS seq FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id DESC) = 1")
+def upsert_latest_wins(spark, sf_dir):
+    """The last write of each primary key."""
+    e = views.table(spark, sf_dir, "events")
+    return e.groupBy("user_id", "event_type").agg(F.max_by("value", "event_id").alias("value"), F.max("event_id").alias("seq"))
+
+
+@query(f"WITH {LISTS}, u AS (SELECT query_id, id, min(list * 100 + rank) AS pos FROM lists GROUP BY query_id, id) SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY pos) AS place FROM u")
+def ordered_union_distinct(spark, sf_dir):
+    """Lists one after another, each id at its first place."""
+    u = lists(spark, sf_dir).groupBy("query_id", "id").agg(F.min(F.col("list") * 100 + F.col("rank")).alias("pos"))
+    return u.select("query_id", "id", F.row_number().over(Window.partitionBy("query_id").orderBy("pos")).alias("place"))
+
+
+@query("WITH g AS (SELECT source, row_number() OVER (ORDER BY md5(source)) AS k, count(*) OVER () AS n FROM (SELECT DISTINCT source FROM documents WHERE source IS NOT NULL)) SELECT doc_id, CASE WHEN k <= round_even(n * 0.3, 0) THEN 'test' ELSE 'train' END AS side FROM documents JOIN g USING (source)")
+def group_split_disjoint(spark, sf_dir):
+    """Whole sources to test or train by a hash order; 30 % of them to test."""
+    d = docs(spark, sf_dir).select("doc_id", "source").where("source is not null")
+    g = d.select("source").distinct()
+    g = g.select("source", F.row_number().over(Window.orderBy(F.md5("source"))).alias("k"), F.count(F.lit(1)).over(Window.partitionBy()).alias("n"))
+    return d.join(g, "source").select("doc_id", F.when(F.col("k") <= F.bround(F.col("n") * 0.3), "test").otherwise("train").alias("side"))
+
+
+@query("WITH h(hz) AS (VALUES (5), (20), (25), (27), (45), (60), (90)), b(band) AS (VALUES (20), (30), (60)) SELECT CAST(hz AS BIGINT) AS horizon, CAST(band AS BIGINT) AS band FROM h, b QUALIFY row_number() OVER (PARTITION BY hz ORDER BY abs(hz - band), band) = 1")
+def nearest_horizon(spark, sf_dir):
+    """The configured horizon nearest to each asked one."""
+    h = spark.createDataFrame([(x,) for x in (5, 20, 25, 27, 45, 60, 90)], "horizon long").withColumn("band", F.explode(F.array(*(F.lit(b).cast("long") for b in (20, 30, 60)))))
+    return rt.best(h, ["horizon"], 1, F.abs(F.col("horizon") - F.col("band")), F.col("band")).select("horizon", "band")

@@ -5,13 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SYMBOL = Window.partitionBy("sym").orderBy("d")
 YEAR = 252
 
 
+def symbol():
+    """A symbol's bars in order of date.  A call, since a window needs a session."""
+    return Window.partitionBy("sym").orderBy("d")
+
+
 def last_rows(n: int, skip: int = 0):
     """The n rows that end ``skip`` rows before this one."""
-    return SYMBOL.rowsBetween(-(n - 1) - skip, -skip)
+    return symbol().rowsBetween(-(n - 1) - skip, -skip)
 
 
 def gated(agg, x: Column, n: int, least: int | None = None, skip: int = 0) -> Column:
@@ -21,7 +25,7 @@ def gated(agg, x: Column, n: int, least: int | None = None, skip: int = 0) -> Co
 
 
 def lagged(x: Column, n: int = 1) -> Column:
-    return F.lag(x, n).over(SYMBOL)
+    return F.lag(x, n).over(symbol())
 
 
 def change(x: Column, n: int = 1) -> Column:

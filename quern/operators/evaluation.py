@@ -59,9 +59,9 @@ def calibration_error(scored: DataFrame, keys: list[str], n: int = 10) -> DataFr
 def conformal_q(scores: DataFrame, keys: list[str], alpha: float) -> DataFrame:
     """(keys, n, q) of nonconformity scores (s): the ceil((n + 1)(1 - alpha))-th smallest, NULL (no finite one) beyond n."""
     w = Window.partitionBy(*keys)
-    k = F.ceil(F.round((F.col("n") + 1) * (1 - alpha), 9))
-    ranked = scores.withColumn("n", F.count(F.lit(1)).over(w)).withColumn("k", F.row_number().over(w.orderBy("s")))
-    return ranked.groupBy(*keys).agg(F.first("n").alias("n"), F.max(F.when(F.col("k") == k, F.col("s"))).alias("q"))
+    wanted = F.ceil(F.round((F.col("__n") + 1) * (1 - alpha), 9))
+    ranked = scores.withColumn("__n", F.count(F.lit(1)).over(w)).withColumn("__k", F.row_number().over(w.orderBy("s")))
+    return ranked.groupBy(*keys).agg(F.first("__n").alias("n"), F.max(F.when(F.col("__k") == wanted, F.col("s"))).alias("q"))
 
 
 def nonconformity() -> Column:

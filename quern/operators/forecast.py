@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.functions.windows import SYMBOL
+from quern.functions.windows import symbol
 from quern.operators.kernels import EDGES, SUMMARY, bootstrap_paths, cdf_points, garch_paths, gbm_paths, hmm_states, jump_paths, mixed_quantiles, summary
 
 #: Inner edges of the six half-open buckets, by horizon in days (fixed values).
@@ -29,7 +29,7 @@ def bucket_index(r: Column, edges: tuple[float, ...] = EDGES) -> Column:
 
 def forward_returns(bars: DataFrame, horizon: int) -> DataFrame:
     """(sym, d, r): each bar's return over the next ``horizon`` bars, where they are there."""
-    return bars.select("sym", "d", (F.lead("c", horizon).over(SYMBOL) / F.col("c") - 1).alias("r")).where("r is not null")
+    return bars.select("sym", "d", (F.lead("c", horizon).over(symbol()) / F.col("c") - 1).alias("r")).where("r is not null")
 
 
 def _share(cond: Column) -> Column:
@@ -104,8 +104,8 @@ def backtest(bars: DataFrame, horizon: int, first: int, stride: int, least: int
     A forecast at bar t uses the returns that had ended by t, so a running average that stops
     ``horizon`` rows before t holds them all: no join of as-of bars with their histories.
     """
-    ended = SYMBOL.rowsBetween(Window.unboundedPreceding, -horizon)
-    b = bars.select("sym", "d", (F.row_number().over(SYMBOL) - 1).alias("t"), (F.lead("c", horizon).over(SYMBOL) / F.col("c") - 1).alias("r"))
+    ended = symbol().rowsBetween(Window.unboundedPreceding, -horizon)
+    b = bars.select("sym", "d", (F.row_number().over(symbol()) - 1).alias("t"), (F.lead("c", horizon).over(symbol()) / F.col("c") - 1).alias("r"))
     above = [F.avg(F.when(F.col("r").isNotNull(), (F.col("r") >= e).cast("double"))).over(ended).alias(f"p{k}") for k, e in enumerate(edges)]
     b = b.select("sym", "t", "r", F.count("r").over(ended).alias("n"), *above)
     b = b.where((F.col("t") >= first) & ((F.col("t") - first) % stride == 0) & F.col("r").isNotNull() & (F.col("n") >= least))

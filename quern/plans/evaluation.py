@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.functions.windows import SYMBOL
+from quern.functions.windows import symbol
 from quern.operators import evaluation as ev
 from quern.operators import forecast as fc
 from quern.plans import series
@@ -86,8 +86,8 @@ def calibration_halves(spark, sf_dir):
 
 def intervals(spark, sf_dir) -> DataFrame:
     """(sym, t, lo, hi, y): normal 90 % intervals from the log returns that had ended by t, and the log return that came."""
-    b = views.bars(spark, sf_dir).select("sym", "d", (F.row_number().over(SYMBOL) - 1).alias("t"), F.ln(F.lead("c", 20).over(SYMBOL) / F.col("c")).alias("r"))
-    w = SYMBOL.rowsBetween(Window.unboundedPreceding, -20)
+    b = views.bars(spark, sf_dir).select("sym", "d", (F.row_number().over(symbol()) - 1).alias("t"), F.ln(F.lead("c", 20).over(symbol()) / F.col("c")).alias("r"))
+    w = symbol().rowsBetween(Window.unboundedPreceding, -20)
     b = b.select("sym", "t", "r", F.count("r").over(w).alias("n"), F.avg("r").over(w).alias("m"), F.stddev_samp("r").over(w).alias("s"))
     b = b.where("t >= 80 and (t - 80) % 20 = 0 and r is not null and n >= 30")
     return b.select("sym", "t", F.round(F.col("m") - 1.645 * F.col("s"), 9).alias("lo"), F.round(F.col("m") + 1.645 * F.col("s"), 9).alias("hi"), F.round("r", 9).alias("y"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.functions.windows import SYMBOL, YEAR, as_of, change, gated, lagged, last_rows, with_returns
+from quern.functions.windows import symbol, YEAR, as_of, change, gated, lagged, last_rows, with_returns
 from quern.operators import forecast as fc
 from quern.operators import indicators
 from quern.plans.base import query
@@ -112,7 +112,7 @@ def bars_constraint_violations(spark, sf_dir):
 def returns_block(spark, sf_dir):
     """Simple, log and cumulative returns."""
     b = with_returns(views.bars(spark, sf_dir))
-    total = F.when(F.row_number().over(SYMBOL) > 1, F.col("c") / F.first("c").over(SYMBOL) - 1)
+    total = F.when(F.row_number().over(symbol()) > 1, F.col("c") / F.first("c").over(symbol()) - 1)
     return rounded(b, ["sym", "d"], ret=F.col("ret"), log_ret=F.col("lr"), cum_ret=total)
 
 
@@ -158,7 +158,7 @@ def bollinger_b(spark, sf_dir):
 @query(f"WITH {BARS}, dd AS (SELECT sym, d, c / max(c) OVER (PARTITION BY sym ORDER BY d) - 1 AS x FROM bars) SELECT sym, d, round(x, 6) AS drawdown, round(min(x) OVER (PARTITION BY sym ORDER BY d), 6) AS max_drawdown FROM dd")
 def drawdown(spark, sf_dir):
     """Close below its running peak, and the worst so far."""
-    so_far = SYMBOL.rowsBetween(Window.unboundedPreceding, 0)
+    so_far = symbol().rowsBetween(Window.unboundedPreceding, 0)
     b = views.bars(spark, sf_dir).withColumn("x", F.col("c") / F.max("c").over(so_far) - 1)
     return rounded(b, ["sym", "d"], drawdown=F.col("x"), max_drawdown=F.min("x").over(so_far))
 
@@ -269,7 +269,7 @@ _SNAP = ["last_return", "ma20", "ma50", "ma200", "vol20", "worst", "rsi14", "mac
 def snapshot(bars: DataFrame) -> DataFrame:
     """The last bar of each symbol with its indicators and trend."""
     b = with_returns(indicators.recursive_indicators(bars))
-    peak = SYMBOL.rowsBetween(Window.unboundedPreceding, 0)
+    peak = symbol().rowsBetween(Window.unboundedPreceding, 0)
     b = b.withColumn("dd", F.col("c") / F.max("c").over(peak) - 1).select(
         "*", F.col("ret").alias("last_return"), *(gated(F.avg, F.col("c"), n).alias(f"ma{n}") for n in (20, 50, 200)), (gated(F.stddev_samp, F.col("lr"), 20) * YEAR**0.5).alias("vol20")
     )
@@ -465,7 +465,7 @@ def earnings_context_range(spark, sf_dir):
 @query(f"WITH {BARS}, {EARNINGS}, led AS (SELECT sym, d, c, lead(c) OVER (PARTITION BY sym ORDER BY d) AS nc FROM bars) SELECT e.sym, e.e, round(ln(nc / c), 6) AS move FROM earnings e ASOF JOIN led b ON e.sym = b.sym AND e.e >= b.d WHERE nc IS NOT NULL")
 def earnings_moves(spark, sf_dir):
     """Log move from the bar at or before each earnings date to the next bar."""
-    led = views.bars(spark, sf_dir).select("sym", F.col("d").alias("e"), "c", F.lead("c").over(SYMBOL).alias("nc"))
+    led = views.bars(spark, sf_dir).select("sym", F.col("d").alias("e"), "c", F.lead("c").over(symbol()).alias("nc"))
     e = as_of(views.earnings_dates(spark, sf_dir), led, ["sym"], "e", ["c", "nc"])
     return e.where("nc is not null").select("sym", "e", r6(F.ln(F.col("nc") / F.col("c"))).alias("move"))
 
@@ -527,7 +527,7 @@ def feature_matrix(bars: DataFrame, index: DataFrame, earnings: DataFrame) -> Da
     cols = {
         "ret_1d": c("ret"), "ret_5d": change(n, 5), "ret_20d": change(n, 20), "ret_60d": change(n, 60), "rsi14": c("rsi14"), "macd_hist": c("macd_hist"),
         "price_to_ma20": n / ma[20] - 1, "price_to_ma50": n / ma[50] - 1, "ma50_to_ma200": ma[50] / ma[200] - 1, "hist_vol_20": vol[20], "hist_vol_60": vol[60], "vol_ratio": F.try_divide(vol[20], vol[60]),
-        "atr_pct": c("atr14") / n, "drawdown": n / F.max("c").over(SYMBOL.rowsBetween(Window.unboundedPreceding, 0)) - 1, "B_perc": percent_b(n), "vix_level": c("vix_level"), "vix_rel": c("vix_rel"),
+        "atr_pct": c("atr14") / n, "drawdown": n / F.max("c").over(symbol().rowsBetween(Window.unboundedPreceding, 0)) - 1, "B_perc": percent_b(n), "vix_level": c("vix_level"), "vix_rel": c("vix_rel"),
         "days_to_next_earnings": c("days_to_next"), "rvol_20": rel_volume_of(c("vd")), "dollar_vol_z_20": dollar_z(c("cv")), "overnight_ret_20d": gated(F.avg, c("on"), 20), "intraday_ret_20d": gated(F.avg, c("intra"), 20),
         "realized_skew_60": sample_skew(c("lr"), 60), "semivol_ratio_60": semivol(c("lr")),
     }
@@ -567,7 +567,7 @@ def target_name(t: float) -> str:
 
 def with_targets(features: DataFrame, horizon: int = 20) -> DataFrame:
     """Rows with a forward return and any feature, and whether the return lies strictly above each threshold."""
-    f = features.withColumn("fwd", F.lead("c", horizon).over(SYMBOL) / F.col("c") - 1)
+    f = features.withColumn("fwd", F.lead("c", horizon).over(symbol()) / F.col("c") - 1)
     f = f.where(F.col("fwd").isNotNull() & F.coalesce(*FEATURES).isNotNull())
     return f.withColumns({target_name(t): (F.col("fwd") > t).cast("int") for t in _TARGETS})
 
@@ -597,7 +597,7 @@ def current_features(spark, sf_dir):
 def sequence_windows(spark, sf_dir):
     """Every fifth run of 60 log returns, with the bucket of the 20-bar return after it."""
     b = with_returns(views.bars(spark, sf_dir))
-    b = b.select("sym", "d", F.row_number().over(SYMBOL).alias("i"), F.collect_list("lr").over(last_rows(60)).alias("x"), (F.lead("c", 20).over(SYMBOL) / F.col("c") - 1).alias("fwd"))
+    b = b.select("sym", "d", F.row_number().over(symbol()).alias("i"), F.collect_list("lr").over(last_rows(60)).alias("x"), (F.lead("c", 20).over(symbol()) / F.col("c") - 1).alias("fwd"))
     b = b.where("i > 60 and fwd is not null and (i - 61) % 5 = 0")
     total = F.aggregate("x", F.lit(0.0), lambda s, v: s + v)
     return b.select("sym", "d", F.size("x").cast("long").alias("n"), r6(F.col("x")[0]).alias("oldest"), r6(F.element_at("x", -1)).alias("newest"), r6(total).alias("total"), fc.bucket_index(F.col("fwd")).alias("label"))

@@ -112,6 +112,8 @@ class Pseudonyms:
         d = re.sub(r"\D", "", s)
         if s.startswith("+") and len(d) != 11 or not d.startswith("1") and s.startswith("+"):
             return self._international(s, d)
+        if s.startswith("+"):  # a country code leaves no doubt, whatever the area code
+            return _refill(s, "1" + f"{self._walk('phone+1', int(d[1:]), 10**10):010d}")
         head, body = (d[:1], d[1:]) if len(d) == 11 else ("", d)
         if len(body) != 10 or head not in ("", "1") or body[0] in "01":
             return None

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quern.plans import base, evaluation, news, policy, retrieval, series, text  # noqa: F401  (they register their queries)
+from quern.plans import base, checks, evaluation, news, policy, retrieval, series, text  # noqa: F401  (they register their queries)
 
 
 def queries() -> dict[str, base.Query]:

@@ -25,3 +25,10 @@ def test_round_trips_keep_rows(spark):
     daily = q["news_daily_per_ticker"](spark, sf)
     assert sorted(map(tuple, q["csv_roundtrip"](spark, sf).collect())) == sorted(map(tuple, daily.collect()))
     assert q["json_append_log"](spark, sf).where("day is not null").count() == 2 * q["news_daily_market"](spark, sf).count()
+
+
+def test_lsh_finds_near_vectors(spark):
+    sf, q = "/root/testdata/sf0.01", entry.queries()
+    exact = {(r.query_id, r.vec_id) for r in q["cosine_topk"](spark, sf).collect() if r.score >= 0.9}
+    found = {(r.query_id, r.vec_id) for r in q["cosine_lsh"](spark, sf).collect()}
+    assert len(exact & found) >= 0.9 * len(exact) and len(exact) >= 20

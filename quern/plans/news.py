@@ -11,7 +11,7 @@ from quern.operators import dedupe
 from quern.plans.base import query
 from quern.sources import payloads, views
 from quern.sources.articles import ARTICLES, articles
-from quern.sources.views import BARS, RECORDS
+from quern.sources.views import RECORDS
 from quern.streaming import daily
 
 

@@ -148,6 +148,7 @@ def _packed(path: str, tiers: tuple[int, ...], end_id: int):
                     yield flush()
         if keys:
             yield flush()
+        pa.default_memory_pool().release_unused()
 
     return rows
 

@@ -142,6 +142,7 @@ def _containers(path: str, end_id: int):
                         yield flush()
         if docs:
             yield flush()
+        pa.default_memory_pool().release_unused()
 
     return rows
 

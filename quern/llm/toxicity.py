@@ -21,7 +21,7 @@ from quern.llm.common import small_batches
 #: Hash space of the features, in bits.
 BITS = 20
 #: Labelled rows that the model is fitted on at most: those with the least hash of their id.
-FIT_ROWS = 12_000
+FIT_ROWS = 8_000
 #: Passes over them.
 EPOCHS = 8
 #: FTRL-proximal: rate, its smoothing, L1 and L2 terms.
@@ -32,7 +32,7 @@ POSITIVE_WEIGHT = 3.0
 FOLDS = 5
 #: Bytes of text turned into features at once.
 CHUNK_BYTES = 4 << 20
-CACHE_WORDS = 300_000
+CACHE_WORDS = 150_000
 _MARKS = r"[!-/:-@\[-`{-~]+"
 _WORDS: dict[str, int] = {}
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -131,6 +131,8 @@ def _fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     turn = sorted(range(len(rows)), key=lambda k: (zlib.crc32(b"%d" % order[k]), order[k]))
     at, w = ftrl([rows[k] for k in turn], np.array([labels[k] for k in turn], np.float64)) if rows else (np.zeros(0, np.int64), np.zeros(0))
     yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(w)], names=["place", "weight"])
+    rows.clear()
+    pa.default_memory_pool().release_unused()
 
 
 def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> tuple[np.ndarray, np.ndarray]:
@@ -166,6 +168,7 @@ def _scores(model: tuple[np.ndarray, np.ndarray]):
                 out.append(1 / (1 + np.exp(-np.clip(total, -500, 500))))
             score = np.concatenate(out) if out else np.zeros(0)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score)], names=["doc_id", "score"])
+        pa.default_memory_pool().release_unused()
 
     return rows
 

@@ -64,6 +64,26 @@ def conformal_q(scores: DataFrame, keys: list[str], alpha: float) -> DataFrame:
     return ranked.groupBy(*keys).agg(F.first("__n").alias("n"), F.max(F.when(F.col("__k") == wanted, F.col("s"))).alias("q"))
 
 
+def pooled_conformal_q(scores: DataFrame, keys: list[str], alpha: float, pieces: int = 128) -> DataFrame:
+    """The same as ``conformal_q`` for a few keys with any number of scores each.
+
+    Equal scores are counted first.  Approximate quantiles cut each key's scores into ranges;
+    a running sum over at most ``pieces`` ranges places them, and only within a range are scores
+    put in order, so no task orders a key's scores and the result is exact.
+    """
+    tallied = scores.groupBy(*keys, "s").agg(F.count(F.lit(1)).alias("__c"))
+    cuts = tallied.groupBy(*keys).agg(F.sum("__c").alias("n"), F.percentile_approx("s", [k / pieces for k in range(1, pieces)]).alias("__cuts"))
+    placed = tallied.join(cuts, keys).withColumn("__b", F.size(F.filter("__cuts", lambda x: x < F.col("s"))))
+    running = Window.partitionBy(*keys).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = placed.groupBy(*keys, "__b").agg(F.sum("__c").alias("__m"))
+    ranges = ranges.select(*keys, "__b", F.coalesce(F.sum("__m").over(running), F.lit(0)).alias("__before"))
+    inside = Window.partitionBy(*keys, "__b").orderBy("s").rowsBetween(Window.unboundedPreceding, 0)
+    upto = F.col("__before") + F.sum("__c").over(inside)
+    wanted = F.ceil(F.round((F.col("n") + 1) * (1 - alpha), 9))
+    ranked = placed.join(ranges, [*keys, "__b"]).withColumn("__upto", upto)
+    return ranked.groupBy(*keys).agg(F.first("n").alias("n"), F.min(F.when(F.col("__upto") >= wanted, F.col("s"))).alias("q"))
+
+
 def nonconformity() -> Column:
     return F.greatest(F.col("lo") - F.col("y"), F.col("y") - F.col("hi"))
 

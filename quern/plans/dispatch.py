@@ -98,7 +98,7 @@ def conformal_pool(spark, sf_dir):
         f = f.select("y", "i", F.count("past").over(w).alias("n"), F.avg("past").over(w).alias("m"), F.stddev_samp("past").over(w).alias("sd")).where("n = 60 and y is not null and (i - 1) % 5 = 0")
         parts.append(f.select(F.lit(h).alias("horizon"), F.round(F.col("m") - F.col("sd"), 9).alias("lo"), F.round(F.col("m") + F.col("sd"), 9).alias("hi"), F.round("y", 9).alias("y")))
     s = parts[0].union(parts[1]).withColumn("s", ev.nonconformity())
-    fit = ev.conformal_q(s, ["horizon"], 0.1).withColumn("q", F.coalesce("q", F.lit(0.0)))
+    fit = ev.pooled_conformal_q(s, ["horizon"], 0.1).withColumn("q", F.coalesce("q", F.lit(0.0)))
     y, q = F.col("y"), F.col("q")
     inside = lambda lo, hi: r6(F.avg(((y >= lo) & (y <= hi)).cast("int")))
     j = s.join(fit, "horizon")

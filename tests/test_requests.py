@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from quern.operators import evaluation as ev
 from quern.operators import requests as rq
 
 
@@ -64,3 +65,12 @@ def test_caps(spark, rule, want):
 def test_failover_takes_one_provider(spark):
     df = spark.createDataFrame([("a", 2, "x"), ("a", 1, "y"), ("a", 1, "z"), ("b", 3, "w")], "k string, p int, v string")
     assert sorted(r.v for r in rq.merged_by_priority(df, ["k"], F.col("p")).collect()) == ["w", "y", "z"]
+
+
+@pytest.mark.parametrize("alpha", [0.1, 0.5, 0.0001])
+def test_pooled_ranks_equal_the_plain_ones(spark, alpha):
+    df = spark.range(3000).select((F.col("id") % 3).alias("k"), F.when(F.col("id") % 4 == 0, 0.5).otherwise(F.round(F.abs(F.xxhash64("id")) % 997 / 997, 2)).alias("s"))
+    df = df.union(spark.createDataFrame([(9, 1.0)], "k long, s double"))
+    answers = [{r.k: (r.n, r.q) for r in f(df, ["k"], alpha).collect()} for f in (ev.conformal_q, ev.pooled_conformal_q)]
+    assert answers[0] == answers[1] and len(answers[0]) == 4
+    assert ev.pooled_conformal_q(df.limit(0), ["k"], alpha).count() == 0

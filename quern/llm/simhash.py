@@ -162,7 +162,11 @@ def simhash_components(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` without near-duplicates: of each component the rows with the smallest doc_id, and of these one."""
+    """The rows of ``docs`` without near-duplicates: of each component the rows with the smallest doc_id, and of these one.
+
+    doc_id is taken for a key: rows without one cannot be named and go, and of rows that
+    repeat a doc_id one stays.  All columns stay; an empty table gives an empty one.
+    """
     groups = simhash_components(docs)
     kept = groups.where("doc_id = component_id").select(F.col("doc_id").alias("__kept")).distinct()
     first = docs.join(kept, docs["doc_id"] == F.col("__kept"), "left_semi")

@@ -440,3 +440,13 @@ def test_mix_meets_its_targets(spark, docs, none):
     assert mixing.mix_rows(docs).columns == docs.columns and mixing.mix_rows(none).count() == 0
     copies = {x.doc_id: x["count"] for x in mixing.mix_rows(df).groupBy("doc_id").count().collect()}
     assert copies == {g.doc_id: -(-g.taken // g.size) for g in got if g.taken}
+
+
+def test_keep_one_names_rows_by_their_id(spark):
+    from quern.llm import simhash
+
+    rows = [(3, "a b c d", "x"), (1, "A  b c d", "y"), (None, "other words here", "z"), (7, "not like the rest of them", "w"), (7, "not like the rest of them", "w"), (9, None, "v")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, component_id string")
+    kept = simhash.keep_one(docs)
+    assert kept.columns == docs.columns and sorted(map(tuple, kept.collect())) == [(1, "A  b c d", "y"), (7, "not like the rest of them", "w"), (9, None, "v")]
+    assert simhash.keep_one(docs.limit(0)).count() == 0

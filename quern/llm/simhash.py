@@ -23,6 +23,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quern.llm.common import small_batches, written
 from quern.llm.components import connected_components
@@ -144,6 +145,12 @@ def fingerprint_links(distinct: DataFrame, bucket: int = BUCKET) -> DataFrame:
     return links.union(points.join(least, "point").where("a <> fp").select("a", F.col("fp").alias("b")).distinct())
 
 
+def _rooted(distinct: DataFrame) -> DataFrame:
+    """``distinct`` (fp, ...) with root, the smallest fingerprint of its component."""
+    nodes = written(connected_components(fingerprint_links(distinct.select("fp"))), "nodes")
+    return distinct.join(nodes.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("component", "fp"))
+
+
 def simhash_components(docs: DataFrame) -> DataFrame:
     """(doc_id, fingerprint, component_id) of every row of ``docs`` (doc_id, text).
 
@@ -152,9 +159,7 @@ def simhash_components(docs: DataFrame) -> DataFrame:
     doc_ids keep their row and never name a component; repeated rows stay.
     """
     prints = written(fingerprints(docs), "prints")
-    distinct = written(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
-    nodes = written(connected_components(fingerprint_links(distinct.select("fp"))), "nodes")
-    rooted = distinct.join(nodes.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("component", "fp"))
+    rooted = _rooted(written(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct"))
     named = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     of_print = written(rooted.join(named, "root").select("fp", "component_id"), "named")
     out = prints.join(of_print, "fp")
@@ -171,3 +176,28 @@ def keep_one(docs: DataFrame) -> DataFrame:
     kept = groups.where("doc_id = component_id").select(F.col("doc_id").alias("__kept")).distinct()
     first = docs.join(kept, docs["doc_id"] == F.col("__kept"), "left_semi")
     return first.dropDuplicates(["doc_id"])
+
+
+def _row_prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        prints = np.array([fingerprint(t) for t in batch.column("text").to_pylist()], np.uint64).view(np.int64)
+        yield pa.RecordBatch.from_arrays([batch.column("rank"), pa.array(prints, pa.int64())], names=["rank", "fp"])
+
+
+def one_per_group(docs: DataFrame) -> DataFrame:
+    """Exactly one row of every component of ``docs`` (doc_id, text, ...), and its root fingerprint as __root.
+
+    Groups are known by their root and rows by a hash of all their columns, so rows with a null or a
+    repeated doc_id count like all others.  The row with the smallest doc_id stays (null last),
+    of these the one with the smallest hash of its text.
+    """
+    small_batches(docs.sparkSession)
+    cols = [F.col(f"`{c}`") for c in docs.columns]
+    row = F.xxhash64(*cols, *(c.isNull() for c in cols))
+    rank = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("text"), row.alias("row"))
+    named = docs.select(rank.alias("rank"), "text")
+    schema = T.StructType([named.schema["rank"], T.StructField("fp", T.LongType())])
+    prints = written(named.mapInArrow(_row_prints, schema), "prints")
+    best = _rooted(written(prints.groupBy("fp").agg(F.min("rank").alias("rank")), "distinct"))
+    kept = written(best.groupBy("root").agg(F.min("rank").alias("rank")).select(F.col("rank.row").alias("__row"), F.col("root").alias("__root")), "kept")
+    return docs.withColumn("__row", row).join(kept, "__row").dropDuplicates(["__row"]).select(*docs.columns, "__root")

@@ -33,3 +33,11 @@ def test_one_query_for_each_operator():
     names = list(registry.queries())
     assert [n.split("_")[0] for n in names] == [*(f"op{k}" for k in range(1, 11)), "pipeline"]
     assert set(registry.oracle_sql()) <= set(names)
+
+
+def test_near_duplicate_stage_keeps_one_row_of_every_group(spark):
+    rows = [(3, "a b c d", "x"), (1, "A  b c d", "y"), (None, "other words here", "z"), (None, "other words here", "y"), (7, "not like the rest of them", "w"), (7, "not like the rest of them", "w"), (7, "one id but another text", "w"), (None, "a b c d", "x"), (9, None, "v")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = sorted(map(str, corpus_pipeline.drop_near_duplicates(spark, docs, SF).select("doc_id", "text").collect()))
+    want = [(1, "A  b c d"), (None, "other words here"), (7, "not like the rest of them"), (7, "one id but another text"), (9, None)]
+    assert got == sorted(f"Row(doc_id={i!r}, text={t!r})" for i, t in want)

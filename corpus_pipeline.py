@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.llm import mixing, packing, pii, simhash, toxicity
+from quern.llm import mixing, packing, pii, similar, simhash, toxicity
 from quern.llm.common import fresh_path, table
 
 
@@ -19,7 +19,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.one_per_group(docs).drop("__root")
+    return similar.keep_dissimilar(simhash.one_per_group(docs), "__root").drop("__root")
 
 
 def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -45,14 +45,21 @@ def pivots() -> np.ndarray:
     return np.concatenate([far[:1], far[0] ^ (np.uint64(1) << np.arange(64, dtype=np.uint64)), far[1:]])
 
 
-def fingerprint(text: str | None) -> int:
-    """SimHash of a whole text's word shingles, repeats included; no words: 0."""
+def shingle_hashes(text: str | None, width: int = SHINGLE) -> np.ndarray:
+    """XXH64 of a whole text's shingles of ``width`` words, repeats included; of fewer words, of all; no words: none."""
     words = (text or "").encode().lower().split()  # bytes.lower and bytes.split know ASCII alone
     if not words:
-        return 0
-    parts = [b" ".join(words)] if len(words) < SHINGLE else map(b" ".join, zip(*(words[k:] for k in range(SHINGLE))))
+        return np.zeros(0, np.uint64)
+    parts = [b" ".join(words)] if len(words) < width else map(b" ".join, zip(*(words[k:] for k in range(width))))
     digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter([digest(p, SEED) for p in parts], np.uint64)
+    return np.fromiter([digest(p, SEED) for p in parts], np.uint64)
+
+
+def fingerprint(text: str | None) -> int:
+    """SimHash of a whole text's word shingles, repeats included; no words: 0."""
+    hashes = shingle_hashes(text)
+    if not len(hashes):
+        return 0
     ones = np.zeros(64, np.int64)
     for lo in range(0, len(hashes), 8192):
         ones += np.unpackbits(hashes[lo : lo + 8192].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.uint16)

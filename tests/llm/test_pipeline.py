@@ -1,7 +1,11 @@
 """The corpus pipeline's stages on the smallest driver tables."""
 
+import random
+
+import pytest
+
 import corpus_pipeline
-from quern.llm import registry, simhash
+from quern.llm import registry, simhash, similar
 
 SF = "/root/testdata/sf0.001"
 
@@ -41,3 +45,54 @@ def test_near_duplicate_stage_keeps_one_row_of_every_group(spark):
     got = sorted(map(str, corpus_pipeline.drop_near_duplicates(spark, docs, SF).select("doc_id", "text").collect()))
     want = [(1, "A  b c d"), (None, "other words here"), (7, "not like the rest of them"), (7, "one id but another text"), (9, None)]
     assert got == sorted(f"Row(doc_id={i!r}, text={t!r})" for i, t in want)
+
+
+def shingle_set(text):
+    w = (text or "").lower().split()
+    return {tuple(w[i : i + 5]) for i in range(max(len(w) - 4, min(len(w), 1)))}
+
+
+def alike(x, y):
+    return 5 * len(x & y) >= 4 * len(x | y) > 0
+
+
+def test_near_duplicate_stage_leaves_no_similar_texts(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
+    r, words = random.Random(5), [f"w{k}" for k in range(500)]
+    for k in range(30):  # copies with one to five words changed
+        text = [r.choice(words) for _ in range(120)]
+        rows.append((10**6 + 2 * k, " ".join(text)))
+        for _ in range(k % 5 + 1):
+            text[r.randrange(120)] = "changed"
+        rows.append((10**6 + 2 * k + 1, " ".join(text)))
+    got = corpus_pipeline.drop_near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), SF).collect()
+    sets = [shingle_set(x.text) for x in got]
+    assert not [1 for i, x in enumerate(sets) for y in sets[:i] if alike(x, y)]
+    first = {t: shingle_set(t) for _, t in rows}
+    kept = {x.text for x in got}
+    pairs = [(first[rows[k][1]], first[rows[k + 1][1]]) for k in range(len(rows) - 60, len(rows), 2)]
+    assert sum((rows[len(rows) - 60 + 2 * k][1] in kept) + (rows[len(rows) - 59 + 2 * k][1] in kept) for k in range(30)) == sum(1 if alike(*p) else 2 for p in pairs)
+
+
+@pytest.mark.parametrize("bucket, rounds", [(2, 1), (3, 4), (32, 12)])
+def test_similar_links_leave_nothing_alike(spark, bucket, rounds):
+    """A cloud around one text, texts with a common line, and chains; hot shingles take the rounds."""
+    r, words = random.Random(3), [f"w{k}" for k in range(300)]
+    base, line = [r.choice(words) for _ in range(80)], [r.choice(words) for _ in range(12)]
+    texts = ["", "one two"]
+    for _ in range(40):
+        t = list(base)
+        for _ in range(r.randrange(4)):
+            t[r.randrange(80)] = r.choice(words)
+        texts += [" ".join(t), " ".join(line + [r.choice(words) for _ in range(r.randrange(1, 30))])]
+    for k in range(30):
+        base[k] = "next"
+        texts.append(" ".join(base))
+    texts = sorted(set(texts))
+    sets = [shingle_set(t) for t in texts]
+    df = spark.createDataFrame(list(enumerate(texts)), "node long, text string")
+    links = {(x.a, x.b) for x in similar.similar_links(df, bucket, rounds).collect()}
+    assert links and all(a < b and alike(sets[a], sets[b]) for a, b in links)
+    kept = set(range(len(texts))) - {b for _, b in links}
+    assert not [1 for i in kept for j in kept if i < j and alike(sets[i], sets[j])]

@@ -186,6 +186,18 @@ class Pseudonyms:
         name, _, host = s.rpartition("@")
         return f"{self._mixed('email', name)}@{host}"
 
+    def _grouped(self, kind: str, s: str) -> str | None:
+        """The pseudonym, of equal length, of the longest start of ``s`` that ends with a group and passes its check."""
+        check, ends = getattr(self, kind), [len(s), *(k for k in range(len(s) - 1, 0, -1) if s[k] in " -")]
+        for k, end in enumerate(ends):
+            if (new := check(s[:end])) is None:
+                continue
+            # no longer start passed; so it must be afterwards, or restoring would take that one
+            while any(check(new + s[end:longer]) is not None for longer in ends[:k]):
+                new = check(new)
+            return new
+        return None
+
     #: Kinds in order of precedence, with the pattern of a candidate.
     KINDS = (
         ("email", r"[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}"),
@@ -202,18 +214,21 @@ class Pseudonyms:
     def apply(self, text: str) -> tuple[str, list[tuple[int, int, str]]]:
         """(text with pseudonyms, spans (start, end, kind) of the source that were replaced).
 
-        A candidate that fails its check is left as it is, and the search goes on behind its first character.
+        A candidate that fails its check is left as it is, and the search goes on behind its first character;
+        cards and IBANs are first tried without the last groups of the candidate, which may not belong to them.
         """
         out, spans, at, pos = [], [], 0, 0
         while m := self._ANY.search(text, pos):
             kind = next(k for k, _ in self.KINDS if m[k] is not None)
-            new = getattr(self, kind)(m[0])
+            grouped = kind in ("card", "iban")
+            new = self._grouped(kind, m[0]) if grouped else getattr(self, kind)(m[0])
             if new is None:
                 pos = m.start() + 1
                 continue
+            end = m.start() + len(new) if grouped else m.end()
             out += [text[at : m.start()], new]
-            spans.append((m.start(), m.end(), kind))
-            at = pos = m.end()
+            spans.append((m.start(), end, kind))
+            at = pos = end
         return "".join([*out, text[at:]]), spans
 
 

@@ -85,6 +85,21 @@ def test_pii_kinds_keep_their_format(text, kind):
         assert pii.Pseudonyms(b"other").apply(f"see {text} now")[0] != new
 
 
+def test_pii_finds_cards_and_ibans_before_other_groups():
+    r = random.Random(4)
+    cards = ["4111 1111 1111 1111", "4111-1111-1111-1111", "378282246310005", *(c + pii.luhn_digit(c) for c in (f"4{r.randrange(10**14):014d}" for _ in range(200)))]
+    ibans = ["ES91 2100 0418 4502 0005 1332", "DE89 3704 0044 0532 0130 00", "DE89370400440532013000"]
+    cases = [("card", c, t) for c in cards for t in (" 12/27", " 123", " 12 27", "-123")] + [("iban", i, t) for i in ibans for t in (" BY", " 12", " TO ALL", " PAID 2024")]
+    for kind, value, tail in cases:
+        source = f"see {value}{tail} now"
+        new, spans = pii.Pseudonyms().apply(source)
+        assert spans[0][0] == 4 and spans[0][1] >= 4 + len(value) and spans[0][2] == kind
+        assert new[4 : 4 + len(value)] != value and pii.Pseudonyms(restore=True).apply(new)[0] == source
+    new, spans = pii.Pseudonyms().apply("see 4111 1111 1111 1111 12/27")
+    assert spans == [(4, 23, "card")] and new.endswith(" 12/27") and pii.luhn_digit(re.sub(r"\D", "", new[4:23])[:-1]) == new[22]
+    assert pii.Pseudonyms().apply("see ES91 2100 0418 4502 0005 1332 BY")[1] == [(4, 33, "iban")]
+
+
 def test_pii_links_equal_values_and_keeps_rows(spark, docs, none):
     out = {r.doc_id: r for r in pii.pii_report(spark.createDataFrame([(1, "mail a.b1@x.org"), (2, "a.b1@x.org, 10.0.0.1"), (3, None)], "doc_id long, text string")).collect()}
     assert out[1].text.split()[1] == out[2].text.split(",")[0] != "a.b1@x.org"

@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import small_batches
+from quern.llm.common import small_batches, written
 
 #: Payloads are filled with spaces up to a positive multiple of this.
 UNIT = 192
@@ -83,7 +83,7 @@ def landmarks(frame: np.ndarray, bin_: np.ndarray) -> np.ndarray:
         dt = frame[step:] - frame[:-step]
         ok = dt <= REACH
         out.append((frame[:-step][ok] << 24) | (bin_[:-step][ok] << 16) | (bin_[step:][ok] << 8) | dt[ok])
-    return np.sort(np.concatenate(out)) if len(frame) > FAN_OUT else np.zeros(0, np.int64)
+    return np.sort(np.concatenate(out)) if len(frame) > 1 else np.zeros(0, np.int64)
 
 
 def _encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -123,6 +123,6 @@ def media_features(media: DataFrame) -> DataFrame:
 
 def media_digests(docs: DataFrame) -> DataFrame:
     """The contract's columns; ``feature`` names the peaks, the landmarks and the digest of their codes."""
-    got = media_features(to_media(docs))
+    got = media_features(written(to_media(docs), "media"))
     feature = F.concat_ws(":", "n_peaks", F.size("landmarks"), "landmarks_xxh64")
     return got.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", feature.alias("feature"))

@@ -210,6 +210,19 @@ def test_media_round_trip(spark, docs, none, tmp_path):
     assert media.media_digests(none).count() == 0
 
 
+def test_few_peaks_still_make_landmarks():
+    at = lambda *x: np.array(x, np.int64)
+    assert media.landmarks(at(0, 1), at(5, 9)).tolist() == [5 << 16 | 9 << 8 | 1]
+    assert len(media.landmarks(at(0, 0, 1), at(5, 9, 7))) == 3
+    assert len(media.landmarks(at(0), at(5))) == len(media.landmarks(at(), at())) == 0
+
+
+def test_media_digests_read_stored_media(docs, monkeypatch):
+    tags = []
+    monkeypatch.setattr(media, "written", lambda df, tag, f=media.written: tags.append(tag) or f(df, tag))
+    assert media.media_digests(docs).count() == len(rows()) and tags == ["media"]
+
+
 def test_spectral_peaks_find_a_tone():
     t = np.arange(16_000)
     tone = (128 + 100 * np.sin(2 * np.pi * 30 / media.FRAME * t) * (1 + (t // 800) % 2)).astype(np.uint8)

@@ -1,21 +1,26 @@
 """Chat formatting with a grammar round trip (operator 7): DataFrame functions alone.
 
 A conversation is rendered, parsed again by the same grammar and compared with its source.
-Turns whose text is not recovered are rendered again with their control characters escaped;
-what is then still different stops the job.
+Turns that are not recovered, above all those whose role or text holds a control string, are rendered
+again with their control characters escaped; what is then still different stops the job.
 
 Grammar: ``conversation := turn*``; ``turn := "<s>" mark role "[INST]" text "[/INST]</s>"``
-with mark ``=`` for plain and ``~`` for escaped turns.  In escaped fields a backslash, ``<`` and
-``[`` become a backslash and ``b``, ``l`` or ``k``.  A field ends at its first closing string.
+with mark ``=`` for plain and ``~`` for escaped turns.  No field holds a control string (``<s>``,
+``</s>``, ``[INST]``, ``[/INST]``).  In escaped fields a backslash, ``<`` and ``[`` become a backslash and
+``b``, ``l`` or ``k``, so they hold no ``<`` and no ``[`` at all.  The parser takes the whole string or nothing.
 """
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Control strings of the template (fixed values).
 OPEN, ROLE_END, CLOSE = "<s>", "[INST]", "[/INST]</s>"
+#: Strings that no field of a rendered turn may hold.
+CONTROLS = ("<s>", "</s>", "[INST]", "[/INST]")
 PLAIN, ESCAPED = "=", "~"
 #: Backslash first on the way in and last on the way out (fixed values).
 ESCAPES = (("\\", "\\b"), ("<", "\\l"), ("[", "\\k"))
@@ -41,12 +46,29 @@ def render_turn(role: Column, text: Column, escaped: Column) -> Column:
     return F.concat(F.lit(OPEN), F.when(escaped, F.lit(ESCAPED)).otherwise(F.lit(PLAIN)), field(role), F.lit(ROLE_END), field(text), F.lit(CLOSE))
 
 
-def parse(rendered: Column) -> Column:
-    """array<struct<role, text>> of a rendered conversation or turn."""
+def _has_control(field: Column) -> Column:
+    return functools.reduce(lambda a, b: a | b, (F.contains(field, F.lit(c)) for c in CONTROLS))
+
+
+def fields(rendered: Column) -> Column:
+    """array<struct<m, r, t>> of the turns as written; null unless the whole string is turns of the grammar.
+
+    The turns that the pattern finds must make up the string, so nothing before, between or after
+    them is skipped, and no field may hold a control string.
+    """
     part = lambda k: F.regexp_extract_all(rendered, F.lit(_TURN), F.lit(k))
     turns = F.arrays_zip(part(1).alias("m"), part(2).alias("r"), part(3).alias("t"))
-    back = lambda x, c: F.when(x["m"] == ESCAPED, unescape(x[c])).otherwise(x[c])
-    return F.transform(turns, lambda x: F.struct(back(x, "r").alias("role"), back(x, "t").alias("text")))
+    clean = F.forall(turns, lambda x: ~_has_control(x["r"]) & ~_has_control(x["t"]))
+    return F.when((F.array_join(part(0), "") == rendered) & clean, turns)
+
+
+def _plain(x: Column, field: str) -> Column:
+    return F.when(x["m"] == ESCAPED, unescape(x[field])).otherwise(x[field])
+
+
+def parse(rendered: Column) -> Column:
+    """array<struct<role, text>> of a rendered conversation or turn; null if it is not of the grammar."""
+    return F.transform(fields(rendered), lambda x: F.struct(_plain(x, "r").alias("role"), _plain(x, "t").alias("text")))
 
 
 def format_conversations(turns: DataFrame) -> DataFrame:
@@ -62,7 +84,7 @@ def format_conversations(turns: DataFrame) -> DataFrame:
     t = turns.select("conv_id", "turn", role.alias("role"), text.alias("text"))
     plain = render_turn(F.col("role"), F.col("text"), F.lit(False))
     source = F.array(F.struct("role", "text"))
-    t = t.withColumn("escaped", ~(parse(plain) == source))
+    t = t.withColumn("escaped", ~F.coalesce(parse(plain) == source, F.lit(False)))
     t = t.withColumn("piece", render_turn(F.col("role"), F.col("text"), F.col("escaped")))
     grouped = t.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text", "piece", "escaped"))).alias("turns"))
     formatted = F.array_join(F.col("turns.piece"), "")
@@ -97,13 +119,12 @@ def format_conversations(turns: DataFrame) -> DataFrame:
 
 def read_back(formatted: DataFrame) -> DataFrame:
     """The contract's digests from (conv_id, formatted, loss_spans) alone."""
-    turns = parse(F.col("formatted"))
-    lines = F.array_join(F.transform(turns, lambda x: F.concat(x["role"], F.lit("\n"), x["text"], F.lit("\n"))), "")
-    # a span's mark is the last one before it; an escaped span has no plain "<" or "[", a plain one no need of any
-    out = formatted.withColumn("turns", turns).withColumn("lines", lines)
-    marks = F.filter(F.arrays_zip(F.regexp_extract_all("formatted", F.lit(_TURN), F.lit(1)).alias("m"), F.regexp_extract_all("formatted", F.lit(_TURN), F.lit(2)).alias("r")), lambda x: x["r"] == LOSS_ROLE)
+    out = formatted.withColumn("turns", fields(F.col("formatted")))
+    lines = F.array_join(F.transform("turns", lambda x: F.concat(_plain(x, "r"), F.lit("\n"), _plain(x, "t"), F.lit("\n"))), "")
+    marks = F.filter("turns", lambda x: _plain(x, "r") == LOSS_ROLE)
     masked = F.zip_with("loss_spans", marks, lambda s, m: F.struct(F.substring(F.col("formatted"), s["start"].cast("int"), s["length"].cast("int")).alias("t"), m["m"].alias("m")))
-    loss = F.array_join(F.transform(masked, lambda x: F.when(x["m"] == ESCAPED, unescape(x["t"])).otherwise(x["t"])), "")
+    loss = F.array_join(F.transform(masked, lambda x: _plain(x, "t")), "")
+    out = out.withColumn("lines", lines)
     return out.withColumn("loss", loss).select(
         "conv_id",
         F.size("turns").cast("long").alias("n_turns"),
@@ -125,7 +146,7 @@ WITH turns AS (
   SELECT conv_id, CAST(turn AS BIGINT) AS turn, coalesce(role, '') AS role, coalesce("text", '') AS txt FROM conversations
   UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'
 ), sized AS (
-  SELECT *, CASE WHEN contains(txt, '[/INST]</s>') OR contains(role, '[INST]')
+  SELECT *, CASE WHEN regexp_matches(role || chr(10) || txt, '</?s>|\\[/?INST\\]')
                  THEN length(role) + length(txt) + length(regexp_replace(role || txt, '[^<\\[\\\\]', '', 'g')) ELSE length(role) + length(txt) END + 21 AS n
   FROM turns
 )

@@ -353,8 +353,31 @@ def test_chat_round_trip(spark):
         assert g.turns_sha256 == hashlib.sha256("".join(f"{x[2]}\n{x[3]}\n" for x in ts).encode()).hexdigest()
         assert (g.loss_chars, g.loss_sha256) == (len(loss), hashlib.sha256(loss.encode()).hexdigest())
     assert chat.read_back(chat.format_conversations(df.limit(0))).count() == 0
-    escaped = chat.format_conversations(chat.conflict_conversation(spark)).first().formatted
-    assert escaped.count(chat.CLOSE) == 2
+    formatted = [r.formatted for r in chat.format_conversations(df).collect()] + [chat.format_conversations(chat.conflict_conversation(spark)).first().formatted]
+    for whole in formatted:  # control strings stand at the template's own places alone
+        turns = strict_parse(whole)
+        assert all(whole.count(c) == len(turns) for c in ("<s>", "[INST]", "</s>", "[/INST]"))
+    assert formatted[-1] == "<s>~user[INST]\\l/s>\\kINST] ok \\k/INST][/INST]</s><s>~assistant[INST]\\l/s>\\kINST] ok \\k/INST][/INST]</s>"
+
+
+def strict_parse(s):
+    """[(mark, role, text)] as written, by a parser that reads on or fails."""
+    turns, at = [], 0
+    while at < len(s):
+        assert s.startswith("<s>", at) and s[at + 3] in "=~"
+        role_end = s.index("[INST]", at + 4)
+        text_end = s.index("[/INST]</s>", role_end + 6)
+        turns.append((s[at + 3], s[at + 4 : role_end], s[role_end + 6 : text_end]))
+        at = text_end + 11
+    return turns
+
+
+def test_chat_parser_takes_all_or_nothing(spark):
+    good = "<s>=user[INST]hi[/INST]</s>"
+    cases = [(good, 1), (good + good, 2), ("", 0), ("x" + good, None), (good + " ", None), (good + "x" + good, None), ("<s>=user[INST]a<s>b[/INST]</s>", None), ("<s>=us</s>er[INST]ab[/INST]</s>", None), ("<s>?user[INST]a[/INST]</s>", None), ("<s>~u[INST]\\k\\l\\b[/INST]</s>", 1)]
+    got = spark.createDataFrame([(s,) for s, _ in cases], "s string").select(chat.parse(F.col("s")).alias("t")).collect()
+    assert [None if r.t is None else len(r.t) for r in got] == [n for _, n in cases]
+    assert got[-1].t[0].text == "[<\\"
 
 
 # 8 -------------------------------------------------------------------------------------

@@ -4,24 +4,32 @@ Numbers that pass their check (card numbers by the Luhn rule, IBANs by mod 97, s
 security numbers, phone numbers, IPv4 addresses by their ranges), dates that exist and e-mail names are permuted within their
 own format by a keyed Feistel network with cycle walking.  So a pseudonym passes the same checks,
 equal values get equal pseudonyms in all documents, and the key's holder can undo it.
+
+Equal means the value, not its spelling: a phone number links with and without its country code and
+separators, a day links in all date forms (a new day keeps whether day and month take one digit or
+two, and whether the day could be a month, so each form stays readable as it was), and an
+e-mail name links in upper and lower case.
 """
 
 from __future__ import annotations
 
+import bisect
 import datetime
+import functools
 import hashlib
+import math
 import re
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.llm.common import small_batches
 
-#: Key of the permutation where the caller gives none; a deployment brings its own.
-KEY = b"quern pseudonyms"
+#: Session setting that holds the key where the caller gives none.
+KEY_SETTING = "spark.quern.pii.key"
 ROUNDS = 10
 #: First day, and number of days, of the dates that are permuted: 1900-01-01 to 2099-12-31.
 FIRST_DAY, DAYS = datetime.date(1900, 1, 1).toordinal(), datetime.date(2100, 1, 1).toordinal() - datetime.date(1900, 1, 1).toordinal()
@@ -34,10 +42,7 @@ class Feistel:
 
     def __init__(self, key: bytes, tweak: str, n: int, rounds: int = ROUNDS):
         self.n, self.rounds = n, rounds
-        self.a = 1
-        while self.a * self.a < n:
-            self.a += max(1, self.a // 1024) if self.a > 4096 else 1
-        self.b = self.a
+        self.a = self.b = math.isqrt(n - 1) + 1
         self.seed = hashlib.blake2b(tweak.encode() + b"\0%d" % n, key=key[:64], digest_size=16).digest()
 
     def _round(self, k: int, x: int, m: int) -> int:
@@ -60,6 +65,41 @@ class Feistel:
                 return x
 
 
+@functools.lru_cache(maxsize=1024)
+def _network(key: bytes, tweak: str, n: int) -> Feistel:
+    return Feistel(key, tweak, n)
+
+
+#: Country calling codes of one and of two digits (fixed values); all others have three.
+CALLING_CODES = ("1", "7", *"20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split())
+
+
+def calling_code(digits: str) -> str:
+    """The country code that an international number starts with."""
+    return next((digits[:n] for n in (1, 2) if digits[:n] in CALLING_CODES), digits[:3])
+
+
+def _day_class(day: datetime.date) -> tuple[int, bool]:
+    """What a day's spelling shows: digits of its day and month, and whether the day could be a month."""
+    return (day.day > 9) + (day.day > 12), day.month > 9
+
+
+@functools.cache
+def _days() -> dict[tuple[int, bool], list[int]]:
+    """The days of each class, ascending."""
+    out: dict[tuple[int, bool], list[int]] = {}
+    for n in range(FIRST_DAY, FIRST_DAY + DAYS):
+        out.setdefault(_day_class(datetime.date.fromordinal(n)), []).append(n)
+    return out
+
+
+@functools.lru_cache(maxsize=4096)
+def _letters(block: int) -> str:
+    """Lower-case letters among the 32 code points of a block outside ASCII that have one upper-case form of their own, or none."""
+    chars = map(chr, range(block * 32, block * 32 + 32))
+    return "".join(c for c in chars if c.isalpha() and c.lower() == c and (c.upper() == c or len(c.upper()) == 1 and c.upper().lower() == c))
+
+
 def luhn_digit(payload: str) -> str:
     """Check digit that makes payload + digit pass the Luhn rule."""
     total = sum(d if k % 2 else d * 2 - 9 * (d > 4) for k, d in enumerate(map(int, reversed(payload))))
@@ -80,14 +120,11 @@ def _refill(template: str, symbols: str, is_symbol: Callable[[str], bool] = str.
 class Pseudonyms:
     """Detects, validates and permutes (or restores) personal data in a text."""
 
-    def __init__(self, key: bytes = KEY, restore: bool = False):
+    def __init__(self, key: bytes, restore: bool = False):
         self.key, self.back = key, restore
-        self.networks: dict[tuple[str, int], Feistel] = {}
 
     def _walk(self, tweak: str, x: int, n: int, valid: Callable[[int], bool] | None = None) -> int:
-        if (tweak, n) not in self.networks:
-            self.networks[tweak, n] = Feistel(self.key, tweak, n)
-        net = self.networks[tweak, n]
+        net = _network(self.key, tweak, n)
         step = net.restore if self.back else net.permute
         while True:
             x = step(x)
@@ -110,19 +147,33 @@ class Pseudonyms:
 
     def phone(self, s: str) -> str | None:
         d = re.sub(r"\D", "", s)
-        if s.startswith("+") and len(d) != 11 or not d.startswith("1") and s.startswith("+"):
+        plus = s.startswith("+")
+        if plus and calling_code(d) != "1":
             return self._international(s, d)
-        if s.startswith("+"):  # a country code leaves no doubt, whatever the area code
-            return _refill(s, "1" + f"{self._walk('phone+1', int(d[1:]), 10**10):010d}")
-        head, body = (d[:1], d[1:]) if len(d) == 11 else ("", d)
-        if len(body) != 10 or head not in ("", "1") or body[0] in "01":
+        head, body = ("1", d[1:]) if plus or len(d) == 11 else ("", d)
+        if plus and len(body) != 10:
+            return self._international(s, d)
+        # a country code leaves no doubt, whatever the area code
+        if len(body) != 10 or not plus and (d[:-10] not in ("", "1") or body[0] in "01"):
             return None
-        return _refill(s, head + f"{self._walk('phone', int(body), 10**10, lambda x: x >= 2 * 10**9):010d}")
+        if len(s) == 10 and (body[3] in "01" or body[1:3] == "11" or body[4:6] == "11"):
+            return None  # bare digits must be a number of the plan
+        kind = self._plan(body)
+        return _refill(s, head + f"{self._walk(f'phone{kind}', int(body), 10**10, lambda x: self._plan(f'{x:010d}') == kind):010d}")
+
+    @staticmethod
+    def _plan(body: str) -> int:
+        """2 for ten digits that are a number of the plan when bare, 1 for those that separators or a country code show to be a phone, 0 for those that only a country code does."""
+        if body[0] in "01":
+            return 0
+        return 1 if body[3] in "01" or body[1:3] == "11" or body[4:6] == "11" else 2
 
     def _international(self, s: str, d: str) -> str | None:
-        if not 8 <= len(d) <= 15:
+        code = calling_code(d)
+        rest = len(d) - len(code)
+        if not 8 <= len(d) <= 15 or rest < 4:
             return None
-        return _refill(s, d[:2] + f"{self._walk(f'tel{d[:2]}', int(d[2:]), 10 ** (len(d) - 2)):0{len(d) - 2}d}")
+        return _refill(s, code + f"{self._walk(f'tel{code}', int(d[len(code) :]), 10**rest):0{rest}d}")
 
     def ipv4(self, s: str) -> str | None:
         parts = s.split(".")
@@ -132,30 +183,30 @@ class Pseudonyms:
         return ".".join(map(str, x.to_bytes(4, "big")))
 
     def _date(self, year: str, month: str, day: str) -> datetime.date | None:
+        """The new day of the same class, or None if the day does not exist or lies outside FIRST_DAY and DAYS."""
         try:
-            found = datetime.date(int(year), int(month), int(day)).toordinal() - FIRST_DAY
+            old = datetime.date(int(year), int(month), int(day))
         except ValueError:
             return None
-        return datetime.date.fromordinal(FIRST_DAY + self._walk("date", found, DAYS)) if 0 <= found < DAYS else None
+        if not 0 <= old.toordinal() - FIRST_DAY < DAYS:
+            return None
+        kind = _day_class(old)
+        days = _days()[kind]
+        return datetime.date.fromordinal(days[self._walk(f"date{kind}", bisect.bisect_left(days, old.toordinal()), len(days))])
 
     def date_iso(self, s: str) -> str | None:
-        sep = s[4]
-        new = self._date(*s.split(sep))
-        return new and new.strftime(f"%Y{sep}%m{sep}%d")
+        year, month, day = s.split(s[4])
+        new = self._date(year, month, day)
+        return new and s[4].join((f"{new.year}", f"{new.month:0{len(month)}d}", f"{new.day:0{len(day)}d}"))
 
     def date_dmy(self, s: str) -> str | None:
-        """Day first where that is a date, else month first; single digits get a leading zero only if the text had one."""
+        """Day first where that is a date, else month first; the new day is read in the same order, and each field keeps its digits."""
         sep = re.search(r"\D", s)[0]
         a, b, year = s.split(sep)
-        for order in ("dmy", "mdy"):
-            day, month = (a, b) if order == "dmy" else (b, a)
-            # the order must hold after the permutation as well, so dates that both orders read are told apart by day > 12
-            if new := self._date(year, month, day):
-                first, second = (new.day, new.month) if order == "dmy" else (new.month, new.day)
-                while order == "mdy" and new.day <= 12:
-                    new = self._date(new.year, new.month, new.day)
-                    first, second = new.month, new.day
-                return f"{first:0{len(a)}d}{sep}{second:0{len(b)}d}{sep}{new.year}" if len(a) == len(b) == 2 else f"{first:02d}{sep}{second:02d}{sep}{new.year}"
+        if new := self._date(year, b, a):
+            return f"{new.day:0{len(a)}d}{sep}{new.month:0{len(b)}d}{sep}{new.year}"
+        if new := self._date(year, a, b):
+            return f"{new.month:0{len(a)}d}{sep}{new.day:0{len(b)}d}{sep}{new.year}"
         return None
 
     def iban(self, s: str) -> str | None:
@@ -168,23 +219,28 @@ class Pseudonyms:
 
     def _mixed(self, tweak: str, s: str) -> str:
         """Letters to letters and digits to digits of the same kind, all other characters as they are."""
-        kinds = [(10, "0123456789") if c in "0123456789" else (26, "abcdefghijklmnopqrstuvwxyz") if "a" <= c <= "z" else (26, "ABCDEFGHIJKLMNOPQRSTUVWXYZ") if "A" <= c <= "Z" else (1, c) for c in s]
+        kinds = []
+        for c in s:
+            letters = "0123456789" if "0" <= c <= "9" else "abcdefghijklmnopqrstuvwxyz" if "a" <= c <= "z" else "ABCDEFGHIJKLMNOPQRSTUVWXYZ" if "A" <= c <= "Z" else c if c < "\x80" else _letters(ord(c) >> 5)
+            kinds.append(letters if c in letters else c)
         x, n = 0, 1
-        for c, (size, letters) in zip(s, kinds):
-            x, n = x * size + letters.index(c), n * size
+        for c, letters in zip(s, kinds):
+            x, n = x * len(letters) + letters.index(c), n * len(letters)
         if n == 1:
             return s
-        shape = "".join("0" if k[1][0] == "0" else "a" if k[1][0] == "a" else "A" if k[0] == 26 else k[1] for k in kinds)
-        x = self._walk(f"{tweak}:{shape}", x, n)
+        x = self._walk(f"{tweak}:{''.join(letters[0] for letters in kinds)}", x, n)
         out = []
-        for size, letters in reversed(kinds):
-            x, k = divmod(x, size)
+        for letters in reversed(kinds):
+            x, k = divmod(x, len(letters))
             out.append(letters[k])
         return "".join(reversed(out))
 
     def email(self, s: str) -> str | None:
+        """Names are permuted in lower case, so spellings link; each place keeps its case."""
         name, _, host = s.rpartition("@")
-        return f"{self._mixed('email', name)}@{host}"
+        low = [c.lower() if len(c.lower()) == 1 and c.lower().upper() == c else c for c in name]
+        new = self._mixed("email", "".join(low))
+        return "".join(n.upper() if c != o else n for c, o, n in zip(name, low, new)) + "@" + host
 
     def _grouped(self, kind: str, s: str) -> str | None:
         """The pseudonym, of equal length, of the longest start of ``s`` that ends with a group and passes its check."""
@@ -200,14 +256,14 @@ class Pseudonyms:
 
     #: Kinds in order of precedence, with the pattern of a candidate.
     KINDS = (
-        ("email", r"[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}"),
+        ("email", r"[^\W_][\w.%+-]{0,63}@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}"),
         ("iban", r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b"),
         ("card", r"(?<![\d.-])\d(?:[ -]?\d){12,18}(?![\d-])"),
         ("ipv4", r"(?<![\d.])(?:\d{1,3}\.){3}\d{1,3}(?![\d]|\.\d)"),
-        ("date_iso", r"(?<![\d-])\d{4}(?P<s1>[-/.])\d{2}(?P=s1)\d{2}(?![\d-])"),
+        ("date_iso", r"(?<![\d-])\d{4}(?P<s1>[-/.])\d{1,2}(?P=s1)\d{1,2}(?![\d-])"),
         ("date_dmy", r"(?<![\d./-])\d{1,2}(?P<s2>[/.-])\d{1,2}(?P=s2)\d{4}(?![\d/-])"),
         ("ssn", r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"),
-        ("phone", r"\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,4}){1,4}(?!\d)|(?<![\d+-])(?:1[ .-])?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}(?![\d-])"),
+        ("phone", r"\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,4}){1,4}(?!\d)|(?<![\d+-])(?:1[ .-])?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}(?![\d-])|(?<![\w.+-])[2-9]\d{9}(?![\w-])"),
     )
     _ANY = re.compile("|".join(f"(?P<{k}>{p})" for k, p in KINDS))
 
@@ -252,20 +308,29 @@ def _apply(key: bytes, restore: bool):
     return rows
 
 
-def pseudonymise(docs: DataFrame, key: bytes = KEY, restore: bool = False) -> DataFrame:
+def session_key(spark: SparkSession) -> bytes | None:
+    """The key in the session's settings, if any."""
+    return key.encode() if (key := spark.conf.get(KEY_SETTING, None)) else None
+
+
+def pseudonymise(docs: DataFrame, key: bytes | None = None, restore: bool = False) -> DataFrame:
     """``docs`` with personal data in ``text`` replaced, and pii_spans of what was replaced (null: nothing).
 
-    All other columns stay.  Null and empty texts stay as they are.  ``restore`` undoes it under the same key.  One pass, no shuffle.  A column pii_spans of
-    ``docs`` itself is replaced.
+    The key comes from the caller or from KEY_SETTING; without one this fails.  All other columns stay.
+    Null and empty texts stay as they are, repeated rows repeat, ties need no order.  ``restore`` undoes it
+    under the same key.  One pass, no shuffle; a text of any length is one value in one task.  A column
+    pii_spans of ``docs`` itself is replaced.
     """
+    if not (key := key or session_key(docs.sparkSession)):
+        raise ValueError(f"no key for pseudonyms: pass one or set {KEY_SETTING}")
     small_batches(docs.sparkSession)
     docs = docs.drop("pii_spans")
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
     return docs.mapInArrow(_apply(key, restore), f"{fields}, pii_spans array<struct<start:int,end:int,kind:string>>")
 
 
-def pii_report(docs: DataFrame) -> DataFrame:
+def pii_report(docs: DataFrame, key: bytes | None = None) -> DataFrame:
     """(doc_id, text, n_pii, kinds, spans) of every row: the text with pseudonyms and what was replaced."""
-    out = pseudonymise(docs.select("doc_id", "text"))
+    out = pseudonymise(docs.select("doc_id", "text"), key)
     kinds = F.array_join(F.array_sort(F.array_distinct(F.col("pii_spans.kind"))), ",")
     return out.select("doc_id", "text", F.greatest(F.coalesce(F.size("pii_spans"), F.lit(0)), F.lit(0)).alias("n_pii"), F.coalesce(kinds, F.lit("")).alias("kinds"), F.col("pii_spans").alias("spans"))

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from quern.llm import chat, components, embeddings, media, mixing, packing, pii, sharding, simhash, token_files, tokens, toxicity
 
+KEY = b"key of the tests"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, score double, size string, fp int"
 
 
@@ -74,17 +75,72 @@ def test_feistel_is_a_permutation():
 def test_pii_kinds_keep_their_format(text, kind):
     if kind is None and text == "4041894974608795":
         kind = "card" if pii.luhn_digit(text[:-1]) == text[-1] else None
-    new, spans = pii.Pseudonyms().apply(f"see {text} now")
+    new, spans = pii.Pseudonyms(KEY).apply(f"see {text} now")
     assert [s[2] for s in spans] == ([kind] if kind else [])
     if kind:
         inner = new[4:-4]
         assert inner != text and new[:4] == "see " and new[-4:] == " now"
         if kind != "ipv4":
             assert re.sub(r"[A-Za-z]", "a", re.sub(r"\d", "0", inner)) == re.sub(r"[A-Za-z]", "a", re.sub(r"\d", "0", text))
-        assert pii.Pseudonyms(restore=True).apply(new)[0] == f"see {text} now"
+        assert pii.Pseudonyms(KEY, restore=True).apply(new)[0] == f"see {text} now"
         assert pii.Pseudonyms(b"other").apply(f"see {text} now")[0] != new
 
 
+def swapped(text):
+    """The pseudonym of one value."""
+    new, spans = pii.Pseudonyms(KEY).apply(f"see {text} now")
+    assert len(spans) == 1 and spans[0][:2] == (4, 4 + len(text)), (text, spans)
+    return new[4:-4]
+
+
+def test_pii_links_spellings_of_one_value():
+    r = random.Random(11)
+    digits = lambda s: re.sub(r"\D", "", s)
+    for _ in range(300):
+        a, b, c = r.randint(200, 999), r.randint(200, 999), r.randint(0, 9999)
+        forms = [f"{a}-{b}-{c:04d}", f"({a}) {b}-{c:04d}", f"{a}.{b}.{c:04d}", f"1-{a}-{b}-{c:04d}", f"+1 {a}-{b}-{c:04d}", f"+1 ({a}) {b}-{c:04d}", f"+1{a}{b}{c:04d}"]
+        if b % 100 != 11 and a % 100 != 11:
+            forms.append(f"{a}{b}{c:04d}")
+        assert len({digits(swapped(f))[-10:] for f in forms}) == 1
+        day = pii.datetime.date.fromordinal(r.randrange(pii.FIRST_DAY, pii.FIRST_DAY + pii.DAYS))
+        y, m, d = day.year, day.month, day.day
+        read = []
+        for form, order in ((f"{y}-{m:02d}-{d:02d}", "ymd"), (f"{y}/{m}/{d}", "ymd"), (f"{d:02d}.{m:02d}.{y}", "dmy"), (f"{d}/{m}/{y}", "dmy"), (f"{d}-{m:02d}-{y}", "dmy"), *([(f"{m:02d}/{d:02d}/{y}", "mdy"), (f"{m}/{d}/{y}", "mdy")] if d > 12 else [])):
+            new = swapped(form)
+            assert re.sub(r"\d", "0", new) == re.sub(r"\d", "0", form)
+            read.append(tuple(int(re.split(r"\D", new)[order.index(k)]) for k in "ymd"))
+        assert len(set(read)) == 1 and pii.datetime.date(*read[0])
+    assert swapped("A.b@x.org").lower() == swapped("a.b@x.org") and swapped("A.b@x.org")[0].isupper()
+    assert swapped("josé.núñez@x.org") != "josé.núñez@x.org" and swapped("JOSÉ.Núñez@x.org").lower() == swapped("josé.núñez@x.org")
+    assert swapped("+353 1 234 5678").startswith("+353 ") and swapped("+49 30 123456").startswith("+49 ")
+
+
+def test_pii_restores_every_kind_and_form():
+    r = random.Random(12)
+    num = lambda n: "".join(r.choice("0123456789") for _ in range(n))
+    card = lambda n: (c := r.choice("3456") + num(n - 2)) + pii.luhn_digit(c)
+    made = {
+        "card": lambda: r.choice([card(13), card(15), card(16), card(19), (c := card(16))[:4] + "-" + c[4:8] + "-" + c[8:12] + "-" + c[12:]]),
+        "iban": lambda: "DE" + pii._iban_check("DE", a := num(18)) + a,
+        "ssn": lambda: f"{r.randint(100, 600)}-{r.randint(10, 99)}-{r.randint(1000, 9999)}",
+        "phone": lambda: r.choice([f"({r.randint(200, 999)}) {num(3)}-{num(4)}", f"+1 ({num(3)}) {num(3)}-{num(4)}", f"+{r.choice(['44', '353', '7', '49'])} {num(2)} {num(4)} {num(4)}", f"{r.randint(200, 999)}.{num(3)}.{num(4)}"]),
+        "ipv4": lambda: ".".join(str(r.randrange(256)) for _ in range(4)),
+        "date": lambda: r.choice(["{0}-{1:02d}-{2:02d}", "{0}/{1}/{2}", "{2}.{1}.{0}", "{2:02d}/{1:02d}/{0}", "{1}/{2}/{0}", "{2}-{1:02d}-{0}"]).format(r.randint(1900, 2099), r.randint(1, 12), r.randint(1, 28)),
+        "email": lambda: "".join(r.choice("abcXYZ019ñé._") for _ in range(r.randint(1, 12))).strip("._") + "q@mail.example.org",
+    }
+    seen = {}
+    for k in range(4000):
+        kind = list(made)[k % len(made)]
+        value = made[kind]()
+        source = f"see {value}, now"
+        new, spans = pii.Pseudonyms(KEY).apply(source)
+        assert spans, value
+        assert pii.Pseudonyms(KEY, restore=True).apply(new)[0] == source, (source, new)
+        if kind in ("card", "ssn", "ipv4"):
+            assert seen.setdefault((kind, new), value) == value
+    assert pii._network.cache_info().currsize <= 1024
+
+
 def test_pii_finds_cards_and_ibans_before_other_groups():
     r = random.Random(4)
     cards = ["4111 1111 1111 1111", "4111-1111-1111-1111", "378282246310005", *(c + pii.luhn_digit(c) for c in (f"4{r.randrange(10**14):014d}" for _ in range(200)))]
@@ -92,21 +148,28 @@ def test_pii_finds_cards_and_ibans_before_other_groups():
     cases = [("card", c, t) for c in cards for t in (" 12/27", " 123", " 12 27", "-123")] + [("iban", i, t) for i in ibans for t in (" BY", " 12", " TO ALL", " PAID 2024")]
     for kind, value, tail in cases:
         source = f"see {value}{tail} now"
-        new, spans = pii.Pseudonyms().apply(source)
+        new, spans = pii.Pseudonyms(KEY).apply(source)
         assert spans[0][0] == 4 and spans[0][1] >= 4 + len(value) and spans[0][2] == kind
-        assert new[4 : 4 + len(value)] != value and pii.Pseudonyms(restore=True).apply(new)[0] == source
-    new, spans = pii.Pseudonyms().apply("see 4111 1111 1111 1111 12/27")
+        assert new[4 : 4 + len(value)] != value and pii.Pseudonyms(KEY, restore=True).apply(new)[0] == source
+    new, spans = pii.Pseudonyms(KEY).apply("see 4111 1111 1111 1111 12/27")
     assert spans == [(4, 23, "card")] and new.endswith(" 12/27") and pii.luhn_digit(re.sub(r"\D", "", new[4:23])[:-1]) == new[22]
-    assert pii.Pseudonyms().apply("see ES91 2100 0418 4502 0005 1332 BY")[1] == [(4, 33, "iban")]
+    assert pii.Pseudonyms(KEY).apply("see ES91 2100 0418 4502 0005 1332 BY")[1] == [(4, 33, "iban")]
 
 
 def test_pii_links_equal_values_and_keeps_rows(spark, docs, none):
-    out = {r.doc_id: r for r in pii.pii_report(spark.createDataFrame([(1, "mail a.b1@x.org"), (2, "a.b1@x.org, 10.0.0.1"), (3, None)], "doc_id long, text string")).collect()}
+    out = {r.doc_id: r for r in pii.pii_report(spark.createDataFrame([(1, "mail a.b1@x.org"), (2, "a.b1@x.org, 10.0.0.1"), (3, None)], "doc_id long, text string"), KEY).collect()}
     assert out[1].text.split()[1] == out[2].text.split(",")[0] != "a.b1@x.org"
     assert (out[2].n_pii, out[2].kinds, out[3].text, out[3].n_pii) == (2, "email,ipv4", None, 0)
-    got = pii.pseudonymise(docs)
+    got = pii.pseudonymise(docs.withColumn("pii_spans", F.lit("clash")), KEY)
     assert got.columns == [*docs.columns, "pii_spans"] and got.count() == len(rows())
-    assert pii.pseudonymise(none).count() == 0
+    assert pii.pseudonymise(none, KEY).count() == 0
+    with pytest.raises(ValueError, match=pii.KEY_SETTING):
+        pii.pseudonymise(docs)
+    spark.conf.set(pii.KEY_SETTING, KEY.decode())
+    try:
+        assert pii.pii_report(docs).subtract(pii.pii_report(docs, KEY)).count() == 0
+    finally:
+        spark.conf.unset(pii.KEY_SETTING)
 
 
 # 2 -------------------------------------------------------------------------------------

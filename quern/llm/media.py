@@ -97,7 +97,10 @@ def _encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def to_media(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_bytes, media): each whole text (null: empty) as a WAV whose samples are its UTF-8 bytes and the filling spaces."""
+    """(doc_id, n_bytes, media): each whole text (null: empty) as a WAV whose samples are its UTF-8 bytes and the filling spaces.
+
+    One row for each row of ``docs``, so null doc_ids stay null and repeats repeat; other columns are not looked at.
+    """
     small_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_encode, "doc_id long, n_bytes long, media binary")
 
@@ -122,7 +125,7 @@ def media_features(media: DataFrame) -> DataFrame:
 
 
 def media_digests(docs: DataFrame) -> DataFrame:
-    """The contract's columns; ``feature`` names the peaks, the landmarks and the digest of their codes."""
+    """The contract's columns and the landmarks; ``feature`` names the peaks, the landmarks and the digest of their codes."""
     got = media_features(written(to_media(docs), "media"))
     feature = F.concat_ws(":", "n_peaks", F.size("landmarks"), "landmarks_xxh64")
-    return got.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", feature.alias("feature"))
+    return got.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", feature.alias("feature"), "landmarks")

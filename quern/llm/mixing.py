@@ -11,6 +11,8 @@ from quern.llm.common import word_count, written
 WEIGHTS = (5, 2, 1)
 #: Words of the mix over words of all documents, and of a source's target over its own words at most.
 SHARE, MOST = 1.5, 2
+#: Rows that one range of keys holds at most, about; a range is put in order by one task.
+RANGE_ROWS = 50_000
 #: Sources up to which their cuts are broadcast.
 BROADCAST_SOURCES = 10_000
 
@@ -39,21 +41,24 @@ def source_targets(sized: DataFrame) -> DataFrame:
 
 
 def _key() -> Column:
-    """A document's random key: MD5 of its id."""
-    return F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+    """A document's random key: MD5 of its id, or of its text where it has none."""
+    return F.md5(F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("no id "), F.coalesce("text", F.lit("")))))
 
 
-def _buckets(key: Column) -> Column:
-    """The first two hex digits of a key: 256 ranges of equal share, in key order."""
-    return F.substring(key, 1, 2)
+def range_digits(rows: int) -> int:
+    """Leading hex digits of a key that cut ``rows`` rows into ranges of at most about RANGE_ROWS, two at least."""
+    digits = 2
+    while rows > RANGE_ROWS << 4 * digits:
+        digits += 1
+    return digits
 
 
 def _placed(docs: DataFrame) -> DataFrame:
     """Each row's key, source totals, whole epochs and its words at the cut."""
     key = _key()
-    sized = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), key.alias("key"))
-    sized = written(sized.withColumn("bucket", _buckets(F.col("key"))), "sized")
+    sized = written(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), key.alias("key")), "sized")
     targets = source_targets(sized)
+    sized = sized.withColumn("bucket", F.substring("key", 1, range_digits(sized.count())))
     per = sized.groupBy("source", "bucket").agg(F.sum("size").alias("n"))
     running = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = per.select("source", "bucket", F.coalesce(F.sum("n").over(running), F.lit(0)).alias("bucket_start"))
@@ -75,11 +80,12 @@ def mix(docs: DataFrame) -> DataFrame:
     Each row gets the MD5 of its doc_id as a random key.  A source's target is so many
     whole epochs and a rest; the rest goes to rows in key order until its words are used up,
     and the row at the cut gives just the words that are missing.  Prefix sums are
-    distributed: sums per range of keys within a source, a running sum over these at most
-    256 rows, and a running sum within each range, so a hot source is spread over 256 groups.
+    distributed: sums per range of keys within a source, a running sum over one row for each
+    range, and a running sum within each range.  Ranges grow in number with the rows, so each stays at about
+    RANGE_ROWS even if one source holds all of them.
 
-    Null texts have no words; null sources are a source; null doc_ids share one key and lie by
-    size; repeated rows count each.  The result depends on the rows alone, not on
+    Null texts have no words; null sources are a source; rows without a doc_id take their text's MD5;
+    repeated rows count each, and rows of one key lie by size.  The result depends on the rows alone, not on
     their order or partitions.
     """
     taken = F.col("epochs") * F.col("size") + F.col("cut")
@@ -106,7 +112,7 @@ def mix_rows(docs: DataFrame) -> DataFrame:
 
 ORACLE = """
 WITH sized AS (
-  SELECT doc_id, source, md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS key,
+  SELECT doc_id, source, md5(coalesce(CAST(doc_id AS VARCHAR), 'no id ' || coalesce("text", ''))) AS key,
          CAST(len(regexp_extract_all(coalesce("text", ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size
   FROM documents
 ), per AS (

@@ -156,7 +156,8 @@ def _packed(path: str, tiers: tuple[int, ...], end_id: int):
 def pack_documents(docs: DataFrame, vocabulary: str | None = None, tiers: tuple[int, ...] = TIERS, end_id: int = END_ID) -> DataFrame:
     """Pack every document (doc_id, text) into full sequences; one row for each piece.
 
-    Null and empty texts hold the end id alone.  Repeated rows are documents of their own.
+    Null and empty texts hold the end id alone.  Repeated rows, and rows with a null doc_id, are documents of their own;
+    no other column is looked at.
     Each task packs its own input split, so nothing is shuffled and a lost task is done
     again alone; a task leaves at most eleven short sequences, none of them padded.
     """

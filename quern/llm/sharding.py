@@ -112,7 +112,8 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS, slots: int = SLOTS) -
     slot is the row's place in its shard, gapless from 0: rows of one virtual slot lie
     together, by doc_id, size and CRC.  Window groups are virtual slots, and a running sum over at most SLOTS rows places
     them, so no task holds a shard.  Null texts have size RECORD_BYTES and CRC 0.  Repeated rows
-    take places of their own.
+    take places of their own; those of one doc_id and text lie in one virtual slot, so a table that repeats one whole row
+    without end would fill one task with it (copies of a text under ids of their own do not).
     """
     spark = docs.sparkSession
     rows = docs.select("doc_id", size_of(F.col("text")).alias("size"), F.coalesce(F.crc32("text"), F.lit(0)).alias("text_crc32"), virtual_slot(slots).alias("vslot"))

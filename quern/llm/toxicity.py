@@ -13,7 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.llm.common import small_batches
@@ -22,6 +22,8 @@ from quern.llm.common import small_batches
 BITS = 20
 #: Labelled rows that the model is fitted on at most: those with the least hash of their id.
 FIT_ROWS = 8_000
+#: Bytes of text that they hold at most; rows beyond this, in the same order, are not fitted on.
+FIT_BYTES = 64 << 20
 #: Passes over them.
 EPOCHS = 8
 #: FTRL-proximal: rate, its smoothing, L1 and L2 terms.
@@ -135,11 +137,11 @@ def _fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     pa.default_memory_pool().release_unused()
 
 
-def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> tuple[np.ndarray, np.ndarray]:
-    """Weights fitted on at most ``fit_rows`` labelled rows outside the held-out fold.
+def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, fit_bytes: int = FIT_BYTES) -> tuple[np.ndarray, np.ndarray]:
+    """Weights fitted on at most ``fit_rows`` labelled rows outside the held-out fold, and ``fit_bytes`` of text.
 
-    The sample's ids are broadcast (their number is bounded), its texts meet in one task
-    (bounded too), and only the weights that L1 leaves come to the driver.  Ids labelled more than once count as
+    The sample's ids are broadcast (their number is bounded), its texts pass through one task in
+    order of their hash until the bytes are reached, and only the weights that L1 leaves come to the driver.  Ids labelled more than once count as
     their highest label; null labels or ids do not count.
     """
     small_batches(docs.sparkSession)
@@ -147,7 +149,9 @@ def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> tuple
     known = known.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows)
     text = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").groupBy("doc_id").agg(F.max("text").alias("text"), F.max("toxic").alias("toxic"))
-    got = text.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "toxic").repartition(1).mapInArrow(_fit, "place long, weight double").toPandas()
+    text = text.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "toxic")
+    running = F.sum(F.octet_length("text")).over(Window.orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, 0))
+    got = text.withColumn("bytes", running).where(F.col("bytes") <= fit_bytes).drop("bytes").mapInArrow(_fit, "place long, weight double").toPandas()
     return got["place"].to_numpy(), got["weight"].to_numpy()
 
 
@@ -180,7 +184,10 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray]) -> DataFrame:
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(doc_id, held_out, score, predicted) of every row of ``docs``, by a model of ``labels``."""
+    """(doc_id, held_out, score, predicted) of every row of ``docs``, by a model of ``labels``.
+
+    Rows with a null doc_id are scored and not held out; they are never learned from.
+    """
     scored = score(docs, train(docs, labels))
     held = F.coalesce(fold(F.col("doc_id")) == 0, F.lit(False))
     return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
@@ -199,6 +206,6 @@ def _kept(model: tuple[np.ndarray, np.ndarray], at_least: float):
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, at_least: float = 0.5) -> DataFrame:
-    """The rows of ``docs`` that score below ``at_least``; all columns stay."""
+    """The rows of ``docs`` that score below ``at_least``; all columns stay, whatever the doc_id, null and repeated ones included."""
     model = train(docs, labels)
     return docs.mapInArrow(_kept(model, at_least), docs.schema)

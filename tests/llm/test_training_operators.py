@@ -201,6 +201,45 @@ def test_toxicity_learns_and_holds_out(spark, docs, none):
     assert toxicity.toxicity(docs, lab.limit(0)).select("predicted").distinct().count() <= 2
 
 
+def slow_ftrl(rows, labels, epochs):
+    """FTRL-proximal one coordinate at a time."""
+    z, n = {}, {}
+
+    def weight(i):
+        l1 = 0.0 if i == "bias" else toxicity.L1
+        zi = z.get(i, 0.0)
+        return 0.0 if abs(zi) <= l1 else -(zi - np.sign(zi) * l1) / ((toxicity.BETA + np.sqrt(n.get(i, 0.0))) / toxicity.ALPHA + toxicity.L2)
+
+    for _ in range(epochs):
+        for row, y in zip(rows, labels):
+            at = [*row, "bias"]
+            w = {i: weight(i) for i in at}
+            p = 1 / (1 + np.exp(-sum(w.values())))
+            g = (p - y) * (toxicity.POSITIVE_WEIGHT if y else 1)
+            for i in at:
+                sigma = (np.sqrt(n.get(i, 0.0) + g * g) - np.sqrt(n.get(i, 0.0))) / toxicity.ALPHA
+                z[i] = z.get(i, 0.0) + g - sigma * w[i]
+                n[i] = n.get(i, 0.0) + g * g
+    return {i: w for i in z if (w := weight(i))}
+
+
+def test_ftrl_against_one_coordinate_at_a_time():
+    r = random.Random(6)
+    rows = [sorted(r.sample(range(200), r.randint(0, 12))) for _ in range(400)]
+    labels = np.array([float(any(i < 8 for i in row)) for row in rows])
+    at, w = toxicity.ftrl([np.array(row, np.int64) for row in rows], labels, epochs=3, size=200)
+    want = {200 if i == "bias" else i: v for i, v in slow_ftrl(rows, labels, 3).items()}
+    assert set(at.tolist()) == set(want) and 3 < len(want) < 150  # L1 leaves few
+    assert all(v == pytest.approx(want[i]) for i, v in zip(at.tolist(), w))
+
+
+def test_toxicity_fits_on_a_bounded_sample(spark):
+    d = spark.createDataFrame([(k, f"word{k} " * 100) for k in range(40)], "doc_id long, text string")
+    lab = spark.createDataFrame([(k, k % 2) for k in range(40)], "doc_id long, toxic int")
+    whole, some = toxicity.train(d, lab), toxicity.train(d, lab, fit_bytes=3000)
+    assert len(some[0]) < len(whole[0]) and len(toxicity.train(d, lab, fit_bytes=0)[0]) == 0
+
+
 def test_features_cover_pairs_and_skips():
     import pyarrow as pa
 
@@ -273,6 +312,37 @@ def test_media_round_trip(spark, docs, none, tmp_path):
     assert media.media_digests(none).count() == 0
 
 
+def slow_landmarks(samples):
+    """Peaks and pairs by the plain sums of the Fourier transform, one frame and one bin at a time."""
+    x = [float(v) - 128 for v in samples]
+    hann = [0.5 - 0.5 * np.cos(2 * np.pi * k / 191) for k in range(192)]
+    turn = np.exp(-2j * np.pi * np.outer(np.arange(97), np.arange(192)) / 192)
+    power = [[abs(sum(turn[b] * np.array([x[at + k] * hann[k] for k in range(192)]))) ** 2 for b in range(97)] for at in range(0, len(x) - 191, 96)]
+    bands = [(2, 10), (10, 20), (20, 40), (40, 97)]
+    best = [[max(p[a:b]) for a, b in bands] for p in power]
+    peaks = []
+    for t, p in enumerate(power):
+        for k, (a, b) in enumerate(bands):
+            v = best[t][k]
+            if v > (best[t - 1][k] if t else -1) and v >= (best[t + 1][k] if t + 1 < len(best) else -1) and v > 3 * sum(p[a:b]) / (b - a):
+                peaks.append((t, a + p[a:b].index(v)))
+    return peaks, sorted((t << 24) | (f << 16) | (g << 8) | (u - t) for i, (t, f) in enumerate(peaks) for u, g in peaks[i + 1 : i + 4] if u - t <= 64)
+
+
+def test_peaks_and_landmarks_against_plain_sums(docs):
+    found = 0
+    for k, n in enumerate((0, 100, 200, 300, 500, 900, 2500)):
+        raw = words(20 + k, max(1, n // 6)).encode()
+        payload = raw + b" " * (max(192, -(-len(raw) // 192) * 192) - len(raw))
+        peaks, codes = slow_landmarks(payload)
+        t, f = media.spectral_peaks(np.frombuffer(payload, np.uint8))
+        assert list(zip(t.tolist(), f.tolist())) == peaks and media.landmarks(t, f).tolist() == codes
+        found += len(codes)
+    assert found > 20
+    for r in media.media_digests(docs).collect():
+        assert r.feature.split(":")[1:] == [str(len(r.landmarks)), xxhash.xxh64_hexdigest(np.array(r.landmarks, "<i8").tobytes())]
+
+
 def test_few_peaks_still_make_landmarks():
     at = lambda *x: np.array(x, np.int64)
     assert media.landmarks(at(0, 1), at(5, 9)).tolist() == [5 << 16 | 9 << 8 | 1]
@@ -550,6 +620,15 @@ def test_mix_meets_its_targets(spark, docs, none):
         taken[g.source] = taken.get(g.source, 0) + g.taken
     assert all(abs(taken[s] - want[s]) <= 1 for s in want)
     assert sorted(map(str, mixing.mix(df.repartition(7)).collect())) == sorted(map(str, got))
+    digits = mixing.range_digits
+    assert [digits(n) for n in (0, 10**7, 10**9, 10**11)] == [2, 2, 4, 6] and digits(mixing.RANGE_ROWS << 8) == 2
+    mixing.range_digits = lambda rows: 4
+    try:
+        assert sorted(map(str, mixing.mix(df).collect())) == sorted(map(str, got))
+    finally:
+        mixing.range_digits = digits
+    no_id = mixing.mix(df.withColumn("doc_id", F.when(F.col("doc_id") % 2 == 0, F.col("doc_id")))).groupBy("source", "target").agg(F.sum("taken").alias("n"))
+    assert all(abs(x.n - x.target) <= 1 for x in no_id.collect())
     assert mixing.mix(docs).count() == len(rows()) and mixing.mix(none).count() == 0
     assert mixing.mix_rows(docs).columns == docs.columns and mixing.mix_rows(none).count() == 0
     copies = {x.doc_id: x["count"] for x in mixing.mix_rows(df).groupBy("doc_id").count().collect()}

@@ -10,27 +10,48 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.llm import mixing, packing, pii, similar, simhash, toxicity
+from quern.llm import mixing, packing, pii, registry, similar, simhash, toxicity
 from quern.llm.common import fresh_path, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The rows that the toxicity model scores below 0.5; all their columns stay.
+
+    Null and empty texts get the model's bias alone.  Rows with a null or a repeated doc_id are scored like
+    all others; labels of such ids count as ``toxicity.train`` says.
+    """
     return toxicity.drop_toxic(docs, table(spark, sf_dir, "labels"))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of each SimHash group, then none that shares 0.8 or more of its five-word shingles with another.
+
+    Of a group the row with the least doc_id stays (null ids last, then by a hash of the text), so a row
+    without an id, or one that shares its id with another text, is lost only to a copy.  All empty and null
+    texts are one group.  All columns stay, and the choice does not depend on the order of rows.
+    """
     return similar.keep_dissimilar(simhash.one_per_group(docs), "__root").drop("__root")
 
 
 def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return pii.pseudonymise(docs).select(docs.columns)
+    """The rows with pseudonyms in ``text``, under the session's key or that of the driver's invented persons.
+
+    Row for row: nulls, empty texts and repeats stay what they are; a column pii_spans is replaced and not returned anew.
+    """
+    new = pii.pseudonymise(docs, pii.session_key(spark) or registry.DEMO_KEY)
+    return new.select(docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The rows as often as their source's target takes them, whole; rows without words never.
+
+    Null sources are one source; rows with null ids are ordered by their texts.
+    """
     return mixing.mix_rows(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all rows; null and empty texts are their end id alone, repeated and null ids documents of their own."""
     return packing.pack_documents(docs)
 
 

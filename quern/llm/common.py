@@ -4,14 +4,18 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: White space between words, as in the pattern ``[^\x20\x09-\x0D]+`` of a word.
 SPACE = "\\x20\\x09-\\x0D"
-#: Rows in one Arrow batch; texts are a few kB on average, so a batch stays at some MB.
+#: Rows of an Arrow batch that are worked on at once; Spark bounds a batch in bytes, not what is made of it.
 BATCH_ROWS = 2000
+#: Keys at most that a counted join tells to all tasks.
+HUBS = 4096
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -40,9 +44,29 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Keep Arrow batches of whole texts at some MB."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+Batches = Iterator[pa.RecordBatch]
+
+
+def sliced(work: Callable[[Batches], Batches]) -> Callable[[Batches], Batches]:
+    """``work`` on slices of BATCH_ROWS rows of each batch."""
+
+    def rows(batches: Batches) -> Batches:
+        return work(batch.slice(lo, BATCH_ROWS) for batch in batches for lo in range(0, batch.num_rows, BATCH_ROWS))
+
+    return rows
+
+
+def join_counted(rows: DataFrame, side: DataFrame, keys: list[str], n: str, total: int | None = None) -> DataFrame:
+    """``rows`` joined on ``keys`` with ``side`` (unique keys; a stored table, unless ``total`` is given), whose column ``n`` counts the rows of each key.
+
+    Keys with more than one in HUBS of all rows (``total``, or more), fewer than HUBS of them, are broadcast; the rest is
+    joined as Spark sees fit, and no key of it is more than a small share of a task.
+    """
+    if total is None:
+        total = side.agg(F.sum(n)).first()[0] or 0
+    hot, cold = side.where(F.col(n) * HUBS > total), side.where(F.col(n) * HUBS <= total)
+    others = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(cold, keys)
+    return rows.join(F.broadcast(hot), keys).unionByName(others)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -5,6 +5,7 @@ projections on any principal axes.  Vectors are put in epsilon grid order: by la
 side EPS of their leading principal coordinates.  The sequence is cut into blocks with bounding boxes; pairs of blocks whose boxes lie
 more than EPS apart are never joined, and within a pair the halves of the sequence
 are joined recursively under the same rule, down to leaves that one matrix product compares.
+Blocks are as large as a task may hold, since what moves between tasks falls with their size.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import written
+from quern.llm.common import join_counted, written
 from quern.llm.components import connected_components
 
 COSINE = 0.98
@@ -27,7 +28,10 @@ EPS = float(np.sqrt(2 - 2 * COSINE)) * (1 + 1e-9) + 1e-9
 ORDER_DIMS, BOX_DIMS = 4, 16
 #: Vectors that the axes are fitted on; any axes give right results, these prune well.
 FIT_ROWS = 4096
-BLOCK, LEAF = 2048, 128
+#: Vectors of a block, and bytes of them, at most; vectors of a leaf.
+BLOCK, BLOCK_BYTES, LEAF = 8192, 4 << 20, 128
+#: Parts that the blocks of a label and cell are dealt to when they look for partners.
+SALTS = 16
 
 
 def principal_axes(vectors: DataFrame, fit_rows: int = FIT_ROWS) -> np.ndarray:
@@ -44,13 +48,14 @@ def principal_axes(vectors: DataFrame, fit_rows: int = FIT_ROWS) -> np.ndarray:
 def _projected(axes: np.ndarray):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            emb = batch.column("embedding").to_pylist()
+            emb = batch.column("embedding")
+            size = emb.value_lengths().to_numpy()
             cells = np.zeros((len(emb), ORDER_DIMS), np.int32)
-            for k, e in enumerate(emb):
-                if len(e) == len(axes):
-                    v = np.asarray(e, np.float64)
-                    c = np.floor((v / np.linalg.norm(v)) @ axes[:, :ORDER_DIMS] / EPS)
-                    cells[k, : len(c)] = c
+            own = size == len(axes)
+            if own.any():
+                x = _unit(emb.flatten().to_numpy()[np.repeat(own, size)].reshape(-1, len(axes)).astype(np.float64))
+                c = np.floor(x @ axes[:, :ORDER_DIMS] / EPS)
+                cells[own, : c.shape[1]] = c
             yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(cells[:, d]) for d in range(ORDER_DIMS))], names=[*batch.schema.names, *(f"c{d}" for d in range(ORDER_DIMS))])
 
     return rows
@@ -61,26 +66,27 @@ def _unit(flat: np.ndarray) -> np.ndarray:
 
 
 def _blocks(axes: np.ndarray):
-    """Runs of one label and dimension, at most BLOCK vectors each, with the box of their projections."""
+    """Runs of one label and dimension, at most BLOCK vectors and BLOCK_BYTES each, with the box of their projections."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, seq = TaskContext.get().partitionId(), 0
-        held: list[tuple] = []
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # nodes, copies, vectors of slices of one run
+        run, most = (None, None), BLOCK
 
         def flush():
             nonlocal seq, held
-            x = np.array([r[3] for r in held], np.float64)
-            box = _unit(x) @ axes if x.shape[1] == len(axes) else np.zeros((len(x), 1))
+            node, copies, x = (np.concatenate(c) for c in zip(*held))
+            box = _unit(x.astype(np.float64)) @ axes if x.shape[1] == len(axes) else np.zeros((len(x), 1))
             out = pa.RecordBatch.from_arrays(
                 [
                     pa.array([(part << 32) + seq], pa.int64()),
-                    pa.array([held[0][0]], pa.int64()),
+                    pa.array([run[0]], pa.int64()),
                     pa.array([x.shape[1]], pa.int32()),
                     pa.array([box.min(axis=0).tolist()], pa.list_(pa.float64())),
                     pa.array([box.max(axis=0).tolist()], pa.list_(pa.float64())),
-                    pa.array([[r[1] for r in held]], pa.list_(pa.int64())),
-                    pa.array([[r[2] for r in held]], pa.list_(pa.int64())),
-                    pa.array([x.astype("<f8").tobytes()], pa.binary()),
+                    pa.array([node.tolist()], pa.list_(pa.int64())),
+                    pa.array([copies.tolist()], pa.list_(pa.int64())),
+                    pa.array([x.tobytes()], pa.binary()),
                 ],
                 names=["block", "label", "dim", "lo", "hi", "ids", "copies", "vectors"],
             )
@@ -89,10 +95,25 @@ def _blocks(axes: np.ndarray):
             return out
 
         for batch in batches:
-            for r in zip(*(batch.column(c).to_pylist() for c in ("label", "node", "copies", "embedding"))):
-                if held and (len(held) >= BLOCK or held[0][0] != r[0] or len(held[0][3]) != len(r[3])):
+            if not batch.num_rows:
+                continue
+            emb = batch.column("embedding")
+            label, node, copies = (batch.column(c).to_numpy() for c in ("label", "node", "copies"))
+            size = emb.value_lengths().to_numpy()
+            flat, ends = emb.flatten().to_numpy(), np.cumsum(size)
+            cuts = np.flatnonzero((np.diff(label) != 0) | (np.diff(size) != 0)) + 1
+            for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), len(label)]):
+                if held and run != (int(label[lo]), int(size[lo])):
                     yield flush()
-                held.append(r)
+                run = int(label[lo]), int(size[lo])
+                most = max(1, min(BLOCK, BLOCK_BYTES // (run[1] * flat.itemsize)))
+                x = flat[ends[lo] - size[lo] : ends[hi - 1]].reshape(hi - lo, -1)
+                while lo < hi:
+                    n = min(hi - lo, most - sum(len(h[0]) for h in held))
+                    held.append((node[lo : lo + n], copies[lo : lo + n], x[:n].copy()))
+                    lo, x = lo + n, x[n:]
+                    if sum(len(h[0]) for h in held) >= most:
+                        yield flush()
         if held:
             yield flush()
 
@@ -151,7 +172,7 @@ def _forest(i: np.ndarray, j: np.ndarray, n: int) -> np.ndarray:
             return label
 
 
-def _pairs(axes: np.ndarray):
+def _pairs(axes: np.ndarray, dtype: str):
     """Of block pairs: each vector's partners (copies counted) and the least node it reaches there."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -159,8 +180,8 @@ def _pairs(axes: np.ndarray):
             for k in range(batch.num_rows):
                 r = {c: batch.column(c)[k].as_py() for c in batch.schema.names}
                 same = r["block"] == r["block2"]
-                x = _unit(np.frombuffer(r["vectors"], "<f8").reshape(-1, r["dim"]))
-                y = x if same else _unit(np.frombuffer(r["vectors2"], "<f8").reshape(-1, r["dim"]))
+                x = _unit(np.frombuffer(r["vectors"], dtype).reshape(-1, r["dim"]).astype(np.float64))
+                y = x if same else _unit(np.frombuffer(r["vectors2"], dtype).reshape(-1, r["dim"]).astype(np.float64))
                 project = lambda v: v @ axes if v.shape[1] == len(axes) else np.zeros((len(v), 1))
                 i, j = join_intervals(x, y, project(x), project(y), same)
                 if not len(i):
@@ -185,40 +206,50 @@ def embedding_components(vectors: DataFrame) -> DataFrame:
     Rows link when their labels are equal and not null and the cosine in double precision
     is at least COSINE.  Null, empty and zero vectors, and vectors with null or non-finite
     components link with nothing.  Equal vectors of a label are one node with a count, so copies
-    make no pairs; vectors of different lengths never link.  Repeated vec_ids are rows of their own.
+    make no pairs; vectors of different lengths never link.  Repeated and null vec_ids are rows of their own.
+    Vectors move in the type they are stored in and are compared in double precision.
     """
     spark = vectors.sparkSession
     emb = F.col("embedding")
     good = F.coalesce(F.size(emb) > 0, F.lit(False)) & F.coalesce(F.forall(emb, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) != float("inf"))), F.lit(False)) & F.coalesce(F.exists(emb, lambda v: v != 0), F.lit(False)) & F.col("label").isNotNull()
-    base = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.transform(emb, lambda v: v.cast("double") + F.lit(0.0)).alias("embedding"), F.col("label").cast("long").alias("label"), good.alias("good"))
-    base = base.withColumn("h", F.xxhash64("embedding", "label"))
-    nodes = base.where("good").groupBy("h", "label", "embedding").agg(F.count(F.lit(1)).alias("copies"), F.min("vec_id").alias("vec_id"))
-    nodes = written(nodes.withColumn("node", F.xxhash64("h", F.coalesce("vec_id", F.lit(0)))), "vectors")
+    kind = "float" if vectors.schema["embedding"].dataType.elementType.typeName() == "float" else "double"
+    base = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.transform(emb, lambda v: v.cast(kind) + F.lit(0.0).cast(kind)).alias("embedding"), F.col("label").cast("long").alias("label"), good.alias("good"))
+    # 128 bits name a vector of a label; nodes have numbers of their own
+    base = base.withColumns({"h": F.xxhash64("embedding", "label"), "g": F.xxhash64(F.lit("second"), "label", "embedding")})
+    nodes = base.where("good").groupBy("h", "g", "label", "embedding").agg(F.count(F.lit(1)).alias("copies"), F.min("vec_id").alias("vec_id"))
+    nodes = written(nodes.withColumn("node", F.monotonically_increasing_id()), "vectors")
     axes = principal_axes(nodes)
     cells = [f"c{d}" for d in range(ORDER_DIMS)]
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in nodes.schema.fields) + "".join(f", {c} int" for c in cells)
+    brief = nodes.select("node", "label", "copies", "embedding")
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in brief.schema.fields) + "".join(f", {c} int" for c in cells)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = nodes.mapInArrow(_projected(axes), schema).repartitionByRange(n, "label", *cells, "node").sortWithinPartitions("label", *cells, "node")
-    blocks = written(ordered.mapInArrow(_blocks(axes), BLOCK_SCHEMA), "blocks")
+    ordered = brief.mapInArrow(_projected(axes), schema).repartitionByRange(n, "label", *cells, "node").sortWithinPartitions("label", *cells, "node")
+    blocks = written(ordered.drop(*cells).mapInArrow(_blocks(axes), BLOCK_SCHEMA), "blocks")
     # pairs of blocks: cells of side EPS of the first axis, each block over the cells its box (widened by half EPS) touches
     touched = lambda: F.sequence(F.floor((F.col("lo")[0] - EPS / 2) / EPS), F.floor((F.col("hi")[0] + EPS / 2) / EPS))
     boxes = blocks.select("block", "label", "dim", "lo", "hi", F.element_at(touched(), 1).alias("first"), F.explode(touched()).alias("cell"))
-    other = boxes.select(F.col("block").alias("block2"), "label", "dim", F.col("lo").alias("lo2"), F.col("hi").alias("hi2"), F.col("first").alias("first2"), "cell")
+    other = boxes.select(F.col("block").alias("block2"), "label", "dim", F.col("lo").alias("lo2"), F.col("hi").alias("hi2"), F.col("first").alias("first2"), "cell", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     gaps = F.zip_with(F.zip_with("lo", "hi2", lambda a, b: a - b), F.zip_with("lo2", "hi", lambda a, b: a - b), lambda a, b: F.greatest(F.lit(0.0), a, b))
     apart = F.aggregate(gaps, F.lit(0.0), lambda s, g: s + g * g)
-    pairs = boxes.join(other, ["label", "dim", "cell"]).where((F.col("block") <= F.col("block2")) & (F.col("cell") == F.greatest("first", "first2")) & (apart <= EPS * EPS)).select("block", "block2")
+    boxes = boxes.withColumn("salt", F.pmod(F.xxhash64("block"), F.lit(SALTS)).cast("int"))
+    pairs = boxes.join(other, ["label", "dim", "cell", "salt"]).where((F.col("block") <= F.col("block2")) & (F.col("cell") == F.greatest("first", "first2")) & (apart <= EPS * EPS)).select("block", "block2")
+    pairs = written(pairs, "block-pairs")
     left = blocks.select("block", "dim", "ids", "copies", "vectors")
+    none = lambda c, t: F.lit(None).cast(t).alias(c)
+    alone = pairs.where("block = block2").join(left, "block").select("block", "block2", "dim", "ids", "copies", "vectors", none("ids2", "array<long>"), none("copies2", "array<long>"), none("vectors2", "binary"))
     right = blocks.select(F.col("block").alias("block2"), F.col("ids").alias("ids2"), F.col("copies").alias("copies2"), F.col("vectors").alias("vectors2"))
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "8")
-    found = written(pairs.join(left, "block").join(right, "block2").mapInArrow(_pairs(axes), "node long, links long, root long"), "found")
+    two = pairs.where("block < block2").join(left, "block").join(right, "block2").select(alone.columns)
+    found = written(alone.unionByName(two).mapInArrow(_pairs(axes, "<f4" if kind == "float" else "<f8"), "node long, links long, root long"), "found")
     small = found.groupBy("node").agg(F.sum("links").alias("links"))
     comp = connected_components(found.select(F.col("node").alias("a"), F.col("root").alias("b")))
-    each = nodes.select("h", "label", "embedding", "copies", "vec_id", "node").join(small, "node", "left").join(comp, "node", "left").withColumn("root", F.coalesce("component", "node"))
-    least = each.groupBy("root").agg(F.min("vec_id").alias("component_id"))
-    each = each.join(least, "root").select("h", F.col("label").alias("l"), F.col("embedding").alias("e"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component_id")
-    out = base.join(each, [base["h"] == each["h"], base["good"], base["label"] == each["l"], base["embedding"] == each["e"]], "left")
+    each = nodes.select("h", "g", "copies", "vec_id", "node").join(small, "node", "left").join(comp, "node", "left").withColumn("root", F.coalesce("component", "node"))
+    each = written(each.select("h", "g", "copies", "vec_id", "root", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")), "linked")
+    roots = written(each.groupBy("root").agg(F.min("vec_id").alias("component_id"), F.count(F.lit(1)).alias("n")), "roots")
+    named = written(join_counted(each, roots, ["root"], "n").select("h", "g", "copies", "n_links", "component_id"), "named")
+    out = join_counted(base.where("good").select("vec_id", "h", "g"), named, ["h", "g"], "copies").select("vec_id", "n_links", "component_id")
+    out = out.unionByName(base.where(~F.col("good")).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id")))
     component = F.coalesce("component_id", "vec_id")
-    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), (F.col("vec_id") == component).alias("kept"))
+    return out.select("vec_id", F.col("n_links").cast("long").alias("n_links"), component.alias("component_id"), (F.col("vec_id") == component).alias("kept"))
 
 
 ORACLE = """

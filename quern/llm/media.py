@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import small_batches, written
+from quern.llm.common import sliced, written
 
 #: Payloads are filled with spaces up to a positive multiple of this.
 UNIT = 192
@@ -101,8 +101,7 @@ def to_media(docs: DataFrame) -> DataFrame:
 
     One row for each row of ``docs``, so null doc_ids stay null and repeats repeat; other columns are not looked at.
     """
-    small_batches(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_encode, "doc_id long, n_bytes long, media binary")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(sliced(_encode), "doc_id long, n_bytes long, media binary")
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -121,7 +120,7 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def media_features(media: DataFrame) -> DataFrame:
     """Digests of the stored and the read-back bytes, and the landmarks of each WAV of ``to_media``."""
-    return media.mapInArrow(_features, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, n_peaks long, landmarks array<long>, landmarks_xxh64 string")
+    return media.mapInArrow(sliced(_features), "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, n_peaks long, landmarks array<long>, landmarks_xxh64 string")
 
 
 def media_digests(docs: DataFrame) -> DataFrame:

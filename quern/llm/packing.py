@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import small_batches
+from quern.llm.common import sliced
 from quern.llm.tokens import vocabulary_path, worker_tokenizer
 
 TIERS = (256, 512, 1024, 2048)
@@ -161,6 +161,5 @@ def pack_documents(docs: DataFrame, vocabulary: str | None = None, tiers: tuple[
     Each task packs its own input split, so nothing is shuffled and a lost task is done
     again alone; a task leaves at most eleven short sequences, none of them padded.
     """
-    small_batches(docs.sparkSession)
     src = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
-    return src.mapInArrow(_packed(vocabulary or vocabulary_path(), tiers, end_id), SCHEMA)
+    return src.mapInArrow(sliced(_packed(vocabulary or vocabulary_path(), tiers, end_id)), SCHEMA)

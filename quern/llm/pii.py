@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm.common import small_batches
+from quern.llm.common import sliced
 
 #: Session setting that holds the key where the caller gives none.
 KEY_SETTING = "spark.quern.pii.key"
@@ -323,10 +323,9 @@ def pseudonymise(docs: DataFrame, key: bytes | None = None, restore: bool = Fals
     """
     if not (key := key or session_key(docs.sparkSession)):
         raise ValueError(f"no key for pseudonyms: pass one or set {KEY_SETTING}")
-    small_batches(docs.sparkSession)
     docs = docs.drop("pii_spans")
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(_apply(key, restore), f"{fields}, pii_spans array<struct<start:int,end:int,kind:string>>")
+    return docs.mapInArrow(sliced(_apply(key, restore)), f"{fields}, pii_spans array<struct<start:int,end:int,kind:string>>")
 
 
 def pii_report(docs: DataFrame, key: bytes | None = None) -> DataFrame:

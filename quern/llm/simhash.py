@@ -6,9 +6,11 @@ of the table, which rules pairs out without looking at the fingerprints:
 
 * Key pivots are a base and the 64 fingerprints one bit away from it, in five groups.  A pair's distances relative to the base can
   differ in at most two groups, so it agrees in three, and meets in one of the ten joins on
-  three groups' relative distances.
+  three groups' relative distances.  A distance relative to the base tells one bit of the fingerprint, so these joins are
+  those of a block permutation, put in pivot coordinates: no coarser coordinates of a radius of 2 would
+  part 10^10 fingerprints.
 * Far pivots are spread over the space.  Pairs that met and differ by more than RADIUS in any
-  of these coordinates are discarded; the survivors' fingerprints are compared.
+  of these coordinates are discarded; the survivors' fingerprints are compared.  ``pivot_shares`` counts both.
 
 Only joins of more than BUCKET fingerprints are left out of the pair step; their members meet at the
 fingerprints one bit away from them instead, which is exact and linear.
@@ -21,11 +23,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quern.llm.common import small_batches, written
+from quern.llm.common import join_counted, sliced, written
 from quern.llm.components import connected_components
 
 SEED = 42
@@ -45,12 +47,12 @@ def pivots() -> np.ndarray:
     return np.concatenate([far[:1], far[0] ^ (np.uint64(1) << np.arange(64, dtype=np.uint64)), far[1:]])
 
 
-def shingle_hashes(text: str | None, width: int = SHINGLE) -> np.ndarray:
-    """XXH64 of a whole text's shingles of ``width`` words, repeats included; of fewer words, of all; no words: none."""
+def shingle_hashes(text: str | None) -> np.ndarray:
+    """XXH64 of a whole text's shingles of SHINGLE words, repeats included; of fewer words, of all; no words: none."""
     words = (text or "").encode().lower().split()  # bytes.lower and bytes.split know ASCII alone
     if not words:
         return np.zeros(0, np.uint64)
-    parts = [b" ".join(words)] if len(words) < width else map(b" ".join, zip(*(words[k:] for k in range(width))))
+    parts = [b" ".join(words)] if len(words) < SHINGLE else map(b" ".join, zip(*(words[k:] for k in range(SHINGLE))))
     digest = xxhash.xxh64_intdigest
     return np.fromiter([digest(p, SEED) for p in parts], np.uint64)
 
@@ -74,8 +76,7 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """(doc_id, fp long) of every whole text; null and empty texts have fingerprint 0."""
-    small_batches(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_fingerprints, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(sliced(_fingerprints), "doc_id long, fp long")
 
 
 def distance_table(prints: np.ndarray) -> np.ndarray:
@@ -99,17 +100,33 @@ def _meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(np.repeat(fp[lo : lo + 4096], keys.shape[1]))], names=["key", "fp"])
 
 
+def pivot_survivors(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(bucket, i, j) of the pairs i < j in buckets (B, n) that no far pivot tells to lie beyond RADIUS."""
+    table = distance_table(prints.ravel())[:, 65:].astype(np.int8).reshape(*prints.shape, -1)
+    near = np.ones((prints.shape[0], prints.shape[1], prints.shape[1]), bool)
+    for k in range(table.shape[2]):
+        near &= np.abs(table[:, :, None, k] - table[:, None, :, k]) <= RADIUS
+    return np.nonzero(near & np.triu(np.ones(near.shape[1:], bool), 1))
+
+
+def pivot_shares(buckets: list[np.ndarray]) -> tuple[int, int, int]:
+    """(pairs that meet, pairs that the far pivots leave, pairs within RADIUS) of buckets of fingerprints."""
+    met = left = near = 0
+    for prints in buckets:
+        _, i, j = pivot_survivors(prints[None, :])
+        met += len(prints) * (len(prints) - 1) // 2
+        left += len(i)
+        near += int((np.bitwise_count(prints[i] ^ prints[j]) <= RADIUS).sum())
+    return met, left, near
+
+
 def bucket_links(prints: np.ndarray) -> np.ndarray:
     """(m, 2) links that join what lies within RADIUS, transitively, in buckets (B, n) of equal size.
 
     Each fingerprint that is not the first of its part of a bucket is linked to that first one, so
     a bucket gives fewer links than members.
     """
-    table = distance_table(prints.ravel())[:, 65:].astype(np.int8).reshape(*prints.shape, -1)
-    near = np.ones((prints.shape[0], prints.shape[1], prints.shape[1]), bool)
-    for k in range(table.shape[2]):
-        near &= np.abs(table[:, :, None, k] - table[:, None, :, k]) <= RADIUS
-    b, i, j = np.nonzero(near & np.triu(np.ones(near.shape[1:], bool), 1))
+    b, i, j = pivot_survivors(prints)
     keep = np.bitwise_count(prints[b, i] ^ prints[b, j]) <= RADIUS
     b, i, j = b[keep], i[keep], j[keep]
     label = np.tile(np.arange(prints.shape[1]), (prints.shape[0], 1))
@@ -142,7 +159,7 @@ def fingerprint_links(distinct: DataFrame, bucket: int = BUCKET) -> DataFrame:
     """(a, b) links of distinct fingerprints (fp); their components are those of all pairs within RADIUS bits."""
     meetings = written(distinct.mapInArrow(_meetings, "key long, fp long"), "meetings")
     shared = written(meetings.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "shared")
-    met = written(meetings.join(shared, "key"), "met")
+    met = written(join_counted(meetings, shared, ["key"], "n"), "met")
     small = met.where(F.col("n") <= bucket).groupBy("key").agg(F.collect_list("fp").alias("fps")).select("fps")
     links = small.mapInArrow(_bucket_rows, "a long, b long")
     hot = met.where(F.col("n") > bucket).select("fp").distinct()
@@ -166,45 +183,38 @@ def simhash_components(docs: DataFrame) -> DataFrame:
     doc_ids keep their row and never name a component; repeated rows stay.
     """
     prints = written(fingerprints(docs), "prints")
-    rooted = _rooted(written(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct"))
-    named = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    of_print = written(rooted.join(named, "root").select("fp", "component_id"), "named")
-    out = prints.join(of_print, "fp")
+    rooted = written(_rooted(written(prints.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("rows")), "distinct")), "rooted")
+    roots = written(rooted.groupBy("root").agg(F.min("first").alias("component_id"), F.count(F.lit(1)).alias("n")), "roots")
+    of_print = written(join_counted(rooted, roots, ["root"], "n").select("fp", "component_id", "rows"), "named")
+    out = join_counted(prints, of_print, ["fp"], "rows")
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def group_heads(prints: DataFrame) -> DataFrame:
+    """(row, root) of one row of each component of ``prints`` (row, rank, fp): that of the least rank (any ordered type); root is the component's least fingerprint."""
+    best = written(prints.groupBy("fp").agg(F.min(F.struct("rank", "row")).alias("best")), "distinct")
+    return _rooted(best).groupBy("root").agg(F.min("best").alias("best")).select(F.col("best.row").alias("row"), "root")
+
+
+def row_rank(docs: DataFrame) -> Column:
+    """What orders rows (doc_id, text, ...) for the choice of one: doc_id (null last), then hashes of the text and of all columns."""
+    cols = [F.col(f"`{c}`") for c in docs.columns]
+    return F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("text"), F.xxhash64(*cols, *(c.isNull() for c in cols)).alias("all"))
+
+
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` without near-duplicates: of each component the rows with the smallest doc_id, and of these one.
+    """Exactly one row of every component of ``docs`` (doc_id, text, ...); all columns stay.
 
-    doc_id is taken for a key: rows without one cannot be named and go, and of rows that
-    repeat a doc_id one stays.  All columns stay; an empty table gives an empty one.
+    The row with the smallest doc_id stays (null last), of these the one with the smallest hash of its
+    text, so rows with a null or a repeated doc_id count like all others and the choice does not depend on their order.
     """
-    groups = simhash_components(docs)
-    kept = groups.where("doc_id = component_id").select(F.col("doc_id").alias("__kept")).distinct()
-    first = docs.join(kept, docs["doc_id"] == F.col("__kept"), "left_semi")
-    return first.dropDuplicates(["doc_id"])
+    rows = written(docs.withColumn("__rank", row_rank(docs)).withColumn("__row", F.monotonically_increasing_id()), "rows")
+    prints = rows.select("__row", "__rank", "text").mapInArrow(sliced(_row_prints), T.StructType([T.StructField("row", T.LongType()), T.StructField("rank", rows.schema["__rank"].dataType), T.StructField("fp", T.LongType())]))
+    heads = group_heads(written(prints, "prints")).select(F.col("row").alias("__row"))
+    return rows.join(heads, "__row", "left_semi").select(*docs.columns)
 
 
 def _row_prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         prints = np.array([fingerprint(t) for t in batch.column("text").to_pylist()], np.uint64).view(np.int64)
-        yield pa.RecordBatch.from_arrays([batch.column("rank"), pa.array(prints, pa.int64())], names=["rank", "fp"])
-
-
-def one_per_group(docs: DataFrame) -> DataFrame:
-    """Exactly one row of every component of ``docs`` (doc_id, text, ...), and its root fingerprint as __root.
-
-    Groups are known by their root and rows by a hash of all their columns, so rows with a null or a
-    repeated doc_id count like all others.  The row with the smallest doc_id stays (null last),
-    of these the one with the smallest hash of its text.
-    """
-    small_batches(docs.sparkSession)
-    cols = [F.col(f"`{c}`") for c in docs.columns]
-    row = F.xxhash64(*cols, *(c.isNull() for c in cols))
-    rank = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("text"), row.alias("row"))
-    named = docs.select(rank.alias("rank"), "text")
-    schema = T.StructType([named.schema["rank"], T.StructField("fp", T.LongType())])
-    prints = written(named.mapInArrow(_row_prints, schema), "prints")
-    best = _rooted(written(prints.groupBy("fp").agg(F.min("rank").alias("rank")), "distinct"))
-    kept = written(best.groupBy("root").agg(F.min("rank").alias("rank")).select(F.col("rank.row").alias("__row"), F.col("root").alias("__root")), "kept")
-    return docs.withColumn("__row", row).join(kept, "__row").dropDuplicates(["__row"]).select(*docs.columns, "__root")
+        yield pa.RecordBatch.from_arrays([batch.column("__row"), batch.column("__rank"), pa.array(prints, pa.int64())], names=["row", "rank", "fp"])

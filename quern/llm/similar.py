@@ -1,122 +1,243 @@
 """Rows without texts alike: a set-similarity join on word shingles (the pipeline's near-duplicate stage).
 
-Two texts are alike if the sets of their five-word shingles have a Jaccard similarity of 0.8
-or more.  Such sets share a shingle among the first n - ceil(0.8 n) + 1 of each in any common order,
-so only these meet (prefix filter), and a pair counts once its whole sets are compared.  No pair is missed.
+Operator 6 groups what lies within 2 bits, and one row of each group goes on.  Two of these are
+alike if the sets of their five-word shingles have a Jaccard similarity of 0.8 or more.  At most n // 5
+of a text's n shingles are then not in the other text, so two alike texts share one of the first few of each in any
+common order, and only texts that do meet (prefix filter).  The order is that of the hashes; n // 5 + 1 shingles
+are sure to do, and fewer where the chance that none of them is shared lies below MISS, less than that of two shingles with one hash.
 
-The order puts shingles that a sample shows to be common last, so that a line in many
+Shingles that a sample shows to be common come last, so that a line in many
 texts brings few of them together; it bears on the work alone, never on the result.  Shingles that
 many rows share compare all of these with the least one first: copies of one text leave after one
 comparison each, and only what stays is compared with more.
+
+A pair that meets is first held against parity maps, one bit for every hash class of shingles: maps never differ in
+more bits than the sets do in shingles, so too many bits rule a pair out.  Only what is left is compared by whole
+sets, each text at first with one earlier text alone.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from quern.llm.common import small_batches, written
-from quern.llm.components import connected_components
-from quern.llm.simhash import shingle_hashes
+from quern.llm import simhash
+from quern.llm.common import join_counted, sliced, written
 
 WIDTH = 5
+#: Chance that a text's prefix misses another text at the similarity.
+MISS = 1e-15
 #: One text in so many is looked at for common shingles; these are in COMMON of them or more, and at most MOST are told to all tasks.
 SAMPLE, COMMON, MOST = 16, 8, 1 << 16
 #: Rows of a shingle that are compared in all pairs, and rounds after which those of any shingle are.
 BUCKET, ROUNDS = 32, 12
+#: Texts that are compared with one copy of an earlier one's set.
+SHARE = 64
+_STEP = np.uint64(0x9E3779B97F4A7C15)
+_MIX = np.uint64(0xD6E8FEB86659FD93)
+
+
+def shingle_sets(texts: pa.Array) -> list[np.ndarray]:
+    """Ascending distinct hashes (int64) of each text's WIDTH-word shingles, lower-case in A-Z; of fewer words, of all; no words: none."""
+    lists = pc.ascii_split_whitespace(pc.ascii_trim_whitespace(pc.ascii_lower(pc.fill_null(texts, ""))))
+    coded = lists.flatten().dictionary_encode()
+    word = np.array([xxhash.xxh3_64_intdigest(w) for w in coded.dictionary.to_pylist()], np.uint64)
+    flat = word[coded.indices.to_numpy()] if len(word) else np.zeros(0, np.uint64)
+    ends = np.cumsum(lists.value_lengths().to_numpy()).tolist()
+    mixed = np.zeros(max(0, len(flat) - WIDTH + 1), np.uint64)
+    for k in range(WIDTH):
+        mixed = (mixed ^ flat[k : k + len(mixed)]) * _STEP
+        mixed ^= mixed >> np.uint64(29)
+    mixed = mixed * _MIX
+    mixed ^= mixed >> np.uint64(32)
+    out, start, empty = [], 0, xxhash.xxh3_64_intdigest("")
+    for stop in ends:
+        n = stop - start
+        if n >= WIDTH:
+            keys = np.unique(mixed[start : stop - WIDTH + 1])
+        elif n == 0 or n == 1 and int(flat[start]) == empty:  # an empty text splits into one empty word
+            keys = np.zeros(0, np.uint64)
+        else:
+            keys = np.array([xxhash.xxh64_intdigest(flat[start:stop].tobytes())], np.uint64)
+        out.append(np.sort(keys.view(np.int64)))
+        start = stop
+    return out
+
+
+def prefix_length(n: int, rare: int) -> int:
+    """Shingles of a prefix of a text with n shingles, ``rare`` of which are not common."""
+    other = n // 5  # shingles at most that an alike text has not
+    if other == 0 or rare <= other:
+        return min(n, other + 1)
+    return min(other + 1, math.ceil(math.log(MISS) / math.log(other / rare)))
+
+
+def parity_map(keys: np.ndarray) -> bytes:
+    """A bit for each hash class of the keys, set where it holds an odd number of them; at least twice as many classes as keys."""
+    size = max(64, 1 << max(0, 2 * len(keys) - 1).bit_length())
+    return np.packbits(np.bincount(keys & (size - 1), minlength=size) & 1, bitorder="little").tobytes()
+
+
+def _sketches(common: np.ndarray):
+    """(row, rank, fp, n, keys, map): fingerprint, number of shingles, those of the prefix, parity map."""
+    by = np.argsort(common)
 
+    def prefix(keys: np.ndarray) -> np.ndarray:
+        place = np.zeros(len(keys), np.int64)  # 0: not common, then the commoner the later
+        if len(common):
+            at = by[np.minimum(np.searchsorted(common, keys, sorter=by), len(common) - 1)]
+            place = np.where(common[at] == keys, len(common) - at, 0)
+        return keys[np.lexsort((keys, place))][: prefix_length(len(keys), int((place == 0).sum()))]
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column("text")
+            prints = np.array([simhash.fingerprint(t) for t in texts.to_pylist()], np.uint64).view(np.int64)
+            sets = shingle_sets(texts)
+            cols = [pa.array(prints), pa.array(list(map(len, sets)), pa.int64()), pa.array(list(map(prefix, sets)), pa.list_(pa.int64())), pa.array(list(map(parity_map, sets)), pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column("__row"), batch.column("__rank"), *cols], names=["row", "rank", "fp", "n", "keys", "map"])
 
-def _distinct(text: str | None) -> np.ndarray:
-    return np.unique(shingle_hashes(text, WIDTH)).view(np.int64)
+    return rows
 
 
 def _shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(shingle) of every distinct one of each text."""
+    """(key) of every distinct shingle of each text."""
     for batch in batches:
-        keys = [_distinct(text) for text in batch.column(0).to_pylist()]
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *keys]))], names=["key"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *shingle_sets(batch.column(0))]))], names=["key"])
 
 
-def _first(common: np.ndarray, whole: bool):
-    """(node, n, keys) of texts with n distinct shingles: all of them, or those of the prefix."""
-    by = np.argsort(common)
+def common_shingles(texts: DataFrame) -> np.ndarray:
+    """The shingles of most texts in a sample, the commonest first; copies count once."""
+    some = texts.where(F.pmod(F.xxhash64("text"), F.lit(SAMPLE)) == 0).select("text").distinct().mapInArrow(sliced(_shingles), "key long")
+    many = some.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= COMMON).orderBy(F.desc("n"), "key").limit(MOST)
+    return np.array([r.key for r in many.collect()], np.int64)
 
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sizes, lists = [], []
-            for text in batch.column(1).to_pylist():
-                keys = _distinct(text)
-                sizes.append(len(keys))
-                if not whole and len(keys):
-                    place = np.zeros(len(keys), np.int64)  # 0: not common, then the commoner the later
-                    if len(common):
-                        at = by[np.minimum(np.searchsorted(common, keys, sorter=by), len(common) - 1)]
-                        place = np.where(common[at] == keys, len(common) - at, 0)
-                    keys = keys[np.lexsort((keys, place))][: len(keys) // 5 + 1]
-                lists.append(keys)
-            flat = pa.array(np.concatenate([np.zeros(0, np.int64), *lists]))
-            offsets = pa.array(np.concatenate([[0], np.cumsum([len(x) for x in lists])]).astype(np.int32))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.ListArray.from_arrays(offsets, flat)], names=["node", "n", "keys"])
 
-    return rows
+def sketched(rows: DataFrame) -> DataFrame:
+    """The stored sketches of ``rows`` (__row, __rank, text)."""
+    rank = rows.schema["__rank"].dataType
+    kinds = {"row": T.LongType(), "rank": rank, "fp": T.LongType(), "n": T.LongType(), "keys": T.ArrayType(T.LongType()), "map": T.BinaryType()}
+    work = sliced(_sketches(common_shingles(rows)))
+    return written(rows.select("__row", "__rank", "text").mapInArrow(work, T.StructType([T.StructField(k, v) for k, v in kinds.items()])), "sketches")
 
 
-def common_shingles(texts: DataFrame) -> np.ndarray:
-    """The shingles of most texts in a sample, the commonest first."""
-    some = texts.where(F.pmod(F.xxhash64("text"), F.lit(SAMPLE)) == 0).select("text").mapInArrow(_shingles, "key long")
-    many = some.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= COMMON).orderBy(F.desc("n"), "key").limit(MOST)
-    return np.array([r.key for r in many.collect()], np.int64)
+def _fold(maps: np.ndarray, size: int) -> np.ndarray:
+    """Parity maps (m, bytes) folded to ``size`` bytes."""
+    while maps.shape[1] > size:
+        half = maps.shape[1] // 2
+        maps = maps[:, :half] ^ maps[:, half:]
+    return maps
+
+
+def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(a, b, apart) of the pairs that their parity maps do not rule out, and the bits in which these differ."""
+    for batch in batches:
+        maps = [batch.column(x).to_pylist() for x in ("mapa", "mapb")]
+        sizes = np.array([[len(m) for m in side] for side in maps])
+        apart = np.zeros(batch.num_rows, np.int64)
+        for size in np.unique(sizes, axis=1).T if batch.num_rows else ():
+            at = np.flatnonzero((sizes == size[:, None]).all(axis=0))
+            x, y = (_fold(np.frombuffer(b"".join(side[k] for k in at), np.uint8).reshape(len(at), -1), size.min()) for side in maps)
+            apart[at] = np.bitwise_count(x ^ y).sum(axis=1)
+        both = batch.column("na").to_numpy() + batch.column("nb").to_numpy()
+        keep = pa.array(apart * 9 <= both)
+        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(apart)], names=["a", "b", "apart"]).filter(keep)
+
+
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        cols = [c for name, c in zip(batch.schema.names, batch.columns) if name != "text"]
+        names = [name for name in batch.schema.names if name != "text"]
+        yield pa.RecordBatch.from_arrays([*cols, pa.array(shingle_sets(batch.column("text")), pa.list_(pa.int64()))], names=[*names, "keys"])
+
 
+def _dealt(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Stored ``pairs`` (a, b) as (a, b, part), and (a, part) for each part of about SHARE pairs of an a.
+
+    What a brings to its pairs then meets them in parts, so a text met by very many others is no single task's work.
+    """
+    heads = written(pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n")), "heads")
+    parts = (F.floor(F.col("n") / SHARE) + 1).cast("int")
+    dealt = join_counted(pairs.select("a", "b"), heads, ["a"], "n").select("a", "b", F.pmod(F.xxhash64("b"), parts).cast("int").alias("part"))
+    return dealt, heads.select("a", parts.alias("parts"))
 
-def _alike(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The ``pairs`` (a, b) whose sets of shingles reach the similarity."""
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    sets = written(texts.join(ends, "node", "left_semi").mapInArrow(_first(np.zeros(0, np.int64), True), "node long, n long, keys array<long>"), "sets")
-    side = lambda x: sets.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("keys").alias(f"k{x}"))
-    both = F.size(F.array_intersect("ka", "kb"))
-    return pairs.join(side("a"), "a").join(side("b"), "b").where(both * 5 >= (F.col("na") + F.col("nb") - both) * 4).select("a", "b")
+
+def _per_part(of_a: DataFrame) -> DataFrame:
+    return of_a.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+
+
+def _alike(pairs: DataFrame, rows: DataFrame, kept: DataFrame) -> DataFrame:
+    """The stored ``pairs`` (a, b) whose whole sets of shingles reach the similarity."""
+    dealt, heads = _dealt(pairs)
+    text = lambda ends, node: rows.join(ends.join(kept.withColumnRenamed("node", node), node), "__row")
+    of_b = text(dealt, "b").select("a", "b", "part", "text").mapInArrow(sliced(_sets), "a long, b long, part int, keys array<long>")
+    of_a = text(heads, "a").select("a", "parts", "text").mapInArrow(sliced(_sets), "a long, parts int, keys array<long>")
+    of_a = _per_part(of_a.withColumnRenamed("keys", "own"))
+    both = F.size(F.array_intersect("own", "keys"))
+    return of_b.join(of_a, ["a", "part"]).where(both * 5 >= (F.size("own") + F.size("keys") - both) * 4).select("a", "b")
+
+
+def _maybe_alike(pairs: DataFrame, maps: DataFrame) -> DataFrame:
+    """(a, b, apart) of the stored ``pairs`` that the parity ``maps`` (node, n, map) do not rule out."""
+    dealt, heads = _dealt(pairs)
+    side = lambda x: maps.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("map").alias(f"map{x}"))
+    return dealt.join(side("b"), "b").join(_per_part(heads.join(side("a"), "a")), ["a", "part"]).mapInArrow(sliced(_near), "a long, b long, apart long")
 
 
 def _sizes_fit(a: str, b: str):
     return (F.col(a) * 5 >= F.col(b) * 4) & (F.col(b) * 5 >= F.col(a) * 4)
 
 
-def similar_links(texts: DataFrame, bucket: int = BUCKET, rounds: int = ROUNDS) -> DataFrame:
-    """(a, b) links of alike texts (node long, text); no two of the least nodes of their components are alike."""
-    small_batches(texts.sparkSession)
-    texts = texts.select("node", "text")
-    prefix = written(texts.mapInArrow(_first(common_shingles(texts), False), "node long, n long, keys array<long>").select("node", "n", F.explode("keys").alias("key")), "prefix")
-    shared = prefix.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("key")
-    met, found = written(prefix.join(shared, "key"), "met"), None
+def similar_links(rows: DataFrame, sketches: DataFrame, kept: DataFrame, bucket: int = BUCKET, rounds: int = ROUNDS) -> DataFrame:
+    """(a, b) links, a < b, of alike texts: no two texts that are no link's b are alike.
+
+    ``rows`` (__row, text) and ``sketches`` are stored tables, ``kept`` (__row, node) is stored too and names the
+    rows that take part; nodes are distinct longs.
+    """
+    known = sketches.join(kept, sketches["row"] == kept["__row"])
+    met = written(known.select("node", "n", F.explode("keys").alias("key")), "prefix")
+    maps = written(known.select("node", "n", "map"), "maps")
+    found = None
     for turn in range(rounds + 1):
         groups = written(met.groupBy("key").agg(F.min(F.struct("node", "n")).alias("head"), F.count(F.lit(1)).alias("m")).where("m > 1"), "groups")
         # first every shingle's rows meet its least one; then small groups are paired out, and large ones take the next
         whole = F.lit(False) if turn == 0 else F.lit(True) if turn == rounds else F.col("m") <= bucket
-        led = met.join(groups.where(~whole), "key").select(F.col("head.node").alias("a"), F.col("node").alias("b"), F.col("head.n").alias("na"), F.col("n").alias("nb"))
-        rest = met.join(groups.where(whole).select("key"), "key")
+        met = written(join_counted(met, groups, ["key"], "m"), "met")
+        led = met.where(~whole).select(F.col("head.node").alias("a"), F.col("node").alias("b"), F.col("head.n").alias("na"), F.col("n").alias("nb"))
+        rest = met.where(whole)
         out = rest.select("key", F.col("node").alias("a"), F.col("n").alias("na")).join(rest.select("key", F.col("node").alias("b"), F.col("n").alias("nb")), "key")
         pairs = written(led.unionByName(out.drop("key")).where("a < b").where(_sizes_fit("na", "nb")).select("a", "b").distinct(), "pairs")
-        new = written(_alike(pairs, texts), "alike")
+        near = written(_maybe_alike(pairs, maps), "near")
+        first = written(near.groupBy("b").agg(F.min(F.struct("apart", "a")).alias("best")).select("best.a", "b"), "first")
+        new = written(_alike(first, rows, kept), "alike")
+        second = near.join(new.select("b"), "b", "left_anti").join(first, ["a", "b"], "left_anti").select("a", "b")
+        if not (second := written(second, "second")).isEmpty():
+            new = written(new.union(_alike(second, rows, kept)), "alike")
         found = new if found is None else found.union(new)
-        large = groups.where(~whole).select("key", F.col("head.node").alias("head"))
-        gone = new.select(F.col("b").alias("node")).distinct()
-        left = met.join(gone, "node", "left_anti").join(large, "key").where("node <> head").drop("head")
-        met = written(left, "met")
-        if met.isEmpty():
-            return found
+        left = met.where("node <> head.node").where(~whole).select("node", "n", "key")
+        met = written(left.join(new.select(F.col("b").alias("node")).distinct(), "node", "left_anti"), "left")
+        if turn == rounds or met.isEmpty():
+            break
     return found
 
 
-def keep_dissimilar(docs: DataFrame, node: str) -> DataFrame:
-    """``docs`` (text, ...) without texts alike: of each group of linked rows the one with the least ``node`` (long, a key).
+def keep_dissimilar(docs: DataFrame) -> DataFrame:
+    """``docs`` (doc_id, text, ...) with one row of each SimHash group, and of these none alike to another; all columns stay.
 
-    No two kept rows are alike, and a chain of alike pairs leads from every dropped row to a kept one.
+    Groups are operator 6's; of each the row with the least doc_id stays (null last, then by hashes of the text and all columns).
+    Among these no two are alike, and each that goes is alike to one with a smaller root fingerprint, which stays or
+    is itself alike to such a one.  Empty texts are one group; texts without words are alike to none.
     """
-    docs = written(docs, "docs")
-    links = written(similar_links(docs.select(F.col(node).alias("node"), "text")), "links")
-    gone = written(connected_components(links).where("node <> component").select(F.col("node").alias(node)), "gone")
-    return docs.join(gone, node, "left_anti")
+    rows = written(docs.withColumn("__rank", simhash.row_rank(docs)).withColumn("__row", F.monotonically_increasing_id()), "rows")
+    sketches = sketched(rows)
+    kept = written(simhash.group_heads(sketches.select("row", "rank", "fp")).select(F.col("row").alias("__row"), F.col("root").alias("node")), "kept")
+    gone = similar_links(rows, sketches, kept).select(F.col("b").alias("node")).distinct()
+    return rows.join(written(kept.join(gone, "node", "left_anti"), "stay"), "__row", "left_semi").select(*docs.columns)

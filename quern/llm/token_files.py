@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import fresh_path, small_batches
+from quern.llm.common import fresh_path, sliced
 from quern.llm.tokens import vocabulary_path, worker_tokenizer
 
 MAGIC = b"QTOK"
@@ -156,15 +156,15 @@ def write_token_files(docs: DataFrame, path: str, vocabulary: str | None = None,
     its part, so no task sees more than its own range.
     """
     spark = docs.sparkSession
-    small_batches(spark)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ranged = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
-    ranged.mapInArrow(_containers(vocabulary or vocabulary_path(), end_id), FILE_SCHEMA).write.parquet(path)
+    ranged.mapInArrow(sliced(_containers(vocabulary or vocabulary_path(), end_id)), FILE_SCHEMA).write.parquet(path)
 
 
 def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for row in batch.to_pylist():
+        for k in range(batch.num_rows):
+            (row,) = batch.slice(k, 1).to_pylist()
             box = Container(row["payload"])
             ids = box.ids(0, box.n_ids).astype("<u4").tobytes()
             ends = np.cumsum(box.lengths)

@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.llm.common import small_batches
+from quern.llm.common import sliced
 
 #: Hash space of the features, in bits.
 BITS = 20
@@ -144,14 +144,13 @@ def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, fit_byte
     order of their hash until the bytes are reached, and only the weights that L1 leaves come to the driver.  Ids labelled more than once count as
     their highest label; null labels or ids do not count.
     """
-    small_batches(docs.sparkSession)
     known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & (fold(F.col("doc_id")) != 0))
     known = known.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows)
     text = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").groupBy("doc_id").agg(F.max("text").alias("text"), F.max("toxic").alias("toxic"))
     text = text.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "toxic")
     running = F.sum(F.octet_length("text")).over(Window.orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, 0))
-    got = text.withColumn("bytes", running).where(F.col("bytes") <= fit_bytes).drop("bytes").mapInArrow(_fit, "place long, weight double").toPandas()
+    got = text.withColumn("bytes", running).where(F.col("bytes") <= fit_bytes).drop("bytes").mapInArrow(sliced(_fit), "place long, weight double").toPandas()
     return got["place"].to_numpy(), got["weight"].to_numpy()
 
 
@@ -179,8 +178,7 @@ def _scores(model: tuple[np.ndarray, np.ndarray]):
 
 def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray]) -> DataFrame:
     """(doc_id, score) of every whole text; empty and null texts get the bias alone, repeated rows repeat."""
-    small_batches(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_scores(model), "doc_id long, score double")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(sliced(_scores(model)), "doc_id long, score double")
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -208,4 +206,4 @@ def _kept(model: tuple[np.ndarray, np.ndarray], at_least: float):
 def drop_toxic(docs: DataFrame, labels: DataFrame, at_least: float = 0.5) -> DataFrame:
     """The rows of ``docs`` that score below ``at_least``; all columns stay, whatever the doc_id, null and repeated ones included."""
     model = train(docs, labels)
-    return docs.mapInArrow(_kept(model, at_least), docs.schema)
+    return docs.mapInArrow(sliced(_kept(model, at_least)), docs.schema)

@@ -2,7 +2,10 @@
 
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from quern.llm import registry, simhash, similar
@@ -91,8 +94,34 @@ def test_similar_links_leave_nothing_alike(spark, bucket, rounds):
         texts.append(" ".join(base))
     texts = sorted(set(texts))
     sets = [shingle_set(t) for t in texts]
-    df = spark.createDataFrame(list(enumerate(texts)), "node long, text string")
-    links = {(x.a, x.b) for x in similar.similar_links(df, bucket, rounds).collect()}
+    df = spark.createDataFrame(list(enumerate(texts)), "__row long, text string").withColumn("__rank", F.struct("__row"))
+    kept = df.select("__row", F.col("__row").alias("node"))
+    links = {(x.a, x.b) for x in similar.similar_links(df, similar.sketched(df), kept, bucket, rounds).collect()}
     assert links and all(a < b and alike(sets[a], sets[b]) for a, b in links)
     kept = set(range(len(texts))) - {b for _, b in links}
+    assert {b for _, b in links} <= {j for i in range(len(texts)) for j in range(i + 1, len(texts)) if alike(sets[i], sets[j])}
     assert not [1 for i in kept for j in kept if i < j and alike(sets[i], sets[j])]
+
+
+def test_shingle_sets_are_those_of_the_words():
+    texts = ["A b c d e f", "a  B\tc d e f", "a b c d e f a b c d e", "a b", "a  b", "b a", "", None, " \n", "x", "a b c d e", "É b c d e", "é b c d e"]
+    sets = [x.tolist() for x in similar.shingle_sets(pa.array(texts))]
+    assert [len(x) for x in sets] == [len(shingle_set("".join(c.lower() if c < "\x80" else c for c in t or ""))) if t != "É b c d e" else 1 for t in texts]
+    assert sets[0] == sets[1] and set(sets[0]) < set(sets[2]) and sets[3] == sets[4] != sets[5] and sets[11] != sets[12]
+    assert all(x == sorted(set(x)) for x in sets) and [x.tolist() for x in similar.shingle_sets(pa.array(texts[3:]))] == sets[3:]
+
+
+def test_prefixes_and_maps_miss_nothing():
+    """Pairs at just the similarity share a prefix shingle; maps differ in no more bits than sets in shingles."""
+    assert [similar.prefix_length(n, n) for n in (0, 1, 4, 5, 40)] == [0, 1, 1, 2, 9] and similar.prefix_length(10_000, 10_000) == 22
+    assert similar.prefix_length(1000, 150) == 201 and 22 < similar.prefix_length(10_000, 5_000) < 50
+    r = np.random.default_rng(3)
+    for n in (5, 30, 200, 3000):
+        for _ in range(50):
+            all_ = r.integers(-(2**63), 2**63 - 1, n, dtype=np.int64)
+            x, y = np.sort(all_[: n - n // 10]), np.sort(all_[n // 10 :])
+            k, m = similar.prefix_length(len(x), len(x)), similar.prefix_length(len(y), len(y))
+            assert set(x[:k].tolist()) & set(y[:m].tolist())
+            maps = [np.frombuffer(similar.parity_map(z), np.uint8)[None, :] for z in (x, y)]
+            size = min(z.shape[1] for z in maps)
+            assert np.bitwise_count(similar._fold(maps[0], size) ^ similar._fold(maps[1], size)).sum() <= len(np.setxor1d(x, y))

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.llm import mixing, packing, pii, registry, similar, simhash, toxicity
+from quern.llm import mixing, packing, pii, registry, similar, toxicity
 from quern.llm.common import fresh_path, table
 
 
@@ -30,7 +30,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     without an id, or one that shares its id with another text, is lost only to a copy.  All empty and null
     texts are one group.  All columns stay, and the choice does not depend on the order of rows.
     """
-    return similar.keep_dissimilar(simhash.one_per_group(docs), "__root").drop("__root")
+    return similar.keep_dissimilar(docs)
 
 
 def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

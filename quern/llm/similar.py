@@ -39,6 +39,8 @@ MISS = 1e-15
 SAMPLE, COMMON, MOST = 16, 8, 1 << 16
 #: Rows of a shingle that are compared in all pairs, and rounds after which those of any shingle are.
 BUCKET, ROUNDS = 32, 12
+#: Pairs for each text up to which what is left is compared in all pairs, so that no more rounds are needed.
+PAIRS = 8
 #: Texts that are compared with one copy of an earlier one's set.
 SHARE = 64
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -205,11 +207,12 @@ def similar_links(rows: DataFrame, sketches: DataFrame, kept: DataFrame, bucket:
     known = sketches.join(kept, sketches["row"] == kept["__row"])
     met = written(known.select("node", "n", F.explode("keys").alias("key")), "prefix")
     maps = written(known.select("node", "n", "map"), "maps")
-    found = None
+    found, most = None, PAIRS * kept.count()
     for turn in range(rounds + 1):
         groups = written(met.groupBy("key").agg(F.min(F.struct("node", "n")).alias("head"), F.count(F.lit(1)).alias("m")).where("m > 1"), "groups")
         # first every shingle's rows meet its least one; then small groups are paired out, and large ones take the next
-        whole = F.lit(False) if turn == 0 else F.lit(True) if turn == rounds else F.col("m") <= bucket
+        last = turn == rounds or turn > 0 and (groups.agg(F.sum(F.col("m") * (F.col("m") - 1) / 2)).first()[0] or 0) <= most
+        whole = F.lit(False) if turn == 0 else F.lit(True) if last else F.col("m") <= bucket
         met = written(join_counted(met, groups, ["key"], "m"), "met")
         led = met.where(~whole).select(F.col("head.node").alias("a"), F.col("node").alias("b"), F.col("head.n").alias("na"), F.col("n").alias("nb"))
         rest = met.where(whole)
@@ -217,14 +220,19 @@ def similar_links(rows: DataFrame, sketches: DataFrame, kept: DataFrame, bucket:
         pairs = written(led.unionByName(out.drop("key")).where("a < b").where(_sizes_fit("na", "nb")).select("a", "b").distinct(), "pairs")
         near = written(_maybe_alike(pairs, maps), "near")
         first = written(near.groupBy("b").agg(F.min(F.struct("apart", "a")).alias("best")).select("best.a", "b"), "first")
-        new = written(_alike(first, rows, kept), "alike")
+        if first.isEmpty():
+            new = first.select("a", "b")
+        else:
+            new = written(_alike(first, rows, kept), "alike")
         second = near.join(new.select("b"), "b", "left_anti").join(first, ["a", "b"], "left_anti").select("a", "b")
         if not (second := written(second, "second")).isEmpty():
             new = written(new.union(_alike(second, rows, kept)), "alike")
         found = new if found is None else found.union(new)
+        if last:
+            break
         left = met.where("node <> head.node").where(~whole).select("node", "n", "key")
         met = written(left.join(new.select(F.col("b").alias("node")).distinct(), "node", "left_anti"), "left")
-        if turn == rounds or met.isEmpty():
+        if met.isEmpty():
             break
     return found
 

@@ -53,7 +53,7 @@ def calibration_error(scored: DataFrame, keys: list[str], n: int = 10) -> DataFr
     """(keys, ece, mce, label): expected and largest gap between forecast and frequency."""
     gap = F.abs(F.col("mean_p") - F.col("frequency"))
     per = reliability(scored, keys, n).groupBy(*keys).agg((F.sum(F.col("n") * gap) / F.sum("n")).alias("ece"), F.max(gap).alias("mce"))
-    return per.withColumn("label", F.when(F.col("ece") < 0.05, "well calibrated").when(F.col("ece") < 0.10, "roughly calibrated").otherwise("poorly calibrated"))
+    return per.withColumn("label", F.when(F.col("ece") < 0.05, "well-calibrated").when(F.col("ece") < 0.10, "moderately calibrated").otherwise("poorly calibrated"))
 
 
 def conformal_q(scores: DataFrame, keys: list[str], alpha: float) -> DataFrame:

@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from quern.functions.text import tokens
 
 
+#: Queries that are told to all tasks at once, about.
+QUERY_BLOCK = 4096
+
+
 def bm25(docs: DataFrame, queries: DataFrame, k: int, k1: float = 1.5, b: float = 0.75) -> DataFrame:
     """(query_id, doc_id, score, rank) best rows of docs (doc_id, text) for queries (query_id, text).
 
@@ -42,10 +46,16 @@ def cosine(a: Column, b: Column) -> Column:
 def nearest(rows: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """(query_id, vec_id, score, rank): the k rows (vec_id, embedding) nearest to each query (query_id, q).
 
-    The query set is stated and small, so it goes to every task; rows never meet each other.
+    The query set is stated and goes to every task in blocks of about QUERY_BLOCK; each block keeps its
+    k best, and rows never meet each other.
     """
-    scored = rows.crossJoin(F.broadcast(queries)).select("query_id", "vec_id", F.round(cosine(F.col("embedding"), F.col("q")), 6).alias("score"))
-    return best(scored, ["query_id"], k, F.desc("score"), F.col("vec_id"))
+    blocks, out = -(-queries.count() // QUERY_BLOCK), None
+    for block in range(max(1, blocks)):
+        part = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(max(1, blocks))) == block)
+        scored = rows.crossJoin(F.broadcast(part)).select("query_id", "vec_id", F.round(cosine(F.col("embedding"), F.col("q")), 6).alias("score"))
+        found = best(scored, ["query_id"], k, F.desc("score"), F.col("vec_id"))
+        out = found if out is None else out.unionByName(found)
+    return out
 
 
 def fuse(lists: DataFrame, keys: list[str], k: int = 60) -> DataFrame:

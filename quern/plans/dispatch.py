@@ -115,7 +115,7 @@ def _questions(spark, sf_dir):
     verb = F.when(size % 4 == 0, "discloses").when(size % 4 == 1, "warns about").when(size % 4 == 2, "mentions").otherwise("has")
     question = F.concat(text("Of the "), what, text(" that "), F.col("p_brand"), text(" names, which one "), verb, text(" "), F.col("p_name"), F.when(size % 3 < 2, text(" in its own filings?")).otherwise(text("?")))
     p = views.table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_name", "p_size", question.alias("question"))
-    return p.withColumn("bridging", F.lower("question").rlike("supplier|its own|their own"))
+    return p.withColumn("bridging", F.lower("question").rlike("supplier|suppliers|customer|customers|vendor|partner|partners|its own|their own|in its filings|in their filings|in its own|in their own"))
 
 
 @query(f"""WITH q AS (SELECT *, {_QUESTION} AS question FROM part) SELECT p_partkey, question, CASE WHEN p_size % 3 < 2 THEN p_brand || ' names the ' || CASE p_size % 3 WHEN 0 THEN 'supplier' ELSE 'rival' END || '|' || 'its own ' || p_name || ' disclosure' ELSE p_name || ' disclosure' END AS aspects, CASE WHEN p_size % 3 < 2 THEN 2 ELSE 1 END AS n_aspects FROM q""")
@@ -130,7 +130,7 @@ def question_templates(spark, sf_dir):
 _TOPIC = "coalesce(" + ", ".join(f"CASE WHEN bridging AND strpos(lower(question), ' {c} ') > 0 THEN nullif(trim(regexp_replace(substring(question, strpos(lower(question), ' {c} ') + {len(c) + 2}), '{rq.TOPIC_TAIL}', '', 'gi')), '') END" for c in rq.TOPIC_CUES) + ", question)"
 
 
-@query(f"""WITH q AS (SELECT *, {_QUESTION} AS question FROM part), b AS (SELECT *, regexp_matches(lower(question), 'supplier|its own|their own') AS bridging FROM q) SELECT p_partkey, bridging, 'Acme ' || {_TOPIC} AS scoped FROM b""")
+@query(f"""WITH q AS (SELECT *, {_QUESTION} AS question FROM part), b AS (SELECT *, regexp_matches(lower(question), 'supplier|suppliers|customer|customers|vendor|partner|partners|its own|their own|in its filings|in their filings|in its own|in their own') AS bridging FROM q) SELECT p_partkey, bridging, 'Acme ' || {_TOPIC} AS scoped FROM b""")
 def scoped_queries(spark, sf_dir):
     """What to search in a company that was met on the way: the topic of a bridging question, or all of it."""
     q = _questions(spark, sf_dir)
@@ -242,12 +242,12 @@ def compare_symbols(spark, sf_dir):
     return wanted.join(s, "sym", "left").withColumn("error", F.when(F.col("n").isNull(), "no bars"))
 
 
-@query("SELECT conv_id, turn, true AS same, role FROM conversations")
+@query("""SELECT conv_id, turn, role, md5(coalesce("text", '')) AS digest, "text" IS NULL AS blank FROM conversations""")
 def message_roundtrip(spark, sf_dir):
     """Messages as JSON and back."""
     c = views.table(spark, sf_dir, "conversations")
     back = F.from_json(F.to_json(F.struct("role", "text")), "role string, text string")
-    return c.select("conv_id", "turn", (back["text"].eqNullSafe(F.col("text")) & back["role"].eqNullSafe(F.col("role"))).alias("same"), back["role"].alias("role"))
+    return c.select("conv_id", "turn", back["role"].alias("role"), F.md5(F.coalesce(back["text"], F.lit(""))).alias("digest"), back["text"].isNull().alias("blank"))
 
 
 @query("""WITH m AS (SELECT DISTINCT CAST(ts AS DATE) AS day, user_id FROM events WHERE event_type <> 'error'), s AS (SELECT DISTINCT day + 1 AS day, user_id FROM m)

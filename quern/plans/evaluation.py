@@ -63,7 +63,7 @@ def reliability_bins(spark, sf_dir):
 
 @query(
     f"""WITH {BINS}, e AS (SELECT threshold, sum(n * abs(mean_p - frequency)) / sum(n) AS ece, max(abs(mean_p - frequency)) AS mce FROM bins GROUP BY threshold)
-    SELECT threshold, round(ece, 6) AS ece, round(mce, 6) AS mce, CASE WHEN ece < 0.05 THEN 'well calibrated' WHEN ece < 0.10 THEN 'roughly calibrated' ELSE 'poorly calibrated' END AS label FROM e"""
+    SELECT threshold, round(ece, 6) AS ece, round(mce, 6) AS mce, CASE WHEN ece < 0.05 THEN 'well-calibrated' WHEN ece < 0.10 THEN 'moderately calibrated' ELSE 'poorly calibrated' END AS label FROM e"""
 )
 def ece_mce(spark, sf_dir):
     """Expected and largest calibration error."""

@@ -71,17 +71,21 @@ def news_daily_topics_unpivot(spark, sf_dir):
     return views.records(spark, sf_dir).select("day", "tone", F.explode(F.array_compact(flags)).alias("topic")).groupBy("day", "topic").agg(*tone_block())
 
 
-_TITLE_FLAGS = {"has_en": "(^|[^a-z])(the|and)([^a-z]|$)", "has_fr": "(^|[^a-z])(le|la|les)([^a-z]|$)", "has_de": "(^|[^a-z])(der|die|das)([^a-z]|$)", "has_digit": "[0-9]"}
+#: What a source's titles are given at their end, by the source's number: events, and words that only look like them.
+_TITLE_ENDS = (" Revenue guidance", " FTC lawsuit", " upgrades to outperform", " Downgraded: SELL", " misses secular finery", "")
+_TITLED = "title || CASE TRY_CAST(substring(source, 4) AS INT) % 6 " + " ".join(f"WHEN {k} THEN '{x}'" for k, x in enumerate(_TITLE_ENDS[:-1])) + " ELSE '' END"
 
 
 @query(
     f"""WITH {ARTICLES} SELECT source, count(*) AS n, round(coalesce(avg(sentiment), 0), 6) AS mean_sentiment, round(count(sentiment) / count(*), 6) AS coverage, round(count(*) FILTER (sentiment > 0.15) / count(*), 6) AS pct_positive, round(count(*) FILTER (sentiment < -0.15) / count(*), 6) AS pct_negative,
-    {', '.join(f"bool_or(regexp_matches(lower(title), '{p}')) AS {n}" for n, p in _TITLE_FLAGS.items())} FROM articles GROUP BY source"""
+    {', '.join(f"bool_or(regexp_matches({_TITLED}, '(?i){p}')) AS {n}" for n, p in tx.TITLE_EVENTS.items())} FROM articles GROUP BY source"""
 )
 def news_feature_block(spark, sf_dir):
-    """Sentiment shares over all articles of a source, and title flags."""
+    """Sentiment shares over all articles of a source, and which events their titles name."""
     a, s, n = articles(spark, sf_dir), F.col("sentiment"), F.count(F.lit(1))
-    flags = [F.bool_or(F.lower("title").rlike(p)).alias(k) for k, p in _TITLE_FLAGS.items()]
+    kind = F.substring("source", 4, 9).try_cast("int") % 6
+    end = F.coalesce(*(F.when(kind == k, F.lit(x)) for k, x in enumerate(_TITLE_ENDS)), F.lit(""))
+    flags = [F.bool_or(F.concat("title", end).rlike(f"(?i){p}")).alias(k) for k, p in tx.TITLE_EVENTS.items()]
     return a.groupBy("source").agg(n.alias("n"), r6(F.coalesce(F.avg(s), F.lit(0.0))).alias("mean_sentiment"), r6(F.count(s) / n).alias("coverage"), r6(F.count_if(s > 0.15) / n).alias("pct_positive"), r6(F.count_if(s < -0.15) / n).alias("pct_negative"), *flags)
 
 
@@ -156,7 +160,12 @@ def articles_clean(spark, sf_dir):
 _CANON = """'https://news.' || lower(source) || '.example.com/a/' || (doc_id % 300) || CASE WHEN doc_id % 2 = 0 THEN '?id=1' ELSE '?b=2' END"""
 
 
-@query(f"WITH {ARTICLES} SELECT doc_id, {_CANON} AS url FROM articles")
+@query(
+    rf"""WITH {ARTICLES}, u AS (SELECT doc_id, regexp_replace(url, '#.*$', '') AS u FROM articles),
+    p AS (SELECT doc_id, lower(regexp_extract(u, '^[A-Za-z]+://[^/?]+')) AS head, regexp_replace(regexp_extract(u, '^[A-Za-z]+://[^/?]+([^?]*)', 1), '/+$', '') AS path,
+      list_filter(string_split(regexp_extract(u, '\?(.*)$', 1), '&'), lambda q: regexp_matches(q, '=.') AND NOT regexp_matches(lower(q), '^({"|".join(tx.TRACKING)})')) AS qs FROM u)
+    SELECT doc_id, head || CASE WHEN path = '' THEN '/' ELSE path END || CASE WHEN len(qs) > 0 THEN '?' || array_to_string(qs, '&') ELSE '' END AS url FROM p"""
+)
 def canonical_url(spark, sf_dir):
     """URLs without case, tracking, fragments and closing slashes."""
     return articles(spark, sf_dir).select("doc_id", tx.canonical_url(F.col("url")).alias("url"))

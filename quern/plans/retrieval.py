@@ -19,13 +19,13 @@ def docs(spark, sf_dir) -> DataFrame:
     return views.table(spark, sf_dir, "documents")
 
 
-def asked(spark, sf_dir, n: int = 10) -> DataFrame:
-    """(query_id, text): the first passages of the benchmark as questions."""
-    return views.table(spark, sf_dir, "benchmark").where(F.col("item_id") < n).select(F.col("item_id").alias("query_id"), "text")
+def asked(spark, sf_dir) -> DataFrame:
+    """(query_id, text): the benchmark's passages as questions."""
+    return views.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
 
 
-def bm25_sql(where: str = "true", n: int = 10, name: str = "bm") -> str:
-    return f"""qtok AS (SELECT query_id, w, count(*) AS qn FROM (SELECT item_id AS query_id, unnest(regexp_extract_all(lower("text"), '[a-z0-9]+')) AS w FROM benchmark WHERE item_id < {n}) GROUP BY 1, 2),
+def bm25_sql(where: str = "true", name: str = "bm") -> str:
+    return f"""qtok AS (SELECT query_id, w, count(*) AS qn FROM (SELECT item_id AS query_id, unnest(regexp_extract_all(lower("text"), '[a-z0-9]+')) AS w FROM benchmark) GROUP BY 1, 2),
   dtok AS (SELECT doc_id, regexp_extract_all(lower(coalesce("text", '')), '[a-z0-9]+') AS x FROM documents WHERE {where}), tot AS (SELECT count(*) AS n_docs, avg(len(x)) AS avgdl FROM dtok),
   tf AS (SELECT doc_id, dl, w, count(*) AS tf FROM (SELECT doc_id, len(x) AS dl, unnest(x) AS w FROM dtok) WHERE w IN (SELECT w FROM qtok) GROUP BY 1, 2, 3), dfs AS (SELECT w, count(*) AS df FROM tf GROUP BY w),
   part AS (SELECT doc_id, w, ln((n_docs - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE) + 1) * tf * 2.5::DOUBLE / (tf + 1.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / avgdl)) AS part FROM tf JOIN dfs USING (w), tot),
@@ -48,21 +48,22 @@ def bm25_topk_filtered(spark, sf_dir):
     return rt.bm25(docs(spark, sf_dir).where(_EN), asked(spark, sf_dir), 5).select("query_id", "doc_id", "rank", r6(F.col("score")).alias("score"))
 
 
-def _vectors(spark, sf_dir, n: int = 20):
+def _vectors(spark, sf_dir):
+    """All vectors, and as queries those whose id is divisible by 100."""
     e = views.table(spark, sf_dir, "embeddings")
-    return e, e.where(F.col("vec_id") < n).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    return e, e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
 
 
 _COS = "round(list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])) / (sqrt(list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(a.embedding AS DOUBLE[]))) * sqrt(list_dot_product(CAST(q.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])))), 6)"
 
 
 def cosine_sql(where: str, k: int, name: str = "cs") -> str:
-    return f"{name} AS (SELECT query_id, vec_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM (SELECT q.vec_id AS query_id, a.vec_id, {_COS} AS score FROM embeddings a, embeddings q WHERE q.vec_id < 20 AND {where}) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= {k})"
+    return f"{name} AS (SELECT query_id, vec_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM (SELECT q.vec_id AS query_id, a.vec_id, {_COS} AS score FROM embeddings a, embeddings q WHERE q.vec_id % 100 = 0 AND {where}) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= {k})"
 
 
 @query(f"WITH {cosine_sql('true', 5)} SELECT * FROM cs")
 def cosine_topk(spark, sf_dir):
-    """The five vectors nearest to each of twenty."""
+    """The five vectors nearest to each whose id is divisible by 100."""
     e, q = _vectors(spark, sf_dir)
     return rt.nearest(e, q, 5).select("query_id", "vec_id", "score", "rank")
 
@@ -87,11 +88,11 @@ def dedupe_by_text_topk(spark, sf_dir):
 def lists(spark, sf_dir) -> DataFrame:
     """(query_id, list, rank, id): BM25 over all and over English texts."""
     a = rt.bm25(docs(spark, sf_dir), asked(spark, sf_dir), 30).select("query_id", F.lit(0).alias("list"), "rank", F.col("doc_id").alias("id"))
-    b = rt.bm25(docs(spark, sf_dir).where("doc_id % 2 = 0"), asked(spark, sf_dir), 30).select("query_id", F.lit(1).alias("list"), "rank", F.col("doc_id").alias("id"))
+    b = rt.bm25(docs(spark, sf_dir).where(_EN), asked(spark, sf_dir), 30).select("query_id", F.lit(1).alias("list"), "rank", F.col("doc_id").alias("id"))
     return a.union(b)
 
 
-LISTS = f"""{bm25_sql(name='bm1')}, dtok2 AS (SELECT doc_id, x FROM dtok WHERE doc_id % 2 = 0), tot2 AS (SELECT count(*) AS n_docs, avg(len(x)) AS avgdl FROM dtok2), tf2 AS (SELECT * FROM tf WHERE doc_id % 2 = 0), dfs2 AS (SELECT w, count(*) AS df FROM tf2 GROUP BY w),
+LISTS = f"""{bm25_sql(name='bm1')}, dtok2 AS (SELECT doc_id, x FROM dtok WHERE doc_id IN (SELECT doc_id FROM documents WHERE lang = 'en')), tot2 AS (SELECT count(*) AS n_docs, avg(len(x)) AS avgdl FROM dtok2), tf2 AS (SELECT * FROM tf WHERE doc_id IN (SELECT doc_id FROM dtok2)), dfs2 AS (SELECT w, count(*) AS df FROM tf2 GROUP BY w),
   part2 AS (SELECT doc_id, w, ln((n_docs - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE) + 1) * tf * 2.5::DOUBLE / (tf + 1.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / avgdl)) AS part FROM tf2 JOIN dfs2 USING (w), tot2),
   bm2 AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM (SELECT query_id, doc_id, round(sum(qn * part), 9) AS score FROM part2 JOIN qtok USING (w) GROUP BY 1, 2) WHERE score > 0),
   lists AS (SELECT query_id, 0 AS list, rank, doc_id AS id FROM bm1 WHERE rank <= 30 UNION ALL SELECT query_id, 1, rank, doc_id FROM bm2 WHERE rank <= 30),
@@ -203,19 +204,19 @@ EDGES = """edges AS (SELECT 's' || s_suppkey AS subject, 'located_in' AS relatio
   UNION ALL SELECT 'n' || n_nationkey, 'part_of', 'r' || n_regionkey, 0.9, [CAST(n_nationkey AS VARCHAR)] FROM nation
   UNION ALL SELECT 's' || s_suppkey, 'depends_on', 's' || ((s_suppkey * 7 + 3) % 50), round((s_suppkey % 10) / 10.0::DOUBLE, 6), [CAST(s_suppkey % 5 AS VARCHAR), CAST(s_suppkey AS VARCHAR)] FROM supplier WHERE s_suppkey % 10 >= 1
   UNION ALL SELECT 's' || s_suppkey, 'competes_with', 's' || ((s_suppkey * 3 + 1) % 50), round((s_suppkey % 7) / 10.0::DOUBLE, 6), [CAST(s_suppkey % 3 AS VARCHAR)] FROM supplier)"""
-WALK = f"""{EDGES}, seeds AS (SELECT 's' || s_suppkey AS seed FROM supplier WHERE s_suppkey < 10), h1 AS (SELECT seed, e.* FROM seeds JOIN edges e ON e.subject = seed),
+WALK = f"""{EDGES}, seeds AS (SELECT 's' || s_suppkey AS seed FROM supplier), h1 AS (SELECT seed, e.* FROM seeds JOIN edges e ON e.subject = seed),
   f2 AS (SELECT DISTINCT seed, object AS node FROM h1 WHERE object <> seed), h2 AS (SELECT f2.seed, e.* FROM f2 JOIN edges e ON e.subject = f2.node),
   walk AS (SELECT seed, subject, relation, object, min(hop) AS hop FROM (SELECT seed, subject, relation, object, 1 AS hop FROM h1 UNION ALL SELECT seed, subject, relation, object, 2 FROM h2) GROUP BY 1, 2, 3, 4)"""
 
 
 def walk(spark, sf_dir) -> DataFrame:
-    seeds = views.table(spark, sf_dir, "supplier").where("s_suppkey < 10").select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("seed"))
+    seeds = views.table(spark, sf_dir, "supplier").select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("seed"))
     return rt.neighbours(edges(spark, sf_dir), seeds, 2)
 
 
 @query(f"WITH {WALK} SELECT * FROM walk")
 def graph_bfs_2hop(spark, sf_dir):
-    """Edges within two hops of ten seeds."""
+    """Edges within two hops of every supplier."""
     return walk(spark, sf_dir)
 
 

@@ -290,22 +290,16 @@ def indicator_snapshot(spark, sf_dir):
 
 
 @query(
-    f"""WITH {SNAPSHOT}, flags AS (SELECT sym, list_filter([CASE WHEN rsi14 >= 70 THEN 'overbought' WHEN rsi14 <= 30 THEN 'oversold' WHEN rsi14 IS NOT NULL THEN 'neutral' END,
-    CASE WHEN c > ma50 THEN 'above_ma50' WHEN c < ma50 THEN 'below_ma50' END, CASE WHEN ma50 > ma200 THEN 'ma50_above_ma200' WHEN ma50 < ma200 THEN 'ma50_below_ma200' END,
-    CASE WHEN macd_hist > 0 THEN 'macd_positive' WHEN macd_hist < 0 THEN 'macd_negative' END], lambda x: x IS NOT NULL) AS f FROM snap)
+    f"""WITH {SNAPSHOT}, flags AS (SELECT sym, list_filter([CASE WHEN ma50 > ma200 AND c > ma50 THEN 'uptrend' WHEN ma50 <= ma200 AND c <= ma50 THEN 'downtrend' END,
+    CASE WHEN rsi14 >= 70 THEN 'overbought' WHEN rsi14 <= 30 THEN 'oversold' END, CASE WHEN vol20 > 0.5 THEN 'high_volatility' END, CASE WHEN worst < -0.30 THEN 'deep_drawdown' END], lambda x: x IS NOT NULL) AS f FROM snap)
     SELECT sym, array_to_string(f, ',') AS flags, CAST(len(f) AS BIGINT) AS n FROM flags"""
 )
 def rule_flags(spark, sf_dir):
-    """Rule names that a symbol's last bar meets."""
-    s = snapshot(views.bars(spark, sf_dir))
-    c = F.col
-    rsi = F.when(c("rsi14") >= 70, "overbought").when(c("rsi14") <= 30, "oversold").when(c("rsi14").isNotNull(), "neutral")
-    flags = F.array_compact(
-        F.array(
-            rsi, F.when(c("c") > c("ma50"), "above_ma50").when(c("c") < c("ma50"), "below_ma50"), F.when(c("ma50") > c("ma200"), "ma50_above_ma200").when(c("ma50") < c("ma200"), "ma50_below_ma200"),
-            F.when(c("macd_hist") > 0, "macd_positive").when(c("macd_hist") < 0, "macd_negative"),
-        )
-    )
+    """Names of the rules that a symbol's last bar meets: trend by both averages, RSI of 70 and 30, volatility above a half, drawdown below 30 %."""
+    s, c = snapshot(views.bars(spark, sf_dir)), F.col
+    trend_ = F.when((c("ma50") > c("ma200")) & (c("c") > c("ma50")), "uptrend").when((c("ma50") <= c("ma200")) & (c("c") <= c("ma50")), "downtrend")
+    rsi = F.when(c("rsi14") >= 70, "overbought").when(c("rsi14") <= 30, "oversold")
+    flags = F.array_compact(F.array(trend_, rsi, F.when(c("vol20") > 0.5, "high_volatility"), F.when(c("worst") < -0.30, "deep_drawdown")))
     return s.select("sym", F.array_join(flags, ",").alias("flags"), F.size(flags).cast("long").alias("n"))
 
 

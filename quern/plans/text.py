@@ -29,10 +29,11 @@ def slug_norm(spark, sf_dir):
     return articles(spark, sf_dir).select("doc_id", tx.slug(F.col("title")).alias("slug"))
 
 
-@query(f"SELECT s_suppkey, regexp_replace(trim(regexp_replace(lower(s_name || CASE s_suppkey % 4 WHEN 0 THEN ' Holdings, Inc.' WHEN 1 THEN ' Co Ltd' WHEN 2 THEN '' ELSE ' Company' END), '[^a-z0-9]+', ' ', 'g')), '^(.+?)( ({tx.SUFFIXES}))+$', '\\1') AS core FROM supplier")
+@query(f"SELECT s_suppkey, regexp_replace(trim(regexp_replace(lower(s_name || CASE s_suppkey % 6 WHEN 0 THEN ' Holdings, Inc.' WHEN 1 THEN ' Co Ltd' WHEN 2 THEN '' WHEN 3 THEN ' Company' WHEN 4 THEN ' Holding GmbH' ELSE ' Companies SE' END), '[^a-z0-9]+', ' ', 'g')), '^(.+?)( ({tx.SUFFIXES}))+$', '\\1') AS core FROM supplier")
 def core_company_name(spark, sf_dir):
     """Company names without closing legal words."""
-    end = F.when(F.col("s_suppkey") % 4 == 0, " Holdings, Inc.").when(F.col("s_suppkey") % 4 == 1, " Co Ltd").when(F.col("s_suppkey") % 4 == 2, "").otherwise(" Company")
+    k = F.col("s_suppkey") % 6
+    end = F.when(k == 0, " Holdings, Inc.").when(k == 1, " Co Ltd").when(k == 2, "").when(k == 3, " Company").when(k == 4, " Holding GmbH").otherwise(" Companies SE")
     return views.table(spark, sf_dir, "supplier").select("s_suppkey", tx.core_name(F.concat("s_name", end)).alias("core"))
 
 
@@ -88,15 +89,14 @@ def section_detect(spark, sf_dir):
 
 # questions and answers -------------------------------------------------------------------
 
-_RISK, _MONEY, _TRADE = ("risk", "warn", "litigation", "exposure"), ("revenue", "margin", "cash flow", "cost"), ("product", "segment", "supplier", "market")
-_BRIDGE = ("supplier", "customer", "competitor", "partner")
-_QUESTION = """'What ' || CASE item_id % 5 WHEN 0 THEN 'risk does src' WHEN 1 THEN 'revenue has src' WHEN 2 THEN 'supplier of src' WHEN 3 THEN 'market has src' ELSE 'is src' END || (item_id % 25) || ' about ' || lower("text")"""
+_RISK, _MONEY, _TRADE, _BRIDGE = tx.RISK_CUES, tx.FINANCIAL_CUES, tx.BUSINESS_CUES, tx.BRIDGE_CUES
+_QUESTION = """'What ' || CASE item_id % 5 WHEN 0 THEN 'liabilities has src' WHEN 1 THEN 'dividend has src' WHEN 2 THEN 'vendor of src' WHEN 3 THEN 'platform has src' ELSE 'competitor is src' END || (item_id % 25) || ' about ' || lower("text")"""
 
 
 def questions(spark, sf_dir) -> DataFrame:
     """(item_id, q, ticker): questions made of the benchmark's passages."""
     i = F.col("item_id")
-    about = F.when(i % 5 == 0, "risk does src").when(i % 5 == 1, "revenue has src").when(i % 5 == 2, "supplier of src").when(i % 5 == 3, "market has src").otherwise("is src")
+    about = F.when(i % 5 == 0, "liabilities has src").when(i % 5 == 1, "dividend has src").when(i % 5 == 2, "vendor of src").when(i % 5 == 3, "platform has src").otherwise("competitor is src")
     return views.table(spark, sf_dir, "benchmark").select("item_id", F.concat(F.lit("What "), about, (i % 25).cast("string"), F.lit(" about "), F.lower("text")).alias("q"), F.when(i % 2 == 0, F.concat(F.lit("src"), (i % 25).cast("string"))).alias("ticker"))
 
 
@@ -205,30 +205,36 @@ def citation_label(spark, sf_dir):
     return docs(spark, sf_dir).select("doc_id", F.concat(F.upper("source"), F.lit(" 10-K "), F.date_format(day, "MMM d, yyyy"), end).alias("label"))
 
 
-@query("""SELECT conv_id, CASE WHEN length(t) > 60 THEN rtrim(t[1:59]) || '…' ELSE t END AS title FROM (SELECT conv_id, arg_min(trim(regexp_replace("text", '[ \\t\\n\\r\\f\\v]+', ' ', 'g')), turn) AS t FROM conversations WHERE role = 'user' AND "text" IS NOT NULL GROUP BY conv_id)""")
+@query("""SELECT conv_id, CASE WHEN t IS NULL THEN 'New chat' WHEN length(t) > 60 THEN t[1:59] || '…' ELSE t END AS title FROM (SELECT conv_id, arg_min(c, turn) FILTER (role = 'user' AND c <> '') AS t FROM (SELECT *, trim(regexp_replace("text", '[ \\t\\n\\r\\f\\v]+', ' ', 'g')) AS c FROM conversations) GROUP BY conv_id)""")
 def thread_title(spark, sf_dir):
-    """A thread's first user message, at most 60 characters."""
-    c = views.table(spark, sf_dir, "conversations").where("role = 'user' and text is not null")
-    t = c.groupBy("conv_id").agg(F.min_by(tx.clean(F.col("text")), "turn").alias("t"))
-    return t.select("conv_id", F.when(F.length("t") > 60, F.concat(F.rtrim(F.substring("t", 1, 59)), F.lit("…"))).otherwise(F.col("t")).alias("title"))
+    """A thread's first user message that is not blank, at most 60 characters; a thread without one is a new chat."""
+    c = views.table(spark, sf_dir, "conversations").withColumn("c", tx.clean(F.col("text")))
+    asks = (F.col("role") == "user") & (F.col("c") != "")
+    t = c.groupBy("conv_id").agg(F.min_by(F.when(asks, F.col("c")), F.when(asks, F.col("turn"))).alias("t"))
+    return t.select("conv_id", F.when(F.col("t").isNull(), "New chat").when(F.length("t") > 60, F.concat(F.substring("t", 1, 59), F.lit("…"))).otherwise(F.col("t")).alias("title"))
 
 
-_FORBIDDEN = "(will|shall) (rise|fall|surge)|price target|guaranteed|we (expect|predict|forecast)|going to (double|crash)|should (buy|sell)"
+_FORBIDDEN = "(?i)" + "|".join(tx.FORECASTS)
+#: Lines that replies are given at their end: forecasts, and reported facts that only look like them.
+_SAID = ("A 12.5% chance of rain", "Analyst raised price target to $300", "My price target is $300\nThe stock will gain 20% soon", "Revenue up 20%; the price will reach $300", "Expected return 5%: 10% upside potential")
+_SAID_SQL = "CASE conv_id % 5 " + " ".join(f"WHEN {k} THEN '{x}'" for k, x in enumerate(_SAID)) + " END"
 
 
-@query(f"""WITH f AS (SELECT conv_id, turn, unnest(string_split_regex("text" || CASE WHEN conv_id % 5 = 0 THEN ' It will rise soon.' WHEN conv_id % 5 = 1 THEN ' You should buy. We expect more.' ELSE '' END, '[.!?]')) AS x FROM conversations WHERE role = 'assistant' AND "text" IS NOT NULL) SELECT conv_id, turn, count(*) AS violations FROM f WHERE regexp_matches(lower(x), '{_FORBIDDEN}') GROUP BY conv_id, turn""")
+@query(f"""WITH f AS (SELECT conv_id, turn, unnest(string_split("text" || chr(10) || {_SAID_SQL}, chr(10))) AS x FROM conversations WHERE role = 'assistant' AND "text" IS NOT NULL) SELECT conv_id, turn, count(*) AS violations FROM f WHERE regexp_matches(x, '{_FORBIDDEN}') GROUP BY conv_id, turn""")
 def forecast_violations(spark, sf_dir):
-    """Fragments of replies that forecast or advise."""
+    """Fragments of replies, a line each, that forecast by themselves; reported facts do not count."""
     c = views.table(spark, sf_dir, "conversations").where("role = 'assistant' and text is not null")
-    end = F.when(F.col("conv_id") % 5 == 0, " It will rise soon.").when(F.col("conv_id") % 5 == 1, " You should buy. We expect more.").otherwise("")
-    f = c.select("conv_id", "turn", F.explode(F.split(F.concat("text", end), "[.!?]")).alias("x"))
-    return f.where(F.lower("x").rlike(_FORBIDDEN)).groupBy("conv_id", "turn").agg(F.count(F.lit(1)).alias("violations"))
+    end = F.coalesce(*(F.when(F.col("conv_id") % 5 == k, F.lit(x)) for k, x in enumerate(_SAID)))
+    f = c.select("conv_id", "turn", F.explode(F.split(F.concat("text", F.lit("\n"), end), "\n")).alias("x"))
+    return f.where(F.col("x").rlike(_FORBIDDEN)).groupBy("conv_id", "turn").agg(F.count(F.lit(1)).alias("violations"))
 
 
-@query("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events WHERE event_id % 3 = 1")
+@query("SELECT event_id, CASE WHEN event_id % 3 < 2 THEN CAST(json_extract(props, '$.k') AS BIGINT) END AS k FROM events")
 def json_lenient(spark, sf_dir):
-    """JSON out of a text around it: its outermost braces."""
-    e = views.table(spark, sf_dir, "events").where("event_id % 3 = 1").withColumn("raw", F.concat(F.lit("Sure! Here: "), "props", F.lit(" Done.")))
+    """JSON out of a text around it: the whole text, else its outermost braces, else nothing."""
+    form = F.col("event_id") % 3
+    raw = F.when(form == 0, F.col("props")).when(form == 1, F.concat(F.lit("Sure! Here: "), "props", F.lit(" Done."))).otherwise(F.concat(F.lit("Sorry, "), F.replace("props", F.lit("}"), F.lit(""))))
+    e = views.table(spark, sf_dir, "events").withColumn("raw", raw)
     whole, inner = F.from_json("raw", "k long"), F.from_json(F.regexp_extract("raw", r"(?s)\{.*\}", 0), "k long")
     return e.select("event_id", F.coalesce(whole["k"], inner["k"]).alias("k"))
 

@@ -140,7 +140,7 @@ def json_log(df: DataFrame) -> DataFrame:
 
 
 #: Elements whose text is not shown, and elements that begin a line (fixed values).
-HIDDEN = {"script", "style", "head", "title", "noscript"}
+HIDDEN = {"script", "style", "head", "title", "noscript", "ix:hidden", "ix:header", "ix:references", "ix:resources"}
 BLOCKS = {"p", "div", "br", "tr", "li", "ul", "ol", "table", "h1", "h2", "h3", "h4", "h5", "h6", "section", "article", "header", "footer", "nav", "blockquote", "pre", "hr"}
 _VOID = {"br", "hr"}
 
@@ -152,13 +152,13 @@ class _Text(HTMLParser):
         self.hidden = 0
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
-        if tag in HIDDEN or tag.startswith("ix:header"):
+        if tag in HIDDEN:
             self.hidden += 1
         if tag in BLOCKS:
             self.out.append("\n")
 
     def handle_endtag(self, tag: str) -> None:
-        if (tag in HIDDEN or tag.startswith("ix:header")) and self.hidden:
+        if tag in HIDDEN and self.hidden:
             self.hidden -= 1
         elif tag in BLOCKS and tag not in _VOID:
             self.out.append("\n")

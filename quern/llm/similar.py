@@ -37,10 +37,10 @@ WIDTH = 5
 MISS = 1e-15
 #: One text in so many is looked at for common shingles; these are in COMMON of them or more, and at most MOST are told to all tasks.
 SAMPLE, COMMON, MOST = 16, 8, 1 << 16
-#: Rows of a shingle that are compared in all pairs, and rounds after which those of any shingle are.
-BUCKET, ROUNDS = 32, 12
+#: Rows of a shingle that are compared in all pairs, eight times as many each round, and rounds after which those of any shingle are.
+BUCKET, ROUNDS = 32, 5
 #: Pairs for each text up to which what is left is compared in all pairs, so that no more rounds are needed.
-PAIRS = 8
+PAIRS = 32
 #: Texts that are compared with one copy of an earlier one's set.
 SHARE = 64
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -212,7 +212,7 @@ def similar_links(rows: DataFrame, sketches: DataFrame, kept: DataFrame, bucket:
         groups = written(met.groupBy("key").agg(F.min(F.struct("node", "n")).alias("head"), F.count(F.lit(1)).alias("m")).where("m > 1"), "groups")
         # first every shingle's rows meet its least one; then small groups are paired out, and large ones take the next
         last = turn == rounds or turn > 0 and (groups.agg(F.sum(F.col("m") * (F.col("m") - 1) / 2)).first()[0] or 0) <= most
-        whole = F.lit(False) if turn == 0 else F.lit(True) if last else F.col("m") <= bucket
+        whole = F.lit(False) if turn == 0 else F.lit(True) if last else F.col("m") <= bucket * 8 ** (turn - 1)
         met = written(join_counted(met, groups, ["key"], "m"), "met")
         led = met.where(~whole).select(F.col("head.node").alias("a"), F.col("node").alias("b"), F.col("head.n").alias("na"), F.col("n").alias("nb"))
         rest = met.where(whole)

@@ -341,12 +341,13 @@ INDEX_FEATURES = """idxf AS (SELECT d, x / 100 AS vix_level, CASE WHEN count(x)
   FROM idx WINDOW w AS (ORDER BY d ROWS BETWEEN 19 PRECEDING AND CURRENT ROW))"""
 
 
-def with_index(bars: DataFrame, index: DataFrame) -> DataFrame:
+def with_index(bars: DataFrame, index: DataFrame, plain: DataFrame | None = None) -> DataFrame:
     """Bars with the index's features as of their day.
 
     The index has one row a day; it is joined to the distinct days first, so the symbols' bars are never sorted by it.
+    ``plain`` are bars of the same days whose plan is shorter.
     """
-    days = bars.select("d").distinct().withColumn("one", F.lit(1))
+    days = (bars if plain is None else plain).select("d").distinct().withColumn("one", F.lit(1))
     known = as_of(days, index_features(index).withColumn("one", F.lit(1)), ["one"], "d", ["vix_level", "vix_rel", "m20"])
     return bars.join(known.drop("one"), "d", "left")
 
@@ -513,7 +514,7 @@ FEATURES = (
 
 def feature_matrix(bars: DataFrame, index: DataFrame, earnings: DataFrame) -> DataFrame:
     """(sym, d, c) and the 24 features of each bar, from data up to that bar."""
-    b = with_returns(days_to_next(with_index(indicators.recursive_indicators(bars), index), earnings))
+    b = with_returns(days_to_next(with_index(indicators.recursive_indicators(bars), index, bars), earnings))
     c, n = F.col, F.col("c")
     ma = {k: gated(F.avg, n, k) for k in (20, 50, 200)}
     vol = {k: gated(F.stddev_samp, c("lr"), k) * YEAR**0.5 for k in (20, 60)}

@@ -239,15 +239,52 @@ def json_lenient(spark, sf_dir):
     return e.select("event_id", F.coalesce(whole["k"], inner["k"]).alias("k"))
 
 
-_TOPICS = {"ai": "artificial intelligence", "fed": "federal reserve", "ev": "electric vehicles"}
+#: Curated topics with their phrases, and other names of them (fixed values).
+TOPICS = {
+    "ai": ("artificial intelligence", "generative AI", "AI model"),
+    "ai_infra": ("AI data center", "GPU cluster", "AI accelerator"),
+    "ai_energy": ("AI power demand", "data center energy", "AI electricity"),
+    "ai_memory": ("HBM", "high bandwidth memory", "AI memory"),
+    "ev": ("electric vehicle", "EV sales", "EV battery"),
+    "robotics": ("robotics", "humanoid robot", "industrial automation"),
+    "semiconductors": ("semiconductor", "chipmaker", "chip foundry"),
+}
+TOPIC_NAMES = {
+    "artificial intelligence": "ai",
+    "ai infrastructure": "ai_infra",
+    "ai infra": "ai_infra",
+    "data centers": "ai_infra",
+    "ai energy": "ai_energy",
+    "ai power": "ai_energy",
+    "ai memory": "ai_memory",
+    "hbm": "ai_memory",
+    "evs": "ev",
+    "electric vehicles": "ev",
+    "electric vehicle": "ev",
+    "robots": "robotics",
+    "humanoid robots": "robotics",
+    "semis": "semiconductors",
+    "semiconductor": "semiconductors",
+    "chips": "semiconductors",
+}
+_ASKED = ("AI", " Data-Centers? ", "e.v.", "Humanoid  robots!", "hbm", "ai_power", "Semis")
+_NAME = "CASE doc_id % 8 " + " ".join(f"WHEN {k} THEN '{x}'" for k, x in enumerate(_ASKED)) + " ELSE title END"
+_KNOWN = {**{k.replace("_", " "): k for k in TOPICS}, **TOPIC_NAMES}
+_SLUG = """trim(regexp_replace(lower(regexp_replace(name, '[^A-Za-z0-9_ \\t\\n\\r-]', ' ', 'g')), '[-_ \\t\\n\\r]+', ' ', 'g'))"""
 
 
-@query(f"""WITH {ARTICLES}, n AS (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'AI' WHEN 1 THEN ' Fed ' WHEN 2 THEN 'e.v.' ELSE title END AS name FROM articles), s AS (SELECT doc_id, name, regexp_replace(lower(name), '[^a-z0-9]+', '', 'g') AS k FROM n)
-SELECT doc_id, CASE k WHEN 'ai' THEN 'artificial intelligence' WHEN 'fed' THEN 'federal reserve' WHEN 'ev' THEN 'electric vehicles' ELSE trim(lower(name)) END AS topic, len(regexp_split_to_array(trim(name), '[ \\t\\n\\r]+')) > 6 AS looks_like_sentence FROM s""")
+@query(
+    f"""WITH {ARTICLES}, n AS (SELECT doc_id, {_NAME} AS name FROM articles), s AS (SELECT *, CASE {_SLUG} {' '.join(f"WHEN '{k}' THEN '{v}'" for k, v in _KNOWN.items())} END AS found FROM n)
+SELECT doc_id, coalesce(found, trim(name)) AS topic, CASE found {' '.join(f"WHEN '{k}' THEN '{'|'.join(v)}'" for k, v in TOPICS.items())} ELSE trim(name) END AS phrases, found IS NOT NULL AS known, len(list_filter(regexp_split_to_array(trim(name), '[ \\t\\n\\r]+'), lambda w: w <> '')) > 6 AS looks_like_sentence FROM s"""
+)
 def topic_resolve(spark, sf_dir):
-    """Topic names by alias, else as they are; and which look like a sentence."""
-    i = F.col("doc_id")
-    n = articles(spark, sf_dir).select("doc_id", F.when(i % 4 == 0, "AI").when(i % 4 == 1, " Fed ").when(i % 4 == 2, "e.v.").otherwise(F.col("title")).alias("name"))
-    known = F.create_map(*(F.lit(x) for kv in _TOPICS.items() for x in kv))
-    key = F.regexp_replace(F.lower("name"), "[^a-z0-9]+", "")
-    return n.select("doc_id", F.coalesce(F.try_element_at(known, key), F.trim(F.lower("name"))).alias("topic"), (F.size(F.split(F.trim("name"), "[ \\t\\n\\r]+")) > 6).alias("looks_like_sentence"))
+    """Topic names by slug or other name, with their phrases, else as they are; and which look like a sentence."""
+    i = F.col("doc_id") % 8
+    name = F.coalesce(*(F.when(i == k, F.lit(x)) for k, x in enumerate(_ASKED)), F.col("title"))
+    n = articles(spark, sf_dir).select("doc_id", name.alias("name"))
+    mapped = lambda d: F.create_map(*(F.lit(x) for kv in d.items() for x in kv))
+    slug = F.trim(F.regexp_replace(F.lower(F.regexp_replace("name", r"[^A-Za-z0-9_ \t\n\r-]", " ")), r"[-_ \t\n\r]+", " "))
+    found = F.try_element_at(mapped(_KNOWN), slug)
+    phrases = F.coalesce(F.try_element_at(mapped({k: "|".join(v) for k, v in TOPICS.items()}), found), F.trim("name"))
+    long = F.size(F.filter(F.split(F.trim("name"), "[ \\t\\n\\r]+"), lambda w: w != "")) > 6
+    return n.select("doc_id", F.coalesce(found, F.trim("name")).alias("topic"), phrases.alias("phrases"), found.isNotNull().alias("known"), long.alias("looks_like_sentence"))

@@ -11,9 +11,10 @@ texts brings few of them together; it bears on the work alone, never on the resu
 many rows share compare all of these with the least one first: copies of one text leave after one
 comparison each, and only what stays is compared with more.
 
-A pair that meets is first held against parity maps, one bit for every hash class of shingles: maps never differ in
-more bits than the sets do in shingles, so too many bits rule a pair out.  Only what is left is compared by whole
-sets, each text at first with one earlier text alone.
+A pair that meets is held at once, inside the join, against parity maps: LANES * 64 bits, one for every hash class of
+shingles.  Maps never differ in more bits than the sets do in shingles, so too many bits rule a pair out; two unlike texts
+differ in about half of the bits, which tells pairs of up to some 2,300 shingles each apart, and longer ones go on.  Only
+what is left is compared by whole sets, each text at first with one earlier text alone.
 """
 
 from __future__ import annotations
@@ -39,8 +40,12 @@ MISS = 1e-15
 SAMPLE, COMMON, MOST = 16, 8, 1 << 16
 #: Rows of a shingle that are compared in all pairs, eight times as many each round, and rounds after which those of any shingle are.
 BUCKET, ROUNDS = 32, 5
-#: Pairs for each text up to which what is left is compared in all pairs, so that no more rounds are needed.
-PAIRS = 32
+#: Pairs for each text up to which what is left is held against each other by maps, so that no more rounds are needed.
+PAIRS = 128
+#: Rows of a shingle that one task holds against all others of it.
+SPLIT = 256
+#: 64-bit words of a parity map.
+LANES = 16
 #: Texts that are compared with one copy of an earlier one's set.
 SHARE = 64
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -82,10 +87,10 @@ def prefix_length(n: int, rare: int) -> int:
     return min(other + 1, math.ceil(math.log(MISS) / math.log(other / rare)))
 
 
-def parity_map(keys: np.ndarray) -> bytes:
-    """A bit for each hash class of the keys, set where it holds an odd number of them; at least twice as many classes as keys."""
-    size = max(64, 1 << max(0, 2 * len(keys) - 1).bit_length())
-    return np.packbits(np.bincount(keys & (size - 1), minlength=size) & 1, bitorder="little").tobytes()
+def parity_map(keys: np.ndarray) -> np.ndarray:
+    """A bit for each hash class of the keys, set where it holds an odd number of them, in LANES int64 words."""
+    odd = np.bincount(keys & (LANES * 64 - 1), minlength=LANES * 64) & 1
+    return np.packbits(odd, bitorder="little").view("<i8")
 
 
 def _sketches(common: np.ndarray):
@@ -104,7 +109,7 @@ def _sketches(common: np.ndarray):
             texts = batch.column("text")
             prints = np.array([simhash.fingerprint(t) for t in texts.to_pylist()], np.uint64).view(np.int64)
             sets = shingle_sets(texts)
-            cols = [pa.array(prints), pa.array(list(map(len, sets)), pa.int64()), pa.array(list(map(prefix, sets)), pa.list_(pa.int64())), pa.array(list(map(parity_map, sets)), pa.binary())]
+            cols = [pa.array(prints), pa.array(list(map(len, sets)), pa.int64()), pa.array(list(map(prefix, sets)), pa.list_(pa.int64())), pa.array(list(map(parity_map, sets)), pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays([batch.column("__row"), batch.column("__rank"), *cols], names=["row", "rank", "fp", "n", "keys", "map"])
 
     return rows
@@ -126,34 +131,11 @@ def common_shingles(texts: DataFrame) -> np.ndarray:
 def sketched(rows: DataFrame) -> DataFrame:
     """The stored sketches of ``rows`` (__row, __rank, text)."""
     rank = rows.schema["__rank"].dataType
-    kinds = {"row": T.LongType(), "rank": rank, "fp": T.LongType(), "n": T.LongType(), "keys": T.ArrayType(T.LongType()), "map": T.BinaryType()}
+    kinds = {"row": T.LongType(), "rank": rank, "fp": T.LongType(), "n": T.LongType(), "keys": T.ArrayType(T.LongType()), "map": T.ArrayType(T.LongType())}
     work = sliced(_sketches(common_shingles(rows)))
     return written(rows.select("__row", "__rank", "text").mapInArrow(work, T.StructType([T.StructField(k, v) for k, v in kinds.items()])), "sketches")
 
 
-def _fold(maps: np.ndarray, size: int) -> np.ndarray:
-    """Parity maps (m, bytes) folded to ``size`` bytes."""
-    while maps.shape[1] > size:
-        half = maps.shape[1] // 2
-        maps = maps[:, :half] ^ maps[:, half:]
-    return maps
-
-
-def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(a, b, apart) of the pairs that their parity maps do not rule out, and the bits in which these differ."""
-    for batch in batches:
-        maps = [batch.column(x).to_pylist() for x in ("mapa", "mapb")]
-        sizes = np.array([[len(m) for m in side] for side in maps])
-        apart = np.zeros(batch.num_rows, np.int64)
-        for size in np.unique(sizes, axis=1).T if batch.num_rows else ():
-            at = np.flatnonzero((sizes == size[:, None]).all(axis=0))
-            x, y = (_fold(np.frombuffer(b"".join(side[k] for k in at), np.uint8).reshape(len(at), -1), size.min()) for side in maps)
-            apart[at] = np.bitwise_count(x ^ y).sum(axis=1)
-        both = batch.column("na").to_numpy() + batch.column("nb").to_numpy()
-        keep = pa.array(apart * 9 <= both)
-        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(apart)], names=["a", "b", "apart"]).filter(keep)
-
-
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         cols = [c for name, c in zip(batch.schema.names, batch.columns) if name != "text"]
@@ -187,15 +169,24 @@ def _alike(pairs: DataFrame, rows: DataFrame, kept: DataFrame) -> DataFrame:
     return of_b.join(of_a, ["a", "part"]).where(both * 5 >= (F.size("own") + F.size("keys") - both) * 4).select("a", "b")
 
 
-def _maybe_alike(pairs: DataFrame, maps: DataFrame) -> DataFrame:
-    """(a, b, apart) of the stored ``pairs`` that the parity ``maps`` (node, n, map) do not rule out."""
-    dealt, heads = _dealt(pairs)
-    side = lambda x: maps.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("map").alias(f"map{x}"))
-    return dealt.join(side("b"), "b").join(_per_part(heads.join(side("a"), "a")), ["a", "part"]).mapInArrow(sliced(_near), "a long, b long, apart long")
+def _maybe_alike(pairs: DataFrame) -> DataFrame:
+    """(a, b, apart), a < b, of the ``pairs`` (x, y: structs of node, n, map) whose sizes and parity maps do not rule them out."""
+    x, y = F.col("x"), F.col("y")
+    apart = sum((F.bit_count(x["map"][k].bitwiseXOR(y["map"][k])) for k in range(LANES)), F.lit(0))
+    fit = (x["n"] * 5 >= y["n"] * 4) & (y["n"] * 5 >= x["n"] * 4)
+    return pairs.where((x["node"] < y["node"]) & fit & (apart * 9 <= x["n"] + y["n"])).select(x["node"].alias("a"), y["node"].alias("b"), apart.alias("apart"))
+
+
+def _paired(met: DataFrame) -> DataFrame:
+    """(x, y) of the rows of ``met`` (key, text, m) with equal keys, SPLIT rows of a key at a time."""
+    parts = (F.floor(F.col("m") / SPLIT) + 1).cast("int")
+    left = met.select("key", F.col("text").alias("x"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
+    return left.join(met.select("key", F.col("text").alias("y"), F.pmod(F.xxhash64("text.node"), parts).cast("int").alias("part")), ["key", "part"])
 
 
-def _sizes_fit(a: str, b: str):
-    return (F.col(a) * 5 >= F.col(b) * 4) & (F.col(b) * 5 >= F.col(a) * 4)
+def _shared(met: DataFrame) -> DataFrame:
+    """(key, head, m) of the shingles that several rows hold: the least node and the number of rows."""
+    return met.groupBy("key").agg(F.min("text").alias("head"), F.count(F.lit(1)).alias("m")).where("m > 1")
 
 
 def similar_links(rows: DataFrame, sketches: DataFrame, kept: DataFrame, bucket: int = BUCKET, rounds: int = ROUNDS) -> DataFrame:
@@ -204,36 +195,34 @@ def similar_links(rows: DataFrame, sketches: DataFrame, kept: DataFrame, bucket:
     ``rows`` (__row, text) and ``sketches`` are stored tables, ``kept`` (__row, node) is stored too and names the
     rows that take part; nodes are distinct longs.
     """
-    known = sketches.join(kept, sketches["row"] == kept["__row"])
-    met = written(known.select("node", "n", F.explode("keys").alias("key")), "prefix")
-    maps = written(known.select("node", "n", "map"), "maps")
-    found, most = None, PAIRS * kept.count()
+    text = F.struct("node", "n", "map").alias("text")
+    known = written(sketches.join(kept, sketches["row"] == kept["__row"]).select("node", "n", "map", "keys"), "known")
+    prefix = known.select("node", F.explode("keys").alias("key"))
+    groups = written(prefix.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1"), "groups")
+    met = written(join_counted(prefix, groups, ["key"], "m").join(known, "node").select("key", text), "met")
+    found = pending = None
+    most = PAIRS * known.count()
     for turn in range(rounds + 1):
-        groups = written(met.groupBy("key").agg(F.min(F.struct("node", "n")).alias("head"), F.count(F.lit(1)).alias("m")).where("m > 1"), "groups")
         # first every shingle's rows meet its least one; then small groups are paired out, and large ones take the next
+        groups = written(_shared(met), "groups")
         last = turn == rounds or turn > 0 and (groups.agg(F.sum(F.col("m") * (F.col("m") - 1) / 2)).first()[0] or 0) <= most
         whole = F.lit(False) if turn == 0 else F.lit(True) if last else F.col("m") <= bucket * 8 ** (turn - 1)
-        met = written(join_counted(met, groups, ["key"], "m"), "met")
-        led = met.where(~whole).select(F.col("head.node").alias("a"), F.col("node").alias("b"), F.col("head.n").alias("na"), F.col("n").alias("nb"))
-        rest = met.where(whole)
-        out = rest.select("key", F.col("node").alias("a"), F.col("n").alias("na")).join(rest.select("key", F.col("node").alias("b"), F.col("n").alias("nb")), "key")
-        pairs = written(led.unionByName(out.drop("key")).where("a < b").where(_sizes_fit("na", "nb")).select("a", "b").distinct(), "pairs")
-        near = written(_maybe_alike(pairs, maps), "near")
+        in_group = written(join_counted(met, groups, ["key"], "m"), "grouped")
+        near = _maybe_alike(in_group.where(~whole).select(F.col("head").alias("x"), F.col("text").alias("y")))
+        if turn > 0:
+            near = near.unionByName(_maybe_alike(_paired(in_group.where(whole)))).unionByName(pending)
+        near = written(near.distinct(), "near")
         first = written(near.groupBy("b").agg(F.min(F.struct("apart", "a")).alias("best")).select("best.a", "b"), "first")
-        if first.isEmpty():
-            new = first.select("a", "b")
-        else:
-            new = written(_alike(first, rows, kept), "alike")
-        second = near.join(new.select("b"), "b", "left_anti").join(first, ["a", "b"], "left_anti").select("a", "b")
-        if not (second := written(second, "second")).isEmpty():
+        new = first.select("a", "b") if first.isEmpty() else written(_alike(first, rows, kept), "alike")
+        pending = near.join(new.select("b"), "b", "left_anti").join(first, ["a", "b"], "left_anti").select("a", "b", "apart")
+        if last and not (second := written(pending.select("a", "b"), "second")).isEmpty():
             new = written(new.union(_alike(second, rows, kept)), "alike")
         found = new if found is None else found.union(new)
         if last:
             break
-        left = met.where("node <> head.node").where(~whole).select("node", "n", "key")
-        met = written(left.join(new.select(F.col("b").alias("node")).distinct(), "node", "left_anti"), "left")
-        if met.isEmpty():
-            break
+        pending = written(pending, "pending")
+        left = in_group.where("text.node <> head.node").where(~whole).withColumn("node", F.col("text.node"))
+        met = written(left.join(new.select(F.col("b").alias("node")).distinct(), "node", "left_anti").select("key", "text"), "left")
     return found
 
 

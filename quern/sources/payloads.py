@@ -63,35 +63,79 @@ def cik_map(payload: Column) -> Column:
     return F.transform(good, lambda r: F.struct(F.upper(F.trim(r["ticker"])).alias("ticker"), F.lpad(r["cik_str"].cast("string"), 10, "0").alias("cik")))
 
 
-#: Fields of an article by vendor: list, title, url, source, time and summary.
+#: Article layouts by vendor (fixed values): where the list lies, fields of title, url, source, time and summary; of several the first that is not empty.
 VENDORS = {
-    "finnhub": ("array<struct<headline:string,url:string,source:string,datetime:long,summary:string>>", None, "headline", "url", "source", "datetime", "summary"),
-    "marketaux": ("struct<data:array<struct<title:string,url:string,source:string,published_at:string,description:string,snippet:string>>>", "data", "title", "url", "source", "published_at", "description"),
-    "tiingo": ("array<struct<title:string,url:string,source:string,publishedDate:string,description:string>>", None, "title", "url", "source", "publishedDate", "description"),
+    "alpha_vantage": ("feed", "title", "url", ["source"], "time_published", ["summary"]),
+    "finnhub": ("", "headline", "url", ["source"], "datetime", ["summary"]),
+    "fmp": ("", "title", "url", ["site", "publisher"], "publishedDate", ["text"]),
+    "gdelt_doc": ("articles", "title", "url", ["domain"], "seendate", []),
+    "guardian": ("response.results", "webTitle", "webUrl", [], "webPublicationDate", ["fields.trailText"]),
+    "marketaux": ("data", "title", "url", ["source"], "published_at", ["description", "snippet"]),
+    "newsdata": ("results", "title", "link", ["source_id"], "pubDate", ["description"]),
+    "thenewsapi": ("data", "title", "url", ["source"], "published_at", ["description", "snippet"]),
+    "tiingo": ("", "title", "url", ["source"], "publishedDate", ["description"]),
 }
+#: Sources of articles that name none, where it is not the vendor's name.
+SOURCES = {"guardian": "The Guardian"}
 
 
-def vendor_articles(payload: Column, vendor: str) -> Column:
-    """array<struct<title, url, source, published, summary>> of a vendor's JSON; rows without title, url or time are dropped."""
-    schema, at, title, url, source, when, summary = VENDORS[vendor]
-    rows = F.from_json(payload, schema)
-    rows = rows[at] if at else rows
+def _published(at: Column, vendor: str) -> Column:
+    """The time of an article; null where it cannot be read."""
+    if vendor == "finnhub":
+        return F.timestamp_seconds(F.nullif(at.try_cast("long"), F.lit(0)))
+    if vendor in ("alpha_vantage", "gdelt_doc"):
+        return F.try_to_timestamp(F.regexp_replace(F.trim(at), "T|Z$", ""), F.lit("yyyyMMddHHmmss"))
+    return F.when(at.rlike(r"^\d{4}-\d{2}-\d{2}"), F.try_to_timestamp(at))
+
+
+def _window(articles: Column, start: str | None, end: str | None, top_n: int | None) -> Column:
+    """The articles of the days from ``start`` to ``end``, the first ``top_n`` of them."""
+    day = lambda a: F.to_date(a["published"])
+    if start:
+        articles = F.filter(articles, lambda a: day(a) >= F.lit(start).cast("date"))
+    if end:
+        articles = F.filter(articles, lambda a: day(a) <= F.lit(end).cast("date"))
+    return F.slice(articles, 1, top_n) if top_n else articles
+
+
+def vendor_articles(payload: Column, vendor: str, start: str | None = None, end: str | None = None, language: str | None = None, top_n: int | None = None) -> Column:
+    """array<struct<title, url, source, published, summary, sentiment, topics>> of a vendor's JSON.
+
+    Rows without title, url or a readable time are dropped, as are those outside the days from
+    ``start`` to ``end`` and, where the vendor tells it, of another language; at most ``top_n`` stay.
+    A payload of another form gives null or an empty list.
+    """
+    at, title, url, source, when, summary = VENDORS[vendor]
+    texts = F.from_json(F.get_json_object(payload, f"$.{at}") if at else payload, "array<string>")
+    rows = F.transform(texts, lambda x: F.from_json(x, "map<string,string>"))
+
+    def field(r: Column, name: str) -> Column:
+        head, _, rest = name.partition(".")
+        return F.nullif(F.get_json_object(r[head], f"$.{rest}") if rest else r[head], F.lit(""))
 
     def one(r: Column) -> Column:
-        published = F.timestamp_seconds(r[when]) if when == "datetime" else F.try_to_timestamp(r[when])
-        text = F.coalesce(F.nullif(r[summary], F.lit("")), r["snippet"]) if vendor == "marketaux" else r[summary]
-        return F.struct(r[title].alias("title"), r[url].alias("url"), r[source].alias("source"), published.alias("published"), text.alias("summary"))
+        return F.struct(
+            field(r, title).alias("title"), field(r, url).alias("url"), F.coalesce(*[field(r, s) for s in source], F.lit(SOURCES.get(vendor, vendor))).alias("source"), _published(r[when], vendor).alias("published"),
+            F.coalesce(*[field(r, s) for s in summary], F.lit(None).cast("string")).alias("summary"), (r["overall_sentiment_score"].try_cast("double") if vendor == "alpha_vantage" else F.lit(None).cast("double")).alias("sentiment"),
+            F.array_compact(F.array(field(r, "category") if vendor == "finnhub" else F.lit(None).cast("string"))).alias("topics"),
+        )
+
+    if language and vendor == "gdelt_doc":
+        rows = F.filter(rows, lambda r: F.lower(F.trim(r["language"])) == language.strip().lower())
+    good = F.filter(F.transform(rows, one), lambda a: a["title"].isNotNull() & a["url"].isNotNull() & a["published"].isNotNull())
+    return _window(good, start, end, top_n)
+
 
-    there = lambda x: F.coalesce(x, F.lit("")) != ""
-    return F.filter(F.transform(rows, one), lambda a: there(a["title"]) & there(a["url"]) & a["published"].isNotNull())
+RSS = "channel struct<item:array<struct<title:string,link:string,pubDate:string,source:struct<_VALUE:string,_url:string>>>>"
 
 
-def rss_articles(xml: Column) -> Column:
-    """array<struct<title, url, published>> of an RSS document."""
-    part = lambda x: F.xpath(xml, F.lit(f"/rss/channel/item/{x}/text()"))
-    rows = F.arrays_zip(part("title").alias("title"), part("link").alias("url"), part("pubDate").alias("at"))
+def rss_articles(xml: Column, start: str | None = None, end: str | None = None, top_n: int | None = None) -> Column:
+    """array<struct<title, url, source, published>> of an RSS document; items without title, link or a readable time are dropped, as are those outside the days."""
+    rows = F.from_xml(xml, RSS, {"rowTag": "rss", "valueTag": "_VALUE", "attributePrefix": "_", "mode": "PERMISSIVE"})["channel"]["item"]
     day = lambda s: F.try_to_timestamp(F.regexp_extract(s, r"(\d{1,2} \w{3} \d{4} \d{2}:\d{2}:\d{2})", 1), F.lit("d MMM yyyy HH:mm:ss"))
-    return F.transform(rows, lambda r: F.struct(r["title"].alias("title"), r["url"].alias("url"), day(r["at"]).alias("published")))
+    there = lambda x: F.nullif(x, F.lit(""))
+    all_ = F.transform(rows, lambda r: F.struct(there(r["title"]).alias("title"), there(r["link"]).alias("url"), F.coalesce(there(r["source"]["_VALUE"]), F.lit("Google News")).alias("source"), day(r["pubDate"]).alias("published")))
+    return _window(F.filter(all_, lambda a: a["title"].isNotNull() & a["url"].isNotNull() & a["published"].isNotNull()), start, end, top_n)
 
 
 _TX = "struct<transactionCoding:struct<transactionCode:string,footnoteId:array<struct<_id:string>>>,transactionDate:struct<value:string>,transactionAmounts:struct<transactionShares:struct<value:double>,transactionPricePerShare:struct<value:double>,transactionAcquiredDisposedCode:struct<value:string>>,postTransactionAmounts:struct<sharesOwnedFollowingTransaction:struct<value:double>>>"

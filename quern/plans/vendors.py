@@ -5,9 +5,10 @@ Their SQL does not parse: it says what the payloads were made from.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quern.operators import chunking
 from quern.plans.base import query
 from quern.sources import payloads, views
 from quern.sources.views import BARS
@@ -150,3 +151,40 @@ def ownership_transactions(spark, sf_dir):
     parts = [el("issuer", el("issuerTradingSymbol", F.concat(F.lit("T"), F.col("o_custkey").cast("string")))), el("aff10b5One", F.when(F.col("o_orderkey") % 10 == 0, "1").otherwise("0")), el("nonDerivativeTable", F.col("other")), el("derivativeTable", F.col("derivative")), notes]
     rows = payloads.ownership_transactions(docs.select(F.to_date("o_orderdate").alias("filing_date"), el("ownershipDocument", F.concat(*parts)).alias("xml")))
     return rows.select("ticker", "filing_date", "transaction_date", "code", "ad", F.round("shares", 6).alias("shares"), F.round("price", 6).alias("price"), "is_derivative", "planned")
+
+
+_RANK = "CASE event_type WHEN 'purchase' THEN 1 WHEN 'signup' THEN 2 WHEN 'view' THEN 3 ELSE 4 END"
+
+
+@query(f"SELECT event_id, user_id, {_RANK} AS provider_rank, row_number() OVER (PARTITION BY user_id, CAST(ts AS DATE) ORDER BY {_RANK}, event_id) AS place FROM events")
+def provider_merge(spark, sf_dir):
+    """All providers' rows of each user's day, one provider after the other by priority; nothing is dropped."""
+    e = views.table(spark, sf_dir, "events").withColumn("provider_rank", F.expr(_RANK))
+    order = Window.partitionBy("user_id", F.to_date("ts")).orderBy("provider_rank", "event_id")
+    return e.select("event_id", "user_id", "provider_rank", F.row_number().over(order).alias("place"))
+
+
+@query("SELECT p_name AS question, p_brand AS expected FROM part WHERE p_partkey % 6 NOT IN (0, 1)")
+def labelled_lines(spark, sf_dir):
+    """Labelled examples of JSON lines; blank lines and comments are skipped."""
+    i = F.col("p_partkey")
+    example = F.to_json(F.struct(F.col("p_name").alias("question"), F.col("p_brand").alias("expected")))
+    lines = views.table(spark, sf_dir, "part").select(F.when(i % 6 == 0, F.concat(F.lit("  # "), example)).when(i % 6 == 1, "  ").otherwise(F.concat(F.lit(" "), example)).alias("value"))
+    return payloads.labelled_lines(lines)
+
+
+@query("SELECT o_custkey, arg_min(1 + o_orderkey % 60, row(abs(1 + o_orderkey % 60 - 20), o_orderkey)) AS horizon FROM orders GROUP BY o_custkey")
+def headline_forecast(spark, sf_dir):
+    """Of each customer's forecasts the one whose horizon is nearest to 20 days, the first of equals."""
+    h = F.col("o_orderkey") % 60 + 1
+    return views.table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.min_by(h, F.struct(F.abs(h - 20), "o_orderkey")).alias("horizon"))
+
+
+_LABELS = ["Item 1", "ITEM 7A.", "item 2.01 ", "Item 1. Business", "Items 3", "Item 123"]
+
+
+@query(f"SELECT p_partkey, {_LABELS!r}[p_partkey % 6 + 1] AS label, p_partkey % 6 < 3 AS bare FROM part")
+def bare_header(spark, sf_dir):
+    """Whether a section's label is an item's number and nothing else."""
+    label = F.element_at(F.array(*map(F.lit, _LABELS)), (F.col("p_partkey") % 6 + 1).cast("int"))
+    return views.table(spark, sf_dir, "part").select("p_partkey", label.alias("label")).withColumn("bare", chunking.bare_header(F.col("label")))

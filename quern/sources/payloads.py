@@ -33,6 +33,12 @@ def universe(lines: DataFrame) -> DataFrame:
     return lines.select(name.alias("ticker")).where("ticker <> ''").distinct()
 
 
+def labelled_lines(lines: DataFrame) -> DataFrame:
+    """(question, expected) of JSON lines (value); blank lines and those that begin with # are skipped."""
+    text = lines.select(F.trim("value").alias("value")).where("value <> '' and not startswith(value, '#')")
+    return text.select(F.inline(F.array(F.from_json("value", "question string, expected string"))))
+
+
 def alias_map(lines: DataFrame) -> DataFrame:
     """(ticker, aliases) of a JSON object (value); keys that begin with _ and empty lists are dropped."""
     m = lines.select(F.explode(F.from_json("value", T.MapType(T.StringType(), T.ArrayType(T.StringType())))).alias("ticker", "aliases"))
@@ -232,3 +238,25 @@ def _texts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def page_texts(pages: DataFrame) -> DataFrame:
     """(page_id, text, n_lines) of HTML pages, parsed in Arrow batches."""
     return pages.select("page_id", "html").mapInPandas(_texts, "page_id long, text string, n_lines long")
+
+
+def filing_folders(spark: SparkSession, base: str, ticker: str | None = None) -> DataFrame:
+    """(folder, ticker, form, day, metadata map<string,string>, text) of folders base/sec/TICKER/FORM/DAY that hold filing.html.
+
+    Files are found and read by tasks; the metadata.json beside a filing joins by its folder, and is null where there is none.
+    """
+    root = f"{base.rstrip('/')}/sec" + (f"/{ticker}" if ticker else "")
+
+    def files(name: str) -> DataFrame:
+        found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", name).load(root)
+        return found.select(F.regexp_extract("path", "^(.*)/[^/]+$", 1).alias("folder"), F.decode("content", "utf-8").alias("body"))
+
+    meta = files("metadata.json").select("folder", F.from_json("body", "map<string,string>").alias("metadata"))
+    part = lambda k: F.element_at(F.split("folder", "/"), k)
+    rows = files("filing.html").join(meta, "folder", "left").select("folder", part(-3).alias("ticker"), part(-2).alias("form"), part(-1).alias("day"), "metadata", F.col("body").alias("html"))
+
+    def texts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pdf.assign(text=[html_text(h) for h in pdf["html"]]).drop(columns="html")
+
+    return rows.mapInPandas(texts, "folder string, ticker string, form string, day string, metadata map<string,string>, text string")

@@ -114,6 +114,41 @@ def test_payload_readers(spark):
     assert [(a.ticker, a.aliases) for a in aliases] == [("A", ["x"])]
 
 
+def test_vendor_layouts(spark):
+    def read(vendor, payload, *args, **named):
+        return spark.createDataFrame([(payload,)], "x string").select(payloads.vendor_articles(F.col("x"), vendor, *args, **named).alias("y")).first().y
+
+    at, window = datetime.datetime(2024, 1, 2, 3, 4, 5), ("2024-01-01", "2024-01-31")
+    g = read("guardian", '{"response":{"results":[{"webTitle":"T","webUrl":"u","webPublicationDate":"2024-01-02T03:04:05Z","fields":{"trailText":"s"}},{"webTitle":"V","webUrl":"v","webPublicationDate":"2024-01-03T03:04:05Z"}]}}', *window, top_n=1)
+    assert [(a.title, a.source, a.published, a.summary) for a in g] == [("T", "The Guardian", at, "s")]
+    seen = '{"articles":[{"title":"A","url":"u","seendate":"20240102T030405Z","language":"English","domain":"d"},{"title":"B","url":"v","seendate":"20240102030405","language":"German"},"odd"]}'
+    assert [(a.title, a.source, a.published) for a in read("gdelt_doc", seen, language=" english")] == [("A", "d", at)]
+    assert [(a.title, a.source) for a in read("gdelt_doc", seen)] == [("A", "d"), ("B", "gdelt_doc")]
+    f = read("fmp", '[{"title":"A","url":"u","publishedDate":"2024-01-02 03:04:05","site":"","publisher":"P","text":""},{"title":"B","url":"v","publishedDate":"2023-12-31 03:04:05"},{"title":"C","url":"w","publishedDate":"soon"}]', *window)
+    assert [(a.title, a.source, a.published, a.summary) for a in f] == [("A", "P", at, None)]
+    v = read("alpha_vantage", '{"feed":[{"title":"A","url":"u","time_published":"20240102T030405","overall_sentiment_score":0.25},{"title":"B","time_published":"20240102T030405"}]}')
+    assert [(a.title, a.source, a.published, a.sentiment) for a in v] == [("A", "alpha_vantage", at, 0.25)]
+    h = read("finnhub", '[{"headline":"A","url":"u","datetime":1704164645,"category":"c"},{"headline":"B","url":"u","datetime":0}]')
+    assert [(a.title, a.published, a.topics) for a in h] == [("A", at, ["c"])]
+    n = read("newsdata", '{"results":[{"title":"A","link":"u","pubDate":"2024-01-02 03:04:05","source_id":"x","description":"s"}]}')
+    assert [(a.url, a.source, a.summary) for a in n] == [("u", "x", "s")]
+    for payload in ("{", '{"feed":7}', "", None):
+        assert not read("alpha_vantage", payload)
+
+
+def test_filing_folders(spark, tmp_path):
+    for ticker, meta in (("AA", '{"form":"10-K","ticker":"AA"}'), ("BB", None)):
+        folder = tmp_path / "sec" / ticker / "10-K" / "2024-01-02"
+        folder.mkdir(parents=True)
+        (folder / "filing.html").write_text(f"<p>of {ticker}</p>")
+        if meta:
+            (folder / "metadata.json").write_text(meta)
+    rows = payloads.filing_folders(spark, str(tmp_path)).orderBy("ticker").collect()
+    assert [(r.ticker, r.form, r.day, r.text) for r in rows] == [("AA", "10-K", "2024-01-02", "of AA"), ("BB", "10-K", "2024-01-02", "of BB")]
+    assert rows[0].metadata["form"] == "10-K" and rows[1].metadata is None
+    assert payloads.filing_folders(spark, str(tmp_path), "BB").count() == 1
+
+
 def test_ownership_xml(spark):
     tx_ = "<{0}Transaction><transactionDate><value>2024-01-05</value></transactionDate><transactionCoding><transactionCode>{1}</transactionCode>{2}</transactionCoding><transactionAmounts><transactionShares><value>{3}</value></transactionShares><transactionPricePerShare><value>120.5</value></transactionPricePerShare><transactionAcquiredDisposedCode><value>{4}</value></transactionAcquiredDisposedCode></transactionAmounts></{0}Transaction>"
     xml = "<ownershipDocument><issuer><issuerTradingSymbol>NV</issuerTradingSymbol></issuer><nonDerivativeTable>" + tx_.format("nonDerivative", "P", "", 1000, "A") + tx_.format("nonDerivative", "S", '<footnoteId id="F1"/>', 400, "D") + "</nonDerivativeTable><footnotes><footnote id=\"F1\">under a Rule 10b5-1 plan</footnote></footnotes></ownershipDocument>"

@@ -189,35 +189,47 @@ def _shared(met: DataFrame) -> DataFrame:
     return met.groupBy("key").agg(F.min("text").alias("head"), F.count(F.lit(1)).alias("m")).where("m > 1")
 
 
+def _first_alike(near: DataFrame, rows: DataFrame, kept: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Stored links (a, b) of ``near`` (stored: a, b, apart) to each b's nearest a, where alike; and the other pairs of the texts without one."""
+    first = written(near.groupBy("b").agg(F.min(F.struct("apart", "a")).alias("best")).select("best.a", "b"), "first")
+    new = first if first.isEmpty() else written(_alike(first, rows, kept), "alike")
+    return new, near.join(new.select("b"), "b", "left_anti").join(first, ["a", "b"], "left_anti").select("a", "b", "apart")
+
+
 def similar_links(rows: DataFrame, sketches: DataFrame, kept: DataFrame, bucket: int = BUCKET, rounds: int = ROUNDS) -> DataFrame:
     """(a, b) links, a < b, of alike texts: no two texts that are no link's b are alike.
 
     ``rows`` (__row, text) and ``sketches`` are stored tables, ``kept`` (__row, node) is stored too and names the
     rows that take part; nodes are distinct longs.
     """
-    text = F.struct("node", "n", "map").alias("text")
+    text = F.struct("node", "n", "map")
     known = written(sketches.join(kept, sketches["row"] == kept["__row"]).select("node", "n", "map", "keys"), "known")
+    maps = known.select("node", text.alias("text"))
     prefix = known.select("node", F.explode("keys").alias("key"))
-    groups = written(prefix.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1"), "groups")
-    met = written(join_counted(prefix, groups, ["key"], "m").join(known, "node").select("key", text), "met")
-    found = pending = None
+    groups = written(prefix.groupBy("key").agg(F.min("node").alias("head"), F.count(F.lit(1)).alias("m")).where("m > 1"), "groups")
+    met = written(join_counted(prefix, groups, ["key"], "m").where("node <> head").select("key", "node", "head"), "met")
+    # first every shingle's rows meet its least one; maps travel with distinct pairs, not with each shingle
+    pairs = written(met.select(F.col("head").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
+    heads = written(pairs.groupBy("a").agg(F.count(F.lit(1)).alias("pairs")).join(known.select(F.col("node").alias("a"), text.alias("x")), "a"), "heads")
+    both = join_counted(pairs, heads, ["a"], "pairs").join(maps.select(F.col("node").alias("b"), F.col("text").alias("y")), "b")
+    found, pending = _first_alike(written(_maybe_alike(both), "near"), rows, kept)
+    pending = written(pending, "pending")
+    left = written(met.join(found.select(F.col("b").alias("node")).distinct(), "node", "left_anti").select("key", "node"), "left")
+    groups = written(left.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1"), "groups")
+    met = written(join_counted(left, groups, ["key"], "m").join(maps, "node").select("key", "text"), "met")
     most = PAIRS * known.count()
-    for turn in range(rounds + 1):
-        # first every shingle's rows meet its least one; then small groups are paired out, and large ones take the next
+    for turn in range(1, max(1, rounds) + 1):
+        # small groups are paired out, and the rows of large ones meet the next least one
         groups = written(_shared(met), "groups")
-        last = turn == rounds or turn > 0 and (groups.agg(F.sum(F.col("m") * (F.col("m") - 1) / 2)).first()[0] or 0) <= most
-        whole = F.lit(False) if turn == 0 else F.lit(True) if last else F.col("m") <= bucket * 8 ** (turn - 1)
+        last = turn >= rounds or (groups.agg(F.sum(F.col("m") * (F.col("m") - 1) / 2)).first()[0] or 0) <= most
+        whole = F.lit(True) if last else F.col("m") <= bucket * 8 ** (turn - 1)
         in_group = written(join_counted(met, groups, ["key"], "m"), "grouped")
         near = _maybe_alike(in_group.where(~whole).select(F.col("head").alias("x"), F.col("text").alias("y")))
-        if turn > 0:
-            near = near.unionByName(_maybe_alike(_paired(in_group.where(whole)))).unionByName(pending)
-        near = written(near.distinct(), "near")
-        first = written(near.groupBy("b").agg(F.min(F.struct("apart", "a")).alias("best")).select("best.a", "b"), "first")
-        new = first.select("a", "b") if first.isEmpty() else written(_alike(first, rows, kept), "alike")
-        pending = near.join(new.select("b"), "b", "left_anti").join(first, ["a", "b"], "left_anti").select("a", "b", "apart")
+        near = written(near.unionByName(_maybe_alike(_paired(in_group.where(whole)))).unionByName(pending).distinct(), "near")
+        new, pending = _first_alike(near, rows, kept)
         if last and not (second := written(pending.select("a", "b"), "second")).isEmpty():
             new = written(new.union(_alike(second, rows, kept)), "alike")
-        found = new if found is None else found.union(new)
+        found = found.union(new)
         if last:
             break
         pending = written(pending, "pending")

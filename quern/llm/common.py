@@ -69,6 +69,14 @@ def join_counted(rows: DataFrame, side: DataFrame, keys: list[str], n: str, tota
     return rows.join(F.broadcast(hot), keys).unionByName(others)
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, longer by as many underscores as keep it apart from the columns of ``df``."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A driver table."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.llm import chat, embeddings, media, mixing, packing, pii, sharding, simhash, token_files, toxicity
+from quern.llm import chat, decontamination, embeddings, media, mixing, packing, pii, sharding, simhash, token_files, toxicity
 from quern.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -57,6 +57,10 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op13_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages of corpus_pipeline.py at the repository's top."""
     import corpus_pipeline
@@ -65,9 +69,9 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    ops = (op1_pii_pseudonyms, op2_toxicity, op3_packing, op4_media, op5_token_files, op6_simhash, op7_chat, op8_embeddings, op9_sharding, op10_mixing, pipeline)
+    ops = (op1_pii_pseudonyms, op2_toxicity, op3_packing, op4_media, op5_token_files, op6_simhash, op7_chat, op8_embeddings, op9_sharding, op10_mixing, op13_decontamination, pipeline)
     return {f.__name__: f for f in ops}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_chat": chat.ORACLE, "op8_embeddings": embeddings.ORACLE, "op10_mixing": mixing.ORACLE}
+    return {"op7_chat": chat.ORACLE, "op8_embeddings": embeddings.ORACLE, "op10_mixing": mixing.ORACLE, "op13_decontamination": decontamination.ORACLE}

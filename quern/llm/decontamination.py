@@ -25,8 +25,8 @@ WINDOW, SHINGLE = 10, 3
 BLOCK = 200_000
 #: Windows that may share a token; more of them are looked up by all their words, so common shingles bring no false meetings.
 SHARED = 64
-#: Words of a text whose letters A-Z are lower case, and of any text.
-WORD, ANY_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: What lies between words, A-Z in upper or lower case.
+BETWEEN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 #: Characters outside A-Z that lower() might change; texts without them take the faster of two equal ways.
 CASED = r"[\p{Lu}\p{Lt}\p{Nl}\p{So}&&[^A-Z]]"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -36,7 +36,11 @@ def words(text: Column) -> Column:
     """The words of a text with A-Z in lower case; null has none."""
     text = F.coalesce(text, F.lit(""))
     lower = F.when(text.rlike(CASED), F.translate(text, UPPER, UPPER.lower())).otherwise(F.lower(text))
-    return F.regexp_extract_all(lower, F.lit(WORD), F.lit(0))
+    return _split(lower)
+
+
+def _split(text: Column) -> Column:
+    return F.array_remove(F.split(text, BETWEEN), "")
 
 
 def _token(ws: Column, at: Column, width: int) -> Column:
@@ -91,13 +95,18 @@ def _widths(side: DataFrame) -> list[int]:
     return sorted(r[0] for r in side.select("width").distinct().collect()) or [SHINGLE]
 
 
+def _exploded(texts: DataFrame) -> DataFrame:
+    """A row for each place of the words; outer, since Spark would otherwise split each text once more to leave out empty ones."""
+    return texts.select("*", F.posexplode_outer("ws").alias("at", "word"))
+
+
 def _prefixes(texts: DataFrame, windows: DataFrame) -> DataFrame:
     """The windows all of whose shingles occur in ``texts`` (ws), with token, width and offset of the rarest one."""
     width = F.least("length", F.lit(SHINGLE))
     placed = windows.select("*", width.alias("width"), F.explode(F.sequence(F.lit(0), F.col("length") - width)).alias("offset"))
     placed = placed.withColumn("token", F.xxhash64(F.slice("words", F.col("offset") + 1, F.col("width"))))
     tokens = written(placed.select("token", "width").distinct(), "tokens")
-    at = texts.select("ws", F.posexplode("ws").alias("at", "word")).select(_tokens(F.col("ws"), F.col("at"), _widths(tokens)))
+    at = _exploded(texts).select(_tokens(F.col("ws"), F.col("at"), _widths(tokens)))
     found = _in_blocks(tokens.select("token").distinct(), lambda block: at.join(block, "token", "left_semi").groupBy("token").agg(F.count(F.lit(1)).alias("n")))
     found = written(found, "token-counts")
     ranked = placed.join(found, "token", "left")
@@ -120,7 +129,7 @@ def occurrences(docs: DataFrame, benchmark: DataFrame) -> tuple[DataFrame, DataF
     texts = docs.select(*_text_name(), words(F.col("text")).alias("ws"))
     prefixes = _prefixes(texts, windows)
     widths = _widths(prefixes)
-    at = texts.select("th", "tg", "ws", F.posexplode("ws").alias("at", "word")).select("th", "tg", "ws", "at", _tokens(F.col("ws"), F.col("at"), widths))
+    at = _exploded(texts).select("th", "tg", "ws", "at", _tokens(F.col("ws"), F.col("at"), widths))
     start = F.col("at") - F.col("offset")
     fits = (start >= 0) & (start + F.col("length") <= F.size("ws"))
     same = F.slice("ws", F.greatest(start, F.lit(0)) + 1, F.col("length")) == F.col("words")
@@ -161,7 +170,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     words; null and repeated doc_ids and repeated rows are rows of their own; an empty benchmark hits nothing; other
     columns do not matter.  A very long text is one value, as it is in its table.
     """
-    count = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(ANY_WORD)).cast("long")
+    count = F.size(_split(F.coalesce("text", F.lit("")))).cast("long")
     hits = contaminated_texts(docs, benchmark)
     rows = docs.select("doc_id", *_text_name(), count.alias("n_words")).join(hits, ["th", "tg"], "left")
     n_hit = F.coalesce("n_hit", F.lit(0).cast("long"))

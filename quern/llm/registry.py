@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.llm import chat, decontamination, embeddings, media, mixing, packing, pii, sharding, simhash, token_files, toxicity
+from quern.llm import chat, decontamination, dual_tree, embeddings, filter_audit, media, mixing, packing, pii, sharding, simhash, token_files, toxicity
 from quern.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -57,6 +57,14 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_dual_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dual_tree.cluster_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op13_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -69,9 +77,9 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    ops = (op1_pii_pseudonyms, op2_toxicity, op3_packing, op4_media, op5_token_files, op6_simhash, op7_chat, op8_embeddings, op9_sharding, op10_mixing, op13_decontamination, pipeline)
+    ops = (op1_pii_pseudonyms, op2_toxicity, op3_packing, op4_media, op5_token_files, op6_simhash, op7_chat, op8_embeddings, op9_sharding, op10_mixing, op11_filter_audit, op12_dual_tree, op13_decontamination, pipeline)
     return {f.__name__: f for f in ops}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_chat": chat.ORACLE, "op8_embeddings": embeddings.ORACLE, "op10_mixing": mixing.ORACLE, "op13_decontamination": decontamination.ORACLE}
+    return {"op7_chat": chat.ORACLE, "op8_embeddings": embeddings.ORACLE, "op10_mixing": mixing.ORACLE, "op11_filter_audit": filter_audit.ORACLE, "op12_dual_tree": dual_tree.ORACLE, "op13_decontamination": decontamination.ORACLE}

@@ -19,6 +19,7 @@ import functools
 import hashlib
 import math
 import re
+import secrets
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -74,6 +75,16 @@ def _network(key: bytes, tweak: str, n: int) -> Feistel:
 CALLING_CODES = ("1", "7", *"20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split())
 
 
+#: Lengths of IBANs by country (fixed values of the public registry).
+IBAN_LENGTHS = {
+    "AD": 24, "AE": 23, "AL": 28, "AT": 20, "AZ": 28, "BA": 20, "BE": 16, "BG": 22, "BH": 22, "BR": 29, "BY": 28, "CH": 21, "CR": 22, "CY": 28, "CZ": 24, "DE": 22, "DK": 18, "DO": 28,
+    "EE": 20, "EG": 29, "ES": 24, "FI": 18, "FO": 18, "FR": 27, "GB": 22, "GE": 22, "GI": 23, "GL": 18, "GR": 27, "GT": 28, "HR": 21, "HU": 28, "IE": 22, "IL": 23, "IQ": 23, "IS": 26,
+    "IT": 27, "JO": 30, "KW": 30, "KZ": 20, "LB": 28, "LC": 32, "LI": 21, "LT": 20, "LU": 20, "LV": 21, "LY": 25, "MC": 27, "MD": 24, "ME": 22, "MK": 19, "MR": 27, "MT": 31, "MU": 30,
+    "NL": 18, "NO": 15, "PK": 24, "PL": 28, "PS": 29, "PT": 25, "QA": 29, "RO": 24, "RS": 22, "SA": 24, "SC": 31, "SE": 24, "SI": 19, "SK": 24, "SM": 27, "ST": 25, "SV": 28, "TL": 23,
+    "TN": 24, "TR": 26, "UA": 29, "VA": 22, "VG": 24, "XK": 20,
+}
+
+
 def calling_code(digits: str) -> str:
     """The country code that an international number starts with."""
     return next((digits[:n] for n in (1, 2) if digits[:n] in CALLING_CODES), digits[:3])
@@ -243,13 +254,19 @@ class Pseudonyms:
         return "".join(n.upper() if c != o else n for c, o, n in zip(name, low, new)) + "@" + host
 
     def _grouped(self, kind: str, s: str) -> str | None:
-        """The pseudonym, of equal length, of the longest start of ``s`` that ends with a group and passes its check."""
-        check, ends = getattr(self, kind), [len(s), *(k for k in range(len(s) - 1, 0, -1) if s[k] in " -")]
+        """The pseudonym, of equal length, of the start of ``s`` that ends with a group and passes its check.
+
+        An IBAN of its country's length comes first, then the shortest start that passes.  So a value's pseudonym does not depend on what
+        follows it (but for an IBAN of another length than its country's), and it is the first to pass again when it is restored.
+        """
+        check = getattr(self, kind)
+        ends = [*(k for k in range(1, len(s)) if s[k] in " -"), len(s)]
+        if kind == "iban":
+            ends.sort(key=lambda end: sum(map(str.isalnum, s[:end])) != IBAN_LENGTHS.get(s[:2]))
         for k, end in enumerate(ends):
             if (new := check(s[:end])) is None:
                 continue
-            # no longer start passed; so it must be afterwards, or restoring would take that one
-            while any(check(new + s[end:longer]) is not None for longer in ends[:k]):
+            while any(check((new + s[end:])[:earlier]) is not None for earlier in ends[:k]):
                 new = check(new)
             return new
         return None
@@ -271,7 +288,8 @@ class Pseudonyms:
         """(text with pseudonyms, spans (start, end, kind) of the source that were replaced).
 
         A candidate that fails its check is left as it is, and the search goes on behind its first character;
-        cards and IBANs are first tried without the last groups of the candidate, which may not belong to them.
+        of cards and IBANs the last groups of the candidate may not belong to them (``_grouped``).  Left in clear are numbers that fail their
+        check, SSNs with blanks, years of two digits, IBANs in lower case and numbers that start with 00.
         """
         out, spans, at, pos = [], [], 0, 0
         while m := self._ANY.search(text, pos):
@@ -288,7 +306,7 @@ class Pseudonyms:
         return "".join([*out, text[at:]]), spans
 
 
-def _apply(key: bytes, restore: bool):
+def _apply(key: bytes, restore: bool, spans_too: bool):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = Pseudonyms(key, restore)
         for batch in batches:
@@ -303,7 +321,8 @@ def _apply(key: bytes, restore: bool):
                 new = pa.array(values, texts.type)
             kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind", pa.string())]))
             cols = [new if n == "text" else c for n, c in zip(batch.schema.names, batch.columns)]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(kinds, kind)], names=[*batch.schema.names, "pii_spans"])
+            added = ([pa.array(kinds, kind)], ["pii_spans"]) if spans_too else ([], [])
+            yield pa.RecordBatch.from_arrays([*cols, *added[0]], names=[*batch.schema.names, *added[1]])
 
     return rows
 
@@ -313,19 +332,25 @@ def session_key(spark: SparkSession) -> bytes | None:
     return key.encode() if (key := spark.conf.get(KEY_SETTING, None)) else None
 
 
-def pseudonymise(docs: DataFrame, key: bytes | None = None, restore: bool = False) -> DataFrame:
-    """``docs`` with personal data in ``text`` replaced, and pii_spans of what was replaced (null: nothing).
+def fresh_key() -> bytes:
+    """A random key."""
+    return secrets.token_bytes(32)
+
+
+def pseudonymise(docs: DataFrame, key: bytes | None = None, restore: bool = False, spans: bool = True) -> DataFrame:
+    """``docs`` with personal data in ``text`` replaced, and with ``spans`` pii_spans of what was replaced (null: nothing).
 
     The key comes from the caller or from KEY_SETTING; without one this fails.  All other columns stay.
     Null and empty texts stay as they are, repeated rows repeat, ties need no order.  ``restore`` undoes it
-    under the same key.  One pass, no shuffle; a text of any length is one value in one task.  A column
+    under the same key.  One pass, no shuffle; a text of any length is one value in one task.  With ``spans`` a column
     pii_spans of ``docs`` itself is replaced.
     """
     if not (key := key or session_key(docs.sparkSession)):
         raise ValueError(f"no key for pseudonyms: pass one or set {KEY_SETTING}")
-    docs = docs.drop("pii_spans")
+    docs = docs.drop("pii_spans") if spans else docs
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(sliced(_apply(key, restore)), f"{fields}, pii_spans array<struct<start:int,end:int,kind:string>>")
+    added = ", pii_spans array<struct<start:int,end:int,kind:string>>" if spans else ""
+    return docs.mapInArrow(sliced(_apply(key, restore, spans)), fields + added)
 
 
 def pii_report(docs: DataFrame, key: bytes | None = None) -> DataFrame:

@@ -151,14 +151,17 @@ def write_token_files(docs: DataFrame, path: str, vocabulary: str | None = None,
     """Encode every whole text of ``docs`` (doc_id, text) and write containers under ``path`` in doc_id order.
 
     Null texts count as empty and hold the end id alone; null doc_ids come first; rows of
-    one doc_id lie by text; repeated rows are repeated.  One range shuffle of the texts
+    one doc_id lie by their texts' hashes, so that no task needs all of them; repeated rows are repeated.  One range shuffle of the texts
     sets the order.  Parts are numbered in that order and a container knows its start in
     its part, so no task sees more than its own range.
     """
     spark = docs.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
-    ranged.mapInArrow(sliced(_containers(vocabulary or vocabulary_path(), end_id)), FILE_SCHEMA).write.parquet(path)
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    # hashes and row numbers part the rows of one doc_id, and equal rows; texts would be sampled whole for the ranges
+    rows = rows.withColumns({"h": F.xxhash64("text"), "row": F.monotonically_increasing_id()})
+    ranged = rows.repartitionByRange(n, "doc_id", "h", "row").sortWithinPartitions("doc_id", "h", "row")
+    ranged.select("doc_id", "text").mapInArrow(sliced(_containers(vocabulary or vocabulary_path(), end_id)), FILE_SCHEMA).write.parquet(path)
 
 
 def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

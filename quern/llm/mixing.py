@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.llm.common import word_count, written
+from quern.llm.common import unused, word_count, written
 
 #: Weights dealt to the sources in code-point order, null last, again and again.
 WEIGHTS = (5, 2, 1)
@@ -13,6 +13,8 @@ WEIGHTS = (5, 2, 1)
 SHARE, MOST = 1.5, 2
 #: Rows that one range of keys holds at most, about; a range is put in order by one task.
 RANGE_ROWS = 50_000
+#: Equal documents that are listed by one task.
+PIECE = 4096
 #: Sources up to which their cuts are broadcast.
 BROADCAST_SOURCES = 10_000
 
@@ -54,24 +56,32 @@ def range_digits(rows: int) -> int:
 
 
 def _placed(docs: DataFrame) -> DataFrame:
-    """Each row's key, source totals, whole epochs and its words at the cut."""
-    key = _key()
-    sized = written(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), key.alias("key")), "sized")
-    targets = source_targets(sized)
+    """Each distinct (source, key, doc_id, size) with its rows ``n``, source totals, whole epochs and the words ``rest`` that the rest takes from all of its rows."""
+    sized = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), _key().alias("key"))
+    sized = written(sized.groupBy("source", "key", "doc_id", "size").agg(F.count(F.lit(1)).alias("n")).withColumn("words", F.col("size") * F.col("n")), "sized")
+    targets = source_targets(sized.select("source", F.col("words").alias("size")))
     sized = sized.withColumn("bucket", F.substring("key", 1, range_digits(sized.count())))
-    per = sized.groupBy("source", "bucket").agg(F.sum("size").alias("n"))
+    per = sized.groupBy("source", "bucket").agg(F.sum("words").alias("n"))
     running = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = per.select("source", "bucket", F.coalesce(F.sum("n").over(running), F.lit(0)).alias("bucket_start"))
     inside = Window.partitionBy("source", "bucket").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    placed = sized.withColumn("inside", F.coalesce(F.sum("size").over(inside), F.lit(0)))
+    placed = sized.withColumn("inside", F.coalesce(F.sum("words").over(inside), F.lit(0)))
     same = lambda a, b, *cols: [a[c].eqNullSafe(b[c]) for c in cols]
     placed = placed.join(starts, same(placed, starts, "source", "bucket")).select(placed["*"], starts["bucket_start"])
     placed = placed.join(targets, same(placed, targets, "source")).select(placed["*"], targets["source_size"], targets["target"])
     budget = F.floor(F.col("target") + F.lit(0.5))
     epochs = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(F.lit(0))
-    rest = budget - epochs * F.col("source_size")
-    cut = F.least(F.col("size"), F.greatest(F.lit(0), rest - F.col("bucket_start") - F.col("inside")))
-    return placed.select("doc_id", "source", "key", "size", "source_size", "target", epochs.alias("epochs"), cut.alias("cut"))
+    left = budget - epochs * F.col("source_size")
+    rest = F.least(F.col("words"), F.greatest(F.lit(0), left - F.col("bucket_start") - F.col("inside")))
+    return placed.select("doc_id", "source", "key", "size", "n", "source_size", "target", epochs.alias("epochs"), rest.alias("rest"))
+
+
+def _each(placed: DataFrame) -> DataFrame:
+    """A row for each document of ``placed``, with its number ``at`` among equal ones; many equal ones are dealt out in pieces of PIECE."""
+    pieces = F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(PIECE).cast("long"))
+    many = placed.where(F.col("n") > PIECE).withColumn("first", F.explode(pieces)).repartition("key", "first")
+    cut = placed.where(F.col("n") <= PIECE).withColumn("first", F.lit(0).cast("long")).unionByName(many)
+    return cut.withColumn("at", F.explode(F.sequence("first", F.least(F.col("first") + PIECE, "n") - 1)))
 
 
 def mix(docs: DataFrame) -> DataFrame:
@@ -85,11 +95,13 @@ def mix(docs: DataFrame) -> DataFrame:
     RANGE_ROWS even if one source holds all of them.
 
     Null texts have no words; null sources are a source; rows without a doc_id take their text's MD5;
-    repeated rows count each, and rows of one key lie by size.  The result depends on the rows alone, not on
+    repeated rows count each, are summed before any window and share no single task,
+    and rows of one key lie by size.  The result depends on the rows alone, not on
     their order or partitions.
     """
-    taken = F.col("epochs") * F.col("size") + F.col("cut")
-    return _placed(docs).select("doc_id", "source", "size", "source_size", "target", taken.cast("long").alias("taken"))
+    cut = F.least(F.col("size"), F.greatest(F.lit(0), F.col("rest") - F.col("at") * F.col("size")))
+    taken = F.col("epochs") * F.col("size") + cut
+    return _each(_placed(docs)).select("doc_id", "source", "size", "source_size", "target", taken.cast("long").alias("taken"))
 
 
 def mix_rows(docs: DataFrame) -> DataFrame:
@@ -98,16 +110,17 @@ def mix_rows(docs: DataFrame) -> DataFrame:
     A row at the cut stays whole, so a source exceeds its target by less than one
     document.  Rows without words never enter a mix.  Per source, the epochs and
     the last key of the rest decide, so texts are not shuffled as long as the sources
-    fit in ``BROADCAST_SOURCES`` rows.
+    fit in ``BROADCAST_SOURCES`` rows.  Columns of any names stay as they are.
     """
-    cuts = _placed(docs).groupBy(F.col("source").alias("__source")).agg(F.max("epochs").alias("__epochs"), F.max(F.when(F.col("cut") > 0, F.col("key"))).alias("__last"))
+    source, epochs, last, copy = (unused(docs, c) for c in ("cut_source", "cut_epochs", "cut_last", "cut_copy"))
+    cuts = _placed(docs).groupBy(F.col("source").alias(source)).agg(F.max("epochs").alias(epochs), F.max(F.when(F.col("rest") > 0, F.col("key"))).alias(last))
     cuts = written(cuts, "cuts")
     if cuts.count() <= BROADCAST_SOURCES:
         cuts = F.broadcast(cuts)
-    times = F.col("__epochs").cast("int") + F.coalesce(_key() <= F.col("__last"), F.lit(False)).cast("int")
+    times = F.col(epochs).cast("int") + F.coalesce(_key() <= F.col(last), F.lit(False)).cast("int")
     times = F.when(word_count(F.col("text")) > 0, times).otherwise(F.lit(0))
-    joined = docs.join(cuts, docs["source"].eqNullSafe(F.col("__source")))
-    return joined.withColumn("__copy", F.explode(F.array_repeat(F.lit(1), times))).select(docs.columns)
+    joined = docs.join(cuts, docs["source"].eqNullSafe(F.col(source)))
+    return joined.withColumn(copy, F.explode(F.array_repeat(F.lit(1), times))).select(docs.columns)
 
 
 ORACLE = """

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quern.llm.common import join_counted, sliced, written
+from quern.llm.common import join_counted, sliced, unused, written
 from quern.llm.components import connected_components
 
 SEED = 42
@@ -207,11 +207,18 @@ def keep_one(docs: DataFrame) -> DataFrame:
 
     The row with the smallest doc_id stays (null last), of these the one with the smallest hash of its
     text, so rows with a null or a repeated doc_id count like all others and the choice does not depend on their order.
+    Columns of any names stay as they are.
     """
-    rows = written(docs.withColumn("__rank", row_rank(docs)).withColumn("__row", F.monotonically_increasing_id()), "rows")
-    prints = rows.select("__row", "__rank", "text").mapInArrow(sliced(_row_prints), T.StructType([T.StructField("row", T.LongType()), T.StructField("rank", rows.schema["__rank"].dataType), T.StructField("fp", T.LongType())]))
-    heads = group_heads(written(prints, "prints")).select(F.col("row").alias("__row"))
-    return rows.join(heads, "__row", "left_semi").select(*docs.columns)
+    rows, row, rank = numbered(docs)
+    prints = rows.select(F.col(row).alias("__row"), F.col(rank).alias("__rank"), "text").mapInArrow(sliced(_row_prints), T.StructType([T.StructField("row", T.LongType()), T.StructField("rank", rows.schema[rank].dataType), T.StructField("fp", T.LongType())]))
+    heads = group_heads(written(prints, "prints")).select(F.col("row").alias(row))
+    return rows.join(heads, row, "left_semi").select(*docs.columns)
+
+
+def numbered(docs: DataFrame) -> tuple[DataFrame, str, str]:
+    """``docs`` stored with a number and a rank of each row, and the names of these two columns, which no column of ``docs`` has."""
+    row, rank = unused(docs, "row_number"), unused(docs, "row_rank")
+    return written(docs.withColumn(rank, row_rank(docs)).withColumn(row, F.monotonically_increasing_id()), "rows"), row, rank
 
 
 def _row_prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

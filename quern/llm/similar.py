@@ -46,6 +46,8 @@ PAIRS = 128
 SPLIT = 256
 #: 64-bit words of a parity map.
 LANES = 16
+#: Row numbers that are broadcast to find their texts.
+TOLD = 1 << 20
 #: Texts that are compared with one copy of an earlier one's set.
 SHARE = 64
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -158,9 +160,17 @@ def _per_part(of_a: DataFrame) -> DataFrame:
     return of_a.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
 
 
+def _texts(pairs: DataFrame, rows: DataFrame, kept: DataFrame) -> DataFrame:
+    """The ``rows`` (__row, text) that the stored ``pairs`` (a, b) name: only their texts are shuffled, as long as TOLD numbers name them all."""
+    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    named = written(kept.join(nodes, "node", "left_semi").select("__row"), "named")
+    return rows.join(F.broadcast(named), "__row", "left_semi") if named.count() <= TOLD else rows
+
+
 def _alike(pairs: DataFrame, rows: DataFrame, kept: DataFrame) -> DataFrame:
     """The stored ``pairs`` (a, b) whose whole sets of shingles reach the similarity."""
     dealt, heads = _dealt(pairs)
+    rows = _texts(pairs, rows, kept)
     text = lambda ends, node: rows.join(ends.join(kept.withColumnRenamed("node", node), node), "__row")
     of_b = text(dealt, "b").select("a", "b", "part", "text").mapInArrow(sliced(_sets), "a long, b long, part int, keys array<long>")
     of_a = text(heads, "a").select("a", "parts", "text").mapInArrow(sliced(_sets), "a long, parts int, keys array<long>")
@@ -244,9 +254,12 @@ def keep_dissimilar(docs: DataFrame) -> DataFrame:
     Groups are operator 6's; of each the row with the least doc_id stays (null last, then by hashes of the text and all columns).
     Among these no two are alike, and each that goes is alike to one with a smaller root fingerprint, which stays or
     is itself alike to such a one.  Empty texts are one group; texts without words are alike to none.
+    Columns of any names stay as they are.
     """
-    rows = written(docs.withColumn("__rank", simhash.row_rank(docs)).withColumn("__row", F.monotonically_increasing_id()), "rows")
-    sketches = sketched(rows)
+    rows, row, rank = simhash.numbered(docs)
+    texts = rows.select(F.col(row).alias("__row"), F.col(rank).alias("__rank"), "text")
+    sketches = sketched(texts)
     kept = written(simhash.group_heads(sketches.select("row", "rank", "fp")).select(F.col("row").alias("__row"), F.col("root").alias("node")), "kept")
-    gone = similar_links(rows, sketches, kept).select(F.col("b").alias("node")).distinct()
-    return rows.join(written(kept.join(gone, "node", "left_anti"), "stay"), "__row", "left_semi").select(*docs.columns)
+    gone = similar_links(texts, sketches, kept).select(F.col("b").alias("node")).distinct()
+    stay = written(kept.join(gone, "node", "left_anti").select(F.col("__row").alias(row)), "stay")
+    return rows.join(stay, row, "left_semi").select(*docs.columns)

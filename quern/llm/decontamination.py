@@ -18,7 +18,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.llm.common import unused, written
+from quern.llm.common import HUBS, unused, written
 
 WINDOW, SHINGLE = 10, 3
 #: Shingles, or windows, of the benchmark that one pass over the documents looks up; both are broadcast.
@@ -171,8 +171,13 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     columns do not matter.  A very long text is one value, as it is in its table.
     """
     count = F.size(_split(F.coalesce("text", F.lit("")))).cast("long")
-    hits = contaminated_texts(docs, benchmark)
-    rows = docs.select("doc_id", *_text_name(), count.alias("n_words")).join(hits, ["th", "tg"], "left")
+    name = ["th", "tg"]
+    rows = written(docs.select("doc_id", *_text_name(), count.alias("n_words")), "rows")
+    hits = written(contaminated_texts(docs, benchmark), "hits")
+    # texts of very many rows, fewer than HUBS, meet theirs without a shuffle
+    hot = written(rows.groupBy(*name).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") * HUBS > rows.count()).select(*name), "hot")
+    many = rows.join(F.broadcast(hot), name, "left_semi").join(F.broadcast(hits.join(F.broadcast(hot), name, "left_semi")), name, "left")
+    rows = rows.join(F.broadcast(hot), name, "left_anti").join(hits, name, "left").unionByName(many)
     n_hit = F.coalesce("n_hit", F.lit(0).cast("long"))
     nothing = F.sha2(F.lit(""), 256)
     return rows.select("doc_id", "n_words", n_hit.alias("n_hit"), F.coalesce("n_items", F.lit(0).cast("long")).alias("n_items"), F.coalesce("items_sha256", nothing).alias("items_sha256"), (n_hit > 0).alias("contaminated"))

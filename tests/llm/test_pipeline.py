@@ -38,7 +38,7 @@ def test_stages_take_empty_tables(spark):
 
 def test_one_query_for_each_operator():
     names = list(registry.queries())
-    assert [n.split("_")[0] for n in names] == [*(f"op{k}" for k in range(1, 11)), "pipeline"]
+    assert [n.split("_")[0] for n in names] == [*(f"op{k}" for k in range(1, 14)), "pipeline"]
     assert set(registry.oracle_sql()) <= set(names)
 
 
@@ -50,6 +50,19 @@ def test_near_duplicate_stage_keeps_one_row_of_every_group(spark):
     assert got == sorted(f"Row(doc_id={i!r}, text={t!r})" for i, t in want)
 
 
+def test_stages_keep_columns_of_any_names(spark):
+    """Columns whose names an operator might use come through as they were."""
+    own = ["__rank", "__row", "__epochs", "__copy", "__last", "__source", "row_number", "row_rank", "cut_source", "cut_epochs", "cut_last", "cut_copy", "pii_spans", "score", "node"]
+    rows = [(k, f"some words of text number {k} that differ {k * 7} from others {k * k}", "s", *[k] * len(own)) for k in range(6)] + [(9, "some words of text number 0 that differ 0 from others 0", "s", *[9] * len(own))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, " + ", ".join(f"`{c}` int" for c in own))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        got = stage(spark, docs, SF)
+        assert got.columns == docs.columns, name
+        got = got.collect()
+        assert got and all(r[c] == r.doc_id for r in got for c in own), name
+    assert len(corpus_pipeline.drop_near_duplicates(spark, docs, SF).collect()) == 6 and len(simhash.keep_one(docs).collect()) == 6
+
+
 def shingle_set(text):
     w = (text or "").lower().split()
     return {tuple(w[i : i + 5]) for i in range(max(len(w) - 4, min(len(w), 1)))}

@@ -156,6 +156,39 @@ def test_pii_finds_cards_and_ibans_before_other_groups():
     assert pii.Pseudonyms(KEY).apply("see ES91 2100 0418 4502 0005 1332 BY")[1] == [(4, 33, "iban")]
 
 
+def test_pii_gives_one_pseudonym_whatever_follows():
+    """Over all tails of two and three digits, and of two letters."""
+    digits = [f" {k:0{n}d}" for n in (2, 3) for k in range(10**n)]
+    letters = [f" {a}{b}" for a in "ABCDEFGHIJKLMNOPQRSTUVWXYZ" for b in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"]
+    cases = [(c, digits) for c in ("4111 1111 1111 1111", "4111-1111-1111-1111", "378282246310005", "6304 0000 0000 0000 00" + pii.luhn_digit("630400000000000000"))]
+    cases += [(i, digits + letters) for i in ("ES91 2100 0418 4502 0005 1332", "DE89 3704 0044 0532 0130 00", "DE89370400440532013000", "NO93 8601 1117 947")]
+    there, back = pii.Pseudonyms(KEY), pii.Pseudonyms(KEY, restore=True)
+    for value, tails in cases:
+        found = set()
+        for tail in tails:
+            source = f"see {value}{tail}/27 now"
+            new, spans = there.apply(source)
+            found.add((new[: 4 + len(value)], spans[0]))
+            assert back.apply(new)[0] == source
+        assert len(found) == 1 and next(iter(found))[0] != f"see {value}"
+
+
+def test_hot_ids_are_dealt_out(spark):
+    """A third of the rows without a doc_id, a third with one and the same, many of them equal."""
+    rows = [(None, f"text {k % 50}", "a") for k in range(3000)] + [(5, f"other text {k % 3}", "b") for k in range(3000)] + [(k, f"text of {k}", "a") for k in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = token_files.token_file_digests(docs).orderBy("start").collect()
+    ends = np.cumsum([r.n_tokens for r in got])
+    assert [r.start for r in got] == [0, *ends[:-1].tolist()] and len(got) == len(rows)
+    ids = [(r.doc_id is not None, r.doc_id or 0) for r in got]
+    assert ids == sorted(ids)
+    taken = mixing.mix(docs).collect()
+    assert len(taken) == len(rows)
+    for source in "ab":
+        own = [r for r in taken if r.source == source]
+        assert sum(r.taken for r in own) == int(own[0].target + 0.5) and all(0 <= r.taken <= 2 * r.size for r in own)
+
+
 def test_pii_links_equal_values_and_keeps_rows(spark, docs, none):
     out = {r.doc_id: r for r in pii.pii_report(spark.createDataFrame([(1, "mail a.b1@x.org"), (2, "a.b1@x.org, 10.0.0.1"), (3, None)], "doc_id long, text string"), KEY).collect()}
     assert out[1].text.split()[1] == out[2].text.split(",")[0] != "a.b1@x.org"

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.llm import mixing, packing, pii, registry, similar, toxicity
+from quern.llm import mixing, packing, pii, similar, toxicity
 from quern.llm.common import fresh_path, table
 
 
@@ -34,12 +34,12 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The rows with pseudonyms in ``text``, under the session's key or that of the driver's invented persons.
+    """The rows with pseudonyms in ``text``, under the session's key; where it has none, under a secret one that nobody keeps.
 
-    Row for row: nulls, empty texts and repeats stay what they are; a column pii_spans is replaced and not returned anew.
+    Row for row: nulls, empty texts and repeats stay what they are.  Without a key of the session equal values are linked within
+    this run alone and cannot be restored.
     """
-    new = pii.pseudonymise(docs, pii.session_key(spark) or registry.DEMO_KEY)
-    return new.select(docs.columns)
+    return pii.pseudonymise(docs, pii.session_key(spark) or pii.fresh_key(), spans=False)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Spans that are looked for in each text of a task at once.
+TOLD = 4096
 _SPACE = "[ \\t\\n\\r\\f\\x0B]+"
 #: Words for a token; fewest words of a chunked text; fewest of one under a bare header.
 WORDS_PER_TOKEN, LEAST_WORDS, STUB_WORDS = 0.75, 15, 25
@@ -70,17 +72,23 @@ def bare_header(label: Column) -> Column:
 def span_grades(docs: DataFrame, passages: DataFrame, span: int) -> DataFrame:
     """(item_id, doc_id, grade): how many of a passage's first and last ``span`` characters a text holds, where any.
 
-    Passages and texts meet on a whole word of the span that few texts hold: a span inside a text brings its
-    inner words as whole words, so an equi-join on the rarest of them finds every match.
+    A passage of ``span`` characters or fewer is both spans itself, so it counts twice.  Spans and texts meet on a whole word: a span inside a
+    text brings its inner words as whole words, so an equi-join on the rarest of them finds every match.  Spans without an inner word are
+    told to all tasks, TOLD at a time, and looked for in each text.
     """
     norm = lambda c: F.lower(F.regexp_replace(F.trim(c), "[ \\t\\n\\r]+", " "))
     p = passages.where("text is not null").select("item_id", norm(F.col("text")).alias("t"))
-    s = p.select("item_id", F.explode(F.array(F.substring("t", 1, span), F.expr(f"right(t, {span})"))).alias("s")).distinct()
-    inner = s.withColumn("ws", F.split("s", " ")).where(F.size("ws") > 2)
+    s = p.select("item_id", F.explode(F.array(F.substring("t", 1, span), F.expr(f"right(t, {span})"))).alias("s"))
+    s = s.groupBy("item_id", "s").agg(F.count(F.lit(1)).alias("times")).withColumn("ws", F.split("s", " "))
     d = docs.where("text is not null").select("doc_id", norm(F.col("text")).alias("t"))
-    inner = inner.select("item_id", "s", F.explode(F.array_distinct(F.slice("ws", 2, F.size("ws") - 2))).alias("w"))
+    inner = s.where(F.size("ws") > 2).select("item_id", "s", "times", F.explode(F.array_distinct(F.slice("ws", 2, F.size("ws") - 2))).alias("w"))
     held = d.select("doc_id", F.explode(F.array_distinct(F.split("t", " "))).alias("w")).join(inner.select("w").distinct(), "w", "left_semi")
     freq = held.groupBy("w").agg(F.count(F.lit(1)).alias("df"))
-    rare = inner.join(freq, "w").groupBy("item_id", "s").agg(F.min_by("w", F.struct("df", "w")).alias("w"))
-    hit = held.join(rare, "w").join(d, "doc_id").where(F.contains("t", F.col("s")))
-    return hit.groupBy("item_id", "doc_id").agg(F.count(F.lit(1)).alias("grade"))
+    rare = inner.join(freq, "w").groupBy("item_id", "s", "times").agg(F.min_by("w", F.struct("df", "w")).alias("w"))
+    hit = held.join(rare, "w").join(d, "doc_id").where(F.contains("t", F.col("s"))).select("item_id", "doc_id", "times")
+    short = s.where(F.size("ws") <= 2).select("item_id", "s", "times")
+    blocks = -(-short.count() // TOLD)
+    for k in range(blocks):
+        block = short.where(F.pmod(F.xxhash64("item_id", "s"), F.lit(blocks)) == k)
+        hit = hit.unionByName(d.join(F.broadcast(block), F.contains("t", F.col("s"))).select("item_id", "doc_id", "times"))
+    return hit.groupBy("item_id", "doc_id").agg(F.sum("times").alias("grade"))

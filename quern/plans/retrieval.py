@@ -7,8 +7,11 @@ from pyspark.sql import functions as F
 
 from quern.operators import chunking
 from quern.operators import retrieval as rt
-from quern.plans.base import query
+from quern.operators.dense import CellIndex, hybrid
+from quern.operators.inverted import InvertedIndex
+from quern.plans.base import query, stored
 from quern.sources import views
+from quern.sources.payloads import scratch
 
 
 def r6(x: Column) -> Column:
@@ -24,6 +27,23 @@ def asked(spark, sf_dir) -> DataFrame:
     return views.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
 
 
+def index(spark, sf_dir) -> InvertedIndex:
+    """The stored index of all documents."""
+    kept = lambda: docs(spark, sf_dir).select("doc_id", "text", "lang", "source")
+    return stored(spark, sf_dir, "inverted", lambda path: InvertedIndex.create(kept(), path, ("lang", "source")), lambda path: InvertedIndex(spark, path))
+
+
+def cells(spark, sf_dir) -> CellIndex:
+    """The stored index of all vectors."""
+    rows = lambda: views.table(spark, sf_dir, "embeddings")
+    return stored(spark, sf_dir, "cells", lambda path: CellIndex.create(rows(), path), lambda path: CellIndex(spark, path))
+
+
+def found(spark, sf_dir, k: int, where: str | None = None) -> DataFrame:
+    """(query_id, doc_id, score, rank): the k best documents for each passage, from the stored index."""
+    return index(spark, sf_dir).search(asked(spark, sf_dir), k, where)
+
+
 def bm25_sql(where: str = "true", name: str = "bm") -> str:
     return f"""qtok AS (SELECT query_id, w, count(*) AS qn FROM (SELECT item_id AS query_id, unnest(regexp_extract_all(lower("text"), '[a-z0-9]+')) AS w FROM benchmark) GROUP BY 1, 2),
   dtok AS (SELECT doc_id, regexp_extract_all(lower(coalesce("text", '')), '[a-z0-9]+') AS x FROM documents WHERE {where}), tot AS (SELECT count(*) AS n_docs, avg(len(x)) AS avgdl FROM dtok),
@@ -36,7 +56,7 @@ def bm25_sql(where: str = "true", name: str = "bm") -> str:
 @query(f"WITH {bm25_sql()} SELECT query_id, doc_id, rank, round(score, 6) AS score FROM bm WHERE rank <= 10")
 def bm25_topk(spark, sf_dir):
     """The ten best documents for each question by BM25."""
-    return rt.bm25(docs(spark, sf_dir), asked(spark, sf_dir), 10).select("query_id", "doc_id", "rank", r6(F.col("score")).alias("score"))
+    return found(spark, sf_dir, 10).select("query_id", "doc_id", "rank", r6(F.col("score")).alias("score"))
 
 
 _EN = "lang = 'en'"
@@ -45,7 +65,7 @@ _EN = "lang = 'en'"
 @query(f"WITH {bm25_sql(_EN)} SELECT query_id, doc_id, rank, round(score, 6) AS score FROM bm WHERE rank <= 5")
 def bm25_topk_filtered(spark, sf_dir):
     """The same over one language: its own counts and lengths, since the filter comes first."""
-    return rt.bm25(docs(spark, sf_dir).where(_EN), asked(spark, sf_dir), 5).select("query_id", "doc_id", "rank", r6(F.col("score")).alias("score"))
+    return found(spark, sf_dir, 5, _EN).select("query_id", "doc_id", "rank", r6(F.col("score")).alias("score"))
 
 
 def _vectors(spark, sf_dir):
@@ -81,14 +101,34 @@ def cosine_topk_filtered(spark, sf_dir):
 )
 def dedupe_by_text_topk(spark, sf_dir):
     """Four times as many hits as wanted, equal texts once, then the best ten."""
-    hits = rt.bm25(docs(spark, sf_dir), asked(spark, sf_dir), 40).drop("rank").join(docs(spark, sf_dir).select("doc_id", "text"), "doc_id")
+    hits = found(spark, sf_dir, 40).drop("rank").join(docs(spark, sf_dir).select("doc_id", "text"), "doc_id")
     return rt.distinct_texts(hits, ["query_id"], 10).select("query_id", "doc_id", "rank")
 
 
+@query(
+    """WITH d AS (SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN (SELECT max(b."text") FROM benchmark b) || ' ' || coalesce("text", '') ELSE "text" END AS t FROM documents WHERE doc_id % 11 <> 0),
+  qtok AS (SELECT query_id, w, count(*) AS qn FROM (SELECT item_id AS query_id, unnest(regexp_extract_all(lower("text"), '[a-z0-9]+')) AS w FROM benchmark) GROUP BY 1, 2),
+  dtok AS (SELECT doc_id, regexp_extract_all(lower(coalesce(t, '')), '[a-z0-9]+') AS x FROM d), tot AS (SELECT count(*) AS n_docs, avg(len(x)) AS avgdl FROM dtok),
+  tf AS (SELECT doc_id, dl, w, count(*) AS tf FROM (SELECT doc_id, len(x) AS dl, unnest(x) AS w FROM dtok) WHERE w IN (SELECT w FROM qtok) GROUP BY 1, 2, 3), dfs AS (SELECT w, count(*) AS df FROM tf GROUP BY w),
+  part AS (SELECT doc_id, w, ln((n_docs - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE) + 1) * tf * 2.5::DOUBLE / (tf + 1.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / avgdl)) AS part FROM tf JOIN dfs USING (w), tot)
+  SELECT query_id, doc_id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM (SELECT query_id, doc_id, round(sum(qn * part), 9) AS score FROM part JOIN qtok USING (w) GROUP BY 1, 2) WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) <= 10"""
+)
+def index_update_topk(spark, sf_dir):
+    """The ten best documents once every seventh was changed and every eleventh removed in the stored index, without a rebuild."""
+    d = docs(spark, sf_dir)
+    more = views.table(spark, sf_dir, "benchmark").agg(F.max("text").alias("more"))
+    changed = d.where("doc_id % 7 = 0 and doc_id % 11 <> 0").crossJoin(F.broadcast(more)).select("doc_id", F.concat_ws(" ", "more", F.coalesce("text", F.lit(""))).alias("text"), "lang", "source")
+    path = scratch(spark, "inverted")
+    ix = InvertedIndex.create(d.select("doc_id", "text", "lang", "source"), path, ("lang", "source"))
+    ix.add(changed)
+    ix.remove(d.where("doc_id % 11 = 0").select("doc_id"))
+    return ix.search(asked(spark, sf_dir), 10).select("query_id", "doc_id", "rank", r6(F.col("score")).alias("score"))
+
+
 def lists(spark, sf_dir) -> DataFrame:
     """(query_id, list, rank, id): BM25 over all and over English texts."""
-    a = rt.bm25(docs(spark, sf_dir), asked(spark, sf_dir), 30).select("query_id", F.lit(0).alias("list"), "rank", F.col("doc_id").alias("id"))
-    b = rt.bm25(docs(spark, sf_dir).where(_EN), asked(spark, sf_dir), 30).select("query_id", F.lit(1).alias("list"), "rank", F.col("doc_id").alias("id"))
+    a = found(spark, sf_dir, 30).select("query_id", F.lit(0).alias("list"), "rank", F.col("doc_id").alias("id"))
+    b = found(spark, sf_dir, 30, _EN).select("query_id", F.lit(1).alias("list"), "rank", F.col("doc_id").alias("id"))
     return a.union(b)
 
 
@@ -109,7 +149,7 @@ def rrf_fusion(spark, sf_dir):
 def rrf_full_outer(spark, sf_dir):
     """The fused list with its documents' metadata."""
     f = rt.fuse(lists(spark, sf_dir), ["query_id"]).where("rank <= 8")
-    return f.join(docs(spark, sf_dir).select(F.col("doc_id").alias("id"), "source", "lang"), "id").select("query_id", "id", "rank", "source", "lang")
+    return f.join(index(spark, sf_dir).documents().select(F.col("doc_id").alias("id"), "source", "lang"), "id").select("query_id", "id", "rank", "source", "lang")
 
 
 @query(f"WITH {LISTS}, seen AS (SELECT *, row_number() OVER (PARTITION BY query_id, id ORDER BY rank, list) AS k FROM lists) SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY rank, list) AS seat FROM seen WHERE k = 1 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY rank, list) <= 15")
@@ -126,7 +166,7 @@ def seat_breadth_first(spark, sf_dir):
 )
 def seat_top_branches(spark, sf_dir):
     """The three best sources of each question, three documents each."""
-    hits = rt.bm25(docs(spark, sf_dir), asked(spark, sf_dir), 40).drop("rank").join(docs(spark, sf_dir).select("doc_id", "source"), "doc_id")
+    hits = found(spark, sf_dir, 40).drop("rank").join(index(spark, sf_dir).documents().select("doc_id", "source"), "doc_id")
     w = Window.partitionBy("query_id", "source")
     hits = hits.withColumn("k", F.row_number().over(w.orderBy(F.desc("score"), "doc_id"))).withColumn("top", F.max("score").over(w))
     hits = hits.withColumn("branch", F.dense_rank().over(Window.partitionBy("query_id").orderBy(F.desc("top"), "source")))
@@ -149,7 +189,7 @@ SCORES = f"""{bm25_sql()}, {GRADES}, flags AS (SELECT b.query_id, b.rank, coales
 
 
 def _scores(spark, sf_dir) -> DataFrame:
-    bm = rt.bm25(docs(spark, sf_dir), asked(spark, sf_dir), 8)
+    bm = found(spark, sf_dir, 8)
     g = chunking.span_grades(docs(spark, sf_dir), views.table(spark, sf_dir, "benchmark"), 40).select(F.col("item_id").alias("query_id"), "doc_id", F.col("grade").alias("gain"))
     flags = bm.join(g, ["query_id", "doc_id"], "left").select("query_id", "rank", F.coalesce("gain", F.lit(0)).alias("gain"))
     return rt.ranking_scores(flags, g.select("query_id", "gain"), "query_id", 8)
@@ -184,6 +224,54 @@ def aspect_coverage(spark, sf_dir):
     return p.select("item_id", (F.col("item_id") % 2).alias("question")).join(hit, "item_id", "left").groupBy("question").agg(F.count(F.lit(1)).alias("n_aspects"), r6(F.count("hit") / F.count(F.lit(1))).alias("coverage"))
 
 
+def similar_questions(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Questions of the hybrid search: the vectors whose id is divisible by 100, and the whole texts of the documents of these ids."""
+    _, q = _vectors(spark, sf_dir)
+    texts = docs(spark, sf_dir).where("doc_id % 100 = 0").select(F.col("doc_id").alias("query_id"), "text").join(q.select("query_id"), "query_id", "left_semi")
+    return q, texts
+
+
+@query(f"WITH {cosine_sql('true', 10)} SELECT * FROM cs")
+def dense_index_topk(spark, sf_dir):
+    """The ten nearest vectors from the stored cells: exact, since only cells that cannot hold one are left out."""
+    _, q = _vectors(spark, sf_dir)
+    return cells(spark, sf_dir).search(q, 10).select("query_id", "vec_id", "score", "rank")
+
+
+@query(f"WITH {cosine_sql('a.label IN (1, 2, 3)', 10)} SELECT * FROM cs")
+def dense_index_filtered(spark, sf_dir):
+    """The same among some labels, which are left through before the ranking."""
+    _, q = _vectors(spark, sf_dir)
+    return cells(spark, sf_dir).search(q, 10, "label in (1, 2, 3)").select("query_id", "vec_id", "score", "rank")
+
+
+@query()
+def dense_probe_recall(spark, sf_dir):
+    """Share of each question's ten nearest that half of the cells find; the mean is 0.9 or more in the tests."""
+    _, q = _vectors(spark, sf_dir)
+    ix = cells(spark, sf_dir)
+    some = ix.search(q, 10, probe=-(-ix.cells.count() // 2)).select("query_id", "vec_id", F.lit(1).alias("hit"))
+    exact = ix.search(q, 10).select("query_id", "vec_id")
+    return exact.join(some, ["query_id", "vec_id"], "left").groupBy("query_id").agg(F.round(F.count("hit") / F.count(F.lit(1)), 6).alias("recall"))
+
+
+HYBRID = f"""hq AS (SELECT doc_id AS item_id, "text" FROM documents WHERE doc_id % 100 = 0 AND doc_id IN (SELECT vec_id FROM embeddings)), {bm25_sql(name='sp').replace("FROM benchmark", "FROM hq")}, {cosine_sql('true', 30)},
+  arms AS (SELECT coalesce(d.query_id, s.query_id) AS query_id, coalesce(d.vec_id, s.doc_id) AS id, d.rank AS dense_rank, s.rank AS sparse_rank, round(coalesce(1.0::DOUBLE / (60 + d.rank), 0) + coalesce(1.0::DOUBLE / (60 + s.rank), 0), 9) AS score
+    FROM cs d FULL OUTER JOIN (SELECT * FROM sp WHERE rank <= 30) s ON s.query_id = d.query_id AND s.doc_id = d.vec_id),
+  ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM arms)"""
+
+
+@query(f"WITH {HYBRID} SELECT r.query_id, r.id, r.score, r.rank, r.dense_rank, r.sparse_rank, d.lang, d.source FROM ranked r JOIN documents d ON d.doc_id = r.id WHERE r.rank <= 10")
+def hybrid_topk(spark, sf_dir):
+    """Dense and sparse hits fused by reciprocal ranks: the vector and the whole text of a document as the question, both from stored indexes."""
+    q, texts = similar_questions(spark, sf_dir)
+    dense = cells(spark, sf_dir).search(q, 30).select("query_id", F.col("vec_id").alias("id"), "rank")
+    ix = index(spark, sf_dir)
+    sparse = ix.search(texts, 30).select("query_id", F.col("doc_id").alias("id"), "rank")
+    store = ix.documents().select(F.col("doc_id").alias("id"), "lang", "source")
+    return hybrid(dense, sparse, store, 10).select("query_id", "id", "score", "rank", "dense_rank", "sparse_rank", "lang", "source")
+
+
 # graph -----------------------------------------------------------------------------------
 
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
 import uuid
 from collections.abc import Iterator
 from html.parser import HTMLParser
@@ -13,8 +16,19 @@ from pyspark.sql import types as T
 
 
 def scratch(spark: SparkSession, tag: str) -> str:
-    """A path of its own in the shared folder that the session names, or in its warehouse where it names none."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.sql.warehouse.dir")
+    """A path of its own in the folder that driver and executors share, as ``spark.checkpoint.dir`` names it.
+
+    On one machine, where none is named, a temporary folder is taken and removed at the end; a cluster without one is an error,
+    since each executor would write to its own disk.
+    """
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir names no folder that driver and executors share")
+        base = tempfile.mkdtemp(prefix="quern-")
+        atexit.register(shutil.rmtree, base, ignore_errors=True)
+        spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
 
 

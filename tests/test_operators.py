@@ -273,3 +273,85 @@ def test_bootstrap_holds_the_estimate(spark):
     rows = [("k", g, float(1 + g % 3), 1.0) for g in range(30) for _ in range(4)]
     r = po.bootstrap_interval(spark.createDataFrame(rows, "key string, grp int, reward double, w double"), "key").first()
     assert r.low <= r.estimate <= r.high and r.estimate == pytest.approx(2.0)
+
+
+def test_span_grades_find_spans_of_any_number_of_words(spark):
+    """Passages of one, two and ten words against ``contains``; a short passage is both of its spans."""
+    from quern.operators import chunking
+
+    passages = [(1, "alpha beta"), (2, "longword"), (3, "xx alpha beta"), (4, "one two three four five six seven eight nine ten and many more words"), (5, None), (6, "onew"), (7, "Alpha\n beta"), (8, "twice the same")]
+    texts = [(10, "so xx  ALPHA beta yy"), (11, "a longwordy text"), (12, "one two three four five six seven eight nine ten and many more words"), (13, "one two three four five six seven eight nine"), (14, None), (15, ""), (16, "ten and many more words"), (17, "xx alpha betas, twice the same")]
+    got = chunking.span_grades(spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(passages, "item_id long, text string"), 20).collect()
+    norm = lambda x: " ".join(x.split()).lower()
+    want = {}
+    for i, p in passages:
+        for d, t in texts:
+            if p and t and (n := (norm(p)[:20] in norm(t)) + (norm(p)[-20:] in norm(t))):
+                want[i, d] = n
+    assert {(r.item_id, r.doc_id): r.grade for r in got} == want and want[1, 10] == 2 and want[2, 11] == 2
+
+
+def test_inverted_index_answers_as_a_scan_does(spark, tmp_path):
+    """Also with few documents a range, under a filter, after changes and removals, and compacted."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    from quern.operators import retrieval
+    from quern.operators.inverted import InvertedIndex
+
+    r = random.Random(3)
+    vocabulary = [f"w{k}" for k in range(60)] + ["the"] * 30
+    text = lambda: " ".join(r.choice(vocabulary) for _ in range(r.randrange(40)))
+    rows = [(k, None if k == 5 else text(), "en" if k % 3 else "de") for k in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    asked = spark.createDataFrame([(k, text()) for k in range(12)] + [(20, ""), (21, None), (22, "nowhere")], "query_id long, text string")
+    answers = lambda df: sorted((x.query_id, x.doc_id, x.score, x["rank"]) for x in df.collect())
+    for name, size in (("a", 2048), ("b", 20)):
+        ix = InvertedIndex.create(docs.unionByName(spark.createDataFrame([(None, "the w1", "en")], docs.schema)), str(tmp_path / name), ("lang",), size)
+        assert answers(ix.search(asked, 7)) == answers(retrieval.bm25(docs, asked, 7))
+        assert answers(ix.search(asked, 7, "lang = 'de'")) == answers(retrieval.bm25(docs.where("lang = 'de'"), asked, 7))
+    plan = ix.search(asked, 7)._jdf.queryExecution().toString()
+    assert "range" in plan and ix.ranges == 16
+    new = [(3, "w1 w1 w2 the", "en"), (400, "w3 the w4", "de"), (5, "w5", "en")]
+    ix.add(spark.createDataFrame(new, docs.schema))
+    ix.remove(spark.createDataFrame([(7,), (8,), (999,), (None,)], "doc_id long"))
+    ix.add(spark.createDataFrame([(8, "w9 back again", "en"), (400, "w3 w3", "de")], docs.schema))
+    now = {k: (k, t, x) for k, t, x in rows if k not in (7, 8)} | {n[0]: n for n in new} | {8: (8, "w9 back again", "en"), 400: (400, "w3 w3", "de")}
+    now = spark.createDataFrame(list(now.values()), docs.schema)
+    for index in (InvertedIndex(spark, ix.path), ix.compact(str(tmp_path / "c"))):
+        assert answers(index.search(asked, 9)) == answers(retrieval.bm25(now, asked, 9))
+        assert answers(index.search(asked, 9, F.col("lang") == "en")) == answers(retrieval.bm25(now.where("lang = 'en'"), asked, 9))
+    none = InvertedIndex.create(docs.limit(0), str(tmp_path / "none"), ("lang",))
+    assert none.search(asked, 3).count() == 0
+    none.add(docs)
+    assert answers(none.search(asked, 3)) == answers(retrieval.bm25(docs, asked, 3))
+
+
+def test_cells_answer_as_all_vectors_do(spark, tmp_path):
+    """Exact with and without a filter, with odd vectors too; half of the cells find nine in ten."""
+    import numpy as np
+
+    from quern.operators import retrieval
+    from quern.operators.dense import CellIndex, hybrid
+
+    r = np.random.default_rng(2)
+    centres = r.normal(size=(9, 12))
+    x = centres[r.integers(0, 9, 500)] + r.normal(scale=0.3, size=(500, 12))
+    rows = [(k, [float(v) for v in e], int(k % 4)) for k, e in enumerate(x)] + [(900 + k, [float(v) for v in x[3]], 1) for k in range(20)] + [(950, [0.0] * 12, 1), (951, None, 1)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    asked = table.where("vec_id % 50 = 0 and vec_id < 500").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    answers = lambda df: sorted((a.query_id, a["rank"], a.vec_id, a.score) for a in df.collect())
+    ix = CellIndex.create(table, str(tmp_path / "cells"), cells=12)
+    good = table.where("embedding is not null")
+    assert answers(ix.search(asked, 15)) == answers(retrieval.nearest(good, asked, 15))
+    assert answers(ix.search(asked, 15, "label = 2")) == answers(retrieval.nearest(good.where("label = 2"), asked, 15))
+    exact = {a[:1] + a[2:3] for a in answers(ix.search(asked, 10))}
+    assert len(exact & {a[:1] + a[2:3] for a in answers(ix.search(asked, 10, probe=6))}) >= 0.9 * len(exact)
+    none = CellIndex.create(table.limit(0), str(tmp_path / "none"))
+    assert none.cells.count() == 0
+    d = spark.createDataFrame([(1, 10, 1), (1, 11, 2)], "query_id long, id long, rank int")
+    s = spark.createDataFrame([(1, 12, 1), (1, 11, 2), (1, 13, 3)], "query_id long, id long, rank int")
+    store = spark.createDataFrame([(10, "a"), (11, "b"), (12, "c")], "id long, lang string")
+    got = [(h.id, h.lang, h.dense_rank, h.sparse_rank) for h in hybrid(d, s, store, 9).orderBy("rank").collect()]
+    assert got == [(11, "b", 2, 2), (10, "a", 1, None), (12, "c", None, 1)]

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.functions.text import tokens
+from quern.sources.payloads import scratch
 
 
 #: Queries that are told to all tasks at once, about.
@@ -107,22 +108,40 @@ def round_robin(queues: DataFrame, keys: list[str], cap: int) -> DataFrame:
     return heads.groupBy(*keys).applyInPandas(pick, ", ".join(f"{c} {kinds[c]}" for c in [*keys, "id"]) + ", turn long")
 
 
-def neighbours(edges: DataFrame, seeds: DataFrame, hops: int) -> DataFrame:
-    """(seed, subject, relation, object, hop): edges met in at most ``hops`` steps from each seed (seed), outwards, with the first hop that meets them.
+def neighbours(edges: DataFrame, seeds: DataFrame, hops: int, direction: str = "out", relations: tuple[str, ...] = ()) -> DataFrame:
+    """(seed, subject, relation, object, hop): edges met in at most ``hops`` steps from each seed (seed), with the first hop that meets them.
 
-    A frontier never enters a node again; edges to known nodes are still met.  Each step is one equi-join.
+    Steps go from subjects to objects (out), back (in) or either way (both), over the ``relations`` named or all.
+    A frontier never enters a node again; edges to known nodes are still met.  Each step is one equi-join on nodes, which AQE splits where a hub is
+    hot; from the third step on frontiers are written, so no step is worked out twice.
     """
+    chosen = edges.where(F.col("relation").isin(*relations)) if relations else edges
+    way = lambda node, other: chosen.select(F.col(node).alias("node"), F.col(other).alias("other"), "subject", "relation", "object")
+    ways = {"out": [("subject", "object")], "in": [("object", "subject")], "both": [("subject", "object"), ("object", "subject")]}[direction]
+    incident = way(*ways[0]) if len(ways) == 1 else way(*ways[0]).union(way(*ways[1]))
     frontier = seeds.select("seed", F.col("seed").alias("node"))
     seen, found = frontier, None
     for hop in range(1, hops + 1):
-        step = frontier.join(edges, frontier["node"] == edges["subject"]).select("seed", "subject", "relation", "object", F.lit(hop).alias("hop"))
+        step = frontier.join(incident, "node").select("seed", "subject", "relation", "object", F.lit(hop).alias("hop"), "other")
         found = step if found is None else found.union(step)
         if hop < hops:
-            frontier = step.select("seed", F.col("object").alias("node")).distinct().join(seen, ["seed", "node"], "left_anti")
+            frontier = step.select("seed", F.col("other").alias("node")).distinct().join(seen, ["seed", "node"], "left_anti")
+            if hops > 2:
+                path = scratch(edges.sparkSession, "frontier")
+                frontier.write.parquet(path)
+                frontier = edges.sparkSession.read.parquet(path)
             seen = seen.union(frontier)
     return found.groupBy("seed", "subject", "relation", "object").agg(F.min("hop").alias("hop"))
 
 
+def provenance(walk: DataFrame, edges: DataFrame) -> DataFrame:
+    """(seed, id, place): distinct provenance ids of the edges of a ``walk``, in the order of edges and of their lists."""
+    p = walk.join(edges.select("subject", "relation", "object", "provenance"), ["subject", "relation", "object"])
+    p = p.select("seed", F.struct("subject", "relation", "object").alias("edge"), F.posexplode("provenance").alias("i", "id"))
+    firsts = p.groupBy("seed", "id").agg(F.min(F.struct("edge", "i")).alias("at"))
+    return firsts.select("seed", "id", F.row_number().over(Window.partitionBy("seed").orderBy("at", "id")).alias("place"))
+
+
 def ranking_scores(flags: DataFrame, relevant: DataFrame, key: str, k: int) -> DataFrame:
     """(key, hit, mrr, precision, recall, ndcg) of ranked rows (key, rank, gain) and all grades there are (key, gain).
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quern.operators import chunking
 from quern.operators import retrieval as rt
 from quern.operators.dense import CellIndex, hybrid
+from quern.operators.graph import EdgeStore
 from quern.operators.inverted import InvertedIndex
 from quern.plans.base import query, stored
 from quern.sources import views
@@ -261,15 +262,16 @@ HYBRID = f"""hq AS (SELECT doc_id AS item_id, "text" FROM documents WHERE doc_id
   ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM arms)"""
 
 
-@query(f"WITH {HYBRID} SELECT r.query_id, r.id, r.score, r.rank, r.dense_rank, r.sparse_rank, d.lang, d.source FROM ranked r JOIN documents d ON d.doc_id = r.id WHERE r.rank <= 10")
+@query(f"WITH {HYBRID} SELECT r.query_id, r.id, r.score, r.rank, coalesce(r.dense_rank, 0) AS dense_rank, coalesce(r.sparse_rank, 0) AS sparse_rank, d.lang, d.source FROM ranked r JOIN documents d ON d.doc_id = r.id WHERE r.rank <= 10")
 def hybrid_topk(spark, sf_dir):
-    """Dense and sparse hits fused by reciprocal ranks: the vector and the whole text of a document as the question, both from stored indexes."""
+    """Dense and sparse hits fused by reciprocal ranks: the vector and the whole text of a document as the question, both from stored indexes; rank 0: not in that list."""
     q, texts = similar_questions(spark, sf_dir)
     dense = cells(spark, sf_dir).search(q, 30).select("query_id", F.col("vec_id").alias("id"), "rank")
     ix = index(spark, sf_dir)
     sparse = ix.search(texts, 30).select("query_id", F.col("doc_id").alias("id"), "rank")
     store = ix.documents().select(F.col("doc_id").alias("id"), "lang", "source")
-    return hybrid(dense, sparse, store, 10).select("query_id", "id", "score", "rank", "dense_rank", "sparse_rank", "lang", "source")
+    ranks = (F.coalesce(c, F.lit(0)).alias(c) for c in ("dense_rank", "sparse_rank"))
+    return hybrid(dense, sparse, store, 10).select("query_id", "id", "score", "rank", *ranks, "lang", "source")
 
 
 # graph -----------------------------------------------------------------------------------
@@ -308,6 +310,71 @@ def graph_bfs_2hop(spark, sf_dir):
     return walk(spark, sf_dir)
 
 
+def walk_sql(hops: int, direction: str, relations: tuple[str, ...] = ()) -> str:
+    """CTEs up to ``walk`` (seed, subject, relation, object, hop) of all suppliers, by a recursion over reached nodes."""
+    ways = {"out": "SELECT *, subject AS node, object AS other FROM chosen", "in": "SELECT *, object AS node, subject AS other FROM chosen"}
+    kept = f"WHERE relation IN ({', '.join(map(repr, relations))})" if relations else ""
+    incident = " UNION ALL ".join(w for d, w in ways.items() if direction in (d, "both"))
+    return f"""RECURSIVE {EDGES}, chosen AS (SELECT * FROM edges {kept}), incident AS ({incident}), seeds AS (SELECT DISTINCT 's' || s_suppkey AS seed FROM supplier),
+  reach AS (SELECT seed, seed AS node, 0 AS lvl FROM seeds UNION SELECT r.seed, i.other, r.lvl + 1 FROM reach r JOIN incident i ON i.node = r.node WHERE r.lvl + 1 < {hops}),
+  walk AS (SELECT r.seed, i.subject, i.relation, i.object, min(r.lvl + 1) AS hop FROM reach r JOIN incident i ON i.node = r.node GROUP BY 1, 2, 3, 4)"""
+
+
+def seeds(spark, sf_dir) -> DataFrame:
+    return views.table(spark, sf_dir, "supplier").select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("seed")).distinct()
+
+
+@query(f"WITH {walk_sql(2, 'in')} SELECT * FROM walk")
+def graph_walk_in(spark, sf_dir):
+    """Edges that lead to each supplier in one or two steps."""
+    return rt.neighbours(edges(spark, sf_dir), seeds(spark, sf_dir), 2, "in")
+
+
+_DEPENDS = ("depends_on",)
+
+
+@query(f"WITH {walk_sql(2, 'both', _DEPENDS)} SELECT * FROM walk")
+def graph_walk_both(spark, sf_dir):
+    """Edges of one relation within two steps of each supplier, in either direction."""
+    return rt.neighbours(edges(spark, sf_dir), seeds(spark, sf_dir), 2, "both", _DEPENDS)
+
+
+_HELD = ("depends_on", "located_in", "part_of")
+
+
+@query(f"WITH {walk_sql(3, 'out', _HELD)} SELECT * FROM walk")
+def graph_walk_3hop(spark, sf_dir):
+    """Edges of three relations within three steps of each supplier, outwards."""
+    return rt.neighbours(edges(spark, sf_dir), seeds(spark, sf_dir), 3, "out", _HELD)
+
+
+@query(
+    f"""WITH {walk_sql(2, 'both', _DEPENDS)}, p AS (SELECT w.seed, w.subject, w.relation, w.object, e.provenance, unnest(range(1, len(e.provenance) + 1)) AS i FROM walk w JOIN edges e USING (subject, relation, object)),
+    ids AS (SELECT seed, provenance[i] AS id, row_number() OVER (PARTITION BY seed ORDER BY subject, relation, object, i) AS pos FROM p) SELECT seed, id, row_number() OVER (PARTITION BY seed ORDER BY min(pos)) AS place FROM ids GROUP BY seed, id"""
+)
+def graph_provenance(spark, sf_dir):
+    """Distinct provenance ids of the edges within two steps in either direction, in the edges' order."""
+    return rt.provenance(rt.neighbours(edges(spark, sf_dir), seeds(spark, sf_dir), 2, "both", _DEPENDS), edges(spark, sf_dir))
+
+
+@query(
+    f"""WITH {EDGES}, again AS (SELECT subject, relation, object, round(confidence / 2, 6) AS confidence, list_append(provenance, 'again') AS provenance FROM edges WHERE relation = 'depends_on'
+  UNION ALL SELECT object, 'supplies', subject, 0.5, ['new'] FROM edges WHERE relation = 'depends_on')
+  SELECT coalesce(a.subject, e.subject) AS subject, coalesce(a.relation, e.relation) AS relation, coalesce(a.object, e.object) AS object, coalesce(a.confidence, e.confidence) AS confidence,
+    array_to_string(list_filter(coalesce(e.provenance, []) || coalesce(a.provenance, []), lambda x, i: list_position(coalesce(e.provenance, []) || coalesce(a.provenance, []), x) = i), ' ') AS provenance
+  FROM (SELECT subject, relation, object, max(confidence) AS confidence, any_value(provenance) AS provenance FROM edges GROUP BY 1, 2, 3) e FULL OUTER JOIN (SELECT subject, relation, object, max(confidence) AS confidence, any_value(provenance) AS provenance FROM again GROUP BY 1, 2, 3) a
+    ON a.subject = e.subject AND a.relation = e.relation AND a.object = e.object"""
+)
+def graph_merge_edges(spark, sf_dir):
+    """A stored graph after a second extraction: keyed edges take its confidence, their provenance is united, other edges are added; only folders with changed keys are written."""
+    e = edges(spark, sf_dir)
+    again = e.where("relation = 'depends_on'").withColumns({"confidence": F.round(F.col("confidence") / 2, 6), "provenance": F.array_append("provenance", "again")})
+    reverse = e.where("relation = 'depends_on'").select(F.col("object").alias("subject"), F.lit("supplies").alias("relation"), F.col("subject").alias("object"), F.lit(0.5).alias("confidence"), F.array(F.lit("new")).alias("provenance"))
+    store = EdgeStore.create(e, scratch(spark, "edges"))
+    store.merge(again.unionByName(reverse))
+    return store.edges().withColumn("provenance", F.array_join("provenance", " "))
+
+
 @query(
     f"""WITH {WALK}, p AS (SELECT w.seed, w.subject, w.relation, w.object, e.provenance, unnest(range(1, len(e.provenance) + 1)) AS i FROM walk w JOIN edges e USING (subject, relation, object) WHERE hop = 1),
     ids AS (SELECT seed, provenance[i] AS id, row_number() OVER (PARTITION BY seed ORDER BY relation, subject, object, i) AS pos FROM p), firsts AS (SELECT seed, id, min(pos) AS pos FROM ids GROUP BY seed, id) SELECT seed, id, row_number() OVER (PARTITION BY seed ORDER BY pos) AS place FROM firsts"""

@@ -355,3 +355,55 @@ def test_cells_answer_as_all_vectors_do(spark, tmp_path):
     store = spark.createDataFrame([(10, "a"), (11, "b"), (12, "c")], "id long, lang string")
     got = [(h.id, h.lang, h.dense_rank, h.sparse_rank) for h in hybrid(d, s, store, 9).orderBy("rank").collect()]
     assert got == [(11, "b", 2, 2), (10, "a", 1, None), (12, "c", None, 1)]
+
+
+@pytest.mark.parametrize(("direction", "relations", "hops"), [("out", (), 2), ("in", (), 2), ("both", ("r0", "r1"), 3), ("both", (), 1), ("out", ("r2",), 3)])
+def test_walks_are_breadth_first(spark, direction, relations, hops):
+    import random
+
+    r = random.Random(4)
+    rows = sorted({(f"n{r.randrange(14)}", f"r{r.randrange(3)}", f"n{r.randrange(14)}") for _ in range(40)} | {("n1", "r0", "n1")} | {("hub", "r0", f"n{k}") for k in range(14)})
+    edges = spark.createDataFrame([(*x, [f"{x[0]}-{k}" for k in range(3)]) for x in rows], "subject string, relation string, object string, provenance array<string>")
+    seeds = ["n1", "n2", "hub", "nowhere"]
+    want = {}
+    for seed in seeds:
+        known, frontier = {seed}, {seed}
+        for hop in range(1, hops + 1):
+            ahead = set()
+            for s, rel, o in rows:
+                if relations and rel not in relations:
+                    continue
+                ends = [(s, o)] * (direction != "in") + [(o, s)] * (direction != "out")
+                for node, other in ends:
+                    if node in frontier:
+                        want.setdefault((seed, s, rel, o), hop)
+                        ahead.add(other)
+            frontier = ahead - known
+            known |= ahead
+    walk = rt.neighbours(edges, spark.createDataFrame([(x,) for x in seeds], "seed string"), hops, direction, relations)
+    assert {(x.seed, x.subject, x.relation, x.object): x.hop for x in walk.collect()} == want
+    ids = {}
+    for seed, s, *_ in sorted(want):
+        ids.setdefault(seed, {}).update({f"{s}-{k}": None for k in range(3) if f"{s}-{k}" not in ids.get(seed, {})})
+    got = {}
+    for x in rt.provenance(walk, edges).orderBy("seed", "place").collect():
+        got.setdefault(x.seed, []).append(x.id)
+    assert got == {k: list(v) for k, v in ids.items()}
+
+
+def test_merged_edges_unite_provenance_and_touch_changed_folders_alone(spark, tmp_path):
+    import os
+
+    from quern.operators import graph
+
+    kind = "subject string, relation string, object string, confidence double, provenance array<string>"
+    first = [(f"a{k}", "r", "b", 0.5, ["1", str(k), "1"]) for k in range(40)] + [("a0", "r", "b", 0.7, ["9"])]
+    store = graph.EdgeStore.create(spark.createDataFrame(first, kind), str(tmp_path / "g"))
+    folders = lambda: {b: sorted(os.listdir(tmp_path / "g" / "edges" / b)) for b in os.listdir(tmp_path / "g" / "edges") if b.startswith("bucket")}
+    before = folders()
+    store.merge(spark.createDataFrame([("a3", "r", "b", 0.1, ["x", "3"]), ("a3", "r", "b", 0.2, ["y"]), ("new", "r", "b", 0.3, [])], kind))
+    assert 1 <= sum(len(v) > len(before.get(k, [])) for k, v in folders().items()) <= 2
+    got = {(x.subject, x.relation, x.object): (x.confidence, x.provenance) for x in graph.EdgeStore(spark, store.path).edges().collect()}
+    assert len(got) == 41 and got["new", "r", "b"] == (0.3, []) and got["a5", "r", "b"] == (0.5, ["1", "5"])
+    assert got["a3", "r", "b"][0] == 0.2 and got["a3", "r", "b"][1][:2] == ["1", "3"] and set(got["a3", "r", "b"][1]) == {"1", "3", "x", "y"}
+    assert got["a0", "r", "b"][0] == 0.7 and set(got["a0", "r", "b"][1]) == {"1", "0", "9"}

@@ -46,7 +46,7 @@ PAIRS = 128
 SPLIT = 256
 #: 64-bit words of a parity map.
 LANES = 16
-#: Row numbers that are broadcast to find their texts.
+#: Row numbers that are broadcast, so that texts are not shuffled to find theirs.
 TOLD = 1 << 20
 #: Texts that are compared with one copy of an earlier one's set.
 SHARE = 64
@@ -262,4 +262,4 @@ def keep_dissimilar(docs: DataFrame) -> DataFrame:
     kept = written(simhash.group_heads(sketches.select("row", "rank", "fp")).select(F.col("row").alias("__row"), F.col("root").alias("node")), "kept")
     gone = similar_links(texts, sketches, kept).select(F.col("b").alias("node")).distinct()
     stay = written(kept.join(gone, "node", "left_anti").select(F.col("__row").alias(row)), "stay")
-    return rows.join(stay, row, "left_semi").select(*docs.columns)
+    return rows.join(F.broadcast(stay) if stay.count() <= TOLD else stay, row, "left_semi").select(*docs.columns)

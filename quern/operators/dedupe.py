@@ -7,6 +7,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.functions.text import tokens
+from quern.sources.payloads import scratch
+
+
+def stored(df: DataFrame, tag: str) -> DataFrame:
+    """``df`` as a table in the shared folder, read again."""
+    path = scratch(df.sparkSession, tag)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def _token_sets(titles: DataFrame) -> DataFrame:
@@ -21,7 +29,7 @@ def similar_sets(sets: DataFrame, at_least: float) -> DataFrame:
     """
     freq = sets.select(F.explode("x").alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("df"))
     ranked = sets.select("id", F.explode("x").alias("w")).join(freq, "w").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("df", "w"))).alias("r"))
-    ranked = ranked.select("id", F.col("r.w").alias("x"))
+    ranked = stored(ranked.select("id", F.col("r.w").alias("x")), "ranked")
     prefix = F.slice("x", 1, F.size("x") - F.ceil(F.lit(at_least) * F.size("x") - 1e-9).cast("int") + 1)
     rare = ranked.select("id", F.explode(prefix).alias("w"))
     pairs = rare.alias("p").join(rare.alias("q"), F.expr("p.w = q.w and p.id < q.id")).select(F.col("p.id").alias("a"), F.col("q.id").alias("b")).distinct()
@@ -31,19 +39,16 @@ def similar_sets(sets: DataFrame, at_least: float) -> DataFrame:
 
 
 def similar_titles(titles: DataFrame, at_least: float) -> DataFrame:
-    """(a, b, jaccard) pairs of titles (doc_id, title), a < b.
+    """(a, b, jaccard) of titles (doc_id, title), a < b: a row for each title after the first of its token set, and one for each pair of sets alike.
 
-    Equal token sets are compared once; their rows are then paired out.
+    A set is named by its first title, so n equal titles give n - 1 rows and no link between different sets is lost.
+    Sets and their orders are stored once, and the joins read these.
     """
-    sets = _token_sets(titles)
-    groups = sets.groupBy("x").agg(F.min("doc_id").alias("id"))
-    member = sets.join(groups, "x").select("doc_id", "id")
-    near = similar_sets(groups.select("id", "x"), at_least)
-    m = lambda n: member.select(F.col("doc_id").alias(n), F.col("id").alias(f"{n}_id"))
-    across = near.select(F.col("a").alias("u_id"), F.col("b").alias("v_id"), "jaccard").join(m("u"), "u_id").join(m("v"), "v_id")
-    across = across.select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b"), F.round("jaccard", 6).alias("jaccard"))
-    inside = m("a").join(m("b").withColumnRenamed("b_id", "a_id"), "a_id").where("a < b").select("a", "b", F.lit(1.0).alias("jaccard"))
-    return across.union(inside)
+    member = stored(_token_sets(titles).select("doc_id", "x"), "sets")
+    groups = stored(member.groupBy("x").agg(F.min("doc_id").alias("id")).select("id", "x"), "groups")
+    inside = member.join(groups, "x").where("doc_id > id").select(F.col("id").alias("a"), F.col("doc_id").alias("b"), F.lit(1.0).alias("jaccard"))
+    near = similar_sets(groups, at_least)
+    return inside.union(near.select("a", "b", F.round("jaccard", 6)))
 
 
 def _greedy(at_least: float):
@@ -82,15 +87,7 @@ def merge_articles(articles: DataFrame, at_least: float = 0.85) -> DataFrame:
 
 def _blocks(links: DataFrame) -> DataFrame:
     """(doc_id, block) of the connected blocks of links (a, b): least labels spread over neighbours and labels of labels."""
-    from quern.sources.payloads import scratch
-
-    spark = links.sparkSession
-
-    def table(df: DataFrame) -> DataFrame:
-        path = scratch(spark, "blocks")
-        df.write.parquet(path)
-        return spark.read.parquet(path)
-
+    table = lambda df: stored(df, "blocks")
     both = table(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     label = table(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("block")).withColumnRenamed("a", "doc_id"))
     while True:

@@ -117,17 +117,35 @@ def platt(scored: DataFrame) -> DataFrame:
     return fitted.select("p", "y", vector_to_array("probability")[1].alias("calibrated"))
 
 
+def _prepared(columns: list[str]) -> list:
+    """Stages of the columns' median imputation, assembly and scaling into ``features``."""
+    from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler
+
+    filled = [f"{f}__filled" for f in columns]
+    return [Imputer(strategy="median", inputCols=columns, outputCols=filled), VectorAssembler(inputCols=filled, outputCol="raw"), StandardScaler(withMean=True, inputCol="raw", outputCol="features")]
+
+
+def _classifier(kind: str):
+    from pyspark.ml.classification import GBTClassifier, LogisticRegression
+
+    return GBTClassifier(maxIter=10, seed=42) if kind == "boosted" else LogisticRegression(maxIter=50, regParam=0.01)
+
+
 def pooled_model(rows: DataFrame, features: list[str], target: str, kind: str = "logistic"):
     """A pipeline fitted on (features, target): median imputation, scaling, then a logistic or a boosted-tree classifier.
 
     All of it is fitted on the rows given, so training rows alone must be given.
     """
-    from pyspark.ml import Pipeline
-    from pyspark.ml.classification import GBTClassifier, LogisticRegression
-    from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler
+    return pooled_models(rows, features, {target: F.col(target)}, kind)[target]
+
+
+def pooled_models(rows: DataFrame, features: list[str], targets: dict[str, Column], kind: str = "logistic") -> dict:
+    """The same for several targets, which share what prepares their features: that is fitted and worked out once."""
+    from pyspark.ml import Pipeline, PipelineModel
 
-    filled = [f"{f}__filled" for f in features]
-    rows = rows.withColumn("label", F.col(target).cast("double"))
-    steps = [Imputer(strategy="median", inputCols=features, outputCols=filled), VectorAssembler(inputCols=filled, outputCol="raw"), StandardScaler(withMean=True, inputCol="raw", outputCol="features")]
-    model = GBTClassifier(maxIter=10, seed=42) if kind == "boosted" else LogisticRegression(maxIter=50, regParam=0.01)
-    return Pipeline(stages=[*steps, model]).fit(rows)
+    prepare = Pipeline(stages=_prepared(features)).fit(rows)
+    ready = prepare.transform(rows).select("features", *(t.cast("double").alias(name) for name, t in targets.items())).persist()
+    try:  # fits are eager, so the rows are needed no longer than this
+        return {name: PipelineModel([*prepare.stages, _classifier(kind).fit(ready.select("features", F.col(name).alias("label")))]) for name in targets}
+    finally:
+        ready.unpersist()

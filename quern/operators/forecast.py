@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.functions.windows import symbol
-from quern.operators.kernels import EDGES, SUMMARY, bootstrap_paths, cdf_points, garch_paths, gbm_paths, hmm_states, jump_paths, mixed_quantiles, summary
+from quern.operators.kernels import EDGES, SUMMARY, bootstrap_paths, garch_paths, gbm_paths, hmm_states, jump_paths, summary
 
 #: Inner edges of the six half-open buckets, by horizon in days (fixed values).
 BANDS = {20: EDGES, 30: (-0.20, -0.10, 0.0, 0.10, 0.20), 60: (-0.30, -0.15, 0.0, 0.15, 0.30)}
@@ -68,15 +68,32 @@ def buckets_from_exceedance(p: Column) -> Column:
     return F.transform(raw, lambda x: F.try_divide(x, total))
 
 
-def mixture_quantiles(members: DataFrame) -> DataFrame:
-    """(sym, q05, q01, q95) of weighted forecasts (sym, b0 to b5, q05, q01, q95, w); a group is one symbol's few models."""
+def mixture_quantiles(members: DataFrame, levels: tuple[float, ...] = (0.05, 0.01, 0.95), edges: tuple[float, ...] = EDGES) -> DataFrame:
+    """(sym, q05, q01, q95) of weighted forecasts (sym, member, b0 to b5, q05, q01, q95, w), by inverting the mix of their distribution functions.
 
-    def mix(pdf: pd.DataFrame) -> pd.DataFrame:
-        parts = [cdf_points(r[[f"b{k}" for k in range(6)]].to_numpy(float), [(r.q01, 0.01), (r.q05, 0.05), (r.q95, 0.95)]) for _, r in pdf.iterrows()]
-        q = mixed_quantiles(parts, pdf["w"].to_numpy(float), [0.05, 0.01, 0.95])
-        return pd.DataFrame({"sym": [pdf["sym"].iloc[0]], "q05": [round(q[0], 6)], "q01": [round(q[1], 6)], "q95": [round(q[2], 6)]})
-
-    return members.groupBy("sym").applyInPandas(mix, "sym string, q05 double, q01 double, q95 double")
+    A member's function has a point at each bucket edge and quantile and ends a band beyond its outermost ones; it rises by a running maximum and
+    is linear between points.  Each is read at the points of all, and the mix is read backwards at ``levels``.
+    """
+    band = max(abs(e) for e in edges)
+    mass = [sum((F.col(f"b{j}") for j in range(1, k + 1)), F.col("b0")) for k in range(len(edges))]
+    inner = [*((F.lit(e), m) for e, m in zip(edges, mass)), (F.col("q01"), F.lit(0.01)), (F.col("q05"), F.lit(0.05)), (F.col("q95"), F.lit(0.95))]
+    xs = [x for x, _ in inner]
+    ends = [(F.least(*xs) - band, F.lit(0.0)), (F.greatest(*xs) + band, F.lit(1.0))]
+    points = members.select("sym", "member", "w", F.inline(F.array(*(F.struct(x.alias("x"), f.alias("f")) for x, f in [*inner, *ends]))))
+    so_far = Window.partitionBy("sym", "member").orderBy("x")
+    own = points.withColumn("f", F.max("f").over(so_far.rangeBetween(Window.unboundedPreceding, 0))).groupBy("sym", "member", "w", "x").agg(F.max("f").alias("f"))
+    grid = own.select("sym", "x").distinct().join(members.select("sym", "member", "w").distinct(), "sym")
+    at = grid.join(own.select("sym", "member", "x", "f"), ["sym", "member", "x"], "left")
+    known = F.when(F.col("f").isNotNull(), F.struct("x", "f"))
+    before, after = F.last(known, True).over(so_far.rowsBetween(Window.unboundedPreceding, 0)), F.first(known, True).over(so_far.rowsBetween(0, Window.unboundedFollowing))
+    at = at.withColumns({"p": before, "q": after})
+    between = F.col("p.f") + (F.col("q.f") - F.col("p.f")) * F.try_divide(F.col("x") - F.col("p.x"), F.col("q.x") - F.col("p.x"))
+    read = F.when(F.col("p").isNull(), 0.0).when(F.col("q").isNull(), 1.0).otherwise(F.coalesce(between, F.col("p.f")))
+    mix = at.groupBy("sym", "x").agg((F.sum(F.col("w") * read) / F.sum("w")).alias("m"))
+    ahead = Window.partitionBy("sym").orderBy("x")
+    mix = mix.withColumns({"nx": F.lead("x").over(ahead), "nm": F.lead("m").over(ahead)}).where("nm > m")
+    level = lambda v: F.max(F.when((F.col("m") <= v) & (F.col("nm") > v), F.col("x") + (F.lit(v) - F.col("m")) / (F.col("nm") - F.col("m")) * (F.col("nx") - F.col("x"))))
+    return mix.groupBy("sym").agg(*(F.round(level(v), 6).alias(f"q{round(v * 100):02d}") for v in levels))
 
 
 def walk_forward(counts: DataFrame, horizon: int, min_train: int, test_size: int, stride: int | None = None, embargo: int | None = None) -> DataFrame:
@@ -116,8 +133,11 @@ def backtest(bars: DataFrame, horizon: int, first: int, stride: int, least: int
 # simulations: one symbol's log returns in a task, draws from numpy's seeded generator ------
 
 
-def monte_carlo(bars: DataFrame, kind: str, moves: DataFrame | None = None, horizon: int = 20, paths: int = 5000) -> DataFrame:
-    """Simulated forecast of each symbol; symbols with fewer than 60 returns have none.  A group is one symbol's closes."""
+def monte_carlo(bars: DataFrame, kind: str, moves: DataFrame | None = None, horizon: int = 20, paths: int = 10_000) -> DataFrame:
+    """Simulated forecast of each symbol, after its last bar; symbols with fewer than 60 returns have none.  A group is one symbol's closes.
+
+    ``moves`` (sym, moves) are past earnings moves of the symbols that have a date due within the horizon (``moves_due``).
+    """
     src = bars.select("sym", "d", "c")
     src = src.join(moves, "sym", "left") if moves is not None else src.withColumn("moves", F.lit(None).cast("array<double>"))
 
@@ -140,6 +160,14 @@ def monte_carlo(bars: DataFrame, kind: str, moves: DataFrame | None = None, hori
     return src.groupBy("sym").applyInPandas(run, SUMMARY)
 
 
+def moves_due(moves: DataFrame, dates: DataFrame, as_of: Column, horizon: int) -> DataFrame:
+    """(sym, moves): the earnings moves (sym, e, move) before ``as_of`` of symbols whose next date of ``dates`` (sym, e) lies within ``horizon`` trading days after it."""
+    ahead = dates.where(F.col("e") > as_of).groupBy("sym").agg(F.min("e").alias("next"))
+    due = ahead.where(F.datediff("next", as_of) <= horizon * 365.0 / 252.0).select("sym")
+    past = moves.where(F.col("e") < as_of).groupBy("sym").agg(F.transform(F.sort_array(F.collect_list(F.struct("e", "move"))), lambda m: m["move"]).alias("moves"))
+    return past.join(due, "sym", "left_semi")
+
+
 def regime_forecast(bars: DataFrame, horizon: int = 20, least: int = 30) -> DataFrame:
     """Forecast from forward returns of bars in the last bar's state; too few of these: from all bars."""
 

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
+from quern.functions import text as tx
 from quern.functions.windows import symbol
+from quern.operators import dedupe
 from quern.operators import evaluation as ev
 from quern.operators import requests as rq
 from quern.operators import retrieval as rt
@@ -91,13 +93,14 @@ r AS (SELECT *, row_number() OVER (PARTITION BY horizon ORDER BY s) AS k, count(
 SELECT horizon, q.n, round(coalesce(q, 0), 6) AS q, round(avg(CAST(y BETWEEN lo AND hi AS INT)), 6) AS coverage_before, round(avg(CAST(y >= lo - coalesce(q, 0) - 1e-12 AND y <= hi + coalesce(q, 0) + 1e-12 AS INT)), 6) AS coverage_after FROM s JOIN q USING (horizon) GROUP BY horizon, q.n, q.q""")
 def conformal_pool(spark, sf_dir):
     """Intervals of past returns at every fifth bar, pooled over symbols: one correction for each horizon, and coverage before and after."""
-    b, parts = views.bars(spark, sf_dir), []
+    w, one = symbol().rowsBetween(-59, 0), []
+    b = views.bars(spark, sf_dir).select("sym", "d", "c", F.row_number().over(symbol()).alias("i"), *((F.col("c") / F.lag("c", h).over(symbol()) - 1).alias(f"past{h}") for h in _HORIZONS), *((F.lead("c", h).over(symbol()) / F.col("c") - 1).alias(f"y{h}") for h in _HORIZONS))
     for h in _HORIZONS:
-        past, w = F.col("c") / F.lag("c", h).over(symbol()) - 1, symbol().rowsBetween(-59, 0)
-        f = b.select("sym", "d", "c", F.row_number().over(symbol()).alias("i"), past.alias("past"), (F.lead("c", h).over(symbol()) / F.col("c") - 1).alias("y"))
-        f = f.select("y", "i", F.count("past").over(w).alias("n"), F.avg("past").over(w).alias("m"), F.stddev_samp("past").over(w).alias("sd")).where("n = 60 and y is not null and (i - 1) % 5 = 0")
-        parts.append(f.select(F.lit(h).alias("horizon"), F.round(F.col("m") - F.col("sd"), 9).alias("lo"), F.round(F.col("m") + F.col("sd"), 9).alias("hi"), F.round("y", 9).alias("y")))
-    s = parts[0].union(parts[1]).withColumn("s", ev.nonconformity())
+        past = F.col(f"past{h}")
+        one.append(F.struct(F.lit(h).alias("horizon"), F.count(past).over(w).alias("n"), F.avg(past).over(w).alias("m"), F.stddev_samp(past).over(w).alias("sd"), F.col(f"y{h}").alias("y")))
+    f = b.select("i", F.array(*one).alias("each")).select("i", F.inline("each")).where("n = 60 and y is not null and (i - 1) % 5 = 0")
+    s = f.select("horizon", F.round(F.col("m") - F.col("sd"), 9).alias("lo"), F.round(F.col("m") + F.col("sd"), 9).alias("hi"), F.round("y", 9).alias("y"))
+    s = dedupe.stored(s.withColumn("s", ev.nonconformity()), "conformal")
     fit = ev.pooled_conformal_q(s, ["horizon"], 0.1).withColumn("q", F.coalesce("q", F.lit(0.0)))
     y, q = F.col("y"), F.col("q")
     inside = lambda lo, hi: r6(F.avg(((y >= lo) & (y <= hi)).cast("int")))
@@ -115,7 +118,7 @@ def _questions(spark, sf_dir):
     verb = F.when(size % 4 == 0, "discloses").when(size % 4 == 1, "warns about").when(size % 4 == 2, "mentions").otherwise("has")
     question = F.concat(text("Of the "), what, text(" that "), F.col("p_brand"), text(" names, which one "), verb, text(" "), F.col("p_name"), F.when(size % 3 < 2, text(" in its own filings?")).otherwise(text("?")))
     p = views.table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_name", "p_size", question.alias("question"))
-    return p.withColumn("bridging", F.lower("question").rlike("supplier|suppliers|customer|customers|vendor|partner|partners|its own|their own|in its filings|in their filings|in its own|in their own"))
+    return p.withColumn("bridging", F.lower("question").rlike("|".join(tx.BRIDGE_CUES)))
 
 
 @query(f"""WITH q AS (SELECT *, {_QUESTION} AS question FROM part) SELECT p_partkey, question, CASE WHEN p_size % 3 < 2 THEN p_brand || ' names the ' || CASE p_size % 3 WHEN 0 THEN 'supplier' ELSE 'rival' END || '|' || 'its own ' || p_name || ' disclosure' ELSE p_name || ' disclosure' END AS aspects, CASE WHEN p_size % 3 < 2 THEN 2 ELSE 1 END AS n_aspects FROM q""")
@@ -130,7 +133,7 @@ def question_templates(spark, sf_dir):
 _TOPIC = "coalesce(" + ", ".join(f"CASE WHEN bridging AND strpos(lower(question), ' {c} ') > 0 THEN nullif(trim(regexp_replace(substring(question, strpos(lower(question), ' {c} ') + {len(c) + 2}), '{rq.TOPIC_TAIL}', '', 'gi')), '') END" for c in rq.TOPIC_CUES) + ", question)"
 
 
-@query(f"""WITH q AS (SELECT *, {_QUESTION} AS question FROM part), b AS (SELECT *, regexp_matches(lower(question), 'supplier|suppliers|customer|customers|vendor|partner|partners|its own|their own|in its filings|in their filings|in its own|in their own') AS bridging FROM q) SELECT p_partkey, bridging, 'Acme ' || {_TOPIC} AS scoped FROM b""")
+@query(f"""WITH q AS (SELECT *, {_QUESTION} AS question FROM part), b AS (SELECT *, regexp_matches(lower(question), '{'|'.join(tx.BRIDGE_CUES)}') AS bridging FROM q) SELECT p_partkey, bridging, 'Acme ' || {_TOPIC} AS scoped FROM b""")
 def scoped_queries(spark, sf_dir):
     """What to search in a company that was met on the way: the topic of a bridging question, or all of it."""
     q = _questions(spark, sf_dir)

@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 from quern.functions.windows import symbol
 from quern.operators import evaluation as ev
 from quern.operators import forecast as fc
+from quern.operators import models as md
 from quern.plans import series
-from quern.plans.base import query
+from quern.plans.base import query, stored
 from quern.sources import views
+from quern.sources.payloads import scratch
 from quern.sources.views import BARS
 
 
@@ -184,18 +186,28 @@ def platt_calibration(spark, sf_dir):
     return c.groupBy("p").agg(F.count(F.lit(1)).alias("n"), F.first("calibrated").alias("calibrated"))
 
 
+_CUT = "2000-01-01"
+
+
+def _stored_matrix(spark, sf_dir) -> DataFrame:
+    """The feature matrix of all bars, stored once: fits read it many times."""
+
+    def build(path: str) -> DataFrame:
+        series.matrix(spark, sf_dir).write.parquet(path)
+        return spark.read.parquet(path)
+
+    return stored(spark, sf_dir, "matrix", build, spark.read.parquet)
+
+
 def _pooled(spark, sf_dir, kind: str) -> DataFrame:
     from pyspark.ml.functions import vector_to_array
 
-    rows = series.with_targets(series.matrix(spark, sf_dir)).persist()
-    try:
-        cut = F.lit("2000-01-01").cast("date")
-        model = ev.pooled_model(rows.where(F.date_add("d", 40) < cut), list(series.FEATURES), "gt_00p", kind)
-        late = model.transform(rows.where(F.col("d") >= cut).withColumn("label", F.col("gt_00p").cast("double")))
-        got = late.select("sym", "d", F.col("gt_00p").alias("y"), vector_to_array("probability")[1].alias("p"))
-        return got.groupBy("sym").agg(F.count(F.lit(1)).alias("n"), r6(F.avg("p")).alias("mean_p"), r6(F.avg("y")).alias("base_rate"), r6(F.avg((F.col("p") - F.col("y")) * (F.col("p") - F.col("y")))).alias("brier"))
-    finally:
-        rows.unpersist()
+    rows = series.with_targets(_stored_matrix(spark, sf_dir))
+    cut = F.lit(_CUT).cast("date")
+    model = ev.pooled_model(rows.where(F.date_add("d", 40) < cut), list(series.FEATURES), "gt_00p", kind)
+    late = model.transform(rows.where(F.col("d") >= cut).withColumn("label", F.col("gt_00p").cast("double")))
+    got = late.select("sym", "d", F.col("gt_00p").alias("y"), vector_to_array("probability")[1].alias("p"))
+    return got.groupBy("sym").agg(F.count(F.lit(1)).alias("n"), r6(F.avg("p")).alias("mean_p"), r6(F.avg("y")).alias("base_rate"), r6(F.avg((F.col("p") - F.col("y")) * (F.col("p") - F.col("y")))).alias("brier"))
 
 
 @query()
@@ -208,3 +220,57 @@ def pooled_logistic(spark, sf_dir):
 def pooled_boosted(spark, sf_dir):
     """The same with boosted trees."""
     return _pooled(spark, sf_dir, "boosted")
+
+
+@query()
+def pooled_exceedance(spark, sf_dir):
+    """A logistic model for each of two horizons and five thresholds: fitted on returns known before a day, stored, loaded, and scored after it; iterative fits."""
+    cut, columns = F.lit(_CUT).cast("date"), list(series.FEATURES)
+    rows = md.horizon_targets(_stored_matrix(spark, sf_dir), columns, (20, 60))
+    store = md.ModelStore(spark, md.ModelStore.fit(rows.where(F.col("until") < cut), columns, scratch(spark, "models")).path)
+    out = None
+    for h in (20, 60):
+        p = store.exceedance(rows.where((F.col("d") >= cut) & (F.col("horizon") == h)), h)
+        pairs = F.array(*(F.struct(F.lit(t).alias("threshold"), F.col("p")[k].alias("p"), (F.col("fwd") > t).cast("double").alias("y")) for k, t in enumerate(store.thresholds(h))))
+        one = p.select("horizon", F.inline(pairs).alias("threshold", "q", "y"))
+        out = one if out is None else out.unionByName(one)
+    return out.groupBy("horizon", "threshold").agg(F.count(F.lit(1)).alias("n"), r6(F.avg("q")).alias("mean_p"), r6(F.avg("y")).alias("base_rate"), r6(F.avg((F.col("q") - F.col("y")) * (F.col("q") - F.col("y")))).alias("brier"))
+
+
+def _refits(spark, sf_dir) -> DataFrame:
+    """Forecasts of three models that are fitted anew on each fold, stored once."""
+
+    def build(path: str) -> DataFrame:
+        b = views.bars(spark, sf_dir).select("sym", "d", "c")
+        folds = fc.walk_forward(b.groupBy("sym").agg(F.count(F.lit(1)).alias("n")), horizon=20, min_train=252, test_size=6)
+        md.refit(b, folds, 20, 20).write.parquet(path)
+        return spark.read.parquet(path)
+
+    return stored(spark, sf_dir, "refits", build, spark.read.parquet)
+
+
+@query()
+def walk_forward_models(spark, sf_dir):
+    """Scores of a list of models that are fitted anew on each fold, an embargo before its tests: fits in numpy, tested against brute force."""
+    s = _refits(spark, sf_dir)
+    p, y = F.least(F.greatest("p", F.lit(1e-15)), F.lit(1 - 1e-15)), F.col("y").cast("double")
+    return s.groupBy("model", "threshold").agg(
+        F.count(F.lit(1)).alias("n"), r6(F.avg(y)).alias("base_rate"), r6(F.avg((F.col("p") - y) * (F.col("p") - y))).alias("brier"), r6(F.avg(-(y * F.ln(p) + (1 - y) * F.ln(1 - p)))).alias("log_loss")
+    )
+
+
+@query()
+def stacked_ensemble(spark, sf_dir):
+    """Brier scores of each refitted model and of their stack, whose weights on the simplex come from the first half of the folds: a small programme, tested against a grid."""
+    s = _refits(spark, sf_dir)
+    half = F.col("fold") < F.max("fold").over(Window.partitionBy("sym")) / 2
+    s = s.withColumn("early", half)
+    by, members = ["sym", "t", "threshold"], list(md.MODELS)
+    _, weights = md.stacked(s.where("early"), by, members)
+    late = s.where(~F.col("early"))
+    wide = late.groupBy(*by, "y").pivot("model", members).agg(F.first("p"))
+    stack = wide.select(*by, "y", F.lit("stack").alias("model"), sum((F.col(m) * w for m, w in weights.items()), F.lit(0.0)).alias("p"))
+    named = spark.createDataFrame([*weights.items(), ("stack", 1.0)], "model string, weight double")
+    scored = late.select("model", "y", "p").unionByName(stack.select("model", "y", "p"))
+    brier = scored.groupBy("model").agg(F.count(F.lit(1)).alias("n"), r6(F.avg((F.col("p") - F.col("y")) * (F.col("p") - F.col("y")))).alias("brier"))
+    return brier.join(F.broadcast(named), "model").select("model", r6(F.col("weight")).alias("weight"), "n", "brier")

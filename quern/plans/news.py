@@ -198,11 +198,13 @@ _TOKENS = "list_distinct(regexp_extract_all(lower(title), '[a-z0-9]+'))"
 
 
 @query(
-    f"""WITH {ARTICLES}, t AS (SELECT doc_id, {_TOKENS} AS x FROM articles), tok AS (SELECT doc_id, unnest(x) AS w FROM t), pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM tok a JOIN tok b ON a.w = b.w AND a.doc_id < b.doc_id GROUP BY 1, 2)
-    SELECT a, b, round(n / (len(x.x) + len(y.x) - n), 6) AS jaccard FROM pairs JOIN t x ON x.doc_id = a JOIN t y ON y.doc_id = b WHERE n / (len(x.x) + len(y.x) - n) >= 0.85"""
+    f"""WITH {ARTICLES}, t AS (SELECT doc_id, list_sort({_TOKENS}) AS x FROM articles), g AS (SELECT x, min(doc_id) AS id FROM t WHERE len(x) > 0 GROUP BY x), tok AS (SELECT id, unnest(x) AS w FROM g),
+    pairs AS (SELECT a.id AS a, b.id AS b, count(*) AS n FROM tok a JOIN tok b ON a.w = b.w AND a.id < b.id GROUP BY 1, 2)
+    SELECT a, b, round(n / (len(x.x) + len(y.x) - n), 6) AS jaccard FROM pairs JOIN g x ON x.id = a JOIN g y ON y.id = b WHERE n / (len(x.x) + len(y.x) - n) >= 0.85
+    UNION ALL SELECT g.id, t.doc_id, 1.0 FROM t JOIN g USING (x) WHERE t.doc_id > g.id"""
 )
 def jaccard_pairs_blocked(spark, sf_dir):
-    """Pairs of titles whose token sets overlap by 0.85 or more; equal sets pair through their first article."""
+    """Titles alike by 0.85 or more: each title with the first of its token set, and pairs of these first ones."""
     return dedupe.similar_titles(articles(spark, sf_dir).select("doc_id", "title"), 0.85)
 
 
@@ -227,12 +229,27 @@ def alias_patterns(spark, aliases: dict[str, list[str]]) -> DataFrame:
 
 @query(f"WITH aliases AS ({_ALIAS_SQL}), {ARTICLES} SELECT ticker, CAST(published AS DATE) AS day, count(*) AS article_count, round(avg(sentiment), 6) AS tone_mean FROM articles JOIN aliases ON regexp_matches(lower(title || ' ' || coalesce(summary, '')), pattern) GROUP BY ticker, CAST(published AS DATE)")
 def alias_regex_join(spark, sf_dir):
-    """Articles joined to the tickers whose aliases they name, by day.  The alias map is a configuration of some rows, so it is broadcast."""
+    """Articles joined to the tickers whose aliases they name, by day: they meet on the longest word of an alias, and its pattern decides."""
     a = articles(spark, sf_dir).withColumn("body", F.lower(F.concat("title", F.lit(" "), F.coalesce("summary", F.lit("")))))
-    hit = a.join(F.broadcast(alias_patterns(spark, _ALIASES)), F.expr("body rlike pattern"))
+    names = spark.createDataFrame([(t, x) for t, xs in _ALIASES.items() for x in xs], "ticker string, alias string")
+    hit = mentions(a.select("doc_id", "published", "sentiment", "body"), names)
     return hit.groupBy("ticker", F.to_date("published").alias("day")).agg(F.count(F.lit(1)).alias("article_count"), r6(F.avg("sentiment")).alias("tone_mean"))
 
 
+def mentions(rows: DataFrame, names: DataFrame) -> DataFrame:
+    """``rows`` (doc_id, body in lower case, ...) with each ticker of ``names`` (ticker, alias) that they name, once.
+
+    An alias stands between characters that are no letters or digits, so its words are whole words of the body: rows and names meet on an
+    alias's longest word, and the alias itself is then looked for.  A name without a letter or digit is met by none.
+    """
+    word = F.element_at(F.array_sort(F.transform(tx.tokens(F.col("alias")), lambda w: F.struct(F.length(w).alias("n"), w.alias("w")))), -1)["w"]
+    named = names.where(F.size(tx.tokens(F.col("alias"))) > 0).select("ticker", F.lower("alias").alias("alias"), word.alias("w"))
+    quoted = F.regexp_replace("alias", r"([\\.+*?\[^\]$(){}=!<>|:#/-])", r"\\$1")
+    named = named.withColumn("pattern", F.concat(F.lit("(^|[^a-z0-9])"), quoted, F.lit("([^a-z0-9]|$)"))).drop("alias")
+    met = rows.withColumn("w", F.explode(F.array_distinct(tx.tokens(F.col("body"))))).join(named, "w").where(F.expr("body rlike pattern"))
+    return met.drop("w", "pattern", "body").distinct()
+
+
 # payloads --------------------------------------------------------------------------------
 
 

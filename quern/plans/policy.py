@@ -142,11 +142,15 @@ def bootstrap_ci(spark, sf_dir):
     return po.bootstrap_interval(po.weights(log(spark, sf_dir)), "event_type")
 
 
-@query("WITH c AS (SELECT unnest(['dense', 'hybrid', 'rerank', 'graph']) AS config), s AS (SELECT unnest(['self', 'discovered_0', 'discovered_1', 'fanout']) AS scope), d AS (SELECT unnest([0, 1, 2]) AS n_discovered) SELECT CAST(n_discovered AS BIGINT) AS n_discovered, count(*) AS n_actions, count_if(scope = 'self' OR (scope = 'fanout' AND n_discovered > 0) OR (scope LIKE 'discovered_%' AND TRY_CAST(right(scope, 1) AS INT) < n_discovered)) AS n_legal FROM c, s, d GROUP BY n_discovered")
+@query(
+    """WITH met AS (SELECT l_orderkey, least(count(DISTINCT l_suppkey), 2) AS n_discovered FROM lineitem GROUP BY l_orderkey), c AS (SELECT unnest(['dense', 'hybrid', 'rerank', 'graph']) AS config), s AS (SELECT unnest(['self', 'discovered_0', 'discovered_1', 'fanout']) AS scope)
+    SELECT n_discovered, count(DISTINCT l_orderkey) AS n_states, count(*) AS n_actions, count_if(scope = 'self' OR (scope = 'fanout' AND n_discovered > 0) OR (scope LIKE 'discovered_%' AND TRY_CAST(right(scope, 1) AS INT) < n_discovered)) AS n_legal FROM met, c, s GROUP BY n_discovered"""
+)
 def action_space(spark, sf_dir):
-    """Retrieval actions by configuration and scope, and how many are legal with so many entities discovered."""
-    arrays = [F.array(*map(F.lit, x)) for x in (("dense", "hybrid", "rerank", "graph"), ("self", "discovered_0", "discovered_1", "fanout"))]
-    a = spark.range(3).select(F.col("id").alias("n_discovered"), F.explode(arrays[0]).alias("config")).withColumn("scope", F.explode(arrays[1]))
+    """Retrieval actions by configuration and scope over the states that orders stand for: up to two of an order's suppliers are discovered, and that many slots are legal."""
+    met = views.table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.least(F.count_distinct("l_suppkey"), F.lit(2)).alias("n_discovered"))
+    states = met.groupBy("n_discovered").agg(F.count(F.lit(1)).alias("n_states"))
+    a = states.withColumn("config", F.explode(F.array(*map(F.lit, ("dense", "hybrid", "rerank", "graph"))))).withColumn("scope", F.explode(F.array(*map(F.lit, ("self", "discovered_0", "discovered_1", "fanout")))))
     slot = F.regexp_extract("scope", "discovered_([0-9]+)", 1).try_cast("int")
     legal = (F.col("scope") == "self") | ((F.col("scope") == "fanout") & (F.col("n_discovered") > 0)) | F.coalesce(slot < F.col("n_discovered"), F.lit(False))
-    return a.groupBy("n_discovered").agg(F.count(F.lit(1)).alias("n_actions"), F.count_if(legal).alias("n_legal"))
+    return a.groupBy("n_discovered").agg(F.first("n_states").alias("n_states"), F.sum("n_states").alias("n_actions"), F.sum(F.when(legal, F.col("n_states")).otherwise(0)).alias("n_legal"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.operators import chunking
+from quern.operators import forecast as fc
 from quern.operators import retrieval as rt
 from quern.operators.dense import CellIndex, hybrid
 from quern.operators.graph import EdgeStore
@@ -450,8 +451,13 @@ def group_split_disjoint(spark, sf_dir):
     return d.join(g, "source").select("doc_id", F.when(F.col("k") <= F.bround(F.col("n") * 0.3), "test").otherwise("train").alias("side"))
 
 
-@query("WITH h(hz) AS (VALUES (5), (20), (25), (27), (45), (60), (90)), b(band) AS (VALUES (20), (30), (60)) SELECT CAST(hz AS BIGINT) AS horizon, CAST(band AS BIGINT) AS band FROM h, b QUALIFY row_number() OVER (PARTITION BY hz ORDER BY abs(hz - band), band) = 1")
+@query(
+    """WITH asked AS (SELECT date_diff('day', CAST(o_orderdate AS DATE), CAST(l_shipdate AS DATE)) AS horizon FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
+    n AS (SELECT horizon, count(*) AS n FROM asked GROUP BY horizon) SELECT CAST(horizon AS BIGINT) AS horizon, CASE WHEN abs(horizon - 20) <= abs(horizon - 30) THEN 20 WHEN abs(horizon - 30) <= abs(horizon - 60) THEN 30 ELSE 60 END AS band, n FROM n"""
+)
 def nearest_horizon(spark, sf_dir):
-    """The configured horizon nearest to each asked one."""
-    h = spark.createDataFrame([(x,) for x in (5, 20, 25, 27, 45, 60, 90)], "horizon long").withColumn("band", F.explode(F.array(*(F.lit(b).cast("long") for b in (20, 30, 60)))))
-    return rt.best(h, ["horizon"], 1, F.abs(F.col("horizon") - F.col("band")), F.col("band")).select("horizon", "band")
+    """Days from order to shipping as asked horizons, and the configured band nearest to each; ties go to the shorter."""
+    o = views.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_orderdate")
+    asked = views.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_shipdate").join(o, "l_orderkey").groupBy(F.datediff("l_shipdate", "o_orderdate").cast("long").alias("horizon")).agg(F.count(F.lit(1)).alias("n"))
+    bands = F.array_sort(F.array(*(F.struct(F.abs(F.col("horizon") - b).alias("apart"), F.lit(b).alias("band")) for b in fc.BANDS)))
+    return asked.select("horizon", bands[0]["band"].alias("band"), "n")

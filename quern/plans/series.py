@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quern.functions.windows import symbol, YEAR, as_of, change, gated, lagged, last_rows, with_returns
 from quern.operators import forecast as fc
 from quern.operators import indicators
-from quern.plans.base import query
+from quern.plans.base import query, stored
 from quern.sources import views
 from quern.sources.views import BARS, EARNINGS, INDEX, TRADES
 
@@ -544,7 +544,18 @@ _ROUNDED = ", ".join(f"round({x}, 6) AS {x}" for x in FEATURES)
 
 
 def matrix(spark, sf_dir) -> DataFrame:
-    return feature_matrix(views.bars(spark, sf_dir), views.index_closes(spark, sf_dir), views.earnings_dates(spark, sf_dir))
+    b = bars_once(spark, sf_dir)
+    return feature_matrix(b, views.index_closes(spark, sf_dir), views.earnings_of(b))
+
+
+def bars_once(spark, sf_dir) -> DataFrame:
+    """The bars as a stored table, for queries that read them several times."""
+
+    def build(path: str) -> DataFrame:
+        views.bars(spark, sf_dir).write.parquet(path)
+        return spark.read.parquet(path)
+
+    return stored(spark, sf_dir, "bars", build, spark.read.parquet)
 
 
 @query(f"WITH {MATRIX} SELECT sym, d, {_ROUNDED} FROM matrix")
@@ -666,6 +677,14 @@ def exceedance_to_buckets(spark, sf_dir):
     return m.select("sym", x.alias("x")).select("sym", *(F.round(F.col("x")[k], 9).alias(f"b{k}") for k in range(6)))
 
 
+def pool_members(spark, sf_dir) -> DataFrame:
+    """Forecasts (sym, member, n, b0 to b5, ..., w) over three horizons from one pass over the bars, where the sample is large enough."""
+    b = views.bars(spark, sf_dir)
+    ahead = lambda h: F.lead("c", h).over(symbol()) / F.col("c") - 1
+    each = F.array(*(F.struct(F.lit(h).alias("member"), F.lit(w).alias("w"), ahead(h).alias("r")) for h, w in ((10, 1.0), (20, 2.0), (60, 1.0))))
+    return fc.sample_forecast(b.select("sym", each.alias("each")).select("sym", F.inline("each")).where("r is not null"), ["sym", "member", "w"]).where("n >= 30")
+
+
 @query(
     f"""WITH {BARS}, hs(hz) AS (VALUES (10), (20), (60)), fwd AS (SELECT sym, hz, CASE hz WHEN 10 THEN lead(c, 10) OVER w WHEN 20 THEN lead(c, 20) OVER w ELSE lead(c, 60) OVER w END / c - 1 AS r FROM bars, hs WINDOW w AS (PARTITION BY sym, hz ORDER BY d)),
     members AS (SELECT sym, hz, {fc.sql_masses('r', 12)}, avg(r) AS expected, count(*) AS n FROM fwd WHERE r IS NOT NULL GROUP BY sym, hz HAVING count(*) >= 30), w(hz, wt) AS (VALUES (10, 1.0), (20, 2.0), (60, 1.0))
@@ -673,24 +692,29 @@ def exceedance_to_buckets(spark, sf_dir):
 )
 def ensemble_pool(spark, sf_dir):
     """Weighted pool of the forecasts of three models (horizons stand in for models); members without enough sample drop out."""
-    b = views.bars(spark, sf_dir)
-    members = None
-    for h, w in ((10, 1.0), (20, 2.0), (60, 1.0)):
-        one = fc.sample_forecast(fc.forward_returns(b, h), ["sym"]).where("n >= 30").withColumn("w", F.lit(w))
-        members = one if members is None else members.unionByName(one)
+    members = pool_members(spark, sf_dir)
     pool = lambda c: r6(F.sum(F.col("w") * F.col(c)) / F.sum("w")).alias(c)
     return members.groupBy("sym").agg(*(pool(f"b{k}") for k in range(6)), pool("expected"), F.count(F.lit(1)).alias("n_members"))
 
 
-@query()
-def mixture_quantiles(spark, sf_dir):
-    """5, 1 and 95 % quantiles of a weighted mix of bucket forecasts, by inverting the mixed distribution.
+MIXED = f"""{BARS}, hs(member) AS (VALUES (10), (20), (60)), fwd AS (SELECT sym, member, CASE member WHEN 10 THEN lead(c, 10) OVER w WHEN 20 THEN lead(c, 20) OVER w ELSE lead(c, 60) OVER w END / c - 1 AS r FROM bars, hs WINDOW w AS (PARTITION BY sym, member ORDER BY d)),
+    members AS (SELECT sym, member, CASE member WHEN 20 THEN 2.0 ELSE 1.0 END AS w, {fc.sql_masses('r', 15)}, quantile_cont(r, 0.01) AS q01, quantile_cont(r, 0.05) AS q05, quantile_cont(r, 0.95) AS q95 FROM fwd WHERE r IS NOT NULL GROUP BY sym, member HAVING count(*) >= 30),
+    pts AS (SELECT sym, member, w, unnest([-0.1, -0.05, 0.0, 0.05, 0.1, q01, q05, q95, least(-0.1, q01, q05, q95) - 0.1, greatest(0.1, q01, q05, q95) + 0.1]::DOUBLE[]) AS x, unnest([b0, b0 + b1, b0 + b1 + b2, b0 + b1 + b2 + b3, b0 + b1 + b2 + b3 + b4, 0.01, 0.05, 0.95, 0, 1]::DOUBLE[]) AS f FROM members),
+    own AS (SELECT sym, member, w, x, max(f) AS f FROM (SELECT sym, member, w, x, max(f) OVER (PARTITION BY sym, member ORDER BY x RANGE UNBOUNDED PRECEDING) AS f FROM pts) GROUP BY 1, 2, 3, 4),
+    grid AS (SELECT * FROM (SELECT DISTINCT sym, x FROM own) JOIN (SELECT sym, member, w FROM members) USING (sym)),
+    near AS (SELECT g.*, (SELECT max_by({{'x': o.x, 'f': o.f}}, o.x) FROM own o WHERE o.sym = g.sym AND o.member = g.member AND o.x <= g.x) AS p, (SELECT min_by({{'x': o.x, 'f': o.f}}, o.x) FROM own o WHERE o.sym = g.sym AND o.member = g.member AND o.x >= g.x) AS q FROM grid g),
+    mix AS (SELECT sym, x, sum(w * CASE WHEN p IS NULL THEN 0 WHEN q IS NULL THEN 1 WHEN p.x = q.x THEN p.f ELSE p.f + (q.f - p.f) * (x - p.x) / (q.x - p.x) END) / sum(w) AS m FROM near GROUP BY sym, x),
+    steps AS (SELECT sym, x, m, lead(x) OVER v AS nx, lead(m) OVER v AS nm FROM mix WINDOW v AS (PARTITION BY sym ORDER BY x))"""
 
-    Interpolation over a union of grids: tested against numpy.
-    """
-    b = views.bars(spark, sf_dir)
-    members = [fc.sample_forecast(fc.forward_returns(b, h), ["sym"]).where("n >= 30").withColumn("w", F.lit(w)) for h, w in ((10, 1.0), (20, 2.0), (60, 1.0))]
-    return fc.mixture_quantiles(members[0].unionByName(members[1]).unionByName(members[2]))
+
+def _level(v: float) -> str:
+    return f"round(max(CASE WHEN m <= {v} AND nm > {v} THEN x + ({v} - m) / (nm - m) * (nx - x) END), 6)"
+
+
+@query(f"WITH {MIXED} SELECT sym, {_level(0.05)} AS q05, {_level(0.01)} AS q01, {_level(0.95)} AS q95 FROM steps GROUP BY sym")
+def mixture_quantiles(spark, sf_dir):
+    """5, 1 and 95 % quantiles of a weighted mix of bucket forecasts, by inverting the mixed distribution."""
+    return fc.mixture_quantiles(pool_members(spark, sf_dir))
 
 
 @query(
@@ -707,14 +731,14 @@ def walk_forward_folds(spark, sf_dir):
 
 @query(
     f"""WITH {BARS}, num AS (SELECT sym, d, c, row_number() OVER (PARTITION BY sym ORDER BY d) - 1 AS i FROM bars), fwd AS (SELECT sym, i, d, lead(c, 20) OVER (PARTITION BY sym ORDER BY d) / c - 1 AS r FROM num),
-    forecasts AS (SELECT sym, i AS t, r AS y FROM fwd WHERE r IS NOT NULL AND i >= 80 AND (i - 80) % 20 = 0),
+    forecasts AS (SELECT sym, i AS t, r AS y FROM fwd WHERE r IS NOT NULL AND i >= 252 AND (i - 252) % 20 = 0),
     m AS (SELECT a.sym, a.t, a.y, count(*) AS n, {', '.join(f'avg(CASE WHEN f.r >= {e} THEN 1.0::DOUBLE ELSE 0 END) AS p{k}' for k, e in enumerate(fc.EDGES))} FROM forecasts a JOIN fwd f ON f.sym = a.sym AND f.i + 20 <= a.t AND f.r IS NOT NULL GROUP BY 1, 2, 3 HAVING count(*) >= 30),
     long AS (SELECT sym, unnest([{', '.join(map(str, fc.EDGES))}]::DOUBLE[]) AS threshold, unnest([p0, p1, p2, p3, p4]) AS p, unnest([CASE WHEN y > -0.1 THEN 1 ELSE 0 END, CASE WHEN y > -0.05 THEN 1 ELSE 0 END, CASE WHEN y > 0 THEN 1 ELSE 0 END, CASE WHEN y > 0.05 THEN 1 ELSE 0 END, CASE WHEN y > 0.1 THEN 1 ELSE 0 END]) AS y FROM m)
     SELECT threshold, count(*) AS n, round(avg(y), 6) AS base_rate, round(avg((p - y) * (p - y)), 6) AS brier, round(avg(-(y * ln(least(greatest(p, 1e-15), 1 - 1e-15)) + (1 - y) * ln(1 - least(greatest(p, 1e-15), 1 - 1e-15)))), 6) AS log_loss, round(avg(CASE WHEN (p >= 0.5) = (y = 1) THEN 1.0::DOUBLE ELSE 0 END), 6) AS accuracy FROM long GROUP BY threshold"""
 )
 def historical_backtest(spark, sf_dir):
-    """Scores of historical forecasts made every 20 bars from what had ended by then."""
-    scored = fc.backtest(views.bars(spark, sf_dir), horizon=20, first=80, stride=20)
+    """Scores of historical forecasts made every 20 bars from bar 252 on, from what had ended by then."""
+    scored = fc.backtest(views.bars(spark, sf_dir), horizon=20, first=252, stride=20)
     p = F.least(F.greatest("p", F.lit(1e-15)), F.lit(1 - 1e-15))
     y = F.col("y").cast("double")
     return scored.groupBy("threshold").agg(
@@ -736,14 +760,15 @@ def mc_bootstrap(spark, sf_dir):
 
 @query()
 def mc_jump(spark, sf_dir):
-    """Brownian motion with a bootstrapped earnings move where one is due within the horizon."""
-    moves = earnings_moves(spark, sf_dir).groupBy("sym").agg(F.sort_array(F.collect_list("move")).alias("moves"))
-    return fc.monte_carlo(views.bars(spark, sf_dir), "jump", moves)
+    """Brownian motion as of one day, with a bootstrapped earnings move where the next date is due within the horizon."""
+    day = F.lit("1998-06-15").cast("date")
+    due = fc.moves_due(earnings_moves(spark, sf_dir), views.earnings_dates(spark, sf_dir), day, 20)
+    return fc.monte_carlo(views.bars(spark, sf_dir).where(F.col("d") <= day), "jump", due)
 
 
 @query()
 def mc_garch(spark, sf_dir):
-    """GJR-GARCH(1,1) with normal shocks, fitted by grid and pattern search; fewer than 250 returns fall back to the bootstrap."""
+    """GJR-GARCH(1,1) with Student-t shocks, fitted by grid and pattern search; fewer than 250 returns fall back to the bootstrap."""
     return fc.monte_carlo(views.bars(spark, sf_dir), "garch")
 
 

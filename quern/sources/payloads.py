@@ -203,29 +203,52 @@ def json_log(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).option("mode", "DROPMALFORMED").json(path)
 
 
-#: Elements whose text is not shown, and elements that begin a line (fixed values).
+#: Elements whose text is not shown, elements that end a line, and what a head may hold (fixed values).
 HIDDEN = {"script", "style", "head", "title", "noscript", "ix:hidden", "ix:header", "ix:references", "ix:resources"}
-BLOCKS = {"p", "div", "br", "tr", "li", "ul", "ol", "table", "h1", "h2", "h3", "h4", "h5", "h6", "section", "article", "header", "footer", "nav", "blockquote", "pre", "hr"}
-_VOID = {"br", "hr"}
+BLOCKS = {"p", "div", "br", "hr", "li", "tr", "table", "section", "article", "blockquote", "ul", "ol", "h1", "h2", "h3", "h4", "h5", "h6"}
+HEAD_HOLDS = {"title", "meta", "link", "script", "style", "base", "noscript", "template"}
+#: Elements that may stay open, by what their next one stands in.
+_ITEMS = {"li": ("ul", "ol"), "tr": ("table",)}
 
 
 class _Text(HTMLParser):
+    """Collects shown text with a line's end behind each block, also behind those that HTML closes by itself."""
+
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.out: list[str] = []
-        self.hidden = 0
+        self.hidden: list[str] = []  # open elements that are not shown
+        self.paragraph = False
+        self.items = {"li": [False], "tr": [False]}  # whether an item is open in each open list or table
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
+        if "head" in self.hidden and tag not in HEAD_HOLDS:  # a head ends where something else begins
+            self.hidden.clear()
         if tag in HIDDEN:
-            self.hidden += 1
-        if tag in BLOCKS:
+            self.hidden.append(tag)
+        if tag == "br" or tag == "hr" or tag in BLOCKS and self.paragraph:
             self.out.append("\n")
+            self.paragraph = self.paragraph and tag == "br"
+        self.paragraph |= tag == "p"
+        for item, around in _ITEMS.items():
+            if tag in around:
+                self.items[item].append(False)
+            elif tag == item:
+                if self.items[item][-1]:
+                    self.out.append("\n")
+                self.items[item][-1] = True
 
     def handle_endtag(self, tag: str) -> None:
-        if tag in HIDDEN and self.hidden:
-            self.hidden -= 1
-        elif tag in BLOCKS and tag not in _VOID:
+        if tag in self.hidden:
+            del self.hidden[self.hidden.index(tag) :]
+        if tag in BLOCKS:
             self.out.append("\n")
+        self.paragraph &= tag != "p"
+        for item, around in _ITEMS.items():
+            if tag in around and len(self.items[item]) > 1:
+                self.items[item].pop()
+            elif tag == item:
+                self.items[item][-1] = False
 
     def handle_data(self, data: str) -> None:
         if not self.hidden:

@@ -85,7 +85,12 @@ TRADES = """trades AS (
 
 def earnings_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(sym, e): each symbol's first bar of a quarter."""
-    return bars(spark, sf_dir).groupBy("sym", F.trunc("d", "quarter").alias("q")).agg(F.min("d").alias("e")).select("sym", "e")
+    return earnings_of(bars(spark, sf_dir))
+
+
+def earnings_of(bars: DataFrame) -> DataFrame:
+    """The same from ``bars`` that are there."""
+    return bars.groupBy("sym", F.trunc("d", "quarter").alias("q")).agg(F.min("d").alias("e")).select("sym", "e")
 
 
 EARNINGS = "earnings AS (SELECT sym, min(d) AS e FROM bars GROUP BY sym, date_trunc('quarter', d))"

@@ -93,6 +93,9 @@ def test_sections(spark):
 def test_html(spark):
     page = "<head><title>t</title></head><body><script>x</script><p>One &amp; <b>two</b><br>three</p><div> four\n five</div></body>"
     assert payloads.html_text(page) == "One & two\nthree\nfour\nfive"
+    assert payloads.html_text("<html><head><title>T</title><body><p>Body text</p></body></html>") == "Body text"
+    assert payloads.html_text("<head><link><h1>one</h1>tail<p>two<ul><li>a<li>b<ul><li>c</ul></ul>x<br>y<table><tr><td>1<td>2<tr><td>3</table>") == "one\ntailtwo\na\nbc\nx\ny12\n3"
+    assert payloads.html_text("<p>shown</p><script>never closed <p>x</p>") == "shown" and payloads.html_text("<pre>a</pre><nav>b</nav><header>c</header>") == "abc"
     assert payloads.html_text(None) == "" and payloads.html_text("plain  text\nnext") == "plain text\nnext"
 
 
@@ -178,7 +181,14 @@ def test_similar_titles_against_all_pairs(spark):
     base = [" ".join(r.choice(words, 8, replace=False)) for _ in range(20)]
     rows = [(k, base[k % 20] + (" extra" if k % 3 == 0 else "")) for k in range(60)] + [(100, ""), (101, "...")]
     got = {(x.a, x.b) for x in dedupe.similar_titles(spark.createDataFrame(rows, "doc_id long, title string"), 0.8).collect()}
-    assert got == brute_titles(rows, 0.8)
+    first = {}
+    for k, t in rows:
+        first.setdefault(frozenset(t.split()), k)
+    owner = {k: first[frozenset(t.split())] for k, t in rows if k < 100}
+    links = brute_titles(rows, 0.8)
+    assert got == {(owner[k], k) for k in owner if owner[k] != k} | {(a, b) for a, b in links if owner[a] == a and owner[b] == b}
+    # no link between different sets is lost, and copies give a row each, not pairs
+    assert {(owner[a], owner[b]) for a, b in links if owner[a] != owner[b]} <= {(a, b) for a, b in got} | {(b, a) for a, b in got}
 
 
 def test_merge_is_sequential(spark):

@@ -102,14 +102,31 @@ def test_backtest_uses_ended_returns_alone(spark):
 def test_simulations_match_numpy():
     lr = np.random.default_rng(5).normal(0.001, 0.02, 300)
     g = kn.gbm_paths(lr, 20, 4000)
-    assert abs(np.log1p(g).mean() - 20 * lr[-60:].mean()) < 0.01 and (g == kn.gbm_paths(lr, 20, 4000)).all()
+    mean, sd = lr[-60:].mean(), lr[-60:].std(ddof=1)
+    z = np.random.default_rng(kn.SEED).standard_normal((4000, 20))
+    assert g == pytest.approx(np.expm1((mean - 0.5 * sd**2 + sd * z).sum(axis=1)), abs=1e-12)
     b = kn.bootstrap_paths(lr, 20, 4000)
     assert abs(np.log1p(b).mean() - 20 * lr.mean()) < 0.02 and len(b) == 4000
     assert kn.jump_paths(lr, np.array([0.1] * 3), 20, 100).tolist() == kn.gbm_paths(lr, 20, 100).tolist()
     assert np.log1p(kn.jump_paths(lr, np.array([0.5] * 9), 20, 4000)).mean() > 0.4
     assert kn.garch_paths(lr[:100], 20, 50).tolist() == kn.bootstrap_paths(lr[:100], 20, 50).tolist()
     p = kn.fit_garch(lr)
-    assert (p >= 0).all() and p[1] + p[2] / 2 + p[3] < 1
+    assert (p >= 0).all() and p[1] + p[2] / 2 + p[3] < 1 and p[4] > 20
+    heavy = kn.fit_garch(np.random.default_rng(6).standard_t(3, 1500) * 0.01)
+    assert heavy[4] < 6
+    moves = np.linspace(-0.1, 0.1, 9)
+    draws = np.random.default_rng(kn.SEED + 1).choice(moves, 500)
+    z = np.random.default_rng(kn.SEED).standard_normal((500, 19))
+    assert kn.jump_paths(lr, moves, 20, 500) == pytest.approx(np.expm1((mean - 0.5 * sd**2 + sd * z).sum(axis=1) + draws), abs=1e-12)
+
+
+def test_moves_count_where_a_date_is_due(spark):
+    """20 trading days are some 29 calendar days."""
+    day = lambda x: datetime.date.fromisoformat(x)
+    moves = spark.createDataFrame([(s, day(d), m) for s in "abc" for d, m in (("2024-01-02", 0.2), ("2023-10-02", 0.1), ("2024-06-30", 0.9))], "sym string, e date, move double")
+    dates = spark.createDataFrame([("a", day("2024-03-29")), ("b", day("2024-03-31")), ("a", day("2024-01-02"))], "sym string, e date")
+    got = {r.sym: r.moves for r in fc.moves_due(moves, dates, F.lit("2024-03-01").cast("date"), 20).collect()}
+    assert got == {"a": [0.1, 0.2]}
 
 
 def test_hidden_states_follow_the_mean():
@@ -119,8 +136,22 @@ def test_hidden_states_follow_the_mean():
     assert (s[:80] == 0).mean() > 0.95 and (s[80:160] == 1).mean() > 0.95 and (s[160:] == 2).mean() > 0.95
 
 
-def test_mixture_of_equal_members_keeps_their_quantiles():
-    pts = kn.cdf_points(np.full(6, 1 / 6), [(-0.12, 0.05), (-0.15, 0.01), (0.14, 0.95)])
-    assert (np.diff(pts[0]) > 0).all() and (np.diff(pts[1]) >= 0).all()
-    q = kn.mixed_quantiles([pts, pts], np.array([1.0, 3.0]), [0.05, 0.5, 0.95])
-    assert q == pytest.approx(np.interp([0.05, 0.5, 0.95], pts[1], pts[0]))
+def test_mixture_quantiles_invert_the_mixed_function(spark):
+    """Against numpy: points of each member, a running maximum, interpolation over the union of points."""
+    r = np.random.default_rng(9)
+    rows = []
+    for sym in "ab":
+        for k, w in enumerate((1.0, 2.0, 0.5)):
+            m = r.dirichlet(np.ones(6))
+            rows.append((sym, k, w, *map(float, m), -0.12 - 0.05 * k, -0.08 + 0.01 * k, 0.11 + 0.02 * k))
+    kind = "sym string, member int, w double, b0 double, b1 double, b2 double, b3 double, b4 double, b5 double, q01 double, q05 double, q95 double"
+    got = {x.sym: (x.q05, x.q01, x.q95) for x in fc.mixture_quantiles(spark.createDataFrame(rows, kind)).collect()}
+    for sym in "ab":
+        own = [x for x in rows if x[0] == sym]
+        parts = []
+        for x in own:
+            pts = sorted([*zip(fc.EDGES, np.cumsum(x[3:8])), (x[9], 0.01), (x[10], 0.05), (x[11], 0.95), (min(-0.1, x[9]) - 0.1, 0.0), (max(0.1, x[11]) + 0.1, 1.0)])
+            parts.append((np.array([p[0] for p in pts]), np.maximum.accumulate([p[1] for p in pts])))
+        grid = np.unique(np.concatenate([p[0] for p in parts]))
+        mix = sum(x[2] * np.interp(grid, *p) for x, p in zip(own, parts)) / sum(x[2] for x in own)
+        assert got[sym] == pytest.approx(np.interp([0.05, 0.01, 0.95], mix, grid), abs=1e-6)

@@ -65,6 +65,28 @@ class CoverTree:
             todo += [(int(end) - len(g), int(end), node) for g, end in zip(groups, ends)]
 
 
+    def packed(self) -> tuple[bytes, bytes, bytes]:
+        """The tree without its points: a row (centre, parent, lo, hi) for each node, radii, and the order of rows."""
+        parent = np.full(len(self.centre), -1, np.int32)
+        for node, children in enumerate(self.children):
+            parent[children] = node
+        nodes = np.column_stack([self.centre, parent, np.array(self.span).reshape(-1, 2)]).astype(np.int32)
+        return nodes.tobytes(), np.array(self.radius).tobytes(), self.order.astype(np.int32).tobytes()
+
+    @classmethod
+    def unpacked(cls, points: np.ndarray, nodes: bytes, radius: bytes, order: bytes) -> CoverTree:
+        """The tree of ``packed`` over the same points."""
+        tree = cls.__new__(cls)
+        rows = np.frombuffer(nodes, np.int32).reshape(-1, 4)
+        tree.points, tree.order = points, np.frombuffer(order, np.int32)
+        tree.centre, tree.radius, tree.span = rows[:, 0].tolist(), np.frombuffer(radius).tolist(), list(map(tuple, rows[:, 2:].tolist()))
+        tree.children = [[] for _ in tree.centre]
+        for node, parent in enumerate(rows[:, 1].tolist()):
+            if parent >= 0:
+                tree.children[parent].append(node)
+        return tree
+
+
 def _distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     d = x.astype(np.float64) - y
     return np.sqrt(np.einsum("ij,ij->i", d, d))
@@ -143,20 +165,25 @@ def _celled(mean: np.ndarray, axes: np.ndarray):
     return rows
 
 
+BLOCK_SCHEMA = "ids array<long>, vectors binary, nodes binary, radius binary, place binary"
+
+
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Runs of BLOCK vectors."""
+    """Runs of BLOCK vectors, each with its cover tree."""
     for batch in batches:
         for lo in range(0, batch.num_rows, BLOCK):
             part = batch.slice(lo, BLOCK)
+            x = _matrix(part.column("v"))
             ids = pa.ListArray.from_arrays(pa.array([0, part.num_rows], pa.int32()), part.column("vec_id"))
-            yield pa.RecordBatch.from_arrays([ids, pa.array([_matrix(part.column("v")).tobytes()], pa.binary())], names=["ids", "vectors"])
+            parts = [x.tobytes(), *CoverTree(x, LEAF).packed()]
+            yield pa.RecordBatch.from_arrays([ids, *(pa.array([p], pa.binary()) for p in parts)], names=["ids", "vectors", "nodes", "radius", "place"])
 
 
 def _trees(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, CoverTree]]:
     for batch in batches:
         for k in range(batch.num_rows):
-            x = np.frombuffer(batch.column("vectors")[k].as_py(), np.int64).reshape(-1, DIM)
-            yield batch.column("ids")[k].values, CoverTree(x, LEAF)
+            vectors, *tree = (batch.column(c)[k].as_py() for c in ("vectors", "nodes", "radius", "place"))
+            yield batch.column("ids")[k].values, CoverTree.unpacked(np.frombuffer(vectors, np.int64).reshape(-1, DIM), *tree)
 
 
 def _sums(centroids: np.ndarray):
@@ -197,7 +224,7 @@ def cluster_vectors(vectors: DataFrame) -> DataFrame:
 
     Rows with another number of components than DIM, or with a null or non-finite one, are not kept; null and repeated
     vec_ids and repeated rows are rows of their own; an empty table gives none.  Components beyond LARGEST / SCALE in size
-    are an error, since their distances are no longs.  Blocks are stored once, a round reads them and sends CENTROIDS * (DIM + 1) sums to
+    are an error, since their distances are no longs.  Blocks are stored once with their trees, a round reads them and sends CENTROIDS * (DIM + 1) sums to
     the driver, whatever the number of vectors; copies of one vector lie under one node of radius 0.
     """
     spark = vectors.sparkSession
@@ -206,7 +233,7 @@ def cluster_vectors(vectors: DataFrame) -> DataFrame:
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     celled = kept.mapInArrow(_celled(*_axes(kept)), "vec_id long, v array<long>, cell int")
     dealt = celled.repartitionByRange(n, "cell", F.xxhash64("v"), F.xxhash64("vec_id")).sortWithinPartitions("cell", "v")
-    blocks = written(dealt.drop("cell").mapInArrow(_blocks, "ids array<long>, vectors binary"), "blocks")
+    blocks = written(dealt.drop("cell").mapInArrow(_blocks, BLOCK_SCHEMA), "blocks")
     for _ in range(ROUNDS if len(centroids) else 0):
         sums = blocks.mapInArrow(_sums(centroids), "cluster int, dim int, total long").groupBy("cluster", "dim").agg(F.sum(F.col("total").cast("decimal(38,0)")).alias("total"))
         new = moved(centroids, {(r.cluster, r.dim): int(r.total) for r in sums.collect()})

@@ -198,6 +198,10 @@ def test_bounds_prune_and_lose_nothing():
     d = np.square(x[:, None, :] - centroids[None]).sum(axis=2)
     assert (cluster == d.argmin(axis=1)).all() and (distance == d.min(axis=1)).all()
     assert compared < d.size / 4
+    tree = dual_tree.CoverTree(x, 8)
+    again = dual_tree.CoverTree.unpacked(x, *tree.packed())
+    assert (again.centre, again.radius, again.span, again.order.tolist()) == (tree.centre, tree.radius, tree.span, tree.order.tolist())
+    assert [sorted(c) for c in again.children] == [sorted(c) for c in tree.children] and (dual_tree.nearest(again, centroids)[0] == cluster).all()
 
 
 def test_cover_tree_covers_and_separates():

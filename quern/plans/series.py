@@ -337,7 +337,7 @@ def index_features(index: DataFrame) -> DataFrame:
     return index.select("d", (F.col("x") / 100).alias("vix_level"), rel.alias("vix_rel"), (F.col("x") / F.lag("x", 20).over(Window.orderBy("d")) - 1).alias("m20"))
 
 
-INDEX_FEATURES = """idxf AS (SELECT d, x / 100 AS vix_level, CASE WHEN count(x) OVER w >= 20 THEN x / avg(x) OVER w END AS vix_rel, x / lag(x, 20) OVER (ORDER BY d) - 1 AS m20
+INDEX_FEATURES = """idxf AS (SELECT d, x / 100 AS vix_level, CASE WHEN count(x) OVER w >= 20 THEN x / avg(x) OVER w END AS vix_rel, x / lag(x, 20) OVER (ORDER BY d) - 1 AS m20, x / lag(x, 60) OVER (ORDER BY d) - 1 AS m60
   FROM idx WINDOW w AS (ORDER BY d ROWS BETWEEN 19 PRECEDING AND CURRENT ROW))"""
 
 

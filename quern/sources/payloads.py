@@ -272,9 +272,9 @@ def _texts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"page_id": pdf["page_id"], "text": text, "n_lines": [len(t.split("\n")) if t else 0 for t in text]})
 
 
-def page_texts(pages: DataFrame) -> DataFrame:
-    """(page_id, text, n_lines) of HTML pages, parsed in Arrow batches."""
-    return pages.select("page_id", "html").mapInPandas(_texts, "page_id long, text string, n_lines long")
+def page_texts(pages: DataFrame, kind: str = "long") -> DataFrame:
+    """(page_id, text, n_lines) of HTML pages, parsed in Arrow batches; ``kind`` is the type of their ids."""
+    return pages.select("page_id", "html").mapInPandas(_texts, f"page_id {kind}, text string, n_lines long")
 
 
 def filing_folders(spark: SparkSession, base: str, ticker: str | None = None) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quern.operators.requests import section_code
+
 #: Spans that are looked for in each text of a task at once.
 TOLD = 4096
 _SPACE = "[ \\t\\n\\r\\f\\x0B]+"
@@ -36,6 +38,32 @@ def chunks(docs: DataFrame, chunk_tokens: int = 900, overlap: float = 0.15) -> D
     return c.select("doc_id", "lang", "source", F.col("k").cast("long").alias("chunk_index"), F.concat(F.col("doc_id").cast("string"), F.lit(":"), F.col("k").cast("string")).alias("chunk_id"), F.size(part).cast("long").alias("n_words"), F.array_join(part, " ").alias("text"))
 
 
+def section_chunks(docs: DataFrame, chunk_tokens: int = 900, overlap: float = 0.15) -> DataFrame:
+    """(doc_id, chunk_index, chunk_id, section, n_words, text): word windows of each section of ``docs`` (doc_id, text), numbered through a document.
+
+    Windows never cross sections.  Sections of fewer than LEAST_WORDS words give none, nor do those under a bare item header of fewer than STUB_WORDS, which are
+    lines of a table of contents.  A section without a label has NULL.  All of a document's windows are made in its own row, so no rows move.
+    """
+    target, step = window_sizes(chunk_tokens, overlap)
+    cut = F.transform(sections(F.col("text")), lambda s: F.struct(s["label"].alias("label"), words(s["body"]).alias("w")))
+    kept = F.filter(cut, lambda s: (F.size(s["w"]) >= LEAST_WORDS) & ~(bare_header(s["label"]) & (F.size(s["w"]) < STUB_WORDS)))
+    last = lambda s: F.greatest(F.lit(0), F.ceil((F.size(s["w"]) - target) / step)).cast("int")
+    windows = F.flatten(F.transform(kept, lambda s: F.transform(F.sequence(F.lit(0), last(s)), lambda k: F.struct(F.nullif(s["label"], F.lit("")).alias("section"), F.slice(s["w"], k * step + 1, F.lit(target)).alias("w")))))
+    c = docs.where("text is not null").select("doc_id", F.posexplode(windows).alias("k", "c"))
+    name = F.concat(F.col("doc_id").cast("string"), F.lit(":"), F.col("k").cast("string"))
+    return c.select("doc_id", F.col("k").cast("long").alias("chunk_index"), name.alias("chunk_id"), "c.section", F.size("c.w").cast("long").alias("n_words"), F.array_join("c.w", " ").alias("text"))
+
+
+def of_sections(chunks: DataFrame, names: list[str], form: str = "10-K") -> DataFrame:
+    """``chunks`` (form, section, ...) of one form whose section has the item code of any of ``names``; all of the form if no name has a code.
+
+    The form matters: another form's items have the same codes and mean something else.
+    """
+    rows = chunks.where(F.col("form") == form)
+    wanted = F.array_compact(F.array(*(section_code(F.lit(n)) for n in names))) if names else F.array().cast("array<string>")
+    return rows.where((F.size(wanted) == 0) | F.coalesce(F.array_contains(wanted, section_code(F.col("section"))), F.lit(False)))
+
+
 def matching(docs: DataFrame, ticker: str | None = None, sections: list[str] | None = None, low: int | None = None, high: int | None = None) -> DataFrame:
     """Rows that meet all the conditions given; a NULL section meets none."""
     if ticker is not None:

@@ -83,20 +83,45 @@ def advantages(rewards: Column, values: Column, gamma: float, lam: float) -> Col
     return returns_to_go(delta, gamma * lam)
 
 
-def bootstrap_interval(log: DataFrame, key: str, n_boot: int = 500, seed: int = 42, alpha: float = 0.05) -> DataFrame:
+def bootstrap_interval(log: DataFrame, key: str, n_boot: int = 500, seed: int = 42, alpha: float = 0.05, per_task: int = 50) -> DataFrame:
     """(key, estimate, low, high) of IPS over groups (grp) drawn with replacement.
 
-    A group's sum and count are all that a draw needs, so only these meet in a task.
+    A group's sum and count are all that a draw needs.  Draws are made ``per_task`` at a time, each lot by a generator of its own number, so a key's draws
+    are many tasks' work; the interval's ends are quantiles of all draws.
     """
     sums = log.groupBy(key, "grp").agg(F.sum(F.col("w") * F.col("reward")).alias("s"), F.count(F.lit(1)).alias("n"))
+    estimate = sums.groupBy(key).agg((F.sum("s") / F.sum("n")).alias("estimate"))
+    lots = -(-n_boot // per_task)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("grp")
-        s, n = pdf["s"].to_numpy(float), pdf["n"].to_numpy(float)
-        pick = np.random.default_rng(seed).integers(0, len(s), (n_boot, len(s)))
-        draws = s[pick].sum(axis=1) / n[pick].sum(axis=1)
-        low, high = np.quantile(draws, [alpha / 2, 1 - alpha / 2])
-        return pd.DataFrame({key: [pdf[key].iloc[0]], "estimate": [s.sum() / n.sum()], "low": [low], "high": [high]})
+        s, n, lot = pdf["s"].to_numpy(float), pdf["n"].to_numpy(float), int(pdf["lot"].iloc[0])
+        rng = np.random.default_rng([seed, lot])
+        draws = []
+        for _ in range(min(per_task, n_boot - lot * per_task)):
+            pick = rng.integers(0, len(s), len(s))
+            draws.append(s[pick].sum() / n[pick].sum())
+        return pd.DataFrame({key: [pdf[key].iloc[0]] * len(draws), "draw": draws})
 
     kind = {f.name: f.dataType.simpleString() for f in log.schema.fields}[key]
-    return sums.groupBy(key).applyInPandas(run, f"{key} {kind}, estimate double, low double, high double")
+    lotted = sums.withColumn("lot", F.explode(F.sequence(F.lit(0), F.lit(lots - 1))))
+    draws = lotted.groupBy(key, "lot").applyInPandas(run, f"{key} {kind}, draw double")
+    ends = draws.groupBy(key).agg(F.percentile("draw", F.array(F.lit(alpha / 2), F.lit(1 - alpha / 2))).alias("ends"))
+    return estimate.join(ends, key).select(key, "estimate", F.col("ends")[0].alias("low"), F.col("ends")[1].alias("high"))
+
+
+def fixed(arm: int, n_arms: int) -> Column:
+    """Probabilities of a policy that always takes one arm."""
+    return F.array(*(F.lit(float(k == arm)) for k in range(n_arms)))
+
+
+def uniform(n_arms: int) -> Column:
+    """Probabilities of a policy that takes each arm alike."""
+    return F.array(*(F.lit(1.0 / n_arms) for _ in range(n_arms)))
+
+
+def epsilon_greedy(scores: Column, epsilon: float) -> Column:
+    """Probabilities of a policy that takes the best of an array of scores (the first of equal ones), and any arm at random in a share ``epsilon`` of cases."""
+    n = F.size(scores)
+    best = F.array_position(scores, F.array_max(scores)) - 1
+    return F.transform(scores, lambda _, k: epsilon / n + F.when(k == best, 1 - epsilon).otherwise(0.0))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quern.plans import base, checks, dispatch, evaluation, news, policy, retrieval, series, stores, text, vendors  # noqa: F401  (they register their queries)
+from quern.plans import answers, base, checks, dispatch, evaluation, news, policy, retrieval, series, stores, text, vendors  # noqa: F401  (they register their queries)
 
 
 def queries() -> dict[str, base.Query]:

@@ -68,7 +68,7 @@ def rerank_two_stage(spark, sf_dir):
     """Forty BM25 hits rescored by the share of the question's words they hold, then the best eight."""
     d, q = retrieval.docs(spark, sf_dir), retrieval.asked(spark, sf_dir)
     words = lambda df, k: df.select(k, F.array_distinct(tx.tokens(F.col("text"))).alias(f"{k}_x"))
-    hits = rt.bm25(d, q, 40).withColumnRenamed("rank", "was").drop("score").join(words(d, "doc_id"), "doc_id").join(words(q, "query_id"), "query_id")
+    hits = retrieval.found(spark, sf_dir, 40).withColumnRenamed("rank", "was").drop("score").join(words(d, "doc_id"), "doc_id").join(words(q, "query_id"), "query_id")
     hits = hits.withColumn("score", r6(F.size(F.array_intersect("query_id_x", "doc_id_x")) / F.size("query_id_x")))
     return rt.best(hits, ["query_id"], 8, F.desc("score"), F.col("was")).select("query_id", "doc_id", "score", "rank")
 

@@ -1,9 +1,8 @@
-"""Similar titles and the sequential merge of articles."""
+"""Similar titles and the merge of articles in their order."""
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.functions.text import tokens
@@ -51,49 +50,37 @@ def similar_titles(titles: DataFrame, at_least: float) -> DataFrame:
     return inside.union(near.select("a", "b", F.round("jaccard", 6)))
 
 
-def _greedy(at_least: float):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        kept: list[dict] = []
-        for r in pdf.sort_values("doc_id").to_dict("records"):
-            x = set(r["x"])
-            hit = next((k for k in kept if k["url"] == r["url"] or (x and k["set"] and len(x & k["set"]) / len(x | k["set"]) >= at_least)), None)
-            if hit is None:
-                kept.append(r | {"set": x, "merged": 1})
-                continue
-            hit["merged"] += 1
-            for c in ("summary", "sentiment"):
-                if hit[c] is None or hit[c] != hit[c]:
-                    hit[c] = r[c]
-        return pd.DataFrame([[k["doc_id"], k["url"], k["title"], k["summary"], k["sentiment"], k["merged"]] for k in kept], columns=["doc_id", "url", "title", "summary", "sentiment", "merged"])
+def merge_articles(articles: DataFrame, at_least: float = 0.85, rounds: int = 200) -> DataFrame:
+    """(doc_id, url, title, summary, sentiment, merged): articles in doc_id order, each merged into the first kept one with its URL or a title alike; a keeper takes what it lacks.
 
-    return run
-
-
-def merge_articles(articles: DataFrame, at_least: float = 0.85) -> DataFrame:
-    """Articles in doc_id order, each merged into the first kept one with its URL or a title alike; a keeper takes what it lacks.
-
-    Rows can only merge within a connected block of equal URLs and similar titles.  Blocks come
-    from distributed label passes, and the sequential rule runs within a block.
+    Two articles of one URL, or of one set of title words, are alike, so each URL and each set has one keeper at most.  An article is kept once all earlier
+    ones of its URL, its set and the sets alike are decided and none of them is kept; it is merged once one is.  Rounds
+    decide all articles of which this is known, so a round is some groupings and joins over one row for each URL, set and pair of sets alike, and no group meets in
+    one task.  Articles of one URL and set go with the first of them.  Rounds follow chains of articles that wait for each other; more than
+    ``rounds`` are an error.  A null URL is a URL, titles without words are alike to none, and of repeated doc_ids the rows count as one article more.
     """
-    a = articles.withColumn("x", F.array_distinct(tokens(F.col("title"))))
-    by_url = a.withColumn("b", F.min("doc_id").over(Window.partitionBy("url"))).select(F.col("doc_id").alias("a"), "b")
-    sets = _token_sets(a)
-    groups = sets.groupBy("x").agg(F.min("doc_id").alias("id"))
-    links = by_url.union(sets.join(groups, "x").select(F.col("doc_id").alias("a"), F.col("id").alias("b"))).union(similar_sets(groups.select("id", "x"), at_least).select("b", "a"))
-    blocks = _blocks(links.where("a <> b"))
-    tagged = a.join(blocks, "doc_id", "left").withColumn("block", F.coalesce("block", "doc_id"))
-    return tagged.groupBy("block").applyInPandas(_greedy(at_least), "doc_id long, url string, title string, summary string, sentiment double, merged long")
-
-
-def _blocks(links: DataFrame) -> DataFrame:
-    """(doc_id, block) of the connected blocks of links (a, b): least labels spread over neighbours and labels of labels."""
-    table = lambda df: stored(df, "blocks")
-    both = table(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    label = table(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("block")).withColumnRenamed("a", "doc_id"))
-    while True:
-        near = both.join(label.select(F.col("doc_id").alias("b"), F.col("block").alias("m")), "b").groupBy("a").agg(F.min("m").alias("m")).withColumnRenamed("a", "doc_id")
-        up = label.select(F.col("doc_id").alias("block"), F.col("block").alias("top"))
-        new = table(label.join(near, "doc_id").join(up, "block", "left").select("doc_id", F.least("block", "m", F.coalesce("top", "block")).alias("block"), F.col("block").alias("old")))
-        if new.where("block <> old").isEmpty():
-            return new.select("doc_id", "block")
-        label = new.select("doc_id", "block")
+    a = stored(articles.withColumn("x", F.array_sort(F.array_distinct(tokens(F.col("title"))))), "articles")
+    urls = stored(a.groupBy("url").agg(F.min("doc_id").alias("u")), "urls")
+    sets = stored(a.where(F.size("x") > 0).groupBy("x").agg(F.min("doc_id").alias("s")).select("s", "x"), "sets")
+    tagged = a.join(urls, a["url"].eqNullSafe(urls["url"])).select(a["*"], "u").join(sets, "x", "left")
+    tagged = stored(tagged.drop("x"), "tagged")
+    near = similar_sets(sets.withColumnRenamed("s", "id"), at_least)
+    near = stored(near.select(F.col("a").alias("s"), F.col("b").alias("t")).union(near.select("b", "a")).union(sets.select("s", F.col("s").alias("t"))), "near")
+    # one node for each URL and set, named by its first article; state: null undecided, true kept, false merged
+    nodes = stored(tagged.groupBy("u", "s").agg(F.min("doc_id").alias("id")).withColumn("kept", F.lit(None).cast("boolean")), "nodes")
+    facts = lambda key: nodes.groupBy(key).agg(F.min(F.when(F.col("kept"), F.col("id"))).alias("keeper"), F.min(F.when(F.col("kept").isNull(), F.col("id"))).alias("open"))
+    while not nodes.where("kept IS NULL").isEmpty():
+        if (rounds := rounds - 1) < 0:
+            raise RuntimeError("articles wait for each other in too long a chain")
+        by_url, by_set = facts("u"), facts("s").where("s IS NOT NULL").withColumnRenamed("s", "t")
+        alike = near.join(by_set, "t").groupBy("s").agg(F.min("keeper").alias("set_keeper"), F.min("open").alias("set_open"))
+        seen = nodes.join(by_url, "u").join(alike, "s", "left").withColumns({"first": F.least("keeper", "set_keeper"), "waits": F.least("open", "set_open")})
+        kept = F.when(F.col("first") < F.col("id"), False).when(F.col("waits") >= F.col("id"), True)
+        nodes = stored(seen.select("u", "s", "id", F.coalesce("kept", kept).alias("kept")), "nodes")
+    by_set = facts("s").where("s IS NOT NULL").select(F.col("s").alias("t"), "keeper")
+    alike = near.join(by_set, "t").groupBy("s").agg(F.min("keeper").alias("set_keeper"))
+    owner = facts("u").select("u", "keeper")
+    owned = tagged.join(owner, "u").join(alike, "s", "left").withColumn("owner", F.least("keeper", "set_keeper"))
+    first = lambda c: F.min_by(c, F.when(F.col(c).isNotNull(), F.col("doc_id"))).alias(c)
+    own = lambda c: F.min_by(c, "doc_id").alias(c)
+    return owned.groupBy("owner").agg(own("url"), own("title"), first("summary"), first("sentiment"), F.count(F.lit(1)).alias("merged")).withColumnRenamed("owner", "doc_id")

@@ -210,7 +210,7 @@ def jaccard_pairs_blocked(spark, sf_dir):
 
 @query()
 def article_greedy_dedupe(spark, sf_dir):
-    """Articles after the sequential merge of equal URLs and titles alike by 0.85: order decides, so it is tested against brute force."""
+    """Articles after the merge, in their order, of equal URLs and titles alike by 0.85: rounds that no fixed SQL has, tested against brute force."""
     return dedupe.merge_articles(articles(spark, sf_dir).withColumn("url", tx.canonical_url(F.col("url"))), 0.85)
 
 

@@ -197,6 +197,52 @@ def test_merge_is_sequential(spark):
     assert set(got) == {1, 4} and (got[1].summary, got[1].sentiment, got[1].merged) == ("sum", 0.4, 3)
 
 
+def test_merge_follows_the_order_of_articles(spark):
+    """Against the plain loop, with chains, repeated titles and URLs, and no URL."""
+    r = np.random.default_rng(11)
+    words = [f"w{k}" for k in range(12)]
+    base = [" ".join(r.choice(words, 9, replace=False)) for _ in range(6)]
+    rows = []
+    for k in range(120):
+        title = base[r.integers(6)].split()
+        for _ in range(r.integers(3)):
+            title[r.integers(9)] = str(r.choice(words))
+        url = None if k % 29 == 0 else f"u{r.integers(60)}"
+        rows.append((k, url, "" if k % 23 == 0 else " ".join(title), str(k) if r.random() < 0.4 else None, float(k) if r.random() < 0.4 else None))
+    kept = []
+    for k, url, title, summary, tone in rows:
+        x = set(title.split())
+        hit = next((a for a in kept if a[1] == url or (x and a[6] and len(x & a[6]) / len(x | a[6]) >= 0.8)), None)
+        if hit is None:
+            kept.append([k, url, title, summary, tone, 1, x])
+            continue
+        hit[5] += 1
+        hit[3], hit[4] = (summary if hit[3] is None else hit[3]), (tone if hit[4] is None else hit[4])
+    got = dedupe.merge_articles(spark.createDataFrame(rows, "doc_id long, url string, title string, summary string, sentiment double"), 0.8).orderBy("doc_id").collect()
+    assert [(g.doc_id, g.url, g.title, g.summary, g.sentiment, g.merged) for g in got] == [tuple(k[:6]) for k in kept] and 10 < len(kept) < 100
+
+
+def test_section_chunks_drop_stubs_and_keep_their_sections(spark):
+    body = " ".join(f"w{k}" for k in range(40))
+    rows = [(1, f"Preface {body}\nItem 1. Business\n{body} {body}\nItem 2.\n{' '.join(['x'] * 20)}\nItem 3.\n{' '.join(['y'] * 30)}\nItem 4. Short\nfew words"), (2, "no items but " + body), (3, None), (4, "")]
+    got = chunking.section_chunks(spark.createDataFrame(rows, "doc_id long, text string"), chunk_tokens=80, overlap=0.1).orderBy("doc_id", "chunk_index").collect()
+    assert [(g.doc_id, g.chunk_index, g.section, g.n_words) for g in got] == [(1, 0, "Preamble", 41), (1, 1, "Item 1. Business", 60), (1, 2, "Item 1. Business", 29), (1, 3, "Item 3.", 32), (2, 0, None, 43)]
+    assert got[1].text.startswith("Item 1. Business w0") and got[0].chunk_id == "1:0"
+    chunks = spark.createDataFrame([(1, "10-K", "Item 1. Business"), (2, "10-Q", "Item 1. Statements"), (3, "10-K", "ITEM 1A - Risk"), (4, "10-K", "Item 1.01 Entry"), (5, "10-K", None), (6, "10-K", "Item 7.")], "id int, form string, section string")
+    pick = lambda names: sorted(x.id for x in chunking.of_sections(chunks, names).collect())
+    assert pick(["Item 1. Business", "Item 1A. Risk Factors"]) == [1, 3] and pick([]) == [1, 3, 4, 5, 6] == pick(["nothing"])
+
+
+def test_policies_and_citations(spark):
+    from quern.plans import answers
+
+    p = spark.createDataFrame([([0.2, 0.5, 0.5],)], "q array<double>").select(po.fixed(1, 3), po.uniform(4), po.epsilon_greedy(F.col("q"), 0.3)).first()
+    assert p[0] == [0, 1, 0] and p[1] == [0.25] * 4 and p[2] == pytest.approx([0.1, 0.8, 0.1])
+    t = lambda rows: spark.createDataFrame(rows, "query_id long, id long")
+    got = answers.citation_accuracy(t([(1, 5), (1, 6), (1, 7), (1, 5), (2, 9)]), t([(1, 5), (1, 7), (2, 9)]), t([(1, 5), (1, 6), (3, 9)])).collect()
+    assert {g.query_id: (g.n_cited, g.accuracy) for g in got} == {1: (4, 0.5), 2: (1, 0.0)}
+
+
 def test_bm25_formula(spark):
     d = spark.createDataFrame([(1, "apple banana apple"), (2, "banana"), (3, "cherry pie pie pie")], "doc_id long, text string")
     q = spark.createDataFrame([(0, "Apple apple"), (1, "nothing")], "query_id long, text string")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -19,14 +21,18 @@ HUBS = 4096
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as the session names it.
+    """The folder that driver and executors share, as ``spark.checkpoint.dir`` names it.
 
-    Reads ``spark.checkpoint.dir``; only where that is unset (tests, one machine) is a
-    local folder chosen.
+    On one machine, where it is unset, a temporary folder is taken and removed at the end; a cluster without one is an
+    error, since each executor would write to its own disk.
     """
     conf = spark.sparkContext.getConf()
     if not (path := conf.get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)):
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir names no folder that driver and executors share")
         path = tempfile.mkdtemp(prefix="quern-")
+        atexit.register(shutil.rmtree, path, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
 

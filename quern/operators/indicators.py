@@ -9,10 +9,11 @@ from pyspark.sql import DataFrame
 
 def ema(x: np.ndarray, span: int) -> np.ndarray:
     """Exponential mean with weight 2 / (span + 1), seeded with the first value."""
-    a, out = 2 / (span + 1), np.empty(len(x))
-    for k, v in enumerate(x):
-        out[k] = v if k == 0 else a * v + (1 - a) * out[k - 1]
-    return out
+    a, last, out = 2 / (span + 1), None, []
+    for v in x.tolist():  # plain floats: a step is some times faster than on an array's items
+        last = v if last is None else a * v + (1 - a) * last
+        out.append(last)
+    return np.array(out, float)
 
 
 def wilder(x: np.ndarray, n: int) -> np.ndarray:
@@ -22,9 +23,12 @@ def wilder(x: np.ndarray, n: int) -> np.ndarray:
     if len(there) < n:
         return out
     seed = there[n - 1]
-    out[seed] = x[there[:n]].mean()
-    for k in range(seed + 1, len(x)):
-        out[k] = out[k - 1] if np.isnan(x[k]) else (out[k - 1] * (n - 1) + x[k]) / n
+    last = float(x[there[:n]].mean())
+    smooth = [last]
+    for v in x[seed + 1 :].tolist():
+        last = last if v != v else (last * (n - 1) + v) / n
+        smooth.append(last)
+    out[seed:] = smooth
     return out
 
 
@@ -52,21 +56,33 @@ def atr(h: np.ndarray, low: np.ndarray, c: np.ndarray, n: int = 14) -> np.ndarra
     return wilder(tr, n)
 
 
-def _frame(pdf: pd.DataFrame) -> pd.DataFrame:
-    pdf = pdf.sort_values("d")
-    c = pdf["c"].to_numpy(float)
-    line, sig, hist = macd(c)
-    return pdf.assign(rsi14=rsi(c), macd=line, macd_signal=sig, macd_hist=hist, atr14=atr(pdf["h"].to_numpy(float), pdf["l"].to_numpy(float), c))
+#: What each indicator's pass gives.
+GIVES = {"rsi14": ("rsi14",), "macd": ("macd", "macd_signal", "macd_hist"), "atr14": ("atr14",)}
+
+
+def _frame(which: tuple[str, ...]):
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("d")
+        c, new = pdf["c"].to_numpy(float), {}
+        if "rsi14" in which:
+            new["rsi14"] = rsi(c)
+        if "macd" in which:
+            new["macd"], new["macd_signal"], new["macd_hist"] = macd(c)
+        if "atr14" in which:
+            new["atr14"] = atr(pdf["h"].to_numpy(float), pdf["l"].to_numpy(float), c)
+        return pdf.assign(**new)
+
+    return run
 
 
-def recursive_indicators(bars: DataFrame) -> DataFrame:
-    """Bars (sym, d, o, h, l, c, v) with rsi14, macd, macd_signal, macd_hist and atr14.
+def recursive_indicators(bars: DataFrame, which: tuple[str, ...] = tuple(GIVES)) -> DataFrame:
+    """Bars (sym, d, o, h, l, c, v) with those of rsi14, macd, macd_signal, macd_hist and atr14 that the indicators ``which`` give.
 
     A group is one symbol's daily bars, some thousands of rows; NULL stands where a seed is not yet there.
     """
     from pyspark.sql import functions as F
 
-    new = ["rsi14", "macd", "macd_signal", "macd_hist", "atr14"]
+    new = [c for w in which for c in GIVES[w]]
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in bars.schema.fields)
-    out = bars.groupBy("sym").applyInPandas(_frame, f"{kinds}, " + ", ".join(f"{c} double" for c in new))
+    out = bars.groupBy("sym").applyInPandas(_frame(which), f"{kinds}, " + ", ".join(f"{c} double" for c in new))
     return out.select(*bars.columns, *(F.nanvl(c, F.lit(None).cast("double")).alias(c) for c in new))

@@ -233,19 +233,19 @@ RECURSIVE = f"""{RETURNS}, lines AS (SELECT sym, d, {ema_sql('c', 12)} - {ema_sq
 @query(f"WITH {RECURSIVE} SELECT sym, d, round(rsi14, 6) AS rsi14 FROM recursive_")
 def rsi_wilder(spark, sf_dir):
     """Relative strength over 14 bars."""
-    return rounded(indicators.recursive_indicators(views.bars(spark, sf_dir)), ["sym", "d"], rsi14=F.col("rsi14"))
+    return rounded(indicators.recursive_indicators(views.bars(spark, sf_dir), ("rsi14",)), ["sym", "d"], rsi14=F.col("rsi14"))
 
 
 @query(f"WITH {RECURSIVE} SELECT sym, d, round(macd, 6) AS macd, round(macd_signal, 6) AS macd_signal, round(macd_hist, 6) AS macd_hist FROM recursive_")
 def macd_ema(spark, sf_dir):
     """MACD line, signal and histogram (12, 26, 9)."""
-    return rounded(indicators.recursive_indicators(views.bars(spark, sf_dir)), ["sym", "d"], **{c: F.col(c) for c in ("macd", "macd_signal", "macd_hist")})
+    return rounded(indicators.recursive_indicators(views.bars(spark, sf_dir), ("macd",)), ["sym", "d"], **{c: F.col(c) for c in ("macd", "macd_signal", "macd_hist")})
 
 
 @query(f"WITH {RECURSIVE} SELECT sym, d, round(atr14, 6) AS atr14 FROM recursive_")
 def atr_wilder(spark, sf_dir):
     """Average true range over 14 bars."""
-    return rounded(indicators.recursive_indicators(views.bars(spark, sf_dir)), ["sym", "d"], atr14=F.col("atr14"))
+    return rounded(indicators.recursive_indicators(views.bars(spark, sf_dir), ("atr14",)), ["sym", "d"], atr14=F.col("atr14"))
 
 
 def trend(c: Column, ma50: Column, ma200: Column) -> Column:

@@ -5,7 +5,7 @@ projections on any principal axes.  Vectors are put in epsilon grid order: by la
 side EPS of their leading principal coordinates.  The sequence is cut into blocks with bounding boxes; pairs of blocks whose boxes lie
 more than EPS apart are never joined, and within a pair the halves of the sequence
 are joined recursively under the same rule, down to leaves that one matrix product compares.
-Blocks are as large as a task may hold, since what moves between tasks falls with their size.
+Blocks lie in runs, and a task joins the pairs of blocks between two runs, so a block moves once for each run that it meets, not for each block.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.llm.common import join_counted, written
@@ -30,6 +30,8 @@ ORDER_DIMS, BOX_DIMS = 4, 16
 FIT_ROWS = 4096
 #: Vectors of a block, and bytes of them, at most; vectors of a leaf.
 BLOCK, BLOCK_BYTES, LEAF = 8192, 4 << 20, 128
+#: Neighbouring blocks that meet those of another run in one task.
+RUN = 4
 #: Parts that the blocks of a label and cell are dealt to when they look for partners.
 SALTS = 16
 
@@ -173,31 +175,30 @@ def _forest(i: np.ndarray, j: np.ndarray, n: int) -> np.ndarray:
 
 
 def _pairs(axes: np.ndarray, dtype: str):
-    """Of block pairs: each vector's partners (copies counted) and the least node it reaches there."""
-
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(batch.num_rows):
-                r = {c: batch.column(c)[k].as_py() for c in batch.schema.names}
-                same = r["block"] == r["block2"]
-                x = _unit(np.frombuffer(r["vectors"], dtype).reshape(-1, r["dim"]).astype(np.float64))
-                y = x if same else _unit(np.frombuffer(r["vectors2"], dtype).reshape(-1, r["dim"]).astype(np.float64))
-                project = lambda v: v @ axes if v.shape[1] == len(axes) else np.zeros((len(v), 1))
-                i, j = join_intervals(x, y, project(x), project(y), same)
-                if not len(i):
-                    continue
-                ids = np.array(r["ids"] if same else r["ids"] + r["ids2"], np.int64)
-                copies = np.array(r["copies"] if same else r["copies"] + r["copies2"], np.int64)
-                if not same:
-                    j = j + len(x)
-                links = np.zeros(len(ids), np.int64)
-                np.add.at(links, i, copies[j])
-                np.add.at(links, j, copies[i])
-                root = _forest(i, j, len(ids))
-                own = links > 0
-                yield pa.RecordBatch.from_arrays([pa.array(ids[own]), pa.array(links[own]), pa.array(ids[root[own]])], names=["node", "links", "root"])
+    """Of a task's blocks and pairs of blocks: each vector's partners (copies counted) and the least node it reaches in a pair."""
+
+    def join(blocks: pa.Table, pairs: pa.Table) -> pa.Table:
+        held = {}
+        for r in blocks.to_pylist():
+            x = _unit(np.frombuffer(r["vectors"], dtype).reshape(-1, r["dim"]).astype(np.float64))
+            held[r["block"]] = np.array(r["ids"], np.int64), np.array(r["copies"], np.int64), x, x @ axes if r["dim"] == len(axes) else np.zeros((len(x), 1))
+        out = []
+        for a, b in zip(pairs.column("block").to_pylist(), pairs.column("block2").to_pylist()):
+            (ids, copies, x, px), (ids2, copies2, y, py) = held[a], held[b]
+            i, j = join_intervals(x, y, px, py, a == b)
+            if not len(i):
+                continue
+            if a != b:
+                ids, copies, j = np.concatenate([ids, ids2]), np.concatenate([copies, copies2]), j + len(x)
+            links = np.zeros(len(ids), np.int64)
+            np.add.at(links, i, copies[j])
+            np.add.at(links, j, copies[i])
+            own = links > 0
+            out.append((ids[own], links[own], ids[_forest(i, j, len(ids))[own]]))
+        cols = [np.concatenate(c) for c in zip(*out)] or [np.zeros(0, np.int64)] * 3
+        return pa.table(dict(zip(("node", "links", "root"), map(pa.array, cols))))
 
-    return rows
+    return join
 
 
 def embedding_components(vectors: DataFrame) -> DataFrame:
@@ -234,12 +235,16 @@ def embedding_components(vectors: DataFrame) -> DataFrame:
     boxes = boxes.withColumn("salt", F.pmod(F.xxhash64("block"), F.lit(SALTS)).cast("int"))
     pairs = boxes.join(other, ["label", "dim", "cell", "salt"]).where((F.col("block") <= F.col("block2")) & (F.col("cell") == F.greatest("first", "first2")) & (apart <= EPS * EPS)).select("block", "block2")
     pairs = written(pairs, "block-pairs")
-    left = blocks.select("block", "dim", "ids", "copies", "vectors")
-    none = lambda c, t: F.lit(None).cast(t).alias(c)
-    alone = pairs.where("block = block2").join(left, "block").select("block", "block2", "dim", "ids", "copies", "vectors", none("ids2", "array<long>"), none("copies2", "array<long>"), none("vectors2", "binary"))
-    right = blocks.select(F.col("block").alias("block2"), F.col("ids").alias("ids2"), F.col("copies").alias("copies2"), F.col("vectors").alias("vectors2"))
-    two = pairs.where("block < block2").join(left, "block").join(right, "block2").select(alone.columns)
-    found = written(alone.unionByName(two).mapInArrow(_pairs(axes, "<f4" if kind == "float" else "<f8"), "node long, links long, root long"), "found")
+    # a task joins the pairs between two runs of RUN blocks, and gets each of their blocks once
+    run = blocks.select("block", F.floor((F.row_number().over(Window.partitionBy("label", "dim").orderBy("block")) - 1) / RUN).alias("k"), "label", "dim")
+    run = written(run.select("block", F.struct("label", "dim", "k").alias("run")), "runs")
+    dealt = pairs.join(run, "block").join(run.select(F.col("block").alias("block2"), F.col("run").alias("run2")), "block2")
+    dealt = written(dealt.select(F.xxhash64("run", "run2").alias("task"), "block", "block2"), "dealt")
+    needed = dealt.select("task", F.explode(F.array("block", "block2")).alias("block")).distinct()
+    sent = needed.join(blocks.select("block", "dim", "ids", "copies", "vectors"), "block")
+    of_task = dealt.select(F.col("task").alias("pairs_task"), "block", F.col("block2"))
+    found = sent.groupBy("task").cogroup(of_task.groupBy("pairs_task")).applyInArrow(_pairs(axes, "<f4" if kind == "float" else "<f8"), "node long, links long, root long")
+    found = written(found, "found")
     small = found.groupBy("node").agg(F.sum("links").alias("links"))
     comp = connected_components(found.select(F.col("node").alias("a"), F.col("root").alias("b")))
     each = nodes.select("h", "g", "copies", "vec_id", "node").join(small, "node", "left").join(comp, "node", "left").withColumn("root", F.coalesce("component", "node"))

@@ -85,6 +85,21 @@ def masked_softmax(logits: Column, legal: Column) -> Column:
     return F.when(top.isNotNull(), F.transform(e, lambda x: x / total))
 
 
+def first_with_rows(wanted: DataFrame, sources: dict[str, DataFrame], key: str) -> DataFrame:
+    """Each of the ``wanted`` keys (unique) with all rows, ``provider`` beside them, of the first of ``sources`` that has any for it.
+
+    Sources are asked in their order and share their columns; an empty answer falls through to the next, and no two are mixed.  A key that
+    none answers is one row of NULLs.  Sources are scanned once, and only keys with their first source's number are joined to the rows.
+    """
+    rows = None
+    for rank, (name, source) in enumerate(sources.items()):
+        one = source.withColumns({"provider": F.lit(name), "provider_rank": F.lit(rank)})
+        rows = one if rows is None else rows.unionByName(one)
+    first = rows.groupBy(key).agg(F.min("provider_rank").alias("provider_rank"))
+    asked = wanted.select(key).join(first, key, "left")
+    return asked.join(rows, [key, "provider_rank"], "left").drop("provider_rank")
+
+
 def merged_by_priority(rows: DataFrame, keys: list[str], provider: Column) -> DataFrame:
     """For each key the rows of its first provider that has any."""
     first = Window.partitionBy(*keys)

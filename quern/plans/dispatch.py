@@ -235,6 +235,26 @@ def provider_failover(spark, sf_dir):
     return rq.merged_by_priority(e, ["user_id", "day"], rank).select("event_id", "user_id", "provider_rank")
 
 
+_BRAND = "CAST(substring(sym, 7) AS INT)"
+
+
+@query(
+    f"""WITH {BARS}, w AS (SELECT DISTINCT p_brand AS sym FROM part UNION SELECT 'Brand#none'), year AS (SELECT * FROM bars WHERE d BETWEEN DATE '1997-01-01' AND DATE '1997-12-31'),
+    a AS (SELECT sym, d, c, 'daily' AS provider FROM year WHERE {_BRAND} % 3 = 1), b AS (SELECT sym, min(d) AS d, max(c) AS c, 'weekly' AS provider FROM year WHERE {_BRAND} % 2 = 0 GROUP BY sym, date_trunc('week', d)), c AS (SELECT sym, max(d) AS d, max(c) AS c, 'yearly' AS provider FROM year WHERE {_BRAND} % 5 <> 0 GROUP BY sym),
+    got AS (SELECT * FROM a UNION ALL SELECT * FROM b WHERE sym NOT IN (SELECT sym FROM a) UNION ALL SELECT * FROM c WHERE sym NOT IN (SELECT sym FROM a) AND sym NOT IN (SELECT sym FROM b))
+    SELECT w.sym, got.provider, count(got.d) AS n, min(got.d) AS first_day, round(max(got.c), 6) AS highest FROM w LEFT JOIN got ON got.sym = w.sym GROUP BY w.sym, got.provider"""
+)
+def provider_chain(spark, sf_dir):
+    """Prices of every brand in a year from the first of three sources that has any: daily, weekly or one bar; a brand that none has is a row of its own."""
+    year = views.bars(spark, sf_dir).where("d between date'1997-01-01' and date'1997-12-31'").select("sym", "d", "c", F.substring("sym", 7, 9).cast("int").alias("k"))
+    daily = year.where("k % 3 = 1").select("sym", "d", "c")
+    weekly = year.where("k % 2 = 0").groupBy("sym", F.trunc("d", "week").alias("week")).agg(F.min("d").alias("d"), F.max("c").alias("c")).drop("week")
+    yearly = year.where("k % 5 <> 0").groupBy("sym").agg(F.max("d").alias("d"), F.max("c").alias("c"))
+    wanted = views.table(spark, sf_dir, "part").select(F.col("p_brand").alias("sym")).union(spark.createDataFrame([("Brand#none",)], "sym string")).distinct()
+    got = rq.first_with_rows(wanted, {"daily": daily, "weekly": weekly, "yearly": yearly}, "sym")
+    return got.groupBy("sym", "provider").agg(F.count("d").alias("n"), F.min("d").alias("first_day"), r6(F.max("c")).alias("highest"))
+
+
 @query(f"""WITH {BARS}, s AS (SELECT sym, count(*) AS n, arg_min(c, d) AS first_close, arg_max(c, d) AS last_close FROM bars GROUP BY sym), w AS (SELECT * FROM (VALUES ('Brand#1'), ('Brand#7'), ('Brand#99')) v(sym))
 SELECT w.sym, n, round(last_close / first_close - 1, 6) AS pct_change, CASE WHEN n IS NULL THEN 'no bars' END AS error FROM w LEFT JOIN s USING (sym)""")
 def compare_symbols(spark, sf_dir):

@@ -74,3 +74,11 @@ def test_pooled_ranks_equal_the_plain_ones(spark, alpha):
     answers = [{r.k: (r.n, r.q) for r in f(df, ["k"], alpha).collect()} for f in (ev.conformal_q, ev.pooled_conformal_q)]
     assert answers[0] == answers[1] and len(answers[0]) == 4
     assert ev.pooled_conformal_q(df.limit(0), ["k"], alpha).count() == 0
+
+
+def test_empty_answers_fall_through(spark):
+    wanted = spark.createDataFrame([("a",), ("b",), ("c",)], "sym string")
+    table = lambda rows: spark.createDataFrame(rows, "sym string, v int")
+    got = rq.first_with_rows(wanted, {"one": table([("a", 1), ("a", 2), ("z", 9)]), "two": table([("a", 3), ("b", 4)])}, "sym").collect()
+    assert sorted((r.sym, r.provider or "", r.v or 0) for r in got) == [("a", "one", 1), ("a", "one", 2), ("b", "two", 4), ("c", "", 0)]
+    assert rq.first_with_rows(wanted.limit(0), {"one": table([])}, "sym").count() == 0

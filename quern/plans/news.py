@@ -279,15 +279,15 @@ def universe_dim(spark, sf_dir):
     return payloads.universe(lines)
 
 
-@query()
+@query(f"WITH {PER_TICKER} SELECT * FROM per_ticker")
 def csv_roundtrip(spark, sf_dir):
-    """A stream's table written as CSV under its schema and read again: a side effect, tested on its own."""
+    """A stream's table written as CSV under its schema and read again."""
     return payloads.csv_round_trip(per_ticker(views.records(spark, sf_dir)))
 
 
-@query()
+@query(f"WITH {MARKET} SELECT * FROM market UNION ALL SELECT * FROM market")
 def json_append_log(spark, sf_dir):
-    """A log appended as JSON lines and read past broken lines: a side effect, tested on its own."""
+    """A log appended twice as JSON lines and read past broken lines."""
     return payloads.json_log(market(views.records(spark, sf_dir)))
 
 

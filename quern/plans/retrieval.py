@@ -249,10 +249,10 @@ def dense_index_filtered(spark, sf_dir):
 
 @query()
 def dense_probe_recall(spark, sf_dir):
-    """Share of each question's ten nearest that half of the cells find; the mean is 0.9 or more in the tests."""
+    """Share of each question's ten nearest that three quarters of the cells find; the mean is above 0.9 (tested), and the exact search needs no such share."""
     _, q = _vectors(spark, sf_dir)
     ix = cells(spark, sf_dir)
-    some = ix.search(q, 10, probe=-(-ix.cells.count() // 2)).select("query_id", "vec_id", F.lit(1).alias("hit"))
+    some = ix.search(q, 10, probe=-(-ix.cells.count() * 3 // 4)).select("query_id", "vec_id", F.lit(1).alias("hit"))
     exact = ix.search(q, 10).select("query_id", "vec_id")
     return exact.join(some, ["query_id", "vec_id"], "left").groupBy("query_id").agg(F.round(F.count("hit") / F.count(F.lit(1)), 6).alias("recall"))
 

@@ -32,3 +32,9 @@ def test_lsh_finds_near_vectors(spark):
     exact = {(r.query_id, r.vec_id) for r in q["cosine_topk"](spark, sf).collect()}
     found = {(r.query_id, r.vec_id) for r in q["cosine_lsh"](spark, sf).collect()}
     assert len(exact & found) >= 0.9 * len(exact) and len(exact) == 25
+
+
+def test_probed_cells_find_nine_in_ten(spark):
+    for sf in ("sf0.001", "sf0.01"):
+        got = [r.recall for r in entry.queries()["dense_probe_recall"](spark, f"/root/testdata/{sf}").collect()]
+        assert len(got) == 5 and sum(got) / len(got) > 0.9

@@ -7,12 +7,17 @@ is a threshold, and only cells whose bound reaches it are read.  With ``probe``
 
 from __future__ import annotations
 
+import functools
+
+import numpy as np
+import pyarrow.compute as pc
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.operators.retrieval import best, cosine
+from quern.operators import vectors
+from quern.operators.retrieval import best, one_by_one
 
 #: Vectors that the cells are fitted on, those with the least hash of their id; cells at most.
 FIT_ROWS, MOST_CELLS = 20_000, 4096
@@ -74,24 +79,50 @@ class CellIndex:
     def search(self, queries: DataFrame, k: int, where: Column | str | None = None, probe: int | None = None) -> DataFrame:
         """(query_id, vec_id, score, rank): the k rows nearest to each of ``queries`` (query_id, q), a stated set, among those that ``where`` lets through.
 
-        Exact, unless ``probe`` bounds the cells that are read.  Scores to 6 digits, ties by vec_id, as in ``retrieval.nearest``.
+        Exact, unless ``probe`` bounds the cells that are read.  Scores to 6 digits, ties by vec_id, as in ``retrieval.nearest``.  Queries are told to all tasks in blocks, with the cells that each
+        is to meet as bits; no pair of a query and a cell is a row.
         """
         rows = self.spark.read.parquet(f"{self.path}/vectors")
         rows = rows if where is None else rows.where(where)
-
-        def scored(pairs: DataFrame) -> DataFrame:
-            met = rows.join(F.broadcast(pairs), "cell")
-            return best(met.select("query_id", "vec_id", F.round(cosine(F.col("embedding"), F.col("q")), 6).alias("score")), ["query_id"], k, F.desc("score"), F.col("vec_id"))
-
-        asked = queries.crossJoin(F.broadcast(self.cells)).withColumn("angle", _angle(_unit(F.col("q")), F.col("centre")))
-        asked = asked.select("query_id", "q", "cell", "angle", F.cos(F.greatest(F.lit(0.0), F.col("angle") - F.col("radius"))).alias("most"))
-        nearest = best(asked, ["query_id"], probe or FIRST, F.col("angle"), F.col("cell"))
-        if probe:
-            return scored(nearest)
-        least = scored(nearest).where(F.col("rank") == k).select("query_id", F.col("score").alias("least"))
-        left = asked.join(least, "query_id", "left").where(F.col("least").isNull() | F.col("most").isNull() | F.isnan("most") | (F.col("most") >= F.col("least") - ROOM))
-        nowhere = queries.select("query_id", "q", F.lit(NOWHERE).alias("cell"))
-        return scored(left.select("query_id", "q", "cell").unionByName(nowhere))
+        cells = self.cells.orderBy("cell").toArrow()
+        number = cells["cell"].to_numpy()
+        dim = len(cells["centre"][0]) if len(number) else 0
+        centres, radius = vectors.matrix(cells["centre"].combine_chunks(), dim), cells["radius"].to_numpy()
+        asks = vectors.plain(F.col("q"), dim) & F.exists("q", lambda x: x != 0)
+        placed = rows.where(F.col("cell") != NOWHERE)
+        out = one_by_one(rows, queries.where(~F.coalesce(asks, F.lit(False))).select("query_id", "q"))
+        if not probe:
+            out += one_by_one(rows.where(F.col("cell") == NOWHERE), queries.where(asks).select("query_id", "q"))
+        for told in vectors.blocks(queries.where(asks).select("query_id", "q")):
+            q = vectors.matrix(told["q"].combine_chunks(), dim)
+            first, bound = _reach(q, centres, radius, min(probe or FIRST, len(number)))
+            met = vectors.near(placed, told, dim, k, _bits(first, number))
+            if not probe and len(q):
+                least = best(met, ["query_id"], k, F.desc("score"), F.col("vec_id")).where(F.col("rank") == k).select("query_id", "score").toArrow()
+                at = pc.index_in(told["query_id"], value_set=least["query_id"].combine_chunks())
+                least = pc.fill_null(least["score"].combine_chunks().take(at.combine_chunks()), -np.inf).to_numpy(zero_copy_only=False)
+                met = vectors.near(placed, told, dim, k, _bits(bound >= least[:, None].astype(np.float32) - ROOM, number), least)
+            out.append(met)
+        return best(functools.reduce(DataFrame.unionByName, out), ["query_id"], k, F.desc("score"), F.col("vec_id"))
+
+
+def _reach(q: np.ndarray, centres: np.ndarray, radius: np.ndarray, nearest: int) -> tuple[np.ndarray, np.ndarray]:
+    """By query and cell: whether it is one of the ``nearest`` cells, and the most that a vector of the cell may score."""
+    unit = q / np.sqrt((q * q).sum(axis=1))[:, None]
+    first, bound = np.zeros((len(q), len(centres)), bool), np.zeros((len(q), len(centres)), np.float32)
+    for at in range(0, len(q), 1024):
+        angle = np.arccos(np.clip(unit[at : at + 1024] @ centres.T, -1, 1))
+        by = np.argsort(angle, axis=1, kind="stable")[:, :nearest]
+        np.put_along_axis(first[at : at + 1024], by, True, axis=1)
+        bound[at : at + 1024] = np.cos(np.maximum(0, angle - radius))
+    return first, bound
+
+
+def _bits(chosen: np.ndarray, number: np.ndarray) -> np.ndarray:
+    """``chosen`` columns as bits at their cells' numbers."""
+    whole = np.zeros((len(chosen), int(number.max(initial=-1)) + 1), bool)
+    whole[:, number] = chosen
+    return np.packbits(whole, axis=1)
 
 
 def hybrid(dense: DataFrame, sparse: DataFrame, store: DataFrame, k: int, k_rrf: int = 60) -> DataFrame:

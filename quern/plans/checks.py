@@ -6,6 +6,7 @@ from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
 from quern.functions import text as tx
+from quern.operators import dedupe, vectors
 from quern.operators import forecast as fc
 from quern.operators import retrieval as rt
 from quern.plans import policy, retrieval
@@ -144,14 +145,19 @@ def numeric_map(spark, sf_dir):
 def cosine_lsh(spark, sf_dir):
     """Approximate nearest vectors by bucketed random projections; its recall against the exact list is tested."""
     from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import array_to_vector
+    from pyspark.ml.functions import array_to_vector, vector_to_array
 
-    e = views.table(spark, sf_dir, "embeddings").select("vec_id", array_to_vector(F.transform("embedding", lambda v: v.cast("double"))).alias("v"))
+    # a pair that shares a bucket is looked at where it passes by: buckets are wide, so a join on them would hold most pairs six times
+    rows, asked = retrieval._vectors(spark, sf_dir)
+    dim = rows.agg(F.mode(F.size("embedding"))).first()[0]
+    e = rows.where(vectors.plain(F.col("embedding"), dim)).select("vec_id", "embedding", array_to_vector(F.transform("embedding", lambda v: v.cast("double"))).alias("v"))
     model = BucketedRandomProjectionLSH(inputCol="v", outputCol="h", bucketLength=0.5, numHashTables=6, seed=42).fit(e)
-    near = model.approxSimilarityJoin(e.where("vec_id % 100 = 0"), e, 0.8, "distance")
-    n = near.select(F.col("datasetA.vec_id").alias("query_id"), F.col("datasetB.vec_id").alias("vec_id"), r6(1 - F.col("distance") * F.col("distance") / 2).alias("score"))
-    full = n.groupBy("query_id").agg(F.count(F.lit(1)).alias("hits")).where("hits >= 5").select("query_id")
-    found = rt.best(n.join(full, "query_id", "left_semi"), ["query_id"], 5, F.desc("score"), F.col("vec_id"))
+    e = model.transform(e).select("vec_id", "embedding", F.transform("h", lambda x: vector_to_array(x)[0]).alias("h"))
+    near = None
+    for told in vectors.blocks(e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"), "h")):
+        block = vectors.near(e, told, dim, 5, within=0.8)
+        near = block if near is None else near.unionByName(block)
+    found = dedupe.stored(rt.best(near, ["query_id"], 5, F.desc("score"), F.col("vec_id")), "near")
+    full = found.where("rank = 5").select("query_id")
     # queries with fewer hits than wanted are answered exactly
-    rows, asked = retrieval._vectors(spark, sf_dir)
-    return found.unionByName(rt.nearest(rows, asked.join(full, "query_id", "left_anti"), 5).select(found.columns))
+    return found.join(full, "query_id", "left_semi").unionByName(rt.nearest(rows, asked.join(full, "query_id", "left_anti"), 5).select(found.columns))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.operators import chunking
+from quern.operators import chunking, dedupe
 from quern.operators import forecast as fc
 from quern.operators import retrieval as rt
 from quern.operators.dense import CellIndex, hybrid
@@ -128,10 +128,10 @@ def index_update_topk(spark, sf_dir):
 
 
 def lists(spark, sf_dir) -> DataFrame:
-    """(query_id, list, rank, id): BM25 over all and over English texts."""
+    """(query_id, list, rank, id): BM25 over all and over English texts, stored, as those who ask read it several times."""
     a = found(spark, sf_dir, 30).select("query_id", F.lit(0).alias("list"), "rank", F.col("doc_id").alias("id"))
     b = found(spark, sf_dir, 30, _EN).select("query_id", F.lit(1).alias("list"), "rank", F.col("doc_id").alias("id"))
-    return a.union(b)
+    return dedupe.stored(a.union(b), "lists")
 
 
 LISTS = f"""{bm25_sql(name='bm1')}, dtok2 AS (SELECT doc_id, x FROM dtok WHERE doc_id IN (SELECT doc_id FROM documents WHERE lang = 'en')), tot2 AS (SELECT count(*) AS n_docs, avg(len(x)) AS avgdl FROM dtok2), tf2 AS (SELECT * FROM tf WHERE doc_id IN (SELECT doc_id FROM dtok2)), dfs2 AS (SELECT w, count(*) AS df FROM tf2 GROUP BY w),
@@ -191,7 +191,7 @@ SCORES = f"""{bm25_sql()}, {GRADES}, flags AS (SELECT b.query_id, b.rank, coales
 
 
 def _scores(spark, sf_dir) -> DataFrame:
-    bm = found(spark, sf_dir, 8)
+    bm = dedupe.stored(found(spark, sf_dir, 8), "hits")
     g = chunking.span_grades(docs(spark, sf_dir), views.table(spark, sf_dir, "benchmark"), 40).select(F.col("item_id").alias("query_id"), "doc_id", F.col("grade").alias("gain"))
     flags = bm.join(g, ["query_id", "doc_id"], "left").select("query_id", "rank", F.coalesce("gain", F.lit(0)).alias("gain"))
     return rt.ranking_scores(flags, g.select("query_id", "gain"), "query_id", 8)
@@ -267,9 +267,9 @@ HYBRID = f"""hq AS (SELECT doc_id AS item_id, "text" FROM documents WHERE doc_id
 def hybrid_topk(spark, sf_dir):
     """Dense and sparse hits fused by reciprocal ranks: the vector and the whole text of a document as the question, both from stored indexes; rank 0: not in that list."""
     q, texts = similar_questions(spark, sf_dir)
-    dense = cells(spark, sf_dir).search(q, 30).select("query_id", F.col("vec_id").alias("id"), "rank")
+    dense = dedupe.stored(cells(spark, sf_dir).search(q, 30).select("query_id", F.col("vec_id").alias("id"), "rank"), "dense")
     ix = index(spark, sf_dir)
-    sparse = ix.search(texts, 30).select("query_id", F.col("doc_id").alias("id"), "rank")
+    sparse = dedupe.stored(ix.search(texts, 30).select("query_id", F.col("doc_id").alias("id"), "rank"), "sparse")
     store = ix.documents().select(F.col("doc_id").alias("id"), "lang", "source")
     ranks = (F.coalesce(c, F.lit(0)).alias(c) for c in ("dense_rank", "sparse_rank"))
     return hybrid(dense, sparse, store, 10).select("query_id", "id", "score", "rank", *ranks, "lang", "source")

@@ -30,3 +30,17 @@ def test_vectors_meet_queries_without_rows_of_pairs(spark):
     each = rt.best(rows.crossJoin(asked).select("query_id", "vec_id", F.round(rt.cosine(F.col("embedding"), F.col("q")), 6).alias("score")), ["query_id"], 9, F.desc("score"), F.col("vec_id"))
     answers = lambda df: sorted(map(repr, (tuple(x) for x in df.select("query_id", "vec_id", "score", "rank").collect())))
     assert answers(rt.nearest(rows, asked, 9)) == answers(each)  # odd vectors too
+
+
+def test_a_search_moves_no_postings(spark, tmp_path, no_small_sides):
+    from quern.operators.inverted import InvertedIndex
+
+    r = random.Random(5)
+    docs = spark.createDataFrame([(k, " ".join(f"w{r.randrange(20)}" for _ in range(12)), "en" if k % 2 else "de") for k in range(90)], "doc_id long, text string, lang string")
+    asked = spark.createDataFrame([(1, "w1 w2 w2"), (2, "w3")], "query_id long, text string")
+    ix = InvertedIndex.create(docs, str(tmp_path / "ix"), ("lang",), 16)
+    for where in (None, "lang = 'en'"):
+        plan = _plan(ix.search(asked, 5, where))
+        assert "Generate" not in plan and "SortMergeJoin" not in plan
+        want = rt.bm25(docs if where is None else docs.where(where), asked, 5)
+        assert sorted(map(tuple, ix.search(asked, 5, where).collect())) == sorted(map(tuple, want.select("query_id", "doc_id", "score", "rank").collect()))

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quern.operators.dedupe import stored
 from quern.operators.requests import section_code
 
-#: Spans that are looked for in each text of a task at once.
-TOLD = 4096
+#: Spans, or words of spans, that are looked for in each text of a task at once; rows of words that are told to all tasks.
+TOLD, MOST_TOLD = 4096, 200_000
 _SPACE = "[ \\t\\n\\r\\f\\x0B]+"
 #: Words for a token; fewest words of a chunked text; fewest of one under a bare header.
 WORDS_PER_TOKEN, LEAST_WORDS, STUB_WORDS = 0.75, 15, 25
@@ -97,11 +98,16 @@ def bare_header(label: Column) -> Column:
     return label.rlike(r"(?i)^Item\s+\d{1,2}(?:\.\d{1,2}|[A-Za-z])?\.?\s*$")
 
 
+def _told(words: DataFrame) -> DataFrame:
+    """``words``, told to all tasks where they are few."""
+    return F.broadcast(words) if words.count() <= MOST_TOLD else words
+
+
 def span_grades(docs: DataFrame, passages: DataFrame, span: int) -> DataFrame:
     """(item_id, doc_id, grade): how many of a passage's first and last ``span`` characters a text holds, where any.
 
     A passage of ``span`` characters or fewer is both spans itself, so it counts twice.  Spans and texts meet on a whole word: a span inside a
-    text brings its inner words as whole words, so an equi-join on the rarest of them finds every match.  Spans without an inner word are
+    text brings its inner words as whole words, so an equi-join on the rarest of them finds every match.  No text moves: the words are told to all tasks.  Spans without an inner word are
     told to all tasks, TOLD at a time, and looked for in each text.
     """
     norm = lambda c: F.lower(F.regexp_replace(F.trim(c), "[ \\t\\n\\r]+", " "))
@@ -110,10 +116,17 @@ def span_grades(docs: DataFrame, passages: DataFrame, span: int) -> DataFrame:
     s = s.groupBy("item_id", "s").agg(F.count(F.lit(1)).alias("times")).withColumn("ws", F.split("s", " "))
     d = docs.where("text is not null").select("doc_id", norm(F.col("text")).alias("t"))
     inner = s.where(F.size("ws") > 2).select("item_id", "s", "times", F.explode(F.array_distinct(F.slice("ws", 2, F.size("ws") - 2))).alias("w"))
-    held = d.select("doc_id", F.explode(F.array_distinct(F.split("t", " "))).alias("w")).join(inner.select("w").distinct(), "w", "left_semi")
+    held = d.select(F.explode(F.array_distinct(F.split("t", " "))).alias("w")).join(_told(inner.select("w").distinct()), "w", "left_semi")
     freq = held.groupBy("w").agg(F.count(F.lit(1)).alias("df"))
-    rare = inner.join(freq, "w").groupBy("item_id", "s", "times").agg(F.min_by("w", F.struct("df", "w")).alias("w"))
-    hit = held.join(rare, "w").join(d, "doc_id").where(F.contains("t", F.col("s"))).select("item_id", "doc_id", "times")
+    rare = stored(inner.join(freq, "w").groupBy("item_id", "s", "times").agg(F.min_by("w", F.struct("df", "w")).alias("w")), "spans")
+    names, hit = rare.select("w").distinct(), None
+    parts = max(1, -(-names.count() // TOLD))
+    for k in range(parts):  # a text meets the words told in its own row, and goes on with those that it holds
+        block = rare.where(F.pmod(F.xxhash64("w"), F.lit(parts)) == k)
+        wanted = block.agg(F.collect_set("w").alias("wanted"))
+        met = d.crossJoin(F.broadcast(wanted)).select("doc_id", "t", F.array_intersect(F.split("t", " "), "wanted").alias("ws")).where(F.size("ws") > 0)
+        met = met.select("doc_id", "t", F.explode("ws").alias("w")).join(_told(block), "w").where(F.contains("t", F.col("s"))).select("item_id", "doc_id", "times")
+        hit = met if hit is None else hit.unionByName(met)
     short = s.where(F.size("ws") <= 2).select("item_id", "s", "times")
     blocks = -(-short.count() // TOLD)
     for k in range(blocks):

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.functions import text as tx
-from quern.operators import chunking
+from quern.operators import chunking, dedupe
 from quern.operators import policy as po
 from quern.operators import retrieval as rt
 from quern.plans import policy, retrieval
@@ -35,7 +35,7 @@ def citation_accuracy(cited: DataFrame, union: DataFrame, relevant: DataFrame) -
 )
 def multihop_citation_accuracy(spark, sf_dir):
     """Answers that cite their five best documents and one that is not in the evidence: the share that holds a span of an aspect, from the sources it is bound to."""
-    hits = retrieval.found(spark, sf_dir, 8).select("query_id", F.col("doc_id").alias("id"), "rank")
+    hits = dedupe.stored(retrieval.found(spark, sf_dir, 8).select("query_id", F.col("doc_id").alias("id"), "rank"), "hits")
     asked = retrieval.asked(spark, sf_dir).where("query_id % 7 <> 0")
     cited = hits.where("rank <= 5 and query_id % 7 <> 0").select("query_id", "id").unionByName(asked.select("query_id", F.lit(-1).cast("long").alias("id")))
     grades = chunking.span_grades(retrieval.docs(spark, sf_dir), views.table(spark, sf_dir, "benchmark"), 40)
@@ -57,7 +57,8 @@ def seat_pooled_rerank(spark, sf_dir):
     """All branches' rows in one pool, each id once, scored anew by the share of the question's words they hold: the best fifteen, whatever branch they come from."""
     pool = retrieval.lists(spark, sf_dir).groupBy("query_id", "id").agg(F.min(F.col("list") * 100 + F.col("rank")).alias("was"))
     words = lambda df, k: df.select(F.col(k), F.array_distinct(tx.tokens(F.col("text"))).alias(f"{k}_x"))
-    d = words(retrieval.docs(spark, sf_dir).select(F.col("doc_id").alias("id"), "text"), "id")
+    named = retrieval.docs(spark, sf_dir).select(F.col("doc_id").alias("id"), "text").join(pool.select("id").distinct(), "id", "left_semi")
+    d = words(named, "id")  # of the pool's texts alone
     p = pool.join(d, "id").join(words(retrieval.asked(spark, sf_dir), "query_id"), "query_id")
     p = p.withColumn("score", r6(F.size(F.array_intersect("query_id_x", "id_x")) / F.size("query_id_x")))
     return rt.best(p, ["query_id"], 15, F.desc("score"), F.col("was")).select("query_id", "id", "score", F.col("rank").alias("seat"))

@@ -44,3 +44,10 @@ def test_a_search_moves_no_postings(spark, tmp_path, no_small_sides):
         assert "Generate" not in plan and "SortMergeJoin" not in plan
         want = rt.bm25(docs if where is None else docs.where(where), asked, 5)
         assert sorted(map(tuple, ix.search(asked, 5, where).collect())) == sorted(map(tuple, want.select("query_id", "doc_id", "score", "rank").collect()))
+
+
+def test_spans_are_looked_for_where_the_texts_lie(spark, no_small_sides):
+    texts = spark.createDataFrame([(1, "alpha beta gamma delta"), (2, "nothing here"), (3, None)], "doc_id long, text string")
+    passages = spark.createDataFrame([(9, "alpha beta gamma")], "item_id long, text string")
+    grades = chunking.span_grades(texts, passages, 40)
+    assert "SortMergeJoin" not in _plan(grades) and [tuple(x) for x in grades.collect()] == [(9, 1, 2)]

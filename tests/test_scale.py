@@ -51,3 +51,23 @@ def test_spans_are_looked_for_where_the_texts_lie(spark, no_small_sides):
     passages = spark.createDataFrame([(9, "alpha beta gamma")], "item_id long, text string")
     grades = chunking.span_grades(texts, passages, 40)
     assert "SortMergeJoin" not in _plan(grades) and [tuple(x) for x in grades.collect()] == [(9, 1, 2)]
+
+
+@pytest.mark.parametrize("at_least", [0.85, 0.6, 0.34])
+def test_sets_of_few_and_of_many_tokens_against_all_pairs(spark, at_least):
+    r = random.Random(6)
+    base = [frozenset(r.sample(range(24), n)) for n in range(1, 21) for _ in range(3)]
+    near = [b - {r.choice(sorted(b))} for b in base if len(b) > 1] + [b | {30 + k % 3} for k, b in enumerate(base)] + [(b - {min(b)}) | {40} for b in base]
+    sets = sorted({*base, *near}, key=sorted)
+    got = dedupe.similar_sets(spark.createDataFrame([(k, [str(w) for w in s]) for k, s in enumerate(sets)], "id long, x array<string>"), at_least)
+    want = {(a, b): len(x & y) / len(x | y) for a, x in enumerate(sets) for b, y in enumerate(sets) if a < b and len(x & y) / len(x | y) >= at_least}
+    rows = got.collect()
+    assert {(x.a, x.b): x.jaccard for x in rows} == want and len(rows) == len(want)
+
+
+def test_sets_of_few_tokens_do_not_meet_by_frequent_ones(spark):
+    """All of 1,000 titles share most of their words: by the prefix filter hundreds of thousands of pairs met."""
+    r = random.Random(7)
+    sets = sorted({tuple(sorted(r.sample(range(16), 8))) for _ in range(1000)})
+    df = spark.createDataFrame([(k, [str(w) for w in s]) for k, s in enumerate(sets)], "id long, x array<string>")
+    assert "array_remove" in dedupe.similar_sets(df, 0.85)._jdf.queryExecution().optimizedPlan().toString()

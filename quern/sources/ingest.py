@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quern.sources.payloads import page_texts
+from quern.sources.payloads import with_texts
 
 
 def theme_predicate(themes: Column, patterns: tuple[str, ...]) -> Column:
@@ -74,8 +74,7 @@ class FilingStore:
         rows = rows.withColumn("turn", F.row_number().over(Window.partitionBy("accession").orderBy("path"))).where("turn = 1").drop("turn")
         known = self.spark.read.schema("accession string, batch long").parquet(f"{self.path}/manifest").where(F.col("batch") != number)
         new = rows.join(known.select("accession"), "accession", "left_anti")
-        texts = page_texts(new.select(F.col("accession").alias("page_id"), "html"), "string").withColumnRenamed("page_id", "accession")
-        out = new.drop("html").join(texts, "accession")
+        out = with_texts(new.select("accession", "ticker", "form", "day", "path", "sha256", "html"))  # files are read once
         out.write.mode("overwrite").parquet(f"{self.path}/filings/batch={number}")
         stored = self.spark.read.parquet(f"{self.path}/filings/batch={number}")
         stored.select("accession").write.mode("overwrite").parquet(f"{self.path}/manifest/batch={number}")

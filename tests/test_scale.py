@@ -71,3 +71,19 @@ def test_sets_of_few_tokens_do_not_meet_by_frequent_ones(spark):
     sets = sorted({tuple(sorted(r.sample(range(16), 8))) for _ in range(1000)})
     df = spark.createDataFrame([(k, [str(w) for w in s]) for k, s in enumerate(sets)], "id long, x array<string>")
     assert "array_remove" in dedupe.similar_sets(df, 0.85)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_tasks_give_memory_back(monkeypatch):
+    from quern.llm import common
+
+    calls = []
+    monkeypatch.setattr(common, "give_back", lambda: calls.append(1))
+    assert list(common.sliced(lambda batches: batches)(iter([]))) == [] and calls == [1]
+
+
+def test_a_batch_of_filings_is_read_once(spark):
+    """Rows go through the parser as they are: no join of a batch with its own texts."""
+    from quern.sources import payloads
+
+    out = payloads.with_texts(spark.createDataFrame([("a", "<p>one</p><p>two</p>"), ("b", None)], "accession string, html string"))
+    assert sorted(map(tuple, out.collect())) == [("a", "one\ntwo", 2), ("b", "", 0)] and "Join" not in _plan(out)

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
 import shutil
 import tempfile
 import uuid
@@ -53,11 +55,21 @@ def written(df: DataFrame, tag: str) -> DataFrame:
 Batches = Iterator[pa.RecordBatch]
 
 
+def give_back() -> None:
+    """What a task has freed goes back to the system, as Python workers live on and the next stage's memory comes on top."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # of glibc alone
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def sliced(work: Callable[[Batches], Batches]) -> Callable[[Batches], Batches]:
     """``work`` on slices of BATCH_ROWS rows of each batch."""
 
     def rows(batches: Batches) -> Batches:
-        return work(batch.slice(lo, BATCH_ROWS) for batch in batches for lo in range(0, batch.num_rows, BATCH_ROWS))
+        try:
+            yield from work(batch.slice(lo, BATCH_ROWS) for batch in batches for lo in range(0, batch.num_rows, BATCH_ROWS))
+        finally:
+            give_back()
 
     return rows
 

@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 #: Words kept per Python worker; the cache starts anew when it is full.
 CACHE_WORDS = 200_000
 #: Bytes of text handled at once, whatever the Arrow batch holds.
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 2 << 20
 _TAIL = r"(\pL)([!-&(-/:-@\[-`{-~]+)([\x20\x09-\x0D])"
 _WORKER: dict[str, "WordTokenizer"] = {}
 

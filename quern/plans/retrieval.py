@@ -355,7 +355,7 @@ def graph_walk_3hop(spark, sf_dir):
 )
 def graph_provenance(spark, sf_dir):
     """Distinct provenance ids of the edges within two steps in either direction, in the edges' order."""
-    return rt.provenance(rt.neighbours(edges(spark, sf_dir), seeds(spark, sf_dir), 2, "both", _DEPENDS), edges(spark, sf_dir))
+    return rt.walk_provenance(edges(spark, sf_dir), seeds(spark, sf_dir), "both", _DEPENDS)
 
 
 @query(

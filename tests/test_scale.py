@@ -87,3 +87,17 @@ def test_a_batch_of_filings_is_read_once(spark):
 
     out = payloads.with_texts(spark.createDataFrame([("a", "<p>one</p><p>two</p>"), ("b", None)], "accession string, html string"))
     assert sorted(map(tuple, out.collect())) == [("a", "one\ntwo", 2), ("b", "", 0)] and "Join" not in _plan(out)
+
+
+@pytest.mark.parametrize(("direction", "light"), [("both", 0), ("both", 6), ("both", 40), ("out", 6), ("in", 6)])
+def test_ids_of_walks_are_placed_by_lists_of_nodes(spark, monkeypatch, direction, light):
+    r = random.Random(8)
+    rows = sorted({(f"n{r.randrange(30)}", f"r{r.randrange(2)}", f"n{r.randrange(30)}") for _ in range(30)} | {("n1", "r0", "n1")} | {(f"n{k}", "r0", f"n{k % 2}") for k in range(30)})
+    made = lambda: [r.choice([None, *map(str, range(40))]) for _ in range(r.randrange(4))]
+    edges = spark.createDataFrame([(*x, made()) for x in rows] + [(*rows[0], ["5", "7"])], "subject string, relation string, object string, provenance array<string>")
+    seeds = spark.createDataFrame([(f"n{k}",) for k in (*range(30), 3, 99)], "seed string")
+    monkeypatch.setattr(rt, "LIGHT", light)
+    monkeypatch.setattr(rt, "PART", 4)
+    answers = lambda df: sorted(map(repr, df.select("seed", "place", "id").collect()))
+    each = rt.provenance(rt.neighbours(edges, seeds, 2, direction), edges)
+    assert answers(rt.walk_provenance(edges, seeds, direction)) == answers(each) != []

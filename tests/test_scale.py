@@ -101,3 +101,23 @@ def test_ids_of_walks_are_placed_by_lists_of_nodes(spark, monkeypatch, direction
     answers = lambda df: sorted(map(repr, df.select("seed", "place", "id").collect()))
     each = rt.provenance(rt.neighbours(edges, seeds, 2, direction), edges)
     assert answers(rt.walk_provenance(edges, seeds, direction)) == answers(each) != []
+
+
+def test_edges_of_two_steps_are_met_once_and_not_grouped(spark, monkeypatch):
+    r = random.Random(9)
+    rows = sorted({(f"n{r.randrange(25)}", f"r{r.randrange(2)}", f"n{r.randrange(25)}") for _ in range(70)} | {("n1", "r0", "n1"), ("n2", "r0", "n1"), ("n1", "r0", "n2")} | {(f"n{k}", "r1", "n0") for k in range(25)})
+    edges = spark.createDataFrame([*rows, *rows[:9]], "subject string, relation string, object string")
+    seeds = spark.createDataFrame([(f"n{k}",) for k in (*range(25), 3, 99)], "seed string")
+    monkeypatch.setattr(rt, "PART", 4)
+    for direction in ("both", "out", "in"):
+        want = {}
+        for seed in (f"n{k}" for k in range(25)):
+            ends = lambda s, o: {"out": {s}, "in": {o}, "both": {s, o}}[direction]  # noqa: E731, B023
+            near = {n for s, _, o in rows for a, n in ((s, o), (o, s)) if a == seed and a in ends(s, o) and (direction == "both" or (a, n) == ((s, o) if direction == "out" else (o, s)))}
+            for s, rel, o in rows:
+                if ends(s, o) & ({seed} | near):
+                    want[seed, s, rel, o] = 1 if seed in ends(s, o) else 2
+        walk = rt.neighbours(edges, seeds, 2, direction)
+        got = [tuple(x) for x in walk.collect()]
+        assert {x[:4]: x[4] for x in got} == want and len(got) == len(want)
+        assert walk._jdf.queryExecution().optimizedPlan().nodeName() == "Union"

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -50,11 +52,17 @@ def news_table(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path).select("stream", "day", "key", "article_count", "tone_mean", "tone_std")
 
 
+def bundle(files: DataFrame, folder: str) -> None:
+    """Pack files (path, content) into bundles under ``folder``: Parquet files of these two columns, as many as tasks write, however many files are packed."""
+    files.select("path", "content").write.mode("append").parquet(folder)
+
+
 class FilingStore:
     """Filings under ``path``, each taken in once, whatever is restarted or listed again.
 
     A stream of files with a checkpoint sees new files only; the manifest holds the accession of each filing taken in, so one that
     comes again under another name is left out.  A batch writes a folder by its number, so a batch that is run again replaces itself.
+    Filings come as files of their own or, where they are many, in bundles: each file costs a store and the driver some calls, a filing in a bundle none.
     """
 
     FILINGS = "accession string, ticker string, form string, day string, path string, sha256 string, text string, n_lines long, batch long"
@@ -73,7 +81,7 @@ class FilingStore:
         rows = rows.withColumn("accession", F.concat_ws("-", "ticker", "form", "day"))
         rows = rows.withColumn("turn", F.row_number().over(Window.partitionBy("accession").orderBy("path"))).where("turn = 1").drop("turn")
         known = self.spark.read.schema("accession string, batch long").parquet(f"{self.path}/manifest").where(F.col("batch") != number)
-        new = rows.join(known.select("accession"), "accession", "left_anti")
+        new = rows.join(known.select("accession").hint("merge"), "accession", "left_anti")  # rows lie by accession already; the manifest grows with the store
         out = with_texts(new.select("accession", "ticker", "form", "day", "path", "sha256", "html"))  # files are read once
         out.write.mode("overwrite").parquet(f"{self.path}/filings/batch={number}")
         stored = self.spark.read.parquet(f"{self.path}/filings/batch={number}")
@@ -81,8 +89,19 @@ class FilingStore:
 
     def ingest(self, folder: str, names: str = "filing.html", per_batch: int = 10_000) -> None:
         """Take in the files ``names`` anywhere under ``folder`` that no earlier call has taken in, ``per_batch`` at a time."""
-        self.spark.createDataFrame([], "accession string").write.mode("overwrite").parquet(f"{self.path}/manifest/batch=-1")
         schema = "path string, modificationTime timestamp, length long, content binary"
         files = self.spark.readStream.format("binaryFile").schema(schema).option("pathGlobFilter", names).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", per_batch).load(folder)
-        run = files.writeStream.foreachBatch(self._batch).option("checkpointLocation", f"{self.path}/checkpoint").trigger(availableNow=True).start()
+        self._run(files, "checkpoint", self._batch)
+
+    def ingest_bundles(self, folder: str, per_batch: int = 10_000) -> None:
+        """Take in the filings of the bundles under ``folder`` that no earlier call has taken in, ``per_batch`` bundles at a time.
+
+        The stream has a checkpoint and numbers of its own: its batches count down from -2, and so replace none of ``ingest``.
+        """
+        bundles = self.spark.readStream.format("parquet").schema("path string, content binary").option("maxFilesPerTrigger", per_batch).load(folder)
+        self._run(bundles, "checkpoint-bundles", lambda files, number: self._batch(files, -2 - number))
+
+    def _run(self, files: DataFrame, checkpoint: str, batch: Callable[[DataFrame, int], None]) -> None:
+        self.spark.createDataFrame([], "accession string").write.mode("overwrite").parquet(f"{self.path}/manifest/batch=-1")
+        run = files.writeStream.foreachBatch(batch).option("checkpointLocation", f"{self.path}/{checkpoint}").trigger(availableNow=True).start()
         run.awaitTermination()

@@ -1,6 +1,8 @@
 """Stores that are filled step by step, drawn questions, and opt-in features."""
 
 import datetime
+import hashlib
+import math
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -64,6 +66,47 @@ def test_filings_are_taken_in_once_across_restarts(spark, tmp_path):
     assert len(rows()) == 3 and store.filings().count() == 3
 
 
+def test_bundled_filings_are_taken_in_once_across_restarts(spark, tmp_path):
+    path, folder = str(tmp_path / "store"), str(tmp_path / "bundles")
+    pack = lambda *rows: ingest.bundle(spark.createDataFrame([(p, bytearray(c, "utf-8")) for p, c in rows], "path string, content binary"), folder)
+    rows = lambda: {r.accession: (r.ticker, r.form, r.day, r.text, r.sha256) for r in ingest.FilingStore(spark, path).filings().collect()}
+    row = lambda t, f, d, text, html: (t, f, d, text, hashlib.sha256(html.encode()).hexdigest())
+    pack(("sec/AAA/10-K/1/filing.html", "<p>öne</p>"), ("sec/AAA/10-Q/2/filing.html", "<p>two</p>"), ("sec/AAA/10-Q/2/again.html", "<p>2</p>"))
+    ingest.FilingStore(spark, path).ingest_bundles(folder, per_batch=1)
+    first = rows()
+    assert set(first) == {"AAA-10-K-1", "AAA-10-Q-2"} and first["AAA-10-K-1"] == row("AAA", "10-K", "1", "öne", "<p>öne</p>")
+    pack(("other/AAA/10-K/1/filing.html", "<p>late</p>"), ("sec/BBB/10-K/3/filing.html", "<p>three</p>"))
+    loose = tmp_path / "sec" / "CCC" / "10-K" / "4"
+    loose.mkdir(parents=True)
+    (loose / "filing.html").write_text("<p>four</p>")
+    store = ingest.FilingStore(spark, path)  # a restart
+    store.ingest_bundles(folder)
+    store.ingest(str(tmp_path / "sec"))  # files of their own go into the same store and replace no batch of bundles
+    store.ingest_bundles(folder)
+    assert rows() == first | {"BBB-10-K-3": row("BBB", "10-K", "3", "three", "<p>three</p>"), "CCC-10-K-4": row("CCC", "10-K", "4", "four", "<p>four</p>")}
+    assert store.filings().count() == 4
+
+
+def test_the_manifest_is_not_broadcast(spark, tmp_path, monkeypatch):
+    """A manifest of short, alike accessions is small as a file and large in memory."""
+    seen, texts = [], ingest.with_texts
+    monkeypatch.setattr(ingest, "with_texts", lambda df: seen.append(df._jdf.queryExecution().executedPlan().toString()) or texts(df))
+    ingest.bundle(spark.createDataFrame([("sec/AAA/10-K/1/filing.html", bytearray(b"<p>one</p>"))], "path string, content binary"), str(tmp_path / "bundles"))
+    ingest.FilingStore(spark, str(tmp_path / "store")).ingest_bundles(str(tmp_path / "bundles"))
+    assert seen and "SortMergeJoin" in seen[0] and "Broadcast" not in seen[0]
+
+
+def test_filing_ingest_writes_no_file_for_each_page(spark, tmp_path, monkeypatch):
+    """400 pages gave 400 files in as many folders."""
+    pages = [(k, "u", f"<p>page {k}</p>\n" if k % 10 else None) for k in range(-3, 397)]
+    spark.createDataFrame(pages, "page_id long, url string, html string").coalesce(2).write.parquet(str(tmp_path / "in" / "pages.parquet"))
+    monkeypatch.setattr(stores, "scratch", lambda spark, tag: str(tmp_path / tag))
+    got = {tuple(r) for r in stores.filing_ingest(spark, str(tmp_path / "in")).collect()}
+    ticker = lambda k: f"T{int(math.fmod(k, 7))}"
+    assert got == {(f"{ticker(k)}-10-K-{k}", ticker(k), "10-K", str(k), hashlib.sha256((h + "\n").encode()).hexdigest()) for k, _, h in pages if h}
+    assert len([*(tmp_path / "filings").rglob("part-*")]) <= 8
+
+
 def test_questions_are_the_same_under_any_partitioning(spark):
     r = np.random.default_rng(4)
     bridges = [(f"s{r.integers(12)}", str(r.choice(["depends_on", "competes_with"])), f"s{r.integers(12)}") for _ in range(60)]

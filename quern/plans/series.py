@@ -731,14 +731,14 @@ def walk_forward_folds(spark, sf_dir):
 
 @query(
     f"""WITH {BARS}, num AS (SELECT sym, d, c, row_number() OVER (PARTITION BY sym ORDER BY d) - 1 AS i FROM bars), fwd AS (SELECT sym, i, d, lead(c, 20) OVER (PARTITION BY sym ORDER BY d) / c - 1 AS r FROM num),
-    forecasts AS (SELECT sym, i AS t, r AS y FROM fwd WHERE r IS NOT NULL AND i >= 252 AND (i - 252) % 20 = 0),
+    forecasts AS (SELECT sym, i AS t, r AS y FROM fwd WHERE r IS NOT NULL AND i >= 80 AND (i - 80) % 20 = 0),
     m AS (SELECT a.sym, a.t, a.y, count(*) AS n, {', '.join(f'avg(CASE WHEN f.r >= {e} THEN 1.0::DOUBLE ELSE 0 END) AS p{k}' for k, e in enumerate(fc.EDGES))} FROM forecasts a JOIN fwd f ON f.sym = a.sym AND f.i + 20 <= a.t AND f.r IS NOT NULL GROUP BY 1, 2, 3 HAVING count(*) >= 30),
     long AS (SELECT sym, unnest([{', '.join(map(str, fc.EDGES))}]::DOUBLE[]) AS threshold, unnest([p0, p1, p2, p3, p4]) AS p, unnest([CASE WHEN y > -0.1 THEN 1 ELSE 0 END, CASE WHEN y > -0.05 THEN 1 ELSE 0 END, CASE WHEN y > 0 THEN 1 ELSE 0 END, CASE WHEN y > 0.05 THEN 1 ELSE 0 END, CASE WHEN y > 0.1 THEN 1 ELSE 0 END]) AS y FROM m)
     SELECT threshold, count(*) AS n, round(avg(y), 6) AS base_rate, round(avg((p - y) * (p - y)), 6) AS brier, round(avg(-(y * ln(least(greatest(p, 1e-15), 1 - 1e-15)) + (1 - y) * ln(1 - least(greatest(p, 1e-15), 1 - 1e-15)))), 6) AS log_loss, round(avg(CASE WHEN (p >= 0.5) = (y = 1) THEN 1.0::DOUBLE ELSE 0 END), 6) AS accuracy FROM long GROUP BY threshold"""
 )
 def historical_backtest(spark, sf_dir):
-    """Scores of historical forecasts made every 20 bars from bar 252 on, from what had ended by then."""
-    scored = fc.backtest(views.bars(spark, sf_dir), horizon=20, first=252, stride=20)
+    """Scores of historical forecasts made every 20 bars from bar 80 on (60 bars and a horizon), from what had ended by then."""
+    scored = fc.backtest(views.bars(spark, sf_dir), horizon=20, first=80, stride=20)
     p = F.least(F.greatest("p", F.lit(1e-15)), F.lit(1 - 1e-15))
     y = F.col("y").cast("double")
     return scored.groupBy("threshold").agg(

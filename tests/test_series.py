@@ -99,6 +99,17 @@ def test_backtest_uses_ended_returns_alone(spark):
         assert p == pytest.approx((fwd[: t - 5 + 1] >= e).mean())
 
 
+def test_backtest_scores_histories_of_less_than_a_year(spark, tmp_path):
+    """From bar 252 on, 200 bars gave no forecast."""
+    day = datetime.date(2000, 1, 3)
+    lines = [(k, 1, 7, 1, float(100 + k % 9), 1.0, day + datetime.timedelta(k)) for k in range(200)]
+    spark.createDataFrame(lines, "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_extendedprice double, l_quantity double, l_shipdate date").write.parquet(str(tmp_path / "lineitem.parquet"))
+    spark.createDataFrame([(7, "Brand#1")], "p_partkey long, p_brand string").write.parquet(str(tmp_path / "part.parquet"))
+    got = {x.threshold: (x.n, x.base_rate) for x in series.historical_backtest(spark, str(tmp_path)).collect()}
+    ends = [(100 + (t + 20) % 9) / (100 + t % 9) - 1 for t in range(80, 180, 20)]
+    assert got == {e: (5, pytest.approx(sum(r > e for r in ends) / 5)) for e in (-0.1, -0.05, 0.0, 0.05, 0.1)}
+
+
 def test_simulations_match_numpy():
     lr = np.random.default_rng(5).normal(0.001, 0.02, 300)
     g = kn.gbm_paths(lr, 20, 4000)
